@@ -31,6 +31,7 @@ def build_session(master: str | None = None, app: str = "pricelens",
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = (b.config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", os.environ.get("PRICELENS_DRIVER_MEM", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -366,7 +366,12 @@ def with_fixtures(names: list[str], body: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in order)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    if not ctes:
+        return body
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":  # merge the body's own CTEs after the fixtures
+        return f"WITH {ctes},\n{b[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 # ---------------------------------------------------------------- constant dimensions
