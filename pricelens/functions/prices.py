@@ -50,9 +50,9 @@ def format_price_number(col: Column, currency: Column) -> Column:
 def site_price_number(col: Column, site_key: str) -> Column:
     """Captured site price text -> double, 0 when it does not parse."""
     if site_key == "aliexpress":
-        c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?U)[\$,\s]"), F.lit("")), F.lit("USD"), F.lit(""))
+        c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?Ud)[\$,\s]"), F.lit("")), F.lit("USD"), F.lit(""))
     elif site_key == "ebay":
-        c = F.replace(F.regexp_replace(col, F.lit(r"(?U)[^\d.,]"), F.lit("")), F.lit(","), F.lit(""))
+        c = F.replace(F.regexp_replace(col, F.lit(r"(?Ud)[^\d.,]"), F.lit("")), F.lit(","), F.lit(""))
     else:
-        c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?U)[₵,\s]"), F.lit("")), F.lit("GH"), F.lit(""))
+        c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?Ud)[₵,\s]"), F.lit("")), F.lit("GH"), F.lit(""))
     return F.coalesce(F.nullif(c, F.lit("")).try_cast("double"), F.lit(0.0))

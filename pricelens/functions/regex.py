@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def jre(pattern: str, flags: str = "") -> str:
     """Java spelling of a Python pattern: Unicode classes plus the given flags."""
-    return f"(?U{flags})" + pattern
+    return f"(?Ud{flags})" + pattern
 
 
 def search(col: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
@@ -44,17 +44,17 @@ def sub(col: Column, pattern: str, repl: str = "", flags: str = "") -> Column:
 
 def pystrip(col: Column) -> Column:
     """``str.strip()``: trims Unicode whitespace, not only spaces."""
-    return F.regexp_replace(col, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+    return F.regexp_replace(col, F.lit(r"(?Ud)^\s+|\s+$"), F.lit(""))
 
 
 def collapse_ws(col: Column) -> Column:
     """``re.sub(r'\\s+', ' ', s).strip()``."""
-    return pystrip(F.regexp_replace(col, F.lit(r"(?U)\s+"), F.lit(" ")))
+    return pystrip(F.regexp_replace(col, F.lit(r"(?Ud)\s+"), F.lit(" ")))
 
 
 def word_count(col: Column) -> Column:
     """``len(s.split())``."""
-    return F.size(F.filter(F.split(col, r"(?U)\s+"), lambda w: F.length(w) > 0))
+    return F.size(F.filter(F.split(col, r"(?Ud)\s+"), lambda w: F.length(w) > 0))
 
 
 # ---- SQL (DuckDB / RE2) spelling of the same patterns, for the oracle ----

@@ -1,0 +1,45 @@
+"""Page -> offer jobs and their row-level helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import rules
+
+
+def convert_currency(df: DataFrame, amount: str = "amount", currency: str = "currency",
+                     rates: dict[str, float] | None = None) -> DataFrame:
+    """Amount in GHS: ``amount * rate`` for currencies with a rate (USD by default), else unchanged.
+
+    The rate table is a literal map (a handful of currencies), evaluated in the
+    projection -- no join, no shuffle.
+    """
+    rates = rates or {"USD": rules.USD_TO_GHS}
+    m = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(float(v)))])
+    r = F.try_element_at(m, F.col(currency))
+    return df.withColumn("amount_ghs", F.when(r.isNotNull(), F.col(amount) * r).otherwise(F.col(amount)))
+
+
+def offer_id(site_key: Column, title: Column, pos: Column) -> Column:
+    """Stable id: site key + 16 hex digits of sha-256(title + position)."""
+    return F.concat(site_key, F.lit("_"), F.substring(F.sha2(F.concat(title, pos.cast("string")), 256), 1, 16))
+
+
+def with_offer_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", offer_id(F.col("site_key"), F.col("title"), F.col("pos")))
+
+
+def url_host(url: Column) -> Column:
+    """Lower-cased authority of ``scheme://authority/...`` (port and user info kept)."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+def identify_source(url: Column) -> Column:
+    """struct(source, source_key) from the host: first matching marker, else Unknown."""
+    host = url_host(url)
+    src, key = F.lit("Unknown"), F.lit("unknown")
+    for h, n, k in reversed(rules.HOST_SOURCES):
+        src = F.when(host.contains(h), F.lit(n)).otherwise(src)
+        key = F.when(host.contains(h), F.lit(k)).otherwise(key)
+    return F.struct(src.alias("source"), key.alias("source_key"))
