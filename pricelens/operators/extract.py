@@ -43,3 +43,122 @@ def identify_source(url: Column) -> Column:
         src = F.when(host.contains(h), F.lit(n)).otherwise(src)
         key = F.when(host.contains(h), F.lit(k)).otherwise(key)
     return F.struct(src.alias("source"), key.alias("source_key"))
+
+
+# ---------------------------------------------------------------- page -> offers
+from ..functions import text as TX  # noqa: E402
+from ..functions import titles as TI  # noqa: E402
+from . import containers as CT  # noqa: E402
+
+CONTAINER_SITES = [s for s, *_ in rules.SITE_LIMITS]
+_LIMITS = {k: (mn, wl) for k, mn, wl, _a, _b in rules.SITE_LIMITS}
+_ROOT = {k: (root, host) for (_o, k, _n, _p, root, host) in rules.SITES}
+_NAME = {k: n for (_o, k, n, *_x) in rules.SITES}
+_ORD = {k: o for (o, k, *_x) in rules.SITES}
+
+
+def by_site(site: Column, fn, keys=None) -> Column:
+    """CASE over the site key; only the matching site's expression runs."""
+    out = None
+    for k in keys or CONTAINER_SITES:
+        out = F.when(site == k, fn(k)) if out is None else out.when(site == k, fn(k))
+    return out
+
+
+def first_link(hrefs: Column, site_key: str) -> Column:
+    """First href that is site-relative, names the site host (AliExpress: or any http URL)."""
+    root, host = _ROOT[site_key]
+    ok = F.filter(hrefs, lambda h: h.startswith("/") | h.contains(host)
+                  | (h.startswith("http") if site_key == "aliexpress" else F.lit(False)))
+    h = F.get(ok, 0)
+    return F.coalesce(F.when(h.startswith("/"), F.concat(F.lit(root), h)).otherwise(h), F.lit(""))
+
+
+def first_image(srcs: Column, site_key: str) -> Column:
+    """First image on the site host or any http URL (AliExpress: http or //, expanded)."""
+    _root, host = _ROOT[site_key]
+    if site_key == "aliexpress":
+        s = F.get(F.filter(srcs, lambda x: x.startswith("http") | x.startswith("//")), 0)
+        s = F.when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(s)
+    else:
+        s = F.get(F.filter(srcs, lambda x: x.contains(host) | x.startswith("http")), 0)
+    return F.coalesce(s, F.lit(""))
+
+
+def container_offers(cont: DataFrame, mode: str = "pattern") -> DataFrame:
+    """E5-E7 for the container sites: text gate, links, title/price rules, offer gate, id."""
+    site = F.col("site_key")
+    text = by_site(site, lambda k: CT.container_text(F.col("texts"), _LIMITS[k][1]))
+    c = cont.withColumn("text", text).filter(
+        F.length("text") >= by_site(site, lambda k: F.lit(_LIMITS[k][0])))
+    o = c.select(
+        "page_id", "site_key", "url", "pos",
+        by_site(site, lambda k: first_link(F.col("hrefs"), k)).alias("product_url"),
+        by_site(site, lambda k: first_image(F.col("srcs"), k)).alias("image_url"),
+        by_site(site, lambda k: TI.site_offer(F.col("text"), k, mode)).alias("o"),
+    ).filter(F.col("o").isNotNull())
+    return o.select(
+        offer_id(site, F.col("o.title"), F.col("pos")).alias("id"),
+        "page_id", "site_key", "pos",
+        F.col("o.title").alias("title"), F.col("o.price").alias("price"), "image_url",
+        F.coalesce(F.nullif(F.col("product_url"), F.lit("")), F.col("url")).alias("url"),
+        by_site(site, lambda k: F.lit(_NAME[k])).alias("source"),
+        F.lit("ML-BERT" if mode == "pattern" else "Enhanced-Regex").alias("extraction_method"),
+    )
+
+
+def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
+    """eBay job: main text -> eBay chunks -> positional URL/image pools -> title/price
+    rules -> gate; the cap counts *accepted* offers (first ``n`` by chunk order)."""
+    p = pages.filter(F.col("site_key") == "ebay").select(
+        "page_id", "url", TX.page_text(F.col("html")).alias("text"), TX.page_pools(F.col("html"), n).alias("pool"))
+    ch = TX.with_chunks(p.filter(F.col("text").isNotNull()), "text", "chunks", rule="ebay").select(
+        "page_id", "url", "pool", F.posexplode("chunks").alias("pos", "chunk"))
+    o = ch.select("page_id", "url", "pos",
+                  F.get(F.col("pool.urls"), F.col("pos")).alias("product_url"),
+                  F.get(F.col("pool.images"), F.col("pos")).alias("image_url"),
+                  TI.site_offer(F.col("chunk"), "ebay").alias("o")).filter(F.col("o").isNotNull())
+    from pyspark.sql import Window
+    w = Window.partitionBy("page_id").orderBy("pos")
+    o = o.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+    return o.select(
+        offer_id(F.lit("ebay"), F.col("o.title"), F.col("pos")).alias("id"),
+        "page_id", F.lit("ebay").alias("site_key"), "pos",
+        F.col("o.title").alias("title"), F.col("o.price").alias("price"),
+        F.coalesce(F.col("image_url"), F.lit("")).alias("image_url"),
+        F.coalesce(F.col("product_url"), F.col("url")).alias("url"),
+        F.lit(_NAME["ebay"]).alias("source"), F.lit(None).cast("string").alias("extraction_method"))
+
+
+def extract_offers(pages: DataFrame, n: int, mode: str = "pattern") -> DataFrame:
+    """All sites' offers from captured result pages (page_id, url, html, site_key).
+
+    Container sites go through the HTML container step; eBay through text
+    chunks. One stage per branch, no shuffle except eBay's accepted-offer cap.
+    """
+    cont = CT.containers(pages.filter(F.col("site_key") != "ebay"), n)
+    return container_offers(cont, mode).unionByName(ebay_offers(pages, n))
+
+
+def drop_blob_logs(logs: DataFrame, col: str = "msg") -> DataFrame:
+    """Drop log lines longer than 1000 chars that contain '/' or '+'."""
+    m = F.col(col)
+    blob = (F.length(m) > rules.BLOB_LOG_MIN_CHARS) & (m.contains("/") | m.contains("+"))
+    return logs.filter(~F.coalesce(blob, F.lit(False)))
+
+
+def page_status(pages: DataFrame) -> DataFrame:
+    """Per page, 'ok', or the reason it is set aside ('empty', 'no_text').
+
+    Bad input never fails the job: every rule is a total expression (try_* casts,
+    NULL-safe regexes), and split_errors() routes the set-aside rows to their own table.
+    """
+    t = TX.page_text(F.col("html"))
+    status = (F.when(F.col("html").isNull() | (F.length("html") == 0), F.lit("empty"))
+              .when(t.isNull(), F.lit("no_text")).otherwise(F.lit("ok")))
+    return pages.withColumn("status", status)
+
+
+def split_errors(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
+    """(good rows, quarantined rows)."""
+    return df.filter(F.col(status) == "ok"), df.filter(F.col(status) != "ok")

@@ -1 +1,224 @@
-"""Queries (to be filled)."""
+"""Page and document text queries (S1, E1-E9b, E17, E18) and the page -> offer jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as TX
+from ..operators import containers as CT
+from ..operators import extract as X
+from ..sources import fixtures as fx
+from ..sources import readers
+from ..sources.tables import load
+from .compare_queries import QUOTA
+from .registry import query
+
+# ---------------------------------------------------------------- SQL spellings
+
+_NL = "chr(10)"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def clean_html_sql(x: str) -> str:
+    h = x
+    for t in ["script", "style"]:
+        h = f"regexp_replace({h}, '(?is)<{t}[^>]*>.*?</{t}>', '', 'g')"
+    return _strip(f"regexp_replace({h}, '\\s+', ' ', 'g')")
+
+
+def main_text_sql(x: str) -> str:
+    h = f"regexp_replace({x}, '(?is)<head[^>]*>.*?</head>|<!--.*?-->', '', 'g')"
+    for t in ["script", "style", "noscript", "nav", "header", "footer", "aside", "form"]:
+        h = f"regexp_replace({h}, '(?is)<{t}\\b[^>]*>.*?</{t}>', '', 'g')"
+    h = f"regexp_replace({h}, '(?i)</?(?:{TX._BLOCK_TAGS})\\b[^>]*>', {_NL}, 'g')"
+    h = f"regexp_replace({h}, '<[^>]*>', '', 'g')"
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")]:
+        h = f"replace({h}, '{ent}', '{ch}')"
+    inner = _strip("regexp_replace(ln, '[ \\t\\r\\f\\x0B]+', ' ', 'g')")
+    lines = (f"list_filter(list_transform(string_split({h}, {_NL}), lambda ln: {inner}), "
+             f"lambda ln: length(ln) > 0)")
+    return f"array_to_string({lines}, {_NL})"
+
+
+def url_join_sql(base: str, ref: str) -> str:
+    scheme = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    origin = f"regexp_extract({base}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_extract({base}, '^([^#]*)', 1)"
+    no_query = f"regexp_extract({base}, '^([^?#]*)', 1)"
+    path = f"regexp_extract({no_query}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$', 1)"
+    dir_ = f"regexp_extract({path}, '^(.*/)', 1)"
+    return (f"CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref} "
+            f"WHEN starts_with({ref}, '//') THEN {scheme} || ':' || {ref} "
+            f"WHEN starts_with({ref}, '/') THEN {origin} || {ref} "
+            f"WHEN starts_with({ref}, '?') THEN {no_query} || {ref} "
+            f"WHEN starts_with({ref}, '#') THEN {no_frag} || {ref} "
+            f"WHEN {ref} = '' THEN {base} "
+            f"ELSE {origin} || CASE WHEN {dir_} = '' THEN '/' ELSE {dir_} END || {ref} END")
+
+
+def _re(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _explode_sql(list_expr: str, key: str, name: str, table: str) -> str:
+    return f"""SELECT {key}, CAST(i - 1 AS INTEGER) AS pos, v AS {name} FROM (
+  SELECT {key}, unnest(L) AS v, generate_subscripts(L, 1) AS i FROM (SELECT {key}, {list_expr} AS L FROM {table}) a) b"""
+
+
+_LINKS_SQL = ("list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)" for p in rules.PAGE_LINK_PATTERNS)
+              + ")")
+_LINKS_SQL = f"list_transform({_LINKS_SQL}, lambda u: {url_join_sql('url', 'u')})"
+_LINKS_SQL = f"list_filter({_LINKS_SQL}, lambda x, i: list_position({_LINKS_SQL}, x) = i)[1:{rules.PAGE_URL_CAP}]"
+_IMGS_SQL = ("list_filter(list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)"
+                                                   for p in rules.PAGE_IMAGE_PATTERNS)
+             + "), lambda u: contains(lower(u), 'product') OR contains(lower(u), 'item'))"
+             + f"[1:{rules.PAGE_IMAGE_CAP}]")
+
+
+def _pool_sql(n: int) -> tuple[str, str]:
+    urls = f"regexp_extract_all(html, {_re(rules.EBAY_ITEM_URL)}, 0)"
+    imgs = f"regexp_extract_all(html, {_re(rules.EBAY_IMAGE_URL)}, 0)"
+    urls = f"CASE WHEN len({urls}) > 0 THEN {urls} ELSE regexp_extract_all(html, {_re(rules.ANY_HTTPS_URL)}, 0)[1:{n}] END"
+    imgs = f"CASE WHEN len({imgs}) > 0 THEN {imgs} ELSE regexp_extract_all(html, {_re(rules.ANY_IMAGE_URL)}, 0)[1:{n}] END"
+    return f"list_concat({urls}, {urls})[1:{2 * n}]", f"list_concat({imgs}, {imgs})[1:{2 * n}]"
+
+
+# ---------------------------------------------------------------- queries
+@query("scan_pages", sql="SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages WHERE length(html) > 0")
+def scan_pages(spark, sf_dir):
+    """Captured pages with a body."""
+    p = readers.read_pages(spark, sf_dir)
+    return p.select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
+
+
+@query("clean_html", sql=f"SELECT page_id, {clean_html_sql('html')} AS cleaned FROM pages")
+def clean_html(spark, sf_dir):
+    """Scripts and styles removed, whitespace collapsed."""
+    return load(spark, sf_dir, "pages").select("page_id", TX.clean_html(F.col("html")).alias("cleaned"))
+
+
+@query("page_text", sql=f"""SELECT page_id, t AS text, CAST(len(string_split(t, {_NL})) AS INTEGER) AS n_lines FROM
+  (SELECT page_id, {main_text_sql('html')} AS t FROM pages) x WHERE length(t) >= 100""")
+def page_text(spark, sf_dir):
+    """Main text of each page as lines; pages under 100 chars of text are skipped."""
+    p = load(spark, sf_dir, "pages").select("page_id", TX.page_text(F.col("html")).alias("text"))
+    return p.filter(F.col("text").isNotNull()).select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+@query("window_chunks")
+def window_chunks(spark, sf_dir):
+    """Whole documents cut into fixed windows (<= 1536 chars, broken at spaces)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.posexplode(TX.window_chunks(F.col("text"))).alias("chunk_no", "chunk")) \
+        .select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), "chunk")
+
+
+@query("page_links", sql=_explode_sql(_LINKS_SQL, "page_id", "link", "listing_pages"), fixtures=["listing_pages"])
+def page_links(spark, sf_dir):
+    """Product-like links of each page, resolved, de-duplicated in order, at most 20."""
+    p = fx.listing_pages(spark, sf_dir)
+    return p.select("page_id", F.posexplode(TX.page_links(F.col("html"), F.col("url"))).alias("pos", "link"))
+
+
+@query("page_images", sql=_explode_sql(_IMGS_SQL, "page_id", "image", "listing_pages"), fixtures=["listing_pages"])
+def page_images(spark, sf_dir):
+    """Product-like images of each page (no de-duplication), at most 20."""
+    p = fx.listing_pages(spark, sf_dir)
+    return p.select("page_id", F.posexplode(TX.page_images(F.col("html"))).alias("pos", "image"))
+
+
+_PU, _PI = _pool_sql(QUOTA)
+
+
+@query("page_pools", sql=f"""{_explode_sql(_PU, 'page_id', 'value', 'listing_pages')}
+  UNION ALL {_explode_sql(_PI, 'page_id', 'value', 'listing_pages')}""".replace(
+    "SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, v AS value FROM (", "SELECT page_id, 'url' AS kind, CAST(i - 1 AS INTEGER) AS pos, v AS value FROM (", 1).replace(
+    "UNION ALL SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, v AS value FROM (", "UNION ALL SELECT page_id, 'image' AS kind, CAST(i - 1 AS INTEGER) AS pos, v AS value FROM ("),
+       fixtures=["listing_pages"])
+def page_pools(spark, sf_dir):
+    """eBay URL and image pools used for positional pairing."""
+    p = fx.listing_pages(spark, sf_dir).select("page_id", TX.page_pools(F.col("html"), QUOTA).alias("pool"))
+    u = p.select("page_id", F.lit("url").alias("kind"), F.posexplode("pool.urls").alias("pos", "value"))
+    i = p.select("page_id", F.lit("image").alias("kind"), F.posexplode("pool.images").alias("pos", "value"))
+    return u.unionByName(i)
+
+
+def _listing_page_text(spark, sf_dir):
+    p = fx.listing_pages(spark, sf_dir).select("page_id", "site_key", TX.page_text(F.col("html")).alias("text"))
+    return p.filter(F.col("text").isNotNull())
+
+
+@query("product_chunks")
+def product_chunks(spark, sf_dir):
+    """Generic line chunker over the main text of listing pages and of raw pages."""
+    lp = _listing_page_text(spark, sf_dir).select("page_id", "text")
+    raw = load(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("page_id"),
+                                              TX.page_text(F.col("html")).alias("text")).filter("text IS NOT NULL")
+    c = TX.with_chunks(lp.unionByName(raw), "text", "chunks")
+    return c.select("page_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
+
+
+@query("product_chunks_ebay")
+def product_chunks_ebay(spark, sf_dir):
+    """eBay line chunker over listing page text."""
+    lp = _listing_page_text(spark, sf_dir)
+    c = TX.with_chunks(lp, "text", "chunks", rule="ebay")
+    return c.select("page_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
+
+
+def _containers(spark, sf_dir):
+    pages = fx.listing_pages(spark, sf_dir).filter(F.col("site_key") != "ebay")
+    return CT.containers(pages, QUOTA)
+
+
+@query("containers")
+def containers(spark, sf_dir):
+    """The first product containers of each listing page under its site's selector cascade."""
+    return _containers(spark, sf_dir).select("page_id", "site_key", "pos", F.size("texts").alias("n_texts"),
+                                             F.size("hrefs").alias("n_links"), F.size("srcs").alias("n_images"))
+
+
+@query("container_text")
+def container_text(spark, sf_dir):
+    """E5: container text (' | '-joined, long words dropped), gated by the site's minimum length."""
+    c = _containers(spark, sf_dir)
+    t = X.by_site(F.col("site_key"), lambda k: CT.container_text(F.col("texts"), X._LIMITS[k][1]))
+    mn = X.by_site(F.col("site_key"), lambda k: F.lit(X._LIMITS[k][0]))
+    return c.select("page_id", "pos", t.alias("text"), mn.alias("min_len")).filter(F.length("text") >= F.col("min_len")) \
+        .drop("min_len")
+
+
+@query("container_links")
+def container_links(spark, sf_dir):
+    """First acceptable product link and image of each container."""
+    c = _containers(spark, sf_dir)
+    return c.select("page_id", "pos",
+                    X.by_site(F.col("site_key"), lambda k: X.first_link(F.col("hrefs"), k)).alias("product_url"),
+                    X.by_site(F.col("site_key"), lambda k: X.first_image(F.col("srcs"), k)).alias("image_url"))
+
+
+@query("extract_offers")
+def extract_offers(spark, sf_dir):
+    """Full per-site offer extraction from listing pages (pattern mode)."""
+    return X.extract_offers(fx.listing_pages(spark, sf_dir), QUOTA, "pattern")
+
+
+@query("drop_blob_logs", sql=f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+  WHERE NOT (length(text) > {rules.BLOB_LOG_MIN_CHARS} AND (contains(text, '/') OR contains(text, '+')))""")
+def drop_blob_logs(spark, sf_dir):
+    """Log lines longer than 1000 chars holding '/' or '+' (encoded blobs) are dropped."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.drop_blob_logs(d, "text").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("quarantine", sql=f"""SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty'
+    WHEN length({main_text_sql('html')}) < 100 THEN 'no_text' ELSE 'ok' END AS status FROM pages""")
+def quarantine(spark, sf_dir):
+    """Each page is either processed ('ok') or set aside with a reason; one bad page never stops the rest."""
+    p = load(spark, sf_dir, "pages").select("page_id", "html")
+    return X.page_status(p).select("page_id", "status")
