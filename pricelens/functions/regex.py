@@ -11,6 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    ``body`` may reference the variable many times; since it is a bound lambda
+    variable, neither expression substitution by the optimizer (filter
+    push-down, project collapsing) nor the HOFs inside ``body`` recompute it.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def jre(pattern: str, flags: str = "") -> str:
     """Java spelling of a Python pattern: Unicode classes plus the given flags."""
     return f"(?Ud{flags})" + pattern

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .regex import find_all, jre, pystrip
+from .regex import find_all, jre, let, pystrip
 
 _BLOCK_TAGS = "p|div|h[1-6]|li|ul|ol|article|section|main|br|tr|table|blockquote|pre|dd|dt|figcaption|td|th"
 
@@ -154,8 +154,10 @@ def _fold_chunks(lines: Column, closes, max_len: int | None, min_keep: int | Non
                       F.concat(acc["b"], F.array(F.struct(acc["s"].alias("s"), (acc["s"] + acc["n"]).alias("e")))))\
             .otherwise(acc["b"])
 
-    bounds = F.aggregate(lines, init, step, finish)
-    return F.transform(bounds, lambda c: F.array_join(F.slice(lines, c["s"] + 1, c["e"] - c["s"]), "\n"))
+    def run(ls: Column) -> Column:
+        bounds = F.aggregate(ls, init, step, finish)
+        return F.transform(bounds, lambda c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n"))
+    return let(lines, run)
 
 
 def chunk_lines(text: Column) -> Column:

@@ -1 +1,134 @@
-"""Queries (to be filled)."""
+"""Relevance, budgets, ranking and de-duplication queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions.relevance import ROUND, STOP_CTE, score_sql, terms_select, with_relevance
+from ..operators import ranking as RK
+from ..sources import fixtures as fx
+from .compare_queries import UNION_SQL, union_sites_df
+from .registry import query
+
+N = rules.GENERIC_RESULT_CAP   # 15 results per search
+CHUNK_CAP = rules.GENERIC_CHUNK_CAP
+L = fx.LINE_ORDER_SQL
+FXR = ["offers", "searches"]
+
+
+def _description(title, source):
+    return F.concat(F.lit("Buy "), title, F.lit(" from "), source)
+
+
+def candidates_df(spark, sf_dir):
+    """Generic-extractor candidates: each site's first chunks (offers) per search,
+    with the relevance gate of the chunk text against the query."""
+    o = fx.offers(spark, sf_dir)
+    w = Window.partitionBy("query_id", "site_ord").orderBy(*fx.LINE_ORDER)
+    c = (o.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < CHUNK_CAP)
+         .withColumn("description", _description(F.col("title"), F.col("source"))))
+    s = fx.searches(spark, sf_dir).select("query_id", "query")
+    c = with_relevance(c.join(s, "query_id"), "description", "query", "_gate")
+    gate = (F.col("_gate") >= rules.RELEVANCE_MIN) & (F.length("title") > 5) & (F.col("price") > 0)
+    return c.withColumn("valid", gate).drop("query", "_gate")
+
+
+def top_df(spark, sf_dir):
+    return RK.site_budget(candidates_df(spark, sf_dir), N)
+
+
+def ranked_df(spark, sf_dir):
+    return RK.rank_offers(top_df(spark, sf_dir), fx.searches(spark, sf_dir))
+
+
+_CAND_SRC = f"""SELECT c.*, s.query FROM (SELECT *, 'Buy ' || title || ' from ' || source AS description FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {L}) - 1 AS pos FROM offers) o
+        WHERE pos < {CHUNK_CAP}) c JOIN searches s USING (query_id)"""
+CAND_SQL = f"""SELECT *, ({score_sql('tq', 'td')} >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid
+  FROM ({terms_select(_CAND_SRC, {'tq': 'query', 'td': 'description'})}) t"""
+
+
+def _ctes() -> str:
+    steps = [STOP_CTE, f"cand AS ({CAND_SQL})", f"b0 AS (SELECT query_id, {N} AS b0 FROM searches)"]
+    for k in range(len(rules.SITES)):
+        steps.append(
+            f"b{k + 1} AS (SELECT p.*, greatest(p.b{k} - (SELECT count(*) FROM cand v WHERE v.valid "
+            f"AND v.query_id = p.query_id AND v.site_ord = {k} AND v.pos < p.b{k}), 0) AS b{k + 1} FROM b{k} p)")
+    case = "CASE v.site_ord " + " ".join(f"WHEN {k} THEN bb.b{k}" for k in range(len(rules.SITES))) + " END"
+    steps.append(f"top AS (SELECT v.* FROM cand v JOIN b{len(rules.SITES)} bb USING (query_id) "
+                 f"WHERE v.valid AND v.pos < {case})")
+    rank_src = ("SELECT t.query_id, t.site_ord, t.site_key, t.pos, t.title, t.description, s.query "
+                "FROM top t JOIN searches s USING (query_id)")
+    scored = terms_select(rank_src, {"rq": "query", "rt": "title", "rd": "description"})
+    steps.append(f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC,
+      site_ord, pos) AS rank FROM (SELECT query_id, site_ord, site_key, pos, title, description,
+      round({score_sql('rq', 'rt')} * {rules.RANK_TITLE_WEIGHT} + {score_sql('rq', 'rd')} * {rules.RANK_DESC_WEIGHT},
+      {ROUND}) AS relevance_score FROM ({scored}) z) r)""")
+    return "WITH " + ",\n".join(steps)
+
+
+CTES = _ctes()
+
+
+@query("relevance", sql=f"""WITH {STOP_CTE}
+  SELECT query_id, site_key, pos, {score_sql('tq', 'tt')} AS title_rel, {score_sql('tq', 'td')} AS desc_rel,
+         {score_sql('tt', 'tq')} AS reverse_rel
+  FROM ({terms_select(f"SELECT u.*, s.query, 'Buy ' || u.title || ' from ' || u.source AS description FROM ({UNION_SQL}) u JOIN searches s USING (query_id)",
+                      {'tq': 'query', 'tt': 'title', 'td': 'description'})}) x""", fixtures=FXR)
+def relevance_q(spark, sf_dir):
+    """Relevance of titles and descriptions to their search (and the reverse direction)."""
+    u = union_sites_df(spark, sf_dir).join(fx.searches(spark, sf_dir).select("query_id", "query"), "query_id")
+    u = u.withColumn("description", _description(F.col("title"), F.col("source")))
+    u = with_relevance(u, "title", "query", "title_rel")
+    u = with_relevance(u, "description", "query", "desc_rel")
+    u = with_relevance(u, "query", "title", "reverse_rel")
+    return u.select("query_id", "site_key", "pos", "title_rel", "desc_rel", "reverse_rel")
+
+
+@query("top_offers", sql=f"{CTES}\nSELECT query_id, site_key, pos, title, price FROM top", fixtures=FXR)
+def top_offers(spark, sf_dir):
+    """Generic extractor's budget across sites -- each site looks at as many chunks
+    as the remaining budget; earlier sites fill first; 15 per search at most."""
+    return top_df(spark, sf_dir).select("query_id", "site_key", "pos", "title", "price")
+
+
+@query("rank_offers", sql=f"{CTES}\nSELECT query_id, rank, site_key, pos, relevance_score FROM ranked",
+       fixtures=FXR)
+def rank_offers(spark, sf_dir):
+    """Offers ranked by 0.7 x title relevance + 0.3 x description relevance (stable)."""
+    return ranked_df(spark, sf_dir).select("query_id", "rank", "site_key", "pos", "relevance_score")
+
+
+_PACK_SRC = terms_select("SELECT query_id, rank, title FROM ranked", {"tt": "lower(title)"})
+_DUP = (f"list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: "
+        f"{score_sql('k.t', 'x.t')} > {rules.DUPLICATE_ABOVE})) > 0 THEN acc ELSE list_append(acc, x) END, "
+        f"[]::STRUCT(rank BIGINT, title VARCHAR, t STRUCT(grams VARCHAR[], words VARCHAR[], low VARCHAR))[])")
+
+
+@query("dedupe_offers", sql=f"""{CTES},
+  packed AS (SELECT query_id, list(struct_pack(rank := CAST(rank AS BIGINT), title := title, t := tt) ORDER BY rank)
+             AS items FROM ({_PACK_SRC}) p GROUP BY query_id)
+  SELECT query_id, k.rank AS rank, k.title AS title FROM (SELECT query_id, unnest({_DUP}) AS k FROM packed) d""",
+       fixtures=FXR)
+def dedupe_offers(spark, sf_dir):
+    """Near-duplicate titles removed, walking each search's ranked list in order."""
+    return RK.dedupe_offers(ranked_df(spark, sf_dir))
+
+
+_SIG_T = "regexp_replace(title, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("dedupe_signature", sql=f"""SELECT query_id, signature, title, price_text FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, signature ORDER BY site_ord, pos) AS rn FROM (
+    SELECT query_id, site_ord, pos, title, CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
+      substr(lower({_SIG_T}), 1, 50) || '|' || lower(CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)) AS signature
+    FROM ({UNION_SQL}) u) x) y WHERE rn = 1""", fixtures=FXR)
+def dedupe_signature(spark, sf_dir):
+    """Exact (title, price) signature de-duplication, first row wins."""
+    u = union_sites_df(spark, sf_dir).withColumn(
+        "price_text", F.col("price").cast("decimal(18,2)").cast("string"))
+    d = RK.dedupe_signature(u.select("query_id", "site_ord", "pos", "title", "price_text"),
+                            key=["query_id"], order=["site_ord", "pos"], price="price_text")
+    return d.select("query_id", "signature", "title", "price_text")
