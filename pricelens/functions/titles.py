@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .prices import site_price_number
-from .regex import collapse_ws, find_all, jre, matches_from_start, pystrip, search, sub, word_count
+from .regex import collapse_ws, find_all, jre, let, matches_from_start, pystrip, search, sub, word_count
 
 
 # ------------------------------------------------------------------ cleaning
@@ -76,6 +76,10 @@ def _site_title_flags(site_key: str) -> str:
     return "i" if site_key == "jumia" else "im"
 
 
+def _keep_valid(site_key: str):
+    return lambda v: F.when(valid_title(v, site_key), v)
+
+
 def site_title(text: Column, site_key: str) -> Column:
     """Pattern mode: each pattern's first match, cleaned, must be valid; else the next pattern."""
     branches = []
@@ -83,10 +87,9 @@ def site_title(text: Column, site_key: str) -> Column:
         cand = pystrip(F.regexp_extract(text, jre(p, _site_title_flags(site_key)), 1))
         if site_key == "jumia":
             c = pystrip(F.regexp_replace(cand, F.lit("(?Ud)" + rules.JUMIA_TITLE_PREFIX), F.lit("")))
-            branches.append(F.when(F.length(c) > 10, c))
+            branches.append(let(c, lambda v: F.when(F.length(v) > 10, v)))
         else:
-            c = clean_extracted_title(cand, site_key)
-            branches.append(F.when(valid_title(c, site_key), c))
+            branches.append(let(clean_extracted_title(cand, site_key), _keep_valid(site_key)))
     return F.coalesce(*branches)
 
 
@@ -127,17 +130,22 @@ def ebay_price_text(text: Column) -> Column:
 
 def site_offer(text: Column, site_key: str, mode: str = "pattern") -> Column:
     """struct(title, price) of one container text under a site's rules, or NULL
-    when the offer gate (title and price found, price > 0, title > 5 chars) fails."""
+    when the offer gate (title and price found, price > 0, title > 5 chars) fails.
+
+    The raw title and price are bound once (``let``) and then cleaned and gated."""
     if site_key == "ebay":
-        raw_t, raw_p = ebay_title_raw(text), ebay_price_text(text)
-        title, price = ebay_title(raw_t), site_price_number(raw_p, "ebay")
-        gate = F.length(title) > 3
+        raw = F.struct(ebay_title_raw(text).alias("t"), ebay_price_text(text).alias("p"))
+    elif mode == "pattern":
+        raw = F.struct(site_title(text, site_key).alias("t"), site_price_text(text, site_key).alias("p"))
     else:
-        if mode == "pattern":
-            raw_t, raw_p = site_title(text, site_key), site_price_text(text, site_key)
+        raw = F.struct(fallback_title(text, site_key).alias("t"), fallback_price_text(text, site_key).alias("p"))
+
+    def finish(r: Column) -> Column:
+        if site_key == "ebay":
+            title, price, min_len = ebay_title(r["t"]), site_price_number(r["p"], "ebay"), 3
         else:
-            raw_t, raw_p = fallback_title(text, site_key), fallback_price_text(text, site_key)
-        title, price = final_title(raw_t, site_key), site_price_number(raw_p, site_key)
-        gate = F.length(title) > 5
-    ok = raw_t.isNotNull() & raw_p.isNotNull() & (price > 0) & gate
-    return F.when(ok, F.struct(title.alias("title"), price.alias("price")))
+            title, price, min_len = final_title(r["t"], site_key), site_price_number(r["p"], site_key), 5
+        out = F.struct(title.alias("title"), price.alias("price"))
+        return let(out, lambda o: F.when(r["t"].isNotNull() & r["p"].isNotNull() & (o["price"] > 0)
+                                         & (F.length(o["title"]) > min_len), o))
+    return let(raw, finish)
