@@ -1 +1,176 @@
-"""Queries (to be filled)."""
+"""Training-set queries."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..functions import text as TX
+from ..operators import ranking as RK
+from ..operators import training as TR
+from ..session import checkpoint_dir
+from ..sources import fixtures as fx
+from .compare_queries import UNION_SQL, union_sites_df
+from .registry import query
+
+FXT = ["offers", "searches"]
+
+
+def _offer_fields(u):
+    """Offer fields for annotation: image on even positions, description on the first two."""
+    img = F.when(F.col("pos") % 2 == 0, F.concat(F.replace(F.col("url"), F.lit("/item/"), F.lit("/img/")), F.lit(".jpg")))
+    desc = F.when(F.col("pos") < 2, F.concat(F.lit("Buy "), F.col("title"), F.lit(" from "), F.col("source")))
+    return u.withColumn("image_url", img).withColumn("description", desc)
+
+
+def examples_df(spark, sf_dir):
+    """T1 over the per-site result lists of every search."""
+    u = _offer_fields(union_sites_df(spark, sf_dir)).join(
+        fx.searches(spark, sf_dir).select("query_id", "query"), "query_id")
+    text = TR.annotate(F.col("query"), F.col("title"), F.col("price"), F.lit(""), F.col("url"),
+                       F.col("image_url"), F.col("description"))
+    return u.select("query_id", "site_key", "pos", text.alias("text"), "query", "source",
+                    F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")) \
+        .filter(F.col("text").isNotNull())
+
+
+_IMG_SQL = "CASE WHEN pos % 2 = 0 THEN replace(url, '/item/', '/img/') || '.jpg' END"
+_DESC_SQL = "CASE WHEN pos < 2 THEN 'Buy ' || title || ' from ' || source END"
+EXAMPLES_SQL = f"""SELECT query_id, site_key, pos,
+  'Query: ' || query || chr(10) || '[TITLE]' || title || '[/TITLE] ' ||
+  '[PRICE]' || CAST(price AS VARCHAR) || '[/PRICE] ' ||
+  CASE WHEN coalesce(url, '') <> '' THEN '[URL]' || url || '[/URL] ' ELSE '' END ||
+  CASE WHEN coalesce(img, '') <> '' THEN '[IMG]' || img || '[/IMG] ' ELSE '' END ||
+  CASE WHEN coalesce(descr, '') <> '' THEN 'Description: ' || substr(descr, 1, 100) ELSE '' END AS text,
+  query, source, strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS timestamp
+FROM (SELECT u.*, s.query, {_IMG_SQL} AS img, {_DESC_SQL} AS descr FROM ({UNION_SQL}) u JOIN searches s USING (query_id)) x
+WHERE coalesce(title, '') <> '' AND coalesce(price, 0) <> 0"""
+
+
+@query("annotate_offers", sql=f"SELECT query_id, site_key, pos, text, query, source, timestamp FROM ({EXAMPLES_SQL}) e",
+       fixtures=FXT)
+def annotate_offers(spark, sf_dir):
+    """Offers turned into annotated training texts."""
+    return examples_df(spark, sf_dir)
+
+
+def bio_df(spark, sf_dir):
+    e = examples_df(spark, sf_dir)
+    return e.withColumn("bio", TR.bio_labels(F.col("text"))).select(
+        "query_id", "site_key", "pos", "text", F.col("bio.tokens").alias("tokens"), F.col("bio.labels").alias("labels"))
+
+
+@query("bio_labels")
+def bio_labels(spark, sf_dir):
+    """Annotated texts -> whitespace tokens and BIO label ids."""
+    b = bio_df(spark, sf_dir)
+    return b.select("query_id", "site_key", "pos", F.size("tokens").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"),
+                    F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
+@query("bio_valid")
+def bio_valid(spark, sf_dir):
+    """Examples with non-empty, equally long token and label lists."""
+    b = bio_df(spark, sf_dir)
+    return b.filter(TR.bio_valid(F.col("tokens"), F.col("labels"))).select("query_id", "site_key", "pos",
+                                                                        F.size("tokens").alias("n_tokens"))
+
+
+@query("align_labels")
+def align_labels(spark, sf_dir):
+    """T4: labels aligned to sub-word positions (first piece labelled, others -100), 512 long."""
+    b = bio_df(spark, sf_dir).withColumn("word_ids", TR.word_ids_for(F.col("tokens")))
+    al = TR.align_labels(F.col("word_ids"), F.col("labels"))
+    return b.select("query_id", "site_key", "pos", F.size(al).alias("n_positions"),
+                    F.size(F.filter(al, lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
+                    F.array_join(F.transform(al, lambda x: x.cast("string")), ",").alias("aligned"))
+
+
+@query("split_examples", sql=f"""SELECT query_id, site_key, pos,
+  CASE WHEN row_number() OVER (ORDER BY md5(text), query_id, site_key, pos) - 1 < ceil(0.2 * count(*) OVER ())
+       THEN 'validation' ELSE 'train' END AS split FROM ({EXAMPLES_SQL}) e""", fixtures=FXT)
+def split_examples(spark, sf_dir):
+    """T5: exact 80/20 train/validation split in hash order."""
+    e = examples_df(spark, sf_dir).withColumn("_h", F.md5("text"))
+    return TR.split_examples(e, ["_h", "query_id", "site_key", "pos"]).select("query_id", "site_key", "pos", "split")
+
+
+@query("training_ready", sql=f"""SELECT count(*) AS n_examples, count(*) >= {rules.TRAIN_MIN_EXAMPLES} AS can_train,
+  count(*) >= {rules.AUTO_TRAIN_MIN_EXAMPLES} AS auto_train FROM ({EXAMPLES_SQL}) e""", fixtures=FXT)
+def training_ready(spark, sf_dir):
+    """Size gates for training."""
+    return TR.training_ready(examples_df(spark, sf_dir))
+
+
+@query("training_stats", sql=f"""SELECT CASE WHEN grouping(source, query) = 1 THEN 'source'
+    WHEN grouping(source, query) = 2 THEN 'query' ELSE 'total' END AS kind,
+  coalesce(CASE WHEN grouping(source, query) = 1 THEN source WHEN grouping(source, query) = 2 THEN query END, '') AS key,
+  count(*) AS n, min(timestamp) AS earliest, max(timestamp) AS latest
+  FROM ({EXAMPLES_SQL}) e GROUP BY GROUPING SETS ((source), (query), ())""", fixtures=FXT)
+def training_stats(spark, sf_dir):
+    """Example counts per source, per query and in total, with the date range."""
+    return TR.training_stats(examples_df(spark, sf_dir))
+
+
+@query("decode_bio")
+def decode_bio(spark, sf_dir):
+    """BIO predictions decoded back to records (here: the T2 labels framed by
+    [CLS]/[SEP], so decoding must recover each example's title and price)."""
+    b = bio_df(spark, sf_dir)
+    toks = F.concat(F.array(F.lit("[CLS]")), F.col("tokens"), F.array(F.lit("[SEP]")))
+    labs = F.concat(F.array(F.lit("O")), TR.id_labels_to_names(F.col("labels")), F.array(F.lit("O")))
+    d = b.select("query_id", "site_key", "pos", F.posexplode(TR.decode_bio(toks, labs)).alias("k", "rec"))
+    return d.select("query_id", "site_key", "pos", "k", F.col("rec")["title"].alias("title"),
+                    F.col("rec")["price"].alias("price"), F.col("rec")["url"].alias("url"),
+                    F.col("rec")["img"].alias("img"))
+
+
+@query("join_pieces", sql=f"""SELECT query_id, site_key, pos,
+  array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 0), ' ') AS text
+  FROM ({EXAMPLES_SQL}) e""", fixtures=FXT)
+def join_pieces(spark, sf_dir):
+    """Words split into 4-character pieces ('##' continuations) and joined back."""
+    e = examples_df(spark, sf_dir)
+    words = F.filter(F.split("text", r"(?U)\s+"), lambda w: F.length(w) > 0)
+    pieces = F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.length(w) / 4) - 1, F.lit(0)).cast("int")),
+        lambda k: F.when(k == 0, F.substring(w, 1, 4)).otherwise(F.concat(F.lit("##"), F.substring(w, k * 4 + 1, 4))))))
+    return e.select("query_id", "site_key", "pos", TR.join_pieces(pieces).alias("text"))
+
+
+def _rule_predictions(tokens):
+    """Stand-in for a token-classification model's output over page windows:
+    price-like tokens -> PRICE, links -> URL, runs of capitalised words -> TITLE."""
+    def lab(t, k):
+        cap = t.rlike(r"^[A-Z][a-z]+$")
+        prev_cap = (k > 0) & F.coalesce(F.get(tokens, k - 1).rlike(r"^[A-Z][a-z]+$"), F.lit(False))
+        return (F.when(t.rlike(r"^(?:[\$₵€£]|GH₵|USD)?\d[\d,]*(?:\.\d\d)?$"), F.lit("B-PRICE"))
+                .when(t.startswith("http"), F.lit("B-URL"))
+                .when(cap & prev_cap, F.lit("I-TITLE")).when(cap, F.lit("B-TITLE")).otherwise(F.lit("O")))
+    return F.transform(tokens, lab)
+
+
+@query("decode_pages")
+def decode_pages(spark, sf_dir):
+    """Pages -> cleaned html -> fixed windows -> token labels -> records ->
+    signature de-duplication per page."""
+    p = fx.listing_pages(spark, sf_dir).select("page_id", TX.clean_html(F.col("html")).alias("clean"))
+    w = p.select("page_id", F.posexplode(TX.window_chunks(F.col("clean"))).alias("win", "chunk"))
+    t = w.withColumn("tokens", F.filter(F.split("chunk", " "), lambda x: F.length(x) > 0))
+    t = t.withColumn("labels", _rule_predictions(F.col("tokens")))
+    recs = t.select("page_id", "win", F.posexplode(TR.decode_bio(F.col("tokens"), F.col("labels"))).alias("k", "rec"))
+    recs = recs.select("page_id", "win", "k", F.col("rec")["title"].alias("title"), F.col("rec")["price"].alias("price"))
+    return RK.dedupe_signature(recs, key=["page_id"], order=["win", "k"])
+
+
+@query("training_roundtrip", sql=f"SELECT text, query, source, timestamp FROM ({EXAMPLES_SQL}) e", fixtures=FXT)
+def training_roundtrip(spark, sf_dir):
+    """S4 + S3: examples written as JSON Lines (partitioned by source) into the
+    shared checkpoint folder, then loaded back."""
+    path = os.path.join(checkpoint_dir(spark), "training", uuid.uuid4().hex)
+    TR.write_training_set(examples_df(spark, sf_dir).select("text", "query", "source", "timestamp"), path)
+    return TR.read_training_set(spark, path)
