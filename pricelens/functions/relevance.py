@@ -93,9 +93,10 @@ def score(q: Column, d: Column) -> Column:
                       lambda acc, t: acc + (_count(qg, t) * _count(dg, t)).cast("double"))
     nq = F.aggregate(F.array_distinct(qg), F.lit(0.0), lambda acc, t: acc + w(qg, dg, t) * w(qg, dg, t))
     nd = F.aggregate(F.array_distinct(dg), F.lit(0.0), lambda acc, t: acc + w(dg, qg, t) * w(dg, qg, t))
-    cos = F.when((nq > 0) & (nd > 0), dot / (F.sqrt(nq) * F.sqrt(nd))).otherwise(F.lit(0.0))
+    cos = F.when((nq > 0) & (nd > 0), F.try_divide(dot, F.sqrt(nq) * F.sqrt(nd))).otherwise(F.lit(0.0))
     nw = F.size(q["words"])
-    share = F.when(nw > 0, F.size(F.filter(q["words"], lambda x: d["low"].contains(x))) / nw).otherwise(F.lit(0.0))
+    hits = F.size(F.filter(q["words"], lambda x: d["low"].contains(x)))
+    share = F.when(nw > 0, F.try_divide(hits.cast("double"), nw.cast("double"))).otherwise(F.lit(0.0))
     out = (F.when((F.size(qg) == 0) & (F.size(dg) == 0), share)
            .when(nw == 0, F.lit(0.0))
            .otherwise(F.least(cos + share * rules.WORD_BOOST, F.lit(1.0))))
@@ -104,7 +105,8 @@ def score(q: Column, d: Column) -> Column:
 
 def relevance(text: Column, query: Column) -> Column:
     """R1/R2 relevance of ``text`` to ``query`` in [0, 1]; each side is tokenized once per row."""
-    return let(terms(query), lambda q: let(terms(text), lambda d: score(q, d)))
+    both = F.struct(terms(query).alias("q"), terms(text).alias("d"))
+    return let(both, lambda p: score(p["q"], p["d"]))
 
 
 def with_relevance(df, text: Column | str, query: Column | str, out: str):

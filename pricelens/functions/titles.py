@@ -145,7 +145,6 @@ def site_offer(text: Column, site_key: str, mode: str = "pattern") -> Column:
             title, price, min_len = ebay_title(r["t"]), site_price_number(r["p"], "ebay"), 3
         else:
             title, price, min_len = final_title(r["t"], site_key), site_price_number(r["p"], site_key), 5
-        out = F.struct(title.alias("title"), price.alias("price"))
-        return let(out, lambda o: F.when(r["t"].isNotNull() & r["p"].isNotNull() & (o["price"] > 0)
-                                         & (F.length(o["title"]) > min_len), o))
+        ok = r["t"].isNotNull() & r["p"].isNotNull() & (price > 0) & (F.length(title) > min_len)
+        return F.when(ok, F.struct(title.alias("title"), price.alias("price")))
     return let(raw, finish)

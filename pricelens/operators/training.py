@@ -184,12 +184,12 @@ def decode_bio(tokens: Column, labels: Column) -> Column:
         i = F.struct(acc["ent"].alias("ent"), F.concat(acc["toks"], F.array(tok)).alias("toks"),
                      acc["cur"].alias("cur"), acc["out"].alias("out"))
         had = acc["ent"].isNotNull() & (F.size(acc["toks"]) > 0)
-        o_cur = saved(acc)
-        o = let(o_cur, lambda c: F.struct(
+        c = saved(acc)
+        o = F.struct(
             F.when(had, F.lit(None).cast("string")).otherwise(acc["ent"]).alias("ent"),
             F.when(had, F.array().cast("array<string>")).otherwise(acc["toks"]).alias("toks"),
             F.when(complete(c), empty_map).otherwise(c).alias("cur"),
-            F.when(complete(c), F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).alias("out")))
+            F.when(complete(c), F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).alias("out"))
         return (F.when(F.array_contains(specials, tok), acc)
                 .when(lab.startswith("B-"), b)
                 .when(lab.startswith("I-") & acc["ent"].isNotNull(), i)
@@ -197,7 +197,8 @@ def decode_bio(tokens: Column, labels: Column) -> Column:
                 .otherwise(acc))
 
     def finish(acc):
-        return let(saved(acc), lambda c: F.when(complete(c), F.concat(acc["out"], F.array(c))).otherwise(acc["out"]))
+        c = saved(acc)
+        return F.when(complete(c), F.concat(acc["out"], F.array(c))).otherwise(acc["out"])
 
     pairs = F.arrays_zip(tokens.alias("t"), labels.alias("l"))
     return F.aggregate(F.transform(pairs, lambda x: F.struct(x["t"].alias("t"), x["l"].alias("l"))), init, step, finish)
