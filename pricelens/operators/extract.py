@@ -162,3 +162,32 @@ def page_status(pages: DataFrame) -> DataFrame:
 def split_errors(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows)."""
     return df.filter(F.col(status) == "ok"), df.filter(F.col(status) != "ok")
+
+
+def chunk_offers(pages: DataFrame, budget: int = rules.GENERIC_RESULT_CAP) -> DataFrame:
+    """Generic extractor over pages (page_id, url, html, query).
+
+    Main text (>= 100 chars) -> line chunks (first 20) -> the first ``budget``
+    chunks -> relevance gate (>= 0.3) -> entities -> offer; the i-th chunk takes
+    the i-th product link / image of the page (page URL / '' past the end; i counts
+    chunks before any filtering); valid if title > 5 chars and price > 0; source
+    from the page URL.
+    """
+    from ..functions import entities as EN
+    from ..functions.relevance import relevance
+    p = pages.select("page_id", "url", "query", TX.page_text(F.col("html")).alias("text"),
+                     TX.page_links(F.col("html"), F.col("url")).alias("links"),
+                     TX.page_images(F.col("html")).alias("images")).filter(F.col("text").isNotNull())
+    c = TX.with_chunks(p, "text", "chunks").select(
+        "page_id", "url", "query", "links", "images", F.posexplode("chunks").alias("pos", "chunk"))
+    c = c.filter(F.col("pos") < budget).withColumn("rel", relevance(F.col("chunk"), F.col("query")))
+    c = c.filter(F.col("rel") >= rules.RELEVANCE_MIN).withColumn("o", EN.entity_offer(F.col("chunk")))
+    c = c.filter((F.length("o.title") > 5) & (F.col("o.price") > 0))
+    src = identify_source(F.col("url"))
+    return c.select(
+        offer_id(src["source_key"], F.col("o.title"), F.col("pos")).alias("id"), "page_id", "pos",
+        F.col("o.title").alias("title"), F.col("o.price").alias("price"), F.col("o.currency").alias("currency"),
+        F.col("o.description").alias("description"),
+        F.coalesce(F.get(F.col("links"), F.col("pos")), F.col("url")).alias("url"),
+        F.coalesce(F.get(F.col("images"), F.col("pos")), F.lit("")).alias("image_url"),
+        src["source"].alias("source"), src["source_key"].alias("source_key"), "rel")

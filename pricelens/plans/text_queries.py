@@ -222,3 +222,12 @@ def quarantine(spark, sf_dir):
     """Each page is either processed ('ok') or set aside with a reason; one bad page never stops the rest."""
     p = load(spark, sf_dir, "pages").select("page_id", "html")
     return X.page_status(p).select("page_id", "status")
+
+
+@query("chunk_offers")
+def chunk_offers(spark, sf_dir):
+    """Generic chunk -> offer job over listing pages; each page is searched for
+    the product name of its first listing."""
+    p = fx.listing_pages(spark, sf_dir)
+    q = F.regexp_extract(F.col("first_text"), r"^(?:Popular |New )?(\S+ \S+)", 1)
+    return X.chunk_offers(p.withColumn("query", q))

@@ -248,16 +248,16 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = F.broadcast(sites(spark).select("site_ord", "site_key", "search_prefix"))
     frags = (lt.withColumn("page_id", pk)
              .join(st, (F.col("page_id") % 5).cast("int") == F.col("site_ord"))
-             .select("page_id", "site_key", "search_prefix", "id",
+             .select("page_id", "site_key", "search_prefix", "id", F.col("text").alias("first_text"),
                      _fragment(F.col("site_key"), F.col("id"), F.col("text")).alias("frag")))
     pages = frags.groupBy("page_id", "site_key", "search_prefix").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "frag"))), lambda x: x["frag"]),
-                     "").alias("body"))
+                     "").alias("body"), F.min_by("first_text", "id").alias("first_text"))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.concat(F.col("search_prefix"), F.lit("page"), F.col("page_id").cast("string")).alias("url"),
         F.concat(F.lit(PAGE_HEAD), F.col("body"), F.lit(PAGE_TAIL)).alias("html"),
-        "site_key",
+        "site_key", "first_text",
     )
 
 
@@ -280,10 +280,10 @@ def _fragment_sql() -> str:
 LISTING_PAGES_SQL = f"""
 SELECT CAST(page_id AS BIGINT) AS page_id, search_prefix || 'page' || CAST(page_id AS VARCHAR) AS url,
        {_sql_text(PAGE_HEAD)} || string_agg(frag, '' ORDER BY id) ||
-       '{PAGE_TAIL}' AS html, site_key
+       '{PAGE_TAIL}' AS html, site_key, arg_min(text, id) AS first_text
 FROM (SELECT CAST(floor(lt.id / {PAGE_PARTS}) AS BIGINT) AS page_id, t.site_key, t.search_prefix, lt.id,
              {_fragment_sql()} AS frag
-      FROM listing_text lt JOIN sites t ON t.site_ord = CAST(floor(lt.id / {PAGE_PARTS}) AS BIGINT) % 5) f
+      , lt.text FROM listing_text lt JOIN sites t ON t.site_ord = CAST(floor(lt.id / {PAGE_PARTS}) AS BIGINT) % 5) f
 GROUP BY page_id, site_key, search_prefix"""
 
 
