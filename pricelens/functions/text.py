@@ -37,16 +37,21 @@ def unescape(text: Column) -> Column:
     return t
 
 
+# Elements dropped with their content by the main-text rule.
+BOILERPLATE_TAGS = ["script", "style", "noscript", "nav", "header", "footer", "aside", "form"]
+
+
 def main_text_lines(html: Column) -> Column:
     """Main-text extraction to an array of lines.
 
-    Drops head, comments, scripts/styles and boilerplate blocks (nav, header,
-    footer, aside, form); block-level tags become line breaks; remaining tags
-    go; entities are unescaped; each line is whitespace-collapsed and trimmed;
+    Drops head, comments and boilerplate elements (with their content), one
+    element type per pass (a literal-prefixed pattern per pass scans faster than
+    one alternation); block-level tags become line breaks; remaining tags go;
+    entities are unescaped; each line is whitespace-collapsed and trimmed;
     empty lines go.
     """
     h = F.regexp_replace(html, F.lit(r"(?is)<head[^>]*>.*?</head>|<!--.*?-->"), F.lit(""))
-    for t in ["script", "style", "noscript", "nav", "header", "footer", "aside", "form"]:
+    for t in BOILERPLATE_TAGS:
         h = F.regexp_replace(h, F.lit(f"(?is)<{t}\\b[^>]*>.*?</{t}>"), F.lit(""))
     h = F.regexp_replace(h, F.lit(f"(?i)</?(?:{_BLOCK_TAGS})\\b[^>]*>"), F.lit("\n"))
     h = unescape(F.regexp_replace(h, F.lit(r"<[^>]*>"), F.lit("")))
@@ -119,24 +124,25 @@ def page_pools(html: Column, n: int) -> Column:
 
 
 # ------------------------------------------------------------------ E9, E9b
-def _fold_chunks(lines: Column, closes, max_len: int | None, min_keep: int | None, cap: int) -> Column:
-    """Generic chunk fold over non-empty lines.
-
-    ``closes(line, n_lines_after_add, len_after_add)`` -> Column[bool] says when a
-    chunk ends at this line. ``min_keep``: a closed chunk shorter than this is
-    dropped (the lines are consumed anyway). ``max_len``: a chunk longer than this
-    ends regardless. The tail is kept. Returns ARRAY<STRING> of at most ``cap``.
-    The fold walks the array itself (state carries the line index), so the line
-    array is computed once per row, not once per step.
+def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: int | None, cap: int,
+                  close_over: int | None = None) -> Column:
+    """Chunk boundaries from per-line lengths and per-line "closing" flags.
+
+    A chunk of >= 2 lines closes at a flagged line (or, with ``close_over``, once
+    it is longer than that); a closed chunk shorter than ``min_keep`` is dropped
+    (its lines are consumed anyway); with ``max_len`` a chunk longer than that
+    ends regardless; the tail is kept; at most ``cap`` chunks. The fold state is
+    four integers and the boundary list -- no text is copied.
     """
     init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("len"),
                     F.array().cast("array<struct<s:int,e:int>>").alias("b"))
 
-    def step(acc, line):
+    def step(acc, x):
         i = acc["i"]
         n2 = acc["n"] + 1
-        len2 = F.when(acc["n"] == 0, F.length(line)).otherwise(acc["len"] + 1 + F.length(line))
-        close = closes(line, n2, len2)
+        len2 = F.when(acc["n"] == 0, x["l"]).otherwise(acc["len"] + 1 + x["l"])
+        trig = x["f"] | (len2 > close_over) if close_over is not None else x["f"]
+        close = (n2 >= 2) & trig
         emit_close = close if min_keep is None else (close & (len2 > min_keep))
         over = (~close & (len2 > max_len)) if max_len is not None else F.lit(False)
         emit = (emit_close | over) & (F.size(acc["b"]) < cap)
@@ -154,10 +160,9 @@ def _fold_chunks(lines: Column, closes, max_len: int | None, min_keep: int | Non
                       F.concat(acc["b"], F.array(F.struct(acc["s"].alias("s"), (acc["s"] + acc["n"]).alias("e")))))\
             .otherwise(acc["b"])
 
-    def run(ls: Column) -> Column:
-        bounds = F.aggregate(ls, init, step, finish)
-        return F.transform(bounds, lambda c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n"))
-    return let(lines, run)
+    items = F.transform(F.arrays_zip(lens.alias("l"), flags.alias("f")),
+                        lambda z: F.struct(z["l"].alias("l"), z["f"].alias("f")))
+    return F.aggregate(items, init, step, finish)
 
 
 def chunk_lines(text: Column) -> Column:
@@ -165,32 +170,37 @@ def chunk_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda ln: pystrip(ln)), lambda ln: F.length(ln) > 0)
 
 
-def product_chunks(lines: Column) -> Column:
-    """Generic chunker over trimmed non-empty lines (see ``chunk_lines``): a chunk of
-    >= 2 lines closes at a price-like or indicator line (kept only if > 50 chars);
-    any chunk closes past 500 chars; tail kept; first 20.
+def generic_flags(lines: Column) -> Column:
+    """Per line: price-like (``[$₵€£] n`` or ``price ... n``) or holding an indicator word (lower-cased)."""
+    ind = F.lit(list(rules.GENERIC_CHUNK_INDICATORS))
+    return F.transform(F.transform(lines, lambda l: F.lower(l)),
+                       lambda low: low.rlike(jre(rules.GENERIC_CHUNK_PRICE)) | F.exists(ind, lambda w: low.contains(w)))
 
-    Pass a column reference to a precomputed line array (``with_chunks`` does), so
-    the array is built once per row.
-    """
-    def closes(line, n2, len2):
-        low = F.lower(line)
-        price = low.rlike(jre(rules.GENERIC_CHUNK_PRICE))
-        ind = F.lit(False)
-        for w in rules.GENERIC_CHUNK_INDICATORS:
-            ind = ind | low.contains(w)
-        return (n2 >= 2) & (price | ind)
-    return _fold_chunks(lines, closes, rules.GENERIC_CHUNK_MAX, rules.GENERIC_CHUNK_MIN, rules.GENERIC_CHUNK_CAP)
 
+def ebay_flags(lines: Column) -> Column:
+    """Per line: holds ``$ n`` or ``USD n``."""
+    return F.transform(lines, lambda l: l.rlike(jre(rules.EBAY_CHUNK_PRICE)))
 
-def product_chunks_ebay(lines: Column) -> Column:
-    """eBay chunker: a chunk of >= 2 lines closes at a '$n' / 'USDn' line or past 80 chars; tail kept; first 25."""
-    def closes(line, n2, len2):
-        return (n2 >= 2) & (line.rlike(jre(rules.EBAY_CHUNK_PRICE)) | (len2 > rules.EBAY_CHUNK_MAX))
-    return _fold_chunks(lines, closes, None, None, rules.EBAY_CHUNK_CAP)
+
+def chunk_array(text: Column, rule: str = "generic") -> Column:
+    """The chunk array of ``text`` (E9 generic rule, or E9b with ``rule='ebay'``).
+
+    The line array is bound once (``let``); per-line lengths and closing flags
+    are computed from it by ``transform``; the fold only combines integers and
+    booleans; chunks are slices of the bound line array.
+    """
+    def build(ls: Column) -> Column:
+        lens = F.transform(ls, lambda l: F.length(l))
+        if rule == "ebay":
+            bounds = _chunk_bounds(lens, ebay_flags(ls), None, None, rules.EBAY_CHUNK_CAP,
+                                   close_over=rules.EBAY_CHUNK_MAX)
+        else:
+            bounds = _chunk_bounds(lens, generic_flags(ls), rules.GENERIC_CHUNK_MAX, rules.GENERIC_CHUNK_MIN,
+                                   rules.GENERIC_CHUNK_CAP)
+        return F.transform(bounds, lambda c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n"))
+    return let(chunk_lines(text), build)
 
 
 def with_chunks(df, text: str = "text", out: str = "chunks", rule: str = "generic"):
-    """Add the chunk array of ``text`` (lines are computed once, in their own column)."""
-    fn = product_chunks_ebay if rule == "ebay" else product_chunks
-    return df.withColumn("_lines", chunk_lines(F.col(text))).withColumn(out, fn(F.col("_lines"))).drop("_lines")
+    """Add the chunk array of column ``text``."""
+    return df.withColumn(out, chunk_array(F.col(text), rule))

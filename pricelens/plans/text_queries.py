@@ -32,7 +32,7 @@ def clean_html_sql(x: str) -> str:
 
 def main_text_sql(x: str) -> str:
     h = f"regexp_replace({x}, '(?is)<head[^>]*>.*?</head>|<!--.*?-->', '', 'g')"
-    for t in ["script", "style", "noscript", "nav", "header", "footer", "aside", "form"]:
+    for t in TX.BOILERPLATE_TAGS:
         h = f"regexp_replace({h}, '(?is)<{t}\\b[^>]*>.*?</{t}>', '', 'g')"
     h = f"regexp_replace({h}, '(?i)</?(?:{TX._BLOCK_TAGS})\\b[^>]*>', {_NL}, 'g')"
     h = f"regexp_replace({h}, '<[^>]*>', '', 'g')"
