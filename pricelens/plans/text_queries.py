@@ -88,6 +88,69 @@ def _pool_sql(n: int) -> tuple[str, str]:
     return f"list_concat({urls}, {urls})[1:{2 * n}]", f"list_concat({imgs}, {imgs})[1:{2 * n}]"
 
 
+# ---------------------------------------------------------------- oracles for the folds
+def _lines_sql(x: str) -> str:
+    return (f"list_filter(list_transform(string_split({x}, {_NL}), lambda ln: {_strip('ln')}), "
+            f"lambda ln: length(ln) > 0)")
+
+
+def _chunks_sql(lines: str, rule: str) -> str:
+    """SQL fold over a line list (column reference): the same boundary rule as the Spark fold."""
+    if rule == "ebay":
+        flag = f"regexp_matches({lines}[i], {_re(rules.EBAY_CHUNK_PRICE)})"
+        cap, max_len, min_keep, close_over = rules.EBAY_CHUNK_CAP, None, None, rules.EBAY_CHUNK_MAX
+    else:
+        ind = "|".join(__import__("re").escape(w) for w in rules.GENERIC_CHUNK_INDICATORS)
+        flag = (f"(regexp_matches(lower({lines}[i]), {_re(rules.GENERIC_CHUNK_PRICE)}) "
+                f"OR regexp_matches(lower({lines}[i]), {_re(ind)}))")
+        cap, max_len, min_keep, close_over = rules.GENERIC_CHUNK_CAP, rules.GENERIC_CHUNK_MAX, rules.GENERIC_CHUNK_MIN, None
+    items = f"list_transform(range(1, len({lines}) + 1), lambda i: struct_pack(l := length({lines}[i]), f := {flag}))"
+    len2 = "CASE WHEN acc.n = 0 THEN x.l ELSE acc.len + 1 + x.l END"
+    trig = f"(x.f OR {len2} > {close_over})" if close_over is not None else "x.f"
+    close = f"(acc.n + 1 >= 2 AND {trig})"
+    emit_close = close if min_keep is None else f"({close} AND {len2} > {min_keep})"
+    over = f"(NOT {close} AND {len2} > {max_len})" if max_len is not None else "FALSE"
+    emit = f"(({emit_close} OR {over}) AND len(acc.b) < {cap})"
+    reset = f"({close} OR {over})"
+    step = (f"struct_pack(i := acc.i + 1, s := CASE WHEN {reset} THEN acc.i + 1 ELSE acc.s END, "
+            f"n := CASE WHEN {reset} THEN 0 ELSE acc.n + 1 END, len := CASE WHEN {reset} THEN 0 ELSE {len2} END, "
+            f"b := CASE WHEN {emit} THEN list_append(acc.b, struct_pack(s := acc.s, e := acc.i + 1)) ELSE acc.b END)")
+    init = ("struct_pack(i := 0::BIGINT, s := 0::BIGINT, n := 0::BIGINT, len := 0::BIGINT, "
+            "b := []::STRUCT(s BIGINT, e BIGINT)[])")
+    fold = f"list_reduce({items}, lambda acc, x: {step}, {init})"
+    fin = (f"CASE WHEN f.n > 0 AND len(f.b) < {cap} THEN list_append(f.b, struct_pack(s := f.s, e := f.s + f.n)) "
+           f"ELSE f.b END")
+    return fold, fin
+
+
+def _chunk_query_sql(src: str, rule: str) -> str:
+    fold, fin = _chunks_sql("ls", rule)
+    return f"""SELECT page_id, CAST(k - 1 AS INTEGER) AS chunk_no, array_to_string(ls[c.s + 1:c.e], {_NL}) AS chunk FROM (
+  SELECT page_id, ls, unnest(bnd) AS c, generate_subscripts(bnd, 1) AS k FROM (
+    SELECT page_id, ls, {fin} AS bnd FROM (SELECT page_id, ls, {fold} AS f FROM (
+      SELECT page_id, {_lines_sql('text')} AS ls FROM ({src}) s) a) b) c) d"""
+
+
+_LP_TEXT = f"SELECT page_id, {main_text_sql('html')} AS text FROM listing_pages"
+_RAW_TEXT = f"SELECT -page_id - 1 AS page_id, {main_text_sql('html')} AS text FROM pages"
+_TEXT_OK = "SELECT * FROM ({}) t WHERE length(text) >= 100"
+ORACLE_CHUNKS = _chunk_query_sql(
+    _TEXT_OK.format(_LP_TEXT) + " UNION ALL " + _TEXT_OK.format(_RAW_TEXT), "generic")
+ORACLE_CHUNKS_EBAY = _chunk_query_sql(_TEXT_OK.format(_LP_TEXT), "ebay")
+
+_L = rules.WINDOW_TOKENS * rules.WINDOW_CHARS_PER_TOKEN
+_SUB = f"substr(d.text, w.st + 1, {_L})"
+_LSP = f"CASE WHEN strpos({_SUB}, ' ') = 0 THEN 0 ELSE length({_SUB}) - strpos(reverse({_SUB}), ' ') + 1 END"
+_END = f"CASE WHEN w.st + {_L} >= w.n THEN w.n WHEN {_LSP} > 1 THEN w.st + {_LSP} - 1 ELSE w.st + {_L} END"
+ORACLE_WINDOWS = f"""WITH RECURSIVE w(doc_id, n, st, k) AS (
+    SELECT doc_id, length(text), 0::BIGINT, 0 FROM documents
+    UNION ALL
+    SELECT w.doc_id, w.n, {_END}, w.k + 1 FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE {_END} < w.n)
+  SELECT w.doc_id, CAST(w.k AS INTEGER) AS chunk_no, CAST({_END} - w.st AS INTEGER) AS n_chars,
+         substr(d.text, w.st + 1, {_END} - w.st) AS chunk
+  FROM w JOIN documents d ON d.doc_id = w.doc_id"""
+
+
 # ---------------------------------------------------------------- queries
 @query("scan_pages", sql="SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages WHERE length(html) > 0")
 def scan_pages(spark, sf_dir):
@@ -110,7 +173,7 @@ def page_text(spark, sf_dir):
     return p.filter(F.col("text").isNotNull()).select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
 
 
-@query("window_chunks")
+@query("window_chunks", sql=ORACLE_WINDOWS)
 def window_chunks(spark, sf_dir):
     """Whole documents cut into fixed windows (<= 1536 chars, broken at spaces)."""
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -153,7 +216,7 @@ def _listing_page_text(spark, sf_dir):
     return p.filter(F.col("text").isNotNull())
 
 
-@query("product_chunks")
+@query("product_chunks", sql=ORACLE_CHUNKS, fixtures=["listing_pages"])
 def product_chunks(spark, sf_dir):
     """Generic line chunker over the main text of listing pages and of raw pages."""
     lp = _listing_page_text(spark, sf_dir).select("page_id", "text")
@@ -163,7 +226,7 @@ def product_chunks(spark, sf_dir):
     return c.select("page_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
 
 
-@query("product_chunks_ebay")
+@query("product_chunks_ebay", sql=ORACLE_CHUNKS_EBAY, fixtures=["listing_pages"])
 def product_chunks_ebay(spark, sf_dir):
     """eBay line chunker over listing page text."""
     lp = _listing_page_text(spark, sf_dir)
@@ -231,3 +294,6 @@ def chunk_offers(spark, sf_dir):
     p = fx.listing_pages(spark, sf_dir)
     q = F.regexp_extract(F.col("first_text"), r"^(?:Popular |New )?(\S+ \S+)", 1)
     return X.chunk_offers(p.withColumn("query", q))
+
+
+
