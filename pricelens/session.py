@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -40,15 +41,40 @@ def build_session(master: str | None = None, app: str = "pricelens",
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session (the driver hands us one)."""
+    """Apply the runtime settings to an existing session (the driver hands us one)
+    and make the package importable by Python workers."""
     for k, v in _RUNTIME_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static or locked conf on some deployments
             pass
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Zip this package once per application and ``addPyFile`` it, so executors can
+    import the functions used by ``mapInPandas`` / ``applyInPandasWithState``
+    (on a cluster, passing the same zip with ``--py-files`` is equivalent)."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="pricelens-pkg-"), "pricelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage and to stage stream inputs.
 
