@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .prices import parse_price
-from .regex import find_all, found, pystrip, search
+from .regex import find_all, found, let, pystrip, search
 from .titles import generic_title
 
 
@@ -41,8 +41,8 @@ def entities(text: Column) -> Column:
 
 def longest(words: Column) -> Column:
     """Longest string of an array, the first one on a tie; NULL for an empty array."""
-    return F.when(F.size(words) > 0, F.aggregate(
-        words, F.get(words, 0), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc)))
+    return let(words, lambda w: F.when(F.size(w) > 0, F.aggregate(
+        w, F.get(w, 0), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc))))
 
 
 def title_fallback(text: Column) -> Column:
@@ -68,13 +68,21 @@ def description(text: Column) -> Column:
 def entity_offer(text: Column) -> Column:
     """Entities -> struct(title, price, currency, description), with the fallbacks."""
     t = longest(title_entities(text))
-    first_price = F.get(price_entities(text), 0)  # all price entities score the same: first wins
     title = F.coalesce(F.nullif(generic_title(t), F.lit("")), title_fallback(text))
-    pp = parse_price(first_price)
-    has = first_price.isNotNull() & (pp["amount"] != 0)
+    first_price = F.get(price_entities(text), 0)  # all price entities score the same: first wins
     fb = price_fallback(text)
-    return F.struct(
-        title.alias("title"),
-        F.when(has, pp["amount"]).otherwise(fb["amount"]).alias("price"),
-        F.when(has, pp["currency"]).otherwise(fb["currency"]).alias("currency"),
-        description(text).alias("description"))
+
+    def pick(pp: Column) -> Column:
+        has = pp["amount"] != 0
+        return F.struct(F.when(has, pp["amount"]).otherwise(fb["amount"]).alias("price"),
+                        F.when(has, pp["currency"]).otherwise(fb["currency"]).alias("currency"))
+
+    # parse the first price entity once; without one, the fallback decides
+    pp = F.when(first_price.isNotNull(), parse_price(first_price))
+
+    def build(v: Column) -> Column:
+        pr = F.when(v.isNotNull(), pick(v)).otherwise(
+            F.struct(fb["amount"].alias("price"), fb["currency"].alias("currency")))
+        return F.struct(title.alias("title"), pr["price"].alias("price"), pr["currency"].alias("currency"),
+                        description(text).alias("description"))
+    return let(pp, build)

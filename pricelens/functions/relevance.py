@@ -74,7 +74,8 @@ def terms(text: Column) -> Column:
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.filter(F.split(low, r"(?U)\s+"), lambda w: F.length(w) > 0)
-    return F.struct(ngrams(tokens(low)).alias("grams"), words.alias("words"), low.alias("low"))
+    grams = let(tokens(low), ngrams)  # the token array is referenced ~10 times by ngrams: bind it once
+    return F.struct(grams.alias("grams"), words.alias("words"), low.alias("low"))
 
 
 def _count(arr: Column, t: Column) -> Column:

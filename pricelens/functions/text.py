@@ -113,17 +113,16 @@ def page_images(html: Column, cap: int = rules.PAGE_IMAGE_CAP) -> Column:
 def page_pools(html: Column, n: int) -> Column:
     """eBay pools: item URLs and CDN images, else any https URL / any image (first n);
     each pool is the list twice, cut to 2n."""
-    urls = F.regexp_extract_all(html, F.lit(rules.EBAY_ITEM_URL), F.lit(0))
-    imgs = F.regexp_extract_all(html, F.lit(rules.EBAY_IMAGE_URL), F.lit(0))
-    urls = F.when(F.size(urls) > 0, urls).otherwise(
-        F.slice(F.regexp_extract_all(html, F.lit(rules.ANY_HTTPS_URL), F.lit(0)), 1, n))
-    imgs = F.when(F.size(imgs) > 0, imgs).otherwise(
-        F.slice(F.regexp_extract_all(html, F.lit(rules.ANY_IMAGE_URL), F.lit(0)), 1, n))
-    return F.struct(F.slice(F.concat(urls, urls), 1, 2 * n).alias("urls"),
-                    F.slice(F.concat(imgs, imgs), 1, 2 * n).alias("images"))
+    def pool(primary: Column, fallback_pattern: str) -> Column:
+        return let(primary, lambda a: let(
+            F.when(F.size(a) > 0, a).otherwise(
+                F.slice(F.regexp_extract_all(html, F.lit(fallback_pattern), F.lit(0)), 1, n)),
+            lambda b: F.slice(F.concat(b, b), 1, 2 * n)))
+    urls = pool(F.regexp_extract_all(html, F.lit(rules.EBAY_ITEM_URL), F.lit(0)), rules.ANY_HTTPS_URL)
+    imgs = pool(F.regexp_extract_all(html, F.lit(rules.EBAY_IMAGE_URL), F.lit(0)), rules.ANY_IMAGE_URL)
+    return F.struct(urls.alias("urls"), imgs.alias("images"))
 
 
-# ------------------------------------------------------------------ E9, E9b
 def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: int | None, cap: int,
                   close_over: int | None = None) -> Column:
     """Chunk boundaries from per-line lengths and per-line "closing" flags.

@@ -30,23 +30,28 @@ def site_budget(candidates: DataFrame, n: int = rules.GENERIC_RESULT_CAP, key: s
     ``n - accepted so far`` candidates; visiting stops once ``n`` are accepted.
     Returns the accepted rows.
 
-    Per search the fold runs over at most 5 (site, sorted valid positions) pairs.
+    One pass: each search's valid candidates (at most sites x chunk cap) are
+    packed in (site, position) order and folded; the budget of a site is what
+    is left when its first candidate is reached.
     """
     v = candidates.filter(F.col(valid))
-    per_site = v.groupBy(key, site).agg(F.array_sort(F.collect_list(F.col(pos))).alias("idx"))
-    per_q = per_site.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(site, "idx"))).alias("sites"))
-    init = F.struct(F.lit(n).alias("left"), F.array().cast(f"array<struct<{site}:int,budget:int>>").alias("b"))
-
-    def step(acc, s):
-        budget = acc["left"]
-        took = F.size(F.filter(s["idx"], lambda i: i < budget))
-        return F.struct(F.when(budget > 0, budget - took).otherwise(budget).alias("left"),
-                        F.concat(acc["b"], F.array(F.struct(s[site].cast("int").alias(site),
-                                                            F.greatest(budget, F.lit(0)).alias("budget")))).alias("b"))
-
-    budgets = per_q.select(key, F.explode(F.aggregate("sites", init, step)["b"]).alias("x")) \
-        .select(key, F.col(f"x.{site}").alias(site), F.col("x.budget").alias("_budget"))
-    return v.join(budgets, [key, site]).filter(F.col(pos) < F.col("_budget")).drop("_budget")
+    cols = [c for c in v.columns if c != key]
+    packed = v.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(site).alias("_s"), F.col(pos).alias("_p"), F.struct(*cols).alias("_row")))).alias("items"))
+    row_t = packed.schema["items"].dataType.elementType
+    init = F.struct(F.lit(None).cast(row_t["_s"].dataType).alias("cur"), F.lit(n).alias("budget"),
+                    F.lit(n).alias("left"), F.array().cast(f"array<{row_t.simpleString()}>").alias("kept"))
+
+    def step(acc, x):
+        new_site = acc["cur"].isNull() | (acc["cur"] != x["_s"])
+        budget = F.when(new_site, acc["left"]).otherwise(acc["budget"])
+        take = x["_p"] < budget
+        return F.struct(x["_s"].alias("cur"), budget.alias("budget"),
+                        F.when(take, acc["left"] - 1).otherwise(acc["left"]).alias("left"),
+                        F.when(take, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = packed.select(key, F.explode(F.aggregate("items", init, step)["kept"]).alias("x"))
+    return kept.select(key, *[F.col(f"x._row.{c}").alias(c) for c in cols])
 
 
 def rank_offers(offers: DataFrame, searches: DataFrame, key: str = "query_id",

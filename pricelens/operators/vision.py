@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.regex import pystrip
+from ..functions.regex import let, pystrip
 
 _UNNAMED = ["Unknown Product", "Unidentified Product"]
 
@@ -26,34 +26,35 @@ def normalize_analysis(df: DataFrame, response: str = "response") -> DataFrame:
     """V1: trimmed names, brand '' -> NULL (NULL allowed), at most 5 features and
     search terms, confidence default 0.8 clamped to [0, 1]; no usable name ->
     'Unidentified Product' at 0.3; unreadable responses -> a failure row."""
-    v = parse_analysis(F.col(response))
-
-    def get(path, typ):
-        return F.try_variant_get(v, path, typ)
-
-    ok = v.isNotNull()
-    name = pystrip(F.coalesce(get("$.product_name", "string"), F.lit("Unknown Product")))
-    unnamed = (name == "") | (name == "Unknown Product")
-    conf = F.least(F.greatest(F.coalesce(get("$.confidence", "double"), F.lit(rules.ANALYSIS_DEFAULT_CONFIDENCE)),
-                              F.lit(0.0)), F.lit(1.0))
-    empty = F.array().cast("array<string>")
-    return df.select(
-        "*",
-        ok.alias("success"),
-        F.when(ok, F.when(unnamed, F.lit("Unidentified Product")).otherwise(name))
-         .otherwise(F.lit("Analysis Failed")).alias("product_name"),
-        F.when(ok, pystrip(F.coalesce(get("$.category", "string"), F.lit("Unknown"))))
-         .otherwise(F.lit("Error")).alias("category"),
-        F.when(ok, F.nullif(pystrip(get("$.brand", "string")), F.lit(""))).alias("brand"),
-        F.when(ok, F.slice(F.coalesce(get("$.features", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
-         .otherwise(empty).alias("features"),
-        F.when(ok, F.slice(F.coalesce(get("$.search_terms", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
-         .otherwise(empty).alias("search_terms"),
-        F.when(ok, F.when(unnamed, F.lit(rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE)).otherwise(conf))
-         .otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(~ok, F.when(_nonempty(pystrip(F.col(response))), F.lit("invalid response"))
-               .otherwise(F.lit("empty response"))).alias("error"),
-    )
+    def build(v: Column) -> Column:
+        def get(path, typ):
+            return F.try_variant_get(v, path, typ)
+
+        ok = v.isNotNull()
+        name = pystrip(F.coalesce(get("$.product_name", "string"), F.lit("Unknown Product")))
+        unnamed = (name == "") | (name == "Unknown Product")
+        conf = F.least(F.greatest(F.coalesce(get("$.confidence", "double"),
+                                             F.lit(rules.ANALYSIS_DEFAULT_CONFIDENCE)), F.lit(0.0)), F.lit(1.0))
+        empty = F.array().cast("array<string>")
+        return F.struct(
+            ok.alias("success"),
+            F.when(ok, F.when(unnamed, F.lit("Unidentified Product")).otherwise(name))
+             .otherwise(F.lit("Analysis Failed")).alias("product_name"),
+            F.when(ok, pystrip(F.coalesce(get("$.category", "string"), F.lit("Unknown"))))
+             .otherwise(F.lit("Error")).alias("category"),
+            F.when(ok, F.nullif(pystrip(get("$.brand", "string")), F.lit(""))).alias("brand"),
+            F.when(ok, F.slice(F.coalesce(get("$.features", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
+             .otherwise(empty).alias("features"),
+            F.when(ok, F.slice(F.coalesce(get("$.search_terms", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
+             .otherwise(empty).alias("search_terms"),
+            F.when(ok, F.when(unnamed, F.lit(rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE)).otherwise(conf))
+             .otherwise(F.lit(0.0)).alias("confidence"),
+            F.when(~ok, F.when(_nonempty(pystrip(F.col(response))), F.lit("invalid response"))
+                   .otherwise(F.lit("empty response"))).alias("error"))
+
+    # the response is parsed once per row (bound), then every field reads the parsed value
+    return df.select("*", let(parse_analysis(F.col(response)), build).alias("_a")).select(
+        *[F.col(c) for c in df.columns], "_a.*")
 
 
 def analysis_query(success: Column, brand: Column, name: Column, category: Column, terms: Column) -> Column:
