@@ -16,6 +16,9 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Arrow batches feed the Python steps (HTML container splitter, stream state);
+    # pages can be large, so keep a batch to a few hundred rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
