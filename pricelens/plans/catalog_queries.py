@@ -152,3 +152,26 @@ def refresh_prices(spark, sf_dir):
               .join(sup, "source_id").drop("source_id"))
     ids = fx.products(spark, sf_dir).select("product_id").filter(F.col("product_id").cast("long") % 10 == 0)
     return K.refresh_prices(cur, sources, offers, ids, ["last_updated", *L])
+
+
+@query("seed_products", sql="""SELECT concat_ws(' ', p_name, replace(p_brand, '#', ' '), p_type) AS title,
+  p_retailprice AS price, lower(p_type) AS category,
+  'https://img.example.com/product/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image_url,
+  'https://shop.example.com/item/' || CAST(p_partkey AS VARCHAR) AS product_url FROM part""")
+def seed_products(spark, sf_dir):
+    """Seed products written as JSON arrays (at most 100 products per array, one
+    array per line) and scanned back with the explicit seed schema."""
+    import os
+    import uuid
+    from ..session import checkpoint_dir
+    from ..sources import readers
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    prod = F.struct(fx.offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"),
+                    F.col("p_retailprice").alias("price"), F.lower("p_type").alias("category"),
+                    F.concat(F.lit("https://img.example.com/product/"), F.col("p_partkey").cast("string"),
+                             F.lit(".jpg")).alias("image_url"),
+                    F.concat(F.lit("https://shop.example.com/item/"), F.col("p_partkey").cast("string")).alias("product_url"))
+    arrays = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("grp")).agg(F.to_json(F.collect_list(prod)).alias("value"))
+    path = os.path.join(checkpoint_dir(spark), "seed-products", uuid.uuid4().hex)
+    arrays.select("value").write.text(path)
+    return readers.read_seed_products(spark, path, multiline=False)

@@ -174,3 +174,19 @@ def training_roundtrip(spark, sf_dir):
     path = os.path.join(checkpoint_dir(spark), "training", uuid.uuid4().hex)
     TR.write_training_set(examples_df(spark, sf_dir).select("text", "query", "source", "timestamp"), path)
     return TR.read_training_set(spark, path)
+
+
+@query("training_load", sql=f"SELECT text, query, source, timestamp FROM ({EXAMPLES_SQL}) e", fixtures=FXT)
+def training_load(spark, sf_dir):
+    """S3 (document layout): examples stored as ``{"metadata", "training_data": [...]}``
+    documents of at most 100 examples each (one file per document), loaded back."""
+    path = os.path.join(checkpoint_dir(spark), "training-docs", uuid.uuid4().hex)
+    e = examples_df(spark, sf_dir)
+    doc_no = F.abs(F.xxhash64("query_id", "site_key", "pos")) % F.greatest(
+        F.lit(1), F.ceil(e.select(F.count(F.lit(1))).scalar() / 100))
+    ex = F.struct("text", "query", "source", "timestamp")
+    docs = (e.withColumn("doc", doc_no).groupBy("doc")
+            .agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("total_examples")).alias("metadata"),
+                                    F.collect_list(ex).alias("training_data"))).alias("value")))
+    docs.write.partitionBy("doc").text(path)
+    return TR.read_training_set(spark, path, layout="document")

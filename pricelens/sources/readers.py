@@ -22,9 +22,14 @@ SEED_PRODUCT_SCHEMA = T.StructType([
 ])
 
 
-def read_seed_products(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array file of seed products (explicit schema, no inference)."""
-    return spark.read.schema(SEED_PRODUCT_SCHEMA).option("multiLine", True).json(path)
+def read_seed_products(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Seed products (explicit schema, no inference).
+
+    ``multiline=True``: each file is one (pretty-printed) JSON array, the seed
+    file layout. ``multiline=False``: JSON Lines where a line may itself be an
+    array of products -- splittable, each element becomes a row.
+    """
+    return spark.read.schema(SEED_PRODUCT_SCHEMA).option("multiLine", multiline).json(path)
 
 
 def intake_images(spark: SparkSession, path: str) -> DataFrame:
