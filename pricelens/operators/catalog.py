@@ -107,8 +107,10 @@ def refresh_prices(current: DataFrame, sources: DataFrame, offers: DataFrame,
 def price_comparison(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Each product's entries with source name, sorted by price, best flagged,
     printed price and check time. Join and window share the product_id partitioning."""
-    j = (entries.join(products.select("product_id", F.col("name").alias("product_name")), "product_id")
-         .join(sources.select("source_id", F.col("name").alias("source_name")), "source_id"))
+    # sources first, products last: the product join and the window then share one
+    # product_id partitioning whatever strategy the (smaller) source join gets
+    j = (entries.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+         .join(products.select("product_id", F.col("name").alias("product_name")), "product_id"))
     w = Window.partitionBy("product_id").orderBy("price", "source_id")
     return j.select(
         "product_id", "product_name", "source_name", "price",

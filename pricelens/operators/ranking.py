@@ -54,10 +54,13 @@ def site_budget(candidates: DataFrame, n: int = rules.GENERIC_RESULT_CAP, key: s
     return kept.select(key, *[F.col(f"x._row.{c}").alias(c) for c in cols])
 
 
-def rank_offers(offers: DataFrame, searches: DataFrame, key: str = "query_id",
+def rank_offers(offers: DataFrame, searches: DataFrame | None = None, key: str = "query_id",
                 tie: Sequence[str] = ("site_ord", "pos")) -> DataFrame:
-    """score = 0.7 * relevance(title) + 0.3 * relevance(description), descending, stable."""
-    j = offers.join(searches.select(key, "query"), key)
+    """score = 0.7 * relevance(title) + 0.3 * relevance(description), descending, stable.
+
+    Offers that already carry their search's ``query`` are not joined again.
+    """
+    j = offers if searches is None else offers.join(searches.select(key, "query"), key)
     j = with_relevance(with_relevance(j, "title", "query", "_rt"), "description", "query", "_rdsc")
     s = F.round(F.col("_rt") * rules.RANK_TITLE_WEIGHT + F.col("_rdsc") * rules.RANK_DESC_WEIGHT, ROUND)
     w = Window.partitionBy(key).orderBy(F.col("relevance_score").desc(), *_cols(tie))

@@ -32,7 +32,7 @@ def candidates_df(spark, sf_dir):
     s = fx.searches(spark, sf_dir).select("query_id", "query")
     c = with_relevance(c.join(s, "query_id"), "description", "query", "_gate")
     gate = (F.col("_gate") >= rules.RELEVANCE_MIN) & (F.length("title") > 5) & (F.col("price") > 0)
-    return c.withColumn("valid", gate).drop("query", "_gate")
+    return c.withColumn("valid", gate).drop("_gate")
 
 
 def top_df(spark, sf_dir):
@@ -40,7 +40,7 @@ def top_df(spark, sf_dir):
 
 
 def ranked_df(spark, sf_dir):
-    return RK.rank_offers(top_df(spark, sf_dir), fx.searches(spark, sf_dir))
+    return RK.rank_offers(top_df(spark, sf_dir))  # candidates carry their query
 
 
 _CAND_SRC = f"""SELECT c.*, s.query FROM (SELECT *, 'Buy ' || title || ' from ' || source AS description FROM (
@@ -91,7 +91,7 @@ def relevance_q(spark, sf_dir):
 def top_offers(spark, sf_dir):
     """Generic extractor's budget across sites -- each site looks at as many chunks
     as the remaining budget; earlier sites fill first; 15 per search at most."""
-    return top_df(spark, sf_dir).select("query_id", "site_key", "pos", "title", "price")
+    return top_df(spark, sf_dir).select("query_id", "site_key", "pos", "title", "price")  # noqa
 
 
 @query("rank_offers", sql=f"{CTES}\nSELECT query_id, rank, site_key, pos, relevance_score FROM ranked",
