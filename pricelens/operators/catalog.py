@@ -111,10 +111,10 @@ def price_comparison(products: DataFrame, entries: DataFrame, sources: DataFrame
     # product_id partitioning whatever strategy the (smaller) source join gets
     j = (entries.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
          .join(products.select("product_id", F.col("name").alias("product_name")), "product_id"))
-    w = Window.partitionBy("product_id").orderBy("price", "source_id")
-    return j.select(
-        "product_id", "product_name", "source_name", "price",
-        F.row_number().over(w).cast("long").alias("price_rank"),
+    from .windows import skew_safe_row_number
+    r = skew_safe_row_number(j, "product_id", ["price", "source_id"], "price_rank")
+    return r.select(
+        "product_id", "product_name", "source_name", "price", "price_rank",
         F.format_string("$%.2f", F.col("price")).alias("price_text"),
         F.date_format("last_updated", "yyyy-MM-dd HH:mm").alias("checked_at"),
     ).withColumn("is_best", F.col("price_rank") == 1)
