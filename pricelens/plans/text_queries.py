@@ -287,7 +287,35 @@ def quarantine(spark, sf_dir):
     return X.page_status(p).select("page_id", "status")
 
 
-@query("chunk_offers")
+def _chunk_offers_sql() -> str:
+    from ..functions.relevance import STOP_CTE, score_sql, terms_select
+    from . import sql_rules as SR
+    from .extract_queries import _HOST_SQL
+    fold, fin = _chunks_sql("ls", "generic")
+    pages = (f"SELECT page_id, url, regexp_extract(first_text, '^(?:Popular |New )?(\\S+ \\S+)', 1) AS query, "
+             f"{main_text_sql('html')} AS text, {_LINKS_SQL} AS links, {_IMGS_SQL} AS images FROM listing_pages")
+    chunks = f"""SELECT page_id, url, query, links, images, CAST(k - 1 AS INTEGER) AS pos,
+        array_to_string(ls[c.s + 1:c.e], {_NL}) AS chunk FROM (
+      SELECT *, unnest(bnd) AS c, generate_subscripts(bnd, 1) AS k FROM (
+        SELECT *, {fin} AS bnd FROM (SELECT *, {fold} AS f FROM (
+          SELECT *, {_lines_sql('text')} AS ls FROM ({pages}) p WHERE length(text) >= 100) a) b) c) d"""
+    rel = f"SELECT *, {score_sql('tq', 'tc')} AS rel FROM ({terms_select(chunks, {'tq': 'query', 'tc': 'chunk'})}) r"
+    eo = SR.entity_offer("chunk")
+    offers = (f"SELECT *, {eo['title']} AS o_title, {eo['price']} AS o_price, {eo['currency']} AS o_currency, "
+              f"{eo['description']} AS o_desc FROM ({rel}) e WHERE pos < {rules.GENERIC_RESULT_CAP} "
+              f"AND rel >= {rules.RELEVANCE_MIN}")
+    host = _HOST_SQL
+    src = "CASE " + " ".join(f"WHEN contains({host}, '{h}') THEN '{n}'" for h, n, _k in rules.HOST_SOURCES) + " ELSE 'Unknown' END"
+    key = "CASE " + " ".join(f"WHEN contains({host}, '{h}') THEN '{k}'" for h, _n, k in rules.HOST_SOURCES) + " ELSE 'unknown' END"
+    return f"""WITH {STOP_CTE}
+  SELECT {key} || '_' || substr(sha256(o_title || CAST(pos AS VARCHAR)), 1, 16) AS id, page_id, pos,
+         o_title AS title, o_price AS price, o_currency AS currency, o_desc AS description,
+         coalesce(links[pos + 1], url) AS url, coalesce(images[pos + 1], '') AS image_url,
+         {src} AS source, {key} AS source_key, rel
+  FROM ({offers}) o WHERE length(o_title) > 5 AND o_price > 0"""
+
+
+@query("chunk_offers", sql=_chunk_offers_sql(), fixtures=["listing_pages"])
 def chunk_offers(spark, sf_dir):
     """Generic chunk -> offer job over listing pages; each page is searched for
     the product name of its first listing."""
