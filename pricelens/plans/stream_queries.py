@@ -12,7 +12,7 @@ from ..sources import fixtures as fx
 from ..sources.tables import load
 from ..streaming import refresh as M1
 from ..streaming import reuse as M2
-from .catalog_queries import SPLIT, _pe_sql
+from .catalog_queries import SPLIT
 from .registry import query
 
 L = fx.LINE_ORDER
