@@ -17,6 +17,10 @@ def let(value: Column, body) -> Column:
     ``body`` may reference the variable many times; since it is a bound lambda
     variable, neither expression substitution by the optimizer (filter
     push-down, project collapsing) nor the HOFs inside ``body`` recompute it.
+
+    Rule kept throughout the package: do not put a second ``let`` inside ``body``
+    whose own body reads the outer variable (bind both values in one struct
+    instead) -- that shape gave wrong results in one case on Spark 4.1.
     """
     return F.get(F.transform(F.array(value), body), 0)
 

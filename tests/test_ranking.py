@@ -55,3 +55,14 @@ def test_skew_safe_row_number_matches_window(spark):
     want = df.withColumn("rn2", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
     bad = got.join(want, ["k", "v", "id"]).filter(F.col("rn") != F.col("rn2")).count()
     assert bad == 0 and got.count() == 20000
+
+
+def test_dedupe_empty_and_stopword_titles(spark):
+    groups = {1: ["", "the", "red widget", "", "a of", "red widget x"], 2: ["the and", "the and", "blue"],
+              3: ["x", "", "x"], 4: ["small ring", "", "small ring brand"]}
+    rows = [(g, k + 1, t) for g, ts in groups.items() for k, t in enumerate(ts)]
+    got = {}
+    for r in RK.dedupe_offers(spark.createDataFrame(rows, "query_id long, rank long, title string")).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"] - 1)
+    for g, ts in groups.items():
+        assert sorted(got.get(g, [])) == restate.greedy_dedupe(ts)
