@@ -5,15 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+import functools
+import sys
+import unicodedata
+
 from . import rules
 from .regex import jre, search
 
 
+@functools.lru_cache(maxsize=1)
+def _digit_map() -> tuple[str, str]:
+    """Every non-ASCII Unicode decimal digit and its ASCII value, built from the
+    Unicode digit property (Python's ``float`` and ``\\d`` accept all of them)."""
+    src, dst = [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        d = unicodedata.decimal(chr(cp), None)
+        if d is not None:
+            src.append(chr(cp))
+            dst.append(str(d))
+    return "".join(src), "".join(dst)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Map any Unicode decimal digit to its ASCII digit (before a numeric cast)."""
+    src, dst = _digit_map()
+    return F.translate(col, src, dst)
+
+
+def to_double(col: Column) -> Column:
+    """``float(s)`` for digit strings in any script; NULL when it does not parse."""
+    return ascii_digits(col).try_cast("double")
+
+
 def numeric_price(col: Column) -> Column:
     """Text -> number: empty -> 0; drop ``₵$£€,``; first ``[\\d.]+``; unparsable -> 0."""
     cleaned = F.regexp_replace(col, F.lit("[₵$£€,]"), F.lit(""))
     first = F.nullif(F.regexp_extract(cleaned, jre(r"[\d.]+"), 0), F.lit(""))
-    return F.coalesce(first.try_cast("double"), F.lit(0.0))
+    return F.coalesce(to_double(first), F.lit(0.0))
 
 
 def currency_of(col: Column) -> Column:
@@ -27,7 +55,7 @@ def currency_of(col: Column) -> Column:
 def amount_of(col: Column) -> Column:
     """First ``\\d+(,\\d{3})*(\\.\\d{2})?`` as a number, commas removed; else 0."""
     m = search(col, rules.AMOUNT_PATTERN, 1)
-    return F.coalesce(F.replace(m, F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(to_double(F.replace(m, F.lit(","), F.lit(""))), F.lit(0.0))
 
 
 def parse_price(col: Column) -> Column:
@@ -55,4 +83,4 @@ def site_price_number(col: Column, site_key: str) -> Column:
         c = F.replace(F.regexp_replace(col, F.lit(r"(?Ud)[^\d.,]"), F.lit("")), F.lit(","), F.lit(""))
     else:
         c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?Ud)[₵,\s]"), F.lit("")), F.lit("GH"), F.lit(""))
-    return F.coalesce(F.nullif(c, F.lit("")).try_cast("double"), F.lit(0.0))
+    return F.coalesce(to_double(F.nullif(c, F.lit(""))), F.lit(0.0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .prices import site_price_number
+from .prices import site_price_number, to_double
 from .regex import collapse_ws, find_all, jre, let, matches_from_start, pystrip, search, sub, word_count
 
 
@@ -99,7 +99,7 @@ def site_price_text(text: Column, site_key: str) -> Column:
     branches = []
     for p in rules.SITE_PRICE_PATTERNS[site_key]:
         ms = find_all(text, p, 1)
-        inr = F.filter(ms, lambda m: F.replace(m, F.lit(","), F.lit("")).try_cast("double").between(lo, hi))
+        inr = F.filter(ms, lambda m: to_double(F.replace(m, F.lit(","), F.lit(""))).between(lo, hi))
         branches.append(F.get(inr, 0))
     return F.coalesce(*branches)
 
