@@ -95,3 +95,58 @@ def test_site_rules_match_python_re(spark):
             assert r[f"t_{s}"] == _title_py(t, s), (s, t)
             assert r[f"p_{s}"] == _price_py(t, s), (s, t)
         assert r["num"] == _numeric_py(t), t  # non-ASCII digits included
+
+
+def _fallback_py(text, site):
+    title = None
+    for p in rules.FALLBACK_TITLE_PATTERNS[site]:
+        m = re.search(p, text, re.I)
+        if m:
+            title = m.group(1).strip()
+            break
+    price = None
+    for p in rules.FALLBACK_PRICE_PATTERNS[site]:
+        ms = re.findall(p, text)
+        if ms:
+            price = ms[0]
+            break
+    return title or None, price
+
+
+def _ebay_py(text):
+    title = None
+    for p in rules.EBAY_TITLE_PATTERNS:
+        m = re.search(p, text)
+        if m and len(m.group(1).strip()) > 5:
+            title = m.group(1).strip()
+            break
+    price = None
+    for p in rules.EBAY_PRICE_PATTERNS:
+        m = re.search(p, text)
+        if m:
+            price = m.group(1)
+            break
+    return title, price
+
+
+def _entities_py(text):
+    ts = [m.group(1).strip() for p in rules.ENTITY_TITLE_PATTERNS for m in re.finditer(p, text)]
+    ps = [m.group(1).strip() for p in rules.ENTITY_PRICE_PATTERNS for m in re.finditer(p, text)]
+    return ts, ps
+
+
+def test_fallback_ebay_entity_rules_match_python_re(spark):
+    from pricelens.functions import entities as EN
+    texts = [_text() for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    sites = ["jiji", "jumia", "tonaton", "aliexpress"]
+    cols = [F.col("i"), TI.ebay_title_raw(F.col("t")).alias("et"), TI.ebay_price_text(F.col("t")).alias("ep"),
+            EN.title_entities(F.col("t")).alias("te"), EN.price_entities(F.col("t")).alias("pe")]
+    for s in sites:
+        cols += [TI.fallback_title(F.col("t"), s).alias(f"ft_{s}"), TI.fallback_price_text(F.col("t"), s).alias(f"fp_{s}")]
+    for r in df.select(*cols).collect():
+        t = texts[r["i"]]
+        assert (r["et"], r["ep"]) == _ebay_py(t), t
+        assert (list(r["te"]), list(r["pe"])) == _entities_py(t), t
+        for s in sites:
+            assert (r[f"ft_{s}"], r[f"fp_{s}"]) == _fallback_py(t, s), (s, t)
