@@ -61,8 +61,17 @@ def main_text_lines(html: Column) -> Column:
 
 def page_text(html: Column, min_chars: int = 100) -> Column:
     """Main text (lines joined by newline); NULL when shorter than ``min_chars``."""
-    t = F.array_join(main_text_lines(html), "\n")
-    return F.when(F.length(t) >= min_chars, t)
+    return let(F.array_join(main_text_lines(html), "\n"), lambda t: F.when(F.length(t) >= min_chars, t))
+
+
+def if_present(value: Column) -> Column:
+    """A generator column: one row holding ``value`` when it is not NULL, none otherwise.
+
+    Use as ``select(..., F.explode(if_present(expr)).alias(name))`` instead of
+    computing ``expr`` and then filtering on it: the optimizer would push the
+    filter below the projection and evaluate ``expr`` twice.
+    """
+    return F.filter(F.array(value), lambda v: v.isNotNull())
 
 
 # ------------------------------------------------------------------ E3

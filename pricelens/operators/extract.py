@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.regex import let
 
 
 def convert_currency(df: DataFrame, amount: str = "amount", currency: str = "currency",
@@ -89,14 +90,17 @@ def container_offers(cont: DataFrame, mode: str = "pattern") -> DataFrame:
     """E5-E7 for the container sites: text gate, links, title/price rules, offer gate, id."""
     site = F.col("site_key")
     text = by_site(site, lambda k: CT.container_text(F.col("texts"), _LIMITS[k][1]))
-    c = cont.withColumn("text", text).filter(
-        F.length("text") >= by_site(site, lambda k: F.lit(_LIMITS[k][0])))
+    min_len = by_site(site, lambda k: F.lit(_LIMITS[k][0]))
+    # rows are emitted through a one-element explode, not a filter, so the text and
+    # the offer rules are evaluated once (a filter would be pushed below and re-run them)
+    c = cont.select("page_id", "site_key", "url", "pos", "hrefs", "srcs",
+                    F.explode(TX.if_present(let(text, lambda t: F.when(F.length(t) >= min_len, t)))).alias("text"))
     o = c.select(
         "page_id", "site_key", "url", "pos",
         by_site(site, lambda k: first_link(F.col("hrefs"), k)).alias("product_url"),
         by_site(site, lambda k: first_image(F.col("srcs"), k)).alias("image_url"),
-        by_site(site, lambda k: TI.site_offer(F.col("text"), k, mode)).alias("o"),
-    ).filter(F.col("o").isNotNull())
+        F.explode(TX.if_present(by_site(site, lambda k: TI.site_offer(F.col("text"), k, mode)))).alias("o"),
+    )
     return o.select(
         offer_id(site, F.col("o.title"), F.col("pos")).alias("id"),
         "page_id", "site_key", "pos",
@@ -111,13 +115,14 @@ def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
     """eBay job: main text -> eBay chunks -> positional URL/image pools -> title/price
     rules -> gate; the cap counts *accepted* offers (first ``n`` by chunk order)."""
     p = pages.filter(F.col("site_key") == "ebay").select(
-        "page_id", "url", TX.page_text(F.col("html")).alias("text"), TX.page_pools(F.col("html"), n).alias("pool"))
-    ch = TX.with_chunks(p.filter(F.col("text").isNotNull()), "text", "chunks", rule="ebay").select(
+        "page_id", "url", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"),
+        TX.page_pools(F.col("html"), n).alias("pool"))
+    ch = TX.with_chunks(p, "text", "chunks", rule="ebay").select(
         "page_id", "url", "pool", F.posexplode("chunks").alias("pos", "chunk"))
     o = ch.select("page_id", "url", "pos",
                   F.get(F.col("pool.urls"), F.col("pos")).alias("product_url"),
                   F.get(F.col("pool.images"), F.col("pos")).alias("image_url"),
-                  TI.site_offer(F.col("chunk"), "ebay").alias("o")).filter(F.col("o").isNotNull())
+                  F.explode(TX.if_present(TI.site_offer(F.col("chunk"), "ebay"))).alias("o"))
     from pyspark.sql import Window
     w = Window.partitionBy("page_id").orderBy("pos")
     o = o.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
@@ -175,14 +180,16 @@ def chunk_offers(pages: DataFrame, budget: int = rules.GENERIC_RESULT_CAP) -> Da
     """
     from ..functions import entities as EN
     from ..functions.relevance import relevance
-    p = pages.select("page_id", "url", "query", TX.page_text(F.col("html")).alias("text"),
+    p = pages.select("page_id", "url", "query", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"),
                      TX.page_links(F.col("html"), F.col("url")).alias("links"),
-                     TX.page_images(F.col("html")).alias("images")).filter(F.col("text").isNotNull())
+                     TX.page_images(F.col("html")).alias("images"))
     c = TX.with_chunks(p, "text", "chunks").select(
         "page_id", "url", "query", "links", "images", F.posexplode("chunks").alias("pos", "chunk"))
-    c = c.filter(F.col("pos") < budget).withColumn("rel", relevance(F.col("chunk"), F.col("query")))
-    c = c.filter(F.col("rel") >= rules.RELEVANCE_MIN).withColumn("o", EN.entity_offer(F.col("chunk")))
-    c = c.filter((F.length("o.title") > 5) & (F.col("o.price") > 0))
+    c = c.filter(F.col("pos") < budget).select(
+        "*", F.explode(TX.if_present(let(relevance(F.col("chunk"), F.col("query")),
+                                         lambda r: F.when(r >= rules.RELEVANCE_MIN, r)))).alias("rel"))
+    valid = lambda o: F.when((F.length(o["title"]) > 5) & (o["price"] > 0), o)
+    c = c.select("*", F.explode(TX.if_present(let(EN.entity_offer(F.col("chunk")), valid))).alias("o"))
     src = identify_source(F.col("url"))
     return c.select(
         offer_id(src["source_key"], F.col("o.title"), F.col("pos")).alias("id"), "page_id", "pos",

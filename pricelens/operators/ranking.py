@@ -34,10 +34,11 @@ def site_budget(candidates: DataFrame, n: int = rules.GENERIC_RESULT_CAP, key: s
     packed in (site, position) order and folded; the budget of a site is what
     is left when its first candidate is reached.
     """
-    v = candidates.filter(F.col(valid))
-    cols = [c for c in v.columns if c != key]
-    packed = v.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(site).alias("_s"), F.col(pos).alias("_p"), F.struct(*cols).alias("_row")))).alias("items"))
+    cols = [c for c in candidates.columns if c not in (key, valid)]
+    # collect_list skips NULLs: invalid rows contribute nothing, and the validity
+    # expression is evaluated once (a filter would be pushed below and re-run it)
+    item = F.when(F.col(valid), F.struct(F.col(site).alias("_s"), F.col(pos).alias("_p"), F.struct(*cols).alias("_row")))
+    packed = candidates.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     row_t = packed.schema["items"].dataType.elementType
     init = F.struct(F.lit(None).cast(row_t["_s"].dataType).alias("cur"), F.lit(n).alias("budget"),
                     F.lit(n).alias("left"), F.array().cast(f"array<{row_t.simpleString()}>").alias("kept"))

@@ -9,6 +9,7 @@ from ..functions import entities as EN
 from ..functions import prices as PR
 from ..functions import rules
 from ..functions import titles as TI
+from ..functions import text as TX
 from ..operators import extract as X
 from ..sources import fixtures as fx
 from . import sql_rules as S
@@ -109,7 +110,7 @@ def _offer_sql(mode: str) -> str:
 def _offers(spark, sf_dir, mode):
     df = _by_site(spark, sf_dir)
     o = _per_site(df, lambda k: TI.site_offer(F.col("text"), k, mode))
-    return df.select("id", "site_key", o.alias("o")).filter(F.col("o").isNotNull()).select(
+    return df.select("id", "site_key", F.explode(TX.if_present(o)).alias("o")).select(
         "id", "site_key", "o.title", "o.price")
 
 
@@ -133,7 +134,7 @@ _EB = S.site_offer("text", "ebay")
 def ebay_offers(spark, sf_dir):
     """E11d: eBay title/price rules with its own clean-up and gate."""
     o = TI.site_offer(F.col("text"), "ebay")
-    return (fx.listing_text(spark, sf_dir).select("id", o.alias("o")).filter(F.col("o").isNotNull())
+    return (fx.listing_text(spark, sf_dir).select("id", F.explode(TX.if_present(o)).alias("o"))
             .select("id", "o.title", "o.price"))
 
 

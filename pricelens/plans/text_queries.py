@@ -169,8 +169,8 @@ def clean_html(spark, sf_dir):
   (SELECT page_id, {main_text_sql('html')} AS t FROM pages) x WHERE length(t) >= 100""")
 def page_text(spark, sf_dir):
     """Main text of each page as lines; pages under 100 chars of text are skipped."""
-    p = load(spark, sf_dir, "pages").select("page_id", TX.page_text(F.col("html")).alias("text"))
-    return p.filter(F.col("text").isNotNull()).select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    p = load(spark, sf_dir, "pages").select("page_id", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
+    return p.select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
 
 
 @query("window_chunks", sql=ORACLE_WINDOWS)
@@ -212,8 +212,8 @@ def page_pools(spark, sf_dir):
 
 
 def _listing_page_text(spark, sf_dir):
-    p = fx.listing_pages(spark, sf_dir).select("page_id", "site_key", TX.page_text(F.col("html")).alias("text"))
-    return p.filter(F.col("text").isNotNull())
+    return fx.listing_pages(spark, sf_dir).select(
+        "page_id", "site_key", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
 
 
 @query("product_chunks", sql=ORACLE_CHUNKS, fixtures=["listing_pages"])
@@ -221,7 +221,7 @@ def product_chunks(spark, sf_dir):
     """Generic line chunker over the main text of listing pages and of raw pages."""
     lp = _listing_page_text(spark, sf_dir).select("page_id", "text")
     raw = load(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("page_id"),
-                                              TX.page_text(F.col("html")).alias("text")).filter("text IS NOT NULL")
+                                              F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
     c = TX.with_chunks(lp.unionByName(raw), "text", "chunks")
     return c.select("page_id", F.posexplode("chunks").alias("chunk_no", "chunk"))
 

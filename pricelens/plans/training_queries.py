@@ -32,9 +32,8 @@ def examples_df(spark, sf_dir):
         fx.searches(spark, sf_dir).select("query_id", "query"), "query_id")
     text = TR.annotate(F.col("query"), F.col("title"), F.col("price"), F.lit(""), F.col("url"),
                        F.col("image_url"), F.col("description"))
-    return u.select("query_id", "site_key", "pos", text.alias("text"), "query", "source",
-                    F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")) \
-        .filter(F.col("text").isNotNull())
+    return u.select("query_id", "site_key", "pos", F.explode(TX.if_present(text)).alias("text"), "query", "source",
+                    F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 
 
 _IMG_SQL = "CASE WHEN pos % 2 = 0 THEN replace(url, '/item/', '/img/') || '.jpg' END"
