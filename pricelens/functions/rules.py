@@ -65,6 +65,9 @@ GENERIC_SEARCH_URLS = [
     "https://tonaton.com/s_",
 ]
 
+# Site keys in the generic extractor's visiting order (the URL list above).
+GENERIC_SITE_ORDER = ["jumia", "ebay", "aliexpress", "jiji", "tonaton"]
+
 # Category filter keywords (substring match on the lower-cased title).
 CATEGORY_KEYWORDS = {
     "electronics": ["phone", "laptop", "computer", "tablet", "camera", "tv", "electronics", "iphone", "samsung", "apple"],

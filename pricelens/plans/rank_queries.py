@@ -27,8 +27,10 @@ def candidates_df(spark, sf_dir):
     with the relevance gate of the chunk text against the query."""
     o = fx.offers(spark, sf_dir)
     w = Window.partitionBy("query_id", "site_ord").orderBy(*fx.LINE_ORDER)
+    gen = F.create_map(*[x for i, k in enumerate(rules.GENERIC_SITE_ORDER) for x in (F.lit(k), F.lit(i))])
     c = (o.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < CHUNK_CAP)
-         .withColumn("description", _description(F.col("title"), F.col("source"))))
+         .withColumn("description", _description(F.col("title"), F.col("source")))
+         .withColumn("gen_ord", F.try_element_at(gen, F.col("site_key"))))
     s = fx.searches(spark, sf_dir).select("query_id", "query")
     c = with_relevance(c.join(s, "query_id"), "description", "query", "_gate")
     gate = (F.col("_gate") >= rules.RELEVANCE_MIN) & (F.length("title") > 5) & (F.col("price") > 0)
@@ -36,14 +38,17 @@ def candidates_df(spark, sf_dir):
 
 
 def top_df(spark, sf_dir):
-    return RK.site_budget(candidates_df(spark, sf_dir), N)
+    """Sites are visited in the generic extractor's order (``gen_ord``)."""
+    return RK.site_budget(candidates_df(spark, sf_dir), N, site="gen_ord")
 
 
 def ranked_df(spark, sf_dir):
-    return RK.rank_offers(top_df(spark, sf_dir))  # candidates carry their query
+    return RK.rank_offers(top_df(spark, sf_dir), tie=("gen_ord", "pos"))  # candidates carry their query
 
 
-_CAND_SRC = f"""SELECT c.*, s.query FROM (SELECT *, 'Buy ' || title || ' from ' || source AS description FROM (
+_GEN_SQL = "CASE site_key " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(rules.GENERIC_SITE_ORDER)) + " END"
+_CAND_SRC = f"""SELECT c.*, s.query FROM (SELECT *, 'Buy ' || title || ' from ' || source AS description,
+        {_GEN_SQL} AS gen_ord FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {L}) - 1 AS pos FROM offers) o
         WHERE pos < {CHUNK_CAP}) c JOIN searches s USING (query_id)"""
 CAND_SQL = f"""SELECT *, ({score_sql('tq', 'td')} >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid
@@ -55,15 +60,15 @@ def _ctes() -> str:
     for k in range(len(rules.SITES)):
         steps.append(
             f"b{k + 1} AS (SELECT p.*, greatest(p.b{k} - (SELECT count(*) FROM cand v WHERE v.valid "
-            f"AND v.query_id = p.query_id AND v.site_ord = {k} AND v.pos < p.b{k}), 0) AS b{k + 1} FROM b{k} p)")
-    case = "CASE v.site_ord " + " ".join(f"WHEN {k} THEN bb.b{k}" for k in range(len(rules.SITES))) + " END"
+            f"AND v.query_id = p.query_id AND v.gen_ord = {k} AND v.pos < p.b{k}), 0) AS b{k + 1} FROM b{k} p)")
+    case = "CASE v.gen_ord " + " ".join(f"WHEN {k} THEN bb.b{k}" for k in range(len(rules.SITES))) + " END"
     steps.append(f"top AS (SELECT v.* FROM cand v JOIN b{len(rules.SITES)} bb USING (query_id) "
                  f"WHERE v.valid AND v.pos < {case})")
-    rank_src = ("SELECT t.query_id, t.site_ord, t.site_key, t.pos, t.title, t.description, s.query "
+    rank_src = ("SELECT t.query_id, t.gen_ord, t.site_key, t.pos, t.title, t.description, s.query "
                 "FROM top t JOIN searches s USING (query_id)")
     scored = terms_select(rank_src, {"rq": "query", "rt": "title", "rd": "description"})
     steps.append(f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC,
-      site_ord, pos) AS rank FROM (SELECT query_id, site_ord, site_key, pos, title, description,
+      gen_ord, pos) AS rank FROM (SELECT query_id, gen_ord, site_key, pos, title, description,
       round({score_sql('rq', 'rt')} * {rules.RANK_TITLE_WEIGHT} + {score_sql('rq', 'rd')} * {rules.RANK_DESC_WEIGHT},
       {ROUND}) AS relevance_score FROM ({scored}) z) r)""")
     return "WITH " + ",\n".join(steps)
