@@ -142,13 +142,19 @@ _L = rules.WINDOW_TOKENS * rules.WINDOW_CHARS_PER_TOKEN
 _SUB = f"substr(d.text, w.st + 1, {_L})"
 _LSP = f"CASE WHEN strpos({_SUB}, ' ') = 0 THEN 0 ELSE length({_SUB}) - strpos(reverse({_SUB}), ' ') + 1 END"
 _END = f"CASE WHEN w.st + {_L} >= w.n THEN w.n WHEN {_LSP} > 1 THEN w.st + {_LSP} - 1 ELSE w.st + {_L} END"
-ORACLE_WINDOWS = f"""WITH RECURSIVE w(doc_id, n, st, k) AS (
-    SELECT doc_id, length(text), 0::BIGINT, 0 FROM documents
+def windows_sql(src: str, key: str = "doc_id") -> str:
+    """Fixed windows of ``src(key, text)`` as a recursive CTE over start offsets
+    (last space strictly after the start, the next window starts at it; a tail that fits is whole)."""
+    return f"""WITH RECURSIVE src AS ({src}), w({key}, n, st, k) AS (
+    SELECT {key}, length(text), 0::BIGINT, 0 FROM src
     UNION ALL
-    SELECT w.doc_id, w.n, {_END}, w.k + 1 FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE {_END} < w.n)
-  SELECT w.doc_id, CAST(w.k AS INTEGER) AS chunk_no, CAST({_END} - w.st AS INTEGER) AS n_chars,
+    SELECT w.{key}, w.n, {_END}, w.k + 1 FROM w JOIN src d ON d.{key} = w.{key} WHERE {_END} < w.n)
+  SELECT w.{key}, CAST(w.k AS INTEGER) AS chunk_no, CAST({_END} - w.st AS INTEGER) AS n_chars,
          substr(d.text, w.st + 1, {_END} - w.st) AS chunk
-  FROM w JOIN documents d ON d.doc_id = w.doc_id"""
+  FROM w JOIN src d ON d.{key} = w.{key}"""
+
+
+ORACLE_WINDOWS = windows_sql("SELECT doc_id, text FROM documents")
 
 
 # ---------------------------------------------------------------- queries

@@ -62,7 +62,47 @@ def bio_df(spark, sf_dir):
         "query_id", "site_key", "pos", "text", F.col("bio.tokens").alias("tokens"), F.col("bio.labels").alias("labels"))
 
 
-@query("bio_labels")
+def _bio_sql() -> str:
+    """T2 in SQL: a recursive scan for the next ``[NAME]`` whose ``[/NAME]`` follows on
+    the same line (shortest content), i.e. the tag rule with its back-reference spelled out."""
+    b = "CASE nm " + " ".join(f"WHEN '{t}' THEN {rules.LABEL2ID['B-' + t]}" for t in TR.ENTITY_TYPES) + " ELSE 0 END"
+    i = "CASE nm " + " ".join(f"WHEN '{t}' THEN {rules.LABEL2ID['I-' + t]}" for t in TR.ENTITY_TYPES) + " ELSE 0 END"
+
+    def words(x):
+        return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: length(w) > 0)"
+    return f"""WITH RECURSIVE ex AS ({EXAMPLES_SQL}),
+  scan AS (
+    SELECT query_id, site_key, pos, text, 1::BIGINT AS cur, 1::BIGINT AS srch, []::VARCHAR[] AS toks,
+           []::INTEGER[] AS labs, FALSE AS done FROM ex
+    UNION ALL
+    SELECT query_id, site_key, pos, text,
+      CASE WHEN nm = '' THEN cur WHEN ok THEN cl_end ELSE cur END,
+      CASE WHEN nm = '' THEN srch WHEN ok THEN cl_end ELSE o + 1 END,
+      CASE WHEN nm = '' THEN list_concat(toks, {words('substr(text, cur)')})
+           WHEN ok THEN list_concat(toks, {words('substr(text, cur, o - cur)')}, {words('content')})
+           ELSE toks END,
+      CASE WHEN nm = '' THEN list_concat(labs, list_transform({words('substr(text, cur)')}, lambda w: 0))
+           WHEN ok THEN list_concat(labs, list_transform({words('substr(text, cur, o - cur)')}, lambda w: 0),
+                                    list_transform({words('content')}, lambda w, j: CASE WHEN j = 1 THEN {b} ELSE {i} END))
+           ELSE labs END,
+      nm = ''
+    FROM (SELECT *, c > 0 AND (nl = 0 OR c < nl) AS ok, substr(seg, 1, c - 1) AS content,
+                 after + c - 1 + length(nm) + 3 AS cl_end FROM (
+      SELECT *, strpos(seg, '[/' || nm || ']') AS c, strpos(seg, chr(10)) AS nl FROM (
+        SELECT *, substr(text, after) AS seg FROM (
+          SELECT *, o + length(nm) + 2 AS after FROM (
+            SELECT *, CASE WHEN nm = '' THEN 0 ELSE srch + strpos(substr(text, srch), '[' || nm || ']') - 1 END AS o
+            FROM (SELECT *, regexp_extract(substr(text, srch), '\\[(\\w+)\\]', 1) AS nm FROM scan WHERE NOT done) a) b) c) d) e) f
+  )
+  SELECT query_id, site_key, pos, toks AS tokens, labs AS labels FROM scan WHERE done"""
+
+
+BIO_SQL = _bio_sql()
+
+
+@query("bio_labels", sql=f"""SELECT query_id, site_key, pos, CAST(len(tokens) AS INTEGER) AS n_tokens,
+  array_to_string(tokens, ' ') AS tokens, array_to_string(list_transform(labels, lambda x: CAST(x AS VARCHAR)), ',') AS labels
+  FROM ({BIO_SQL}) b""", fixtures=FXT)
 def bio_labels(spark, sf_dir):
     """Annotated texts -> whitespace tokens and BIO label ids."""
     b = bio_df(spark, sf_dir)
@@ -71,7 +111,8 @@ def bio_labels(spark, sf_dir):
                     F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@query("bio_valid")
+@query("bio_valid", sql=f"""SELECT query_id, site_key, pos, CAST(len(tokens) AS INTEGER) AS n_tokens FROM ({BIO_SQL}) b
+  WHERE len(tokens) > 0 AND len(tokens) = len(labels)""", fixtures=FXT)
 def bio_valid(spark, sf_dir):
     """Examples with non-empty, equally long token and label lists."""
     b = bio_df(spark, sf_dir)
@@ -79,7 +120,18 @@ def bio_valid(spark, sf_dir):
                                                                         F.size("tokens").alias("n_tokens"))
 
 
-@query("align_labels")
+_WID = (f"list_concat([NULL::INTEGER], flatten(list_transform(range(len(tokens)), lambda k: list_transform("
+        f"range(CAST(greatest(1, ceil(length(tokens[k + 1]) / 6)) AS BIGINT)), lambda z: CAST(k AS INTEGER)))), "
+        f"[NULL::INTEGER], list_transform(range({rules.MAX_SEQ_LEN}), lambda z: NULL::INTEGER))[1:{rules.MAX_SEQ_LEN}]")
+_ALIGN = (f"list_concat(list_transform(wid, lambda w, i: CASE WHEN w IS NULL THEN {rules.IGNORE_LABEL} "
+          f"WHEN i = 1 OR wid[i - 1] IS DISTINCT FROM w THEN coalesce(labels[w + 1], 0) ELSE {rules.IGNORE_LABEL} END), "
+          f"list_transform(range({rules.MAX_SEQ_LEN}), lambda z: {rules.IGNORE_LABEL}))[1:{rules.MAX_SEQ_LEN}]")
+
+
+@query("align_labels", sql=f"""SELECT query_id, site_key, pos, CAST(len(al) AS INTEGER) AS n_positions,
+  CAST(len(list_filter(al, lambda x: x <> {rules.IGNORE_LABEL})) AS INTEGER) AS n_labelled,
+  array_to_string(list_transform(al, lambda x: CAST(x AS VARCHAR)), ',') AS aligned
+  FROM (SELECT *, {_ALIGN} AS al FROM (SELECT *, {_WID} AS wid FROM ({BIO_SQL}) b) w) a""", fixtures=FXT)
 def align_labels(spark, sf_dir):
     """T4: labels aligned to sub-word positions (first piece labelled, others -100), 512 long."""
     b = bio_df(spark, sf_dir).withColumn("word_ids", TR.word_ids_for(F.col("tokens")))
@@ -115,7 +167,46 @@ def training_stats(spark, sf_dir):
     return TR.training_stats(examples_df(spark, sf_dir))
 
 
-@query("decode_bio")
+def _decode_sql() -> str:
+    names = "CASE x " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in rules.LABEL2ID.items()) + " ELSE 'O' END"
+    src = (f"SELECT query_id, site_key, pos, list_concat(['[CLS]'], tokens, ['[SEP]']) AS t2, "
+           f"list_concat(['O'], list_transform(labels, lambda x: {names}), ['O']) AS l2 FROM ({BIO_SQL}) b")
+    return decode_records_sql(src, ["query_id", "site_key", "pos"], "k")
+
+
+def decode_records_sql(src: str, keys: list[str], kname: str) -> str:
+    """T8 in SQL over ``src(keys..., t2 tokens, l2 label names)``: one row per decoded record."""
+    fields = [t.lower() for t in TR.ENTITY_TYPES]
+    rec_t = "STRUCT(" + ", ".join(f"{f} VARCHAR" for f in fields) + ")"
+    empty = "struct_pack(" + ", ".join(f"{f} := NULL::VARCHAR" for f in fields) + ")"
+    join = ("trim(list_reduce(acc.toks, lambda a, t: CASE WHEN starts_with(t, '##') THEN a || substr(t, 3) "
+            "WHEN a = '' THEN t ELSE a || ' ' || t END, ''))")
+    put = "struct_pack(" + ", ".join(f"{f} := CASE WHEN acc.ent = '{f}' THEN {join} ELSE acc.cur.{f} END" for f in fields) + ")"
+    saved = f"(CASE WHEN acc.ent IS NOT NULL AND len(acc.toks) > 0 THEN {put} ELSE acc.cur END)"
+    complete = f"({saved}.title IS NOT NULL OR {saved}.price IS NOT NULL)"
+    had = "(acc.ent IS NOT NULL AND len(acc.toks) > 0)"
+    special = "[" + ", ".join(f"'{t}'" for t in rules.SPECIAL_TOKENS) + "]"
+    step = f"""CASE WHEN list_contains({special}, x.t) THEN acc
+      WHEN starts_with(x.l, 'B-') THEN struct_pack(ent := lower(substr(x.l, 3)), toks := [x.t], cur := {saved}, out := acc.out)
+      WHEN starts_with(x.l, 'I-') AND acc.ent IS NOT NULL THEN struct_pack(ent := acc.ent, toks := list_append(acc.toks, x.t),
+        cur := acc.cur, out := acc.out)
+      WHEN x.l = 'O' THEN struct_pack(ent := CASE WHEN {had} THEN NULL ELSE acc.ent END,
+        toks := CASE WHEN {had} THEN []::VARCHAR[] ELSE acc.toks END,
+        cur := CASE WHEN {complete} THEN {empty} ELSE {saved} END,
+        out := CASE WHEN {complete} THEN list_append(acc.out, {saved}) ELSE acc.out END)
+      ELSE acc END"""
+    init = f"struct_pack(ent := NULL::VARCHAR, toks := []::VARCHAR[], cur := {empty}, out := []::{rec_t}[])"
+    fin = f"CASE WHEN {complete} THEN list_append(acc.out, {saved}) ELSE acc.out END"
+    pairs = ("list_transform(range(len(t2)), lambda k: struct_pack(t := t2[k + 1], l := l2[k + 1]))")
+    ks = ", ".join(keys)
+    return f"""SELECT {ks}, CAST(kk - 1 AS INTEGER) AS {kname}, r.title AS title, r.price AS price,
+    r.url AS url, r.img AS img FROM (
+  SELECT {ks}, unnest(outs) AS r, generate_subscripts(outs, 1) AS kk FROM (
+    SELECT {ks}, (SELECT {fin} FROM (SELECT st AS acc)) AS outs FROM (
+      SELECT *, list_reduce({pairs}, lambda acc, x: {step}, {init}) AS st FROM ({src}) a) c) d) e"""
+
+
+@query("decode_bio", sql=_decode_sql(), fixtures=FXT)
 def decode_bio(spark, sf_dir):
     """BIO predictions decoded back to records (here: the T2 labels framed by
     [CLS]/[SEP], so decoding must recover each example's title and price)."""
@@ -153,7 +244,25 @@ def _rule_predictions(tokens):
     return F.transform(tokens, lab)
 
 
-@query("decode_pages")
+def _decode_pages_sql() -> str:
+    from .text_queries import clean_html_sql, windows_sql
+    win = windows_sql(f"SELECT page_id, {clean_html_sql('html')} AS text FROM listing_pages", key="page_id")
+    toks = "list_filter(string_split(chunk, ' '), lambda x: length(x) > 0)"
+    cap = "regexp_matches(t, '^[A-Z][a-z]+$')"
+    lab = (f"list_transform(tk, lambda t, i: CASE WHEN regexp_matches(t, '^(?:[$₵€£]|GH₵|USD)?[0-9][0-9,]*(?:[.][0-9][0-9])?$') "
+           f"THEN 'B-PRICE' WHEN starts_with(t, 'http') THEN 'B-URL' "
+           f"WHEN {cap} AND i > 1 AND coalesce(regexp_matches(tk[i - 1], '^[A-Z][a-z]+$'), FALSE) THEN 'I-TITLE' "
+           f"WHEN {cap} THEN 'B-TITLE' ELSE 'O' END)")
+    src = f"SELECT page_id, chunk_no AS win, tk AS t2, {lab} AS l2 FROM (SELECT *, {toks} AS tk FROM ({win}) w) x"
+    recs = decode_records_sql(src, ["page_id", "win"], "k")
+    t = "lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g'))"
+    pz = "lower(regexp_replace(coalesce(price, ''), '^\\s+|\\s+$', '', 'g'))"
+    return f"""SELECT page_id, signature, win, k, title, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, signature ORDER BY win, k) AS rn FROM (
+    SELECT *, substr({t}, 1, 50) || '|' || {pz} AS signature FROM ({recs}) r WHERE {t} <> '' OR {pz} <> '') s) d WHERE rn = 1"""
+
+
+@query("decode_pages", sql=_decode_pages_sql(), fixtures=["listing_pages"])
 def decode_pages(spark, sf_dir):
     """Pages -> cleaned html -> fixed windows -> token labels -> records ->
     signature de-duplication per page."""
