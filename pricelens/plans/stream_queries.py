@@ -27,7 +27,8 @@ _STREAM_REFRESH_SQL = f"""SELECT product_id, source_id, price, url, last_updated
 @query("stream_refresh", sql=_STREAM_REFRESH_SQL, fixtures=["price_feed"])
 def stream_refresh(spark, sf_dir):
     """M1: price observations after the split time arrive as a file stream (a few
-    files per trigger) and are upserted into the catalogue, version by version."""
+    files per trigger) and are upserted into a bucket-partitioned catalogue; each
+    batch rewrites only the buckets it touches."""
     feed = fx.price_feed(spark, sf_dir)
     split = F.lit(SPLIT).cast("timestamp")
     keys, cols = ["product_id", "source_id"], ["price", "url", "last_updated"]
@@ -36,12 +37,13 @@ def stream_refresh(spark, sf_dir):
     root, src, ckpt = os.path.join(base, "catalog"), os.path.join(base, "feed"), os.path.join(base, "_checkpoint")
     before = K._latest(feed.filter(F.col("last_updated") < split), keys, F.struct(*[F.col(c) for c in order]),
                        cols + L)
-    M1.write_version(spark, before, root, 0)
+    M1.write_catalog(before, root, keys, buckets=16)
     after = feed.filter(F.col("last_updated") >= split).withColumn("ym", F.date_format("last_updated", "yyyyMM"))
     after.write.partitionBy("ym").parquet(src)
     schema = spark.read.parquet(src).schema
-    M1.refresh_stream(spark, src, schema, root, ckpt, keys=keys, cols=cols, order=order, max_files_per_trigger=8)
-    return M1.latest_version(spark, root).select(*keys, *cols)
+    M1.refresh_stream_bucketed(spark, src, schema, root, ckpt, keys=keys, cols=cols, order=order, buckets=16,
+                               max_files_per_trigger=8)
+    return spark.read.parquet(root).select(*keys, *cols)
 
 
 def _requests(spark, sf_dir):
