@@ -4,8 +4,8 @@ Upserts are "latest version per natural key" aggregations over the union of
 the current table and the batch. They are written as ``groupBy(key).agg(max_by)``
 (hash aggregation with map-side partial aggregation), so a key with many
 versions never lands whole in one task the way a window sort would. A job that
-persists the result writes it to a new table version and swaps the pointer
-(``sinks.write_version``); nothing overwrites a path it is reading.
+persists the result stages it and replaces only the affected partitions (see
+``streaming.refresh``); nothing overwrites a path it is reading.
 """
 
 from __future__ import annotations

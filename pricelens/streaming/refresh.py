@@ -11,9 +11,6 @@ table (time, then the feed's tie-break columns), so the result does not depend
 on file arrival order, and re-applying a batch after a failure gives the same
 table (the upsert is idempotent). The staged output is read back before the
 overwrite, so no job overwrites a path it is reading.
-
-``write_version`` / ``latest_version`` keep the simpler immutable-version layout
-(``<root>/v=<n>`` plus a completion marker) for small tables.
 """
 
 from __future__ import annotations
@@ -26,71 +23,6 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 
-MARK = "_COMPLETE"
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under ``root`` (a listing through Hadoop FS, works on any shared store)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), MARK)):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def _mark(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path, MARK)
-    p.getFileSystem(conf).create(p, True).close()
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame | None:
-    v = _versions(spark, root)
-    return spark.read.parquet(os.path.join(root, f"v={v[-1]}")) if v else None
-
-
-def write_version(spark: SparkSession, df: DataFrame, root: str, version: int) -> None:
-    path = os.path.join(root, f"v={version}")
-    df.write.mode("overwrite").parquet(path)
-    _mark(spark, path)
-
-
-def refresh_stream(spark: SparkSession, source_dir: str, schema, root: str, checkpoint: str,
-                   keys=("product_id", "source_id"), cols=("price", "url", "last_updated"),
-                   order=("last_updated",), max_files_per_trigger: int | None = None) -> None:
-    """Run the refresh stream over all files available now, then return."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    keep = list(keys) + list(cols) + [c for c in order if c not in cols]
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in _versions(spark, root):  # replayed batch: already applied
-            return
-        cur = latest_version(spark, root)
-        b = batch.select(*keep)
-        if cur is None:
-            cur = b.limit(0)
-        both = cur.select(*keep).unionByName(b)
-        new = K._latest(both, list(keys), F.struct(*[F.col(c) for c in order]),
-                        [c for c in keep if c not in keys])
-        write_version(spark, new, root, version)
-
-    q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 def bucket_of(keys, buckets: int):
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
 
