@@ -50,3 +50,17 @@ def test_ttl_edges(spark):
                                                     as_of.alias("cached_at")))
     kept = {r["cache_key"] for r in R.evict(big, as_of).collect()}
     assert "b" in kept and "a" in kept and "c" not in kept  # exactly 3600 s is neither served nor evicted
+
+
+def test_filters_apply_after_the_top_20(spark):
+    # 20 cheap offers fail the min-price filter, 5 dearer ones would pass it: the result list is
+    # cut to the 20 cheapest first, so nothing survives (the filter must not move below the limit)
+    rows = [(1, f"item {i}", float(i), 0, i) for i in range(25)]
+    offers = spark.createDataFrame(rows, "query_id long, title string, price double, site_ord int, pos int") \
+        .withColumn("site_key", F.lit("jiji"))
+    searches = spark.createDataFrame([(1, None, 20.0, None, [])],
+                                     "query_id long, category string, min_price double, max_price double, retailers array<string>")
+    out = C.apply_filters(C.cheapest(offers, 20), searches)
+    assert out.count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Window")  # filter sits above the window limit
