@@ -55,13 +55,32 @@ def _requests(spark, sf_dir):
 _REQ_SQL = ("SELECT lower(trim(event_type || '_' || CAST(user_id AS VARCHAR))) AS cache_key, event_id, ts FROM events")
 
 
+def _order_files_by_name(spark, path: str) -> None:
+    """Give the data files of ``path`` increasing modification times in name order
+    (the file source consumes files oldest first). Metadata only, via the Hadoop FS API."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(st.getPath().toString() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-"))
+    base = 1_000_000_000_000
+    for i, n in enumerate(names):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(n), base + i * 1000, -1)
+
+
 @query("stream_reuse", sql=f"WITH requests AS ({_REQ_SQL}) {M2.suppress_batch_sql()}")
 def stream_reuse(spark, sf_dir):
-    """M2: each request flagged hit/miss by per-key event-time state (TTL 3600 s)."""
+    """M2: each request flagged hit/miss by per-key event-time state (TTL 3600 s).
+
+    The requests are replayed as a time-ordered log: range-partitioned on time into
+    files covering disjoint, increasing time ranges, consumed two files per
+    trigger, so key state carries across micro-batches and no trigger holds more
+    than its files' rows."""
     base = M1.staging_path(spark, "reuse")
     src, out, ckpt = os.path.join(base, "requests"), os.path.join(base, "out"), os.path.join(base, "_checkpoint")
-    _requests(spark, sf_dir).write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    _requests(spark, sf_dir).repartitionByRange(8, "ts", "event_id").write.parquet(src)
+    _order_files_by_name(spark, src)
+    stream = (spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2)
+              .parquet(src))
     q = (M2.suppress_stream(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
