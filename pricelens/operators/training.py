@@ -125,7 +125,7 @@ def global_rank(df: DataFrame, order: list[str], name: str = "row_rank") -> Data
 def split_examples(df: DataFrame, order: list[str], validation: float = 0.2) -> DataFrame:
     """T5: exact split: the first ceil(0.2 n) rows in hash order are validation."""
     r = global_rank(df, order)
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = r.select(F.count(F.lit(1))).scalar()  # counts the checkpointed rows, not a re-run of df
     return r.withColumn("split", F.when(F.col("row_rank") < F.ceil(n * validation), F.lit("validation"))
                         .otherwise(F.lit("train")))
 

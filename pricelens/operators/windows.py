@@ -7,22 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+_POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
+
 
 def skew_safe_row_number(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY order)`` without sorting a hot
     key in one task.
 
-    Rows are range-partitioned on (key, order...), so a key holding a third of
-    the data spreads over many partitions, each already in order. Each row gets
-    its position inside its (key, partition) slice; the slices' sizes give each
-    slice's offset within its key (a window over at most #partitions rows per
-    key). Same result as the plain window for unique order keys.
+    Rows are range-partitioned on (key, order...) and sorted inside partitions, so a
+    key holding a third of the data spreads over many partitions, each in order.
+    The sorted rows are checkpointed once (reliable checkpoint in the shared folder:
+    both uses below read the same rows, and the upstream plan is not run twice).
+    A row's number = rows of its key in earlier partitions (per-slice counts, a
+    window over at most #partitions rows per key) + its position inside its slice.
+    Same result as the plain window for unique order keys.
     """
-    s = df.repartitionByRange(key, *order).withColumn("_pid", F.spark_partition_id())
-    local = Window.partitionBy(key, "_pid").orderBy(*order)
-    s = s.withColumn("_local", F.row_number().over(local))
-    sizes = s.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    checkpoint_dir(df.sparkSession)
+    s = (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+         .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    pid = F.shiftright(F.col("_mid"), _POS_BITS)
+    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    seg = s.groupBy(key, pid.alias("_pid")).agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (s.join(offs, [key, "_pid"]).withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    offs = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    j = s.withColumn("_pid", pid).join(offs, [key, "_pid"])
+    return (j.withColumn(name, (F.col("_off") + pos - F.col("_first") + 1).cast("long"))
+            .drop("_mid", "_pid", "_off", "_first"))
