@@ -28,7 +28,9 @@ def candidates_df(spark, sf_dir):
     o = fx.offers(spark, sf_dir)
     w = Window.partitionBy("query_id", "site_ord").orderBy(*fx.LINE_ORDER)
     gen = F.create_map(*[x for i, k in enumerate(rules.GENERIC_SITE_ORDER) for x in (F.lit(k), F.lit(i))])
-    c = (o.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < CHUNK_CAP)
+    # filter on the row number itself so the planner inserts a partial (map-side) group limit
+    c = (o.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= CHUNK_CAP)
+         .withColumn("pos", F.col("_rn") - 1).drop("_rn")
          .withColumn("description", _description(F.col("title"), F.col("source")))
          .withColumn("gen_ord", F.try_element_at(gen, F.col("site_key"))))
     s = fx.searches(spark, sf_dir).select("query_id", "query")
