@@ -106,14 +106,19 @@ def refresh_prices(current: DataFrame, sources: DataFrame, offers: DataFrame,
 
 def price_comparison(products: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Each product's entries with source name, sorted by price, best flagged,
-    printed price and check time. Join and window share the product_id partitioning."""
-    # sources first, products last: the product join and the window then share one
-    # product_id partitioning whatever strategy the (smaller) source join gets
-    j = (entries.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
-         .join(products.select("product_id", F.col("name").alias("product_name")), "product_id"))
+    printed price and check time.
+
+    The per-product numbering runs on the narrow entries (skew-safe: a product
+    with a huge number of entries is spread over many tasks); names are joined
+    afterwards, sources first and products last so the product join reuses one
+    product_id partitioning whatever strategy the (smaller) source join gets.
+    """
     from .windows import skew_safe_row_number
-    r = skew_safe_row_number(j, "product_id", ["price", "source_id"], "price_rank")
-    return r.select(
+    ranked = skew_safe_row_number(entries.select("product_id", "source_id", "price", "last_updated"),
+                                  "product_id", ["price", "source_id"], "price_rank")
+    j = (ranked.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+         .join(products.select("product_id", F.col("name").alias("product_name")), "product_id"))
+    return j.select(
         "product_id", "product_name", "source_name", "price", "price_rank",
         F.format_string("$%.2f", F.col("price")).alias("price_text"),
         F.date_format("last_updated", "yyyy-MM-dd HH:mm").alias("checked_at"),
