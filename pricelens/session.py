@@ -62,8 +62,11 @@ def ship_package(spark: SparkSession) -> None:
     """Zip this package once per application and ``addPyFile`` it, so executors can
     import the functions used by ``mapInPandas`` / ``applyInPandasWithState``
     (on a cluster, passing the same zip with ``--py-files`` is equivalent)."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # no driver-side context (e.g. a remote session): ship with --py-files instead
+        return
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
