@@ -27,6 +27,7 @@ from .regex import let
 
 # Fixed value: idf of a term present in only one of the two documents, 1 + ln(3/2).
 IDF_ONE_SIDE = 1.4054651081081644
+IDF_ONE_SIDE_SQ = IDF_ONE_SIDE * IDF_ONE_SIDE
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 ROUND = 12
 
@@ -45,14 +46,10 @@ def stop_words() -> tuple[str, ...]:
     raise RuntimeError("English stop-word list not found in the Spark jars")
 
 
-def _stop_array() -> Column:
-    return F.lit(list(stop_words()))
-
-
 def tokens(text: Column) -> Column:
     t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
-    stop = _stop_array()
-    return F.filter(t, lambda w: ~F.array_contains(stop, w))
+    stop = stop_words()
+    return F.filter(t, lambda w: ~w.isin(*stop))  # IN over literals is planned as a hash-set lookup
 
 
 def ngrams(toks: Column) -> Column:
@@ -74,8 +71,17 @@ def terms(text: Column) -> Column:
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.filter(F.split(low, r"(?U)\s+"), lambda w: F.length(w) > 0)
-    grams = let(tokens(low), ngrams)  # the token array is referenced ~10 times by ngrams: bind it once
-    return F.struct(grams.alias("grams"), words.alias("words"), low.alias("low"))
+    # the token array is referenced ~10 times by ngrams and the gram array by the counts:
+    # bind each once; the struct is the let's result (extracting fields from a let would re-run it)
+    grams = let(tokens(low), ngrams)
+    def build(g: Column) -> Column:
+        uniq = F.array_distinct(g)
+        # short texts rarely repeat a term: then every count is 1 and no per-term scan is needed
+        cnt = F.when(F.size(uniq) == F.size(g), F.array_repeat(F.lit(1), F.size(g))).otherwise(
+            F.transform(uniq, lambda t: F.size(F.filter(g, lambda x: x == t))))
+        return F.struct(g.alias("grams"), uniq.alias("uniq"), cnt.alias("cnt"), words.alias("words"),
+                        low.alias("low"))
+    return let(grams, build)
 
 
 def _count(arr: Column, t: Column) -> Column:
@@ -83,22 +89,41 @@ def _count(arr: Column, t: Column) -> Column:
 
 
 def score(q: Column, d: Column) -> Column:
-    """Relevance from two ``terms`` structs (query side, text side)."""
-    qg, dg = q["grams"], d["grams"]
+    """Relevance from two ``terms`` structs (query side, text side).
 
-    def w(own: Column, other: Column, t: Column) -> Column:
-        c = _count(own, t).cast("double")
-        return c * F.when(F.array_contains(other, t), F.lit(1.0)).otherwise(F.lit(IDF_ONE_SIDE))
-
-    dot = F.aggregate(F.array_distinct(qg), F.lit(0.0),
-                      lambda acc, t: acc + (_count(qg, t) * _count(dg, t)).cast("double"))
-    nq = F.aggregate(F.array_distinct(qg), F.lit(0.0), lambda acc, t: acc + w(qg, dg, t) * w(qg, dg, t))
-    nd = F.aggregate(F.array_distinct(dg), F.lit(0.0), lambda acc, t: acc + w(dg, qg, t) * w(dg, qg, t))
+    Each side carries its distinct terms and their counts; the other side's count
+    of a term is found by position (0 when absent). Sums run over the distinct
+    terms in first-occurrence order.
+    """
+    def other_count(side: Column, t: Column) -> Column:
+        i = F.array_position(side["uniq"], t)
+        return F.when(i > 0, F.get(side["cnt"], (i - 1).cast("int"))).otherwise(F.lit(0))
+
+    def weight(c: Column, present: Column) -> Column:
+        return c.cast("double") * F.when(present, F.lit(1.0)).otherwise(F.lit(IDF_ONE_SIDE))
+
+    def total(arr: Column) -> Column:
+        return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+
+    # general case: per-term contributions (zip_with), summed in first-occurrence order
+    g_dot = total(F.zip_with(q["uniq"], q["cnt"], lambda t, c: (c * other_count(d, t)).cast("double")))
+    g_nq = total(F.zip_with(q["uniq"], q["cnt"], lambda t, c: weight(c, F.array_contains(d["uniq"], t))
+                            * weight(c, F.array_contains(d["uniq"], t))))
+    g_nd = total(F.zip_with(d["uniq"], d["cnt"], lambda t, c: weight(c, F.array_contains(q["uniq"], t))
+                            * weight(c, F.array_contains(q["uniq"], t))))
+    # no repeated term on either side (the usual case): every count is 1 and the sums reduce to set
+    # sizes -- native array functions, no per-element lambdas
+    nqu, ndu = F.size(q["uniq"]), F.size(d["uniq"])
+    shared = F.size(F.array_intersect(q["uniq"], d["uniq"]))
+    fast = (nqu == F.size(q["grams"])) & (ndu == F.size(d["grams"]))
+    dot = F.when(fast, shared.cast("double")).otherwise(g_dot)
+    nq = F.when(fast, (nqu - shared).cast("double") * F.lit(IDF_ONE_SIDE_SQ) + shared.cast("double")).otherwise(g_nq)
+    nd = F.when(fast, (ndu - shared).cast("double") * F.lit(IDF_ONE_SIDE_SQ) + shared.cast("double")).otherwise(g_nd)
     cos = F.when((nq > 0) & (nd > 0), F.try_divide(dot, F.sqrt(nq) * F.sqrt(nd))).otherwise(F.lit(0.0))
     nw = F.size(q["words"])
     hits = F.size(F.filter(q["words"], lambda x: d["low"].contains(x)))
     share = F.when(nw > 0, F.try_divide(hits.cast("double"), nw.cast("double"))).otherwise(F.lit(0.0))
-    out = (F.when((F.size(qg) == 0) & (F.size(dg) == 0), share)
+    out = (F.when((F.size(q["grams"]) == 0) & (F.size(d["grams"]) == 0), share)
            .when(nw == 0, F.lit(0.0))
            .otherwise(F.least(cos + share * rules.WORD_BOOST, F.lit(1.0))))
     return F.round(out, ROUND)
@@ -110,6 +135,17 @@ def relevance(text: Column, query: Column) -> Column:
     return let(both, lambda p: score(p["q"], p["d"]))
 
 
+def relevance_to_terms(text: Column, query_terms: Column) -> Column:
+    """Relevance of ``text`` to a query given as a precomputed ``terms`` struct column
+    (tokenize each search once, on the searches table, and join it in)."""
+    return let(terms(text), lambda d: score(query_terms, d))
+
+
+def relevance_of_terms(text_terms: Column, query: Column) -> Column:
+    """Relevance of a text given as a ``terms`` struct column to ``query``."""
+    return let(terms(query), lambda q: score(q, text_terms))
+
+
 def with_relevance(df, text: Column | str, query: Column | str, out: str):
     """Add ``out`` = relevance(text, query), tokenizing each side once."""
     t = F.col(text) if isinstance(text, str) else text
@@ -146,9 +182,15 @@ def score_sql(q: str, d: str) -> str:
         return (f"list_reduce(list_transform(list_distinct({arr}), lambda _g: {body}), "
                 f"lambda _a, _b: _a + _b, 0.0::DOUBLE)")
 
-    dot = total(qg, f"({cnt(qg, '_g')} * {cnt(dg, '_g')})::DOUBLE")
-    nq = total(qg, f"{w(qg, dg, '_g')} * {w(qg, dg, '_g')}")
-    nd = total(dg, f"{w(dg, qg, '_g')} * {w(dg, qg, '_g')}")
+    g_dot = total(qg, f"({cnt(qg, '_g')} * {cnt(dg, '_g')})::DOUBLE")
+    g_nq = total(qg, f"{w(qg, dg, '_g')} * {w(qg, dg, '_g')}")
+    g_nd = total(dg, f"{w(dg, qg, '_g')} * {w(dg, qg, '_g')}")
+    nqu, ndu = f"len(list_distinct({qg}))", f"len(list_distinct({dg}))"
+    shared = f"len(list_intersect(list_distinct({qg}), list_distinct({dg})))"
+    fast = f"({nqu} = len({qg}) AND {ndu} = len({dg}))"
+    dot = f"(CASE WHEN {fast} THEN {shared}::DOUBLE ELSE {g_dot} END)"
+    nq = f"(CASE WHEN {fast} THEN ({nqu} - {shared})::DOUBLE * {IDF_ONE_SIDE_SQ!r} + {shared}::DOUBLE ELSE {g_nq} END)"
+    nd = f"(CASE WHEN {fast} THEN ({ndu} - {shared})::DOUBLE * {IDF_ONE_SIDE_SQ!r} + {shared}::DOUBLE ELSE {g_nd} END)"
     cos = f"CASE WHEN {nq} > 0 AND {nd} > 0 THEN {dot} / (sqrt({nq}) * sqrt({nd})) ELSE 0.0 END"
     nw = f"len({q}.words)"
     share = (f"CASE WHEN {nw} > 0 THEN len(list_filter({q}.words, lambda _w: contains({d}.low, _w)))::DOUBLE / {nw} "

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.relevance import ROUND, STOP_CTE, score_sql, terms_select, with_relevance
+from ..functions.regex import let
+from ..functions.relevance import ROUND, STOP_CTE, score, score_sql, terms, terms_select, with_relevance
 from ..operators import ranking as RK
 from ..sources import fixtures as fx
 from .compare_queries import UNION_SQL, union_sites_df
@@ -80,18 +81,24 @@ CTES = _ctes()
 
 
 @query("relevance", sql=f"""WITH {STOP_CTE}
-  SELECT query_id, site_key, pos, {score_sql('tq', 'tt')} AS title_rel, {score_sql('tq', 'td')} AS desc_rel,
-         {score_sql('tt', 'tq')} AS reverse_rel
-  FROM ({terms_select(f"SELECT u.*, s.query, 'Buy ' || u.title || ' from ' || u.source AS description FROM ({UNION_SQL}) u JOIN searches s USING (query_id)",
+  SELECT query_id, site_key, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         {score_sql('tq', 'tt')} AS title_rel, {score_sql('tq', 'td')} AS desc_rel, {score_sql('tt', 'tq')} AS reverse_rel
+  FROM ({terms_select("SELECT o.*, s.query, 'Buy ' || o.title || ' from ' || o.source AS description FROM offers o JOIN searches s USING (query_id)",
                       {'tq': 'query', 'tt': 'title', 'td': 'description'})}) x""", fixtures=FXR)
 def relevance_q(spark, sf_dir):
-    """Relevance of titles and descriptions to their search (and the reverse direction)."""
-    u = union_sites_df(spark, sf_dir).join(fx.searches(spark, sf_dir).select("query_id", "query"), "query_id")
-    u = u.withColumn("description", _description(F.col("title"), F.col("source")))
-    u = with_relevance(u, "title", "query", "title_rel")
-    u = with_relevance(u, "description", "query", "desc_rel")
-    u = with_relevance(u, "query", "title", "reverse_rel")
-    return u.select("query_id", "site_key", "pos", "title_rel", "desc_rel", "reverse_rel")
+    """Relevance of every offer's title and description to its search (and the reverse direction)."""
+    # each search is tokenized once (on the searches table) and joined in; per offer only
+    # its title and description are tokenized, once each, and the three scores share them
+    s = fx.searches(spark, sf_dir).select("query_id", terms(F.col("query")).alias("tq"))
+    u = fx.offers(spark, sf_dir).join(s, "query_id")
+    sides = F.struct(terms(F.col("title")).alias("t"),
+                     terms(_description(F.col("title"), F.col("source"))).alias("d"))
+    scores = let(sides, lambda p: F.struct(score(F.col("tq"), p["t"]).alias("title_rel"),
+                                           score(F.col("tq"), p["d"]).alias("desc_rel"),
+                                           score(p["t"], F.col("tq")).alias("reverse_rel")))
+    return u.select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    scores.alias("r")).select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey",
+                                              "l_suppkey", "r.*")
 
 
 @query("top_offers", sql=f"{CTES}\nSELECT query_id, site_key, pos, title, price FROM top", fixtures=FXR)
@@ -128,14 +135,13 @@ _SIG_T = "regexp_replace(title, '^\\s+|\\s+$', '', 'g')"
 
 
 @query("dedupe_signature", sql=f"""SELECT query_id, signature, title, price_text FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, signature ORDER BY site_ord, pos) AS rn FROM (
-    SELECT query_id, site_ord, pos, title, CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
+  SELECT *, row_number() OVER (PARTITION BY query_id, signature ORDER BY site_ord, {L}) AS rn FROM (
+    SELECT query_id, site_ord, {L}, title, CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
       substr(lower({_SIG_T}), 1, 50) || '|' || lower(CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)) AS signature
-    FROM ({UNION_SQL}) u) x) y WHERE rn = 1""", fixtures=FXR)
+    FROM offers) x) y WHERE rn = 1""", fixtures=FXR)
 def dedupe_signature(spark, sf_dir):
-    """Exact (title, price) signature de-duplication, first row wins."""
-    u = union_sites_df(spark, sf_dir).withColumn(
-        "price_text", F.col("price").cast("decimal(18,2)").cast("string"))
-    d = RK.dedupe_signature(u.select("query_id", "site_ord", "pos", "title", "price_text"),
-                            key=["query_id"], order=["site_ord", "pos"], price="price_text")
+    """Exact (title, price) signature de-duplication over all offers of a search, first row wins."""
+    u = fx.offers(spark, sf_dir).withColumn("price_text", F.col("price").cast("decimal(18,2)").cast("string"))
+    d = RK.dedupe_signature(u.select("query_id", "site_ord", *fx.LINE_ORDER, "title", "price_text"),
+                            key=["query_id"], order=["site_ord", *fx.LINE_ORDER], price="price_text")
     return d.select("query_id", "signature", "title", "price_text")
