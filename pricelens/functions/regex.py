@@ -68,7 +68,7 @@ def collapse_ws(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """``len(s.split())``."""
-    return F.size(F.filter(F.split(col, r"(?Ud)\s+"), lambda w: F.length(w) > 0))
+    return F.size(F.array_remove(F.split(col, r"(?Ud)\s+"), ""))
 
 
 # ---- SQL (DuckDB / RE2) spelling of the same patterns, for the oracle ----

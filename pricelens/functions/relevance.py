@@ -70,7 +70,7 @@ def terms(text: Column) -> Column:
     once per value rather than once per use inside the score's lambdas.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(low, r"(?U)\s+"), lambda w: F.length(w) > 0)
+    words = F.array_remove(F.split(low, r"(?U)\s+"), "")
     # the token array is referenced ~10 times by ngrams and the gram array by the counts:
     # bind each once; the struct is the let's result (extracting fields from a let would re-run it)
     grams = let(tokens(low), ngrams)

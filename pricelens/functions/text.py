@@ -56,7 +56,7 @@ def main_text_lines(html: Column) -> Column:
     h = F.regexp_replace(h, F.lit(f"(?i)</?(?:{_BLOCK_TAGS})\\b[^>]*>"), F.lit("\n"))
     h = unescape(F.regexp_replace(h, F.lit(r"<[^>]*>"), F.lit("")))
     lines = F.transform(F.split(h, "\n"), lambda ln: pystrip(F.regexp_replace(ln, F.lit(r"[ \t\r\f\x0B]+"), F.lit(" "))))
-    return F.filter(lines, lambda ln: F.length(ln) > 0)
+    return F.array_remove(lines, "")
 
 
 def page_text(html: Column, min_chars: int = 100) -> Column:
@@ -175,7 +175,7 @@ def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: in
 
 def chunk_lines(text: Column) -> Column:
     """Trimmed, non-empty lines of a text."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda ln: pystrip(ln)), lambda ln: F.length(ln) > 0)
+    return F.array_remove(F.transform(F.split(text, "\n"), lambda ln: pystrip(ln)), "")
 
 
 def generic_flags(lines: Column) -> Column:

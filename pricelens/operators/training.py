@@ -45,7 +45,7 @@ def annotate(query: Column, title: Column, price: Column, currency: Column, url:
 
 # ---------------------------------------------------------------- T2, T3
 def _ws_tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
 
 
 def bio_labels(text: Column) -> Column:
