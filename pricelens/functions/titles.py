@@ -128,11 +128,9 @@ def ebay_price_text(text: Column) -> Column:
     return F.coalesce(*[search(text, p[4:], 1, flags="i") for p in rules.EBAY_PRICE_PATTERNS])
 
 
-def site_offer(text: Column, site_key: str, mode: str = "pattern") -> Column:
-    """struct(title, price) of one container text under a site's rules, or NULL
-    when the offer gate (title and price found, price > 0, title > 5 chars) fails.
-
-    The raw title and price are bound once (``let``) and then cleaned and gated."""
+def site_offer_parts(text: Column, site_key: str, mode: str = "pattern") -> Column:
+    """struct(title, price, found, min_len) of one container text: the cleaned title
+    and parsed price computed once; ``offer_gate`` decides acceptance."""
     if site_key == "ebay":
         raw = F.struct(ebay_title_raw(text).alias("t"), ebay_price_text(text).alias("p"))
     elif mode == "pattern":
@@ -145,6 +143,19 @@ def site_offer(text: Column, site_key: str, mode: str = "pattern") -> Column:
             title, price, min_len = ebay_title(r["t"]), site_price_number(r["p"], "ebay"), 3
         else:
             title, price, min_len = final_title(r["t"], site_key), site_price_number(r["p"], site_key), 5
-        ok = r["t"].isNotNull() & r["p"].isNotNull() & (price > 0) & (F.length(title) > min_len)
-        return F.when(ok, F.struct(title.alias("title"), price.alias("price")))
+        return F.struct(title.alias("title"), price.alias("price"),
+                        (r["t"].isNotNull() & r["p"].isNotNull()).alias("found"), F.lit(min_len).alias("min_len"))
     return let(raw, finish)
+
+
+def offer_gate(parts: Column) -> Column:
+    """Title and price found, price > 0, title longer than the site's minimum."""
+    return parts["found"] & (parts["price"] > 0) & (F.length(parts["title"]) > parts["min_len"])
+
+
+def site_offer(text: Column, site_key: str, mode: str = "pattern") -> Column:
+    """struct(title, price) of one container text under a site's rules, or NULL when
+    the offer gate fails (single-expression form; jobs use ``site_offer_parts`` +
+    ``offer_gate`` after a one-row explode so the parts are computed once)."""
+    p = site_offer_parts(text, site_key, mode)
+    return F.when(offer_gate(p), F.struct(p["title"].alias("title"), p["price"].alias("price")))

@@ -99,8 +99,8 @@ def container_offers(cont: DataFrame, mode: str = "pattern") -> DataFrame:
         "page_id", "site_key", "url", "pos",
         by_site(site, lambda k: first_link(F.col("hrefs"), k)).alias("product_url"),
         by_site(site, lambda k: first_image(F.col("srcs"), k)).alias("image_url"),
-        F.explode(TX.if_present(by_site(site, lambda k: TI.site_offer(F.col("text"), k, mode)))).alias("o"),
-    )
+        F.explode(F.array(by_site(site, lambda k: TI.site_offer_parts(F.col("text"), k, mode)))).alias("o"),
+    ).filter(TI.offer_gate(F.col("o")))
     return o.select(
         offer_id(site, F.col("o.title"), F.col("pos")).alias("id"),
         "page_id", "site_key", "pos",
@@ -122,7 +122,8 @@ def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
     o = ch.select("page_id", "url", "pos",
                   F.get(F.col("pool.urls"), F.col("pos")).alias("product_url"),
                   F.get(F.col("pool.images"), F.col("pos")).alias("image_url"),
-                  F.explode(TX.if_present(TI.site_offer(F.col("chunk"), "ebay"))).alias("o"))
+                  F.explode(F.array(TI.site_offer_parts(F.col("chunk"), "ebay"))).alias("o")) \
+        .filter(TI.offer_gate(F.col("o")))
     from pyspark.sql import Window
     w = Window.partitionBy("page_id").orderBy("pos")
     o = o.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)

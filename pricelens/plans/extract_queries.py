@@ -109,9 +109,10 @@ def _offer_sql(mode: str) -> str:
 
 def _offers(spark, sf_dir, mode):
     df = _by_site(spark, sf_dir)
-    o = _per_site(df, lambda k: TI.site_offer(F.col("text"), k, mode))
-    return df.select("id", "site_key", F.explode(TX.if_present(o)).alias("o")).select(
-        "id", "site_key", "o.title", "o.price")
+    o = _per_site(df, lambda k: TI.site_offer_parts(F.col("text"), k, mode))
+    # the parts are computed once inside the generator; the gate filters its output
+    return (df.select("id", "site_key", F.explode(F.array(o)).alias("o")).filter(TI.offer_gate(F.col("o")))
+            .select("id", "site_key", "o.title", "o.price"))
 
 
 @query("site_offers", sql=_offer_sql("pattern"), fixtures=["listing_text"])
@@ -133,9 +134,9 @@ _EB = S.site_offer("text", "ebay")
   {_EB[2]} AS price FROM listing_text) x WHERE ok""", fixtures=["listing_text"])
 def ebay_offers(spark, sf_dir):
     """E11d: eBay title/price rules with its own clean-up and gate."""
-    o = TI.site_offer(F.col("text"), "ebay")
-    return (fx.listing_text(spark, sf_dir).select("id", F.explode(TX.if_present(o)).alias("o"))
-            .select("id", "o.title", "o.price"))
+    o = TI.site_offer_parts(F.col("text"), "ebay")
+    return (fx.listing_text(spark, sf_dir).select("id", F.explode(F.array(o)).alias("o"))
+            .filter(TI.offer_gate(F.col("o"))).select("id", "o.title", "o.price"))
 
 
 @query("clean_titles", sql=f"""SELECT id, {S.generic_title('text')} AS generic,
