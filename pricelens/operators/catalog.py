@@ -29,7 +29,8 @@ SOURCE_SCHEMA = T.StructType([
 
 def seed_sources(spark) -> DataFrame:
     """The seven default sources."""
-    return spark.createDataFrame(rules.SEED_SOURCES, SOURCE_SCHEMA)
+    from ..sources.fixtures import literal_rows
+    return literal_rows(spark, rules.SEED_SOURCES, SOURCE_SCHEMA)
 
 
 def init_sources(current: DataFrame, spark) -> DataFrame:

@@ -52,9 +52,15 @@ SITE_SCHEMA = T.StructType([
 ])
 
 
+def literal_rows(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small constant table built in the JVM (``inline`` of a literal array of structs)."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def sites(spark: SparkSession) -> DataFrame:
     """The five retailers (a constant dimension of 5 rows)."""
-    return spark.createDataFrame(rules.SITES, SITE_SCHEMA)
+    return literal_rows(spark, rules.SITES, SITE_SCHEMA)
 
 
 def _values_sql(rows, names) -> str:
