@@ -87,18 +87,23 @@ CTES = _ctes()
                       {'tq': 'query', 'tt': 'title', 'td': 'description'})}) x""", fixtures=FXR)
 def relevance_q(spark, sf_dir):
     """Relevance of every offer's title and description to its search (and the reverse direction)."""
-    # each search is tokenized once (on the searches table) and joined in; per offer only
-    # its title and description are tokenized, once each, and the three scores share them
+    # Scores depend only on (search, title, source), which repeat across many offers: score each
+    # distinct triple once and join the scores back. Each search is tokenized once (on the
+    # searches table); per triple the title and description are tokenized once each and the three
+    # scores share them. A title dominating the offers only makes the join side skewed, which AQE splits.
+    o = fx.offers(spark, sf_dir)
     s = fx.searches(spark, sf_dir).select("query_id", terms(F.col("query")).alias("tq"))
-    u = fx.offers(spark, sf_dir).join(s, "query_id")
+    keys = o.select("query_id", "title", "source").distinct().join(s, "query_id")
     sides = F.struct(terms(F.col("title")).alias("t"),
                      terms(_description(F.col("title"), F.col("source"))).alias("d"))
     scores = let(sides, lambda p: F.struct(score(F.col("tq"), p["t"]).alias("title_rel"),
                                            score(F.col("tq"), p["d"]).alias("desc_rel"),
                                            score(p["t"], F.col("tq")).alias("reverse_rel")))
-    return u.select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                    scores.alias("r")).select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey",
-                                              "l_suppkey", "r.*")
+    scored = keys.select("query_id", "title", "source", scores.alias("r")).select(
+        "query_id", "title", "source", "r.*")
+    return o.join(scored, ["query_id", "title", "source"]).select(
+        "query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "title_rel", "desc_rel", "reverse_rel")
 
 
 @query("top_offers", sql=f"{CTES}\nSELECT query_id, site_key, pos, title, price FROM top", fixtures=FXR)
