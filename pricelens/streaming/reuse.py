@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,14 +35,15 @@ def _suppress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if pdf.empty:
         return
     pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+    ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    hits = np.ones(len(ts), dtype=bool)
     last = state.get[0] if state.exists else None
-    hits = []
-    for t in (pdf["ts"].astype("datetime64[us]").astype("int64")):
-        if last is not None and t - last < ttl_us:
-            hits.append(True)
-        else:
-            hits.append(False)
-            last = int(t)
+    # a miss starts a new TTL window; jump straight to the first request at or after its end
+    i = 0 if last is None else int(np.searchsorted(ts, last + ttl_us, side="left"))
+    while i < len(ts):
+        hits[i] = False
+        last = int(ts[i])
+        i = int(np.searchsorted(ts, last + ttl_us, side="left"))
     state.update((int(last),))
     state.setTimeoutTimestamp(int(last // 1000) + rules.CACHE_TTL_SECONDS * 1000)
     yield pd.DataFrame({"cache_key": key[0], "event_id": pdf["event_id"].astype("int64").values,
