@@ -11,6 +11,11 @@ from ..functions import rules
 from ..functions.regex import sql_re, sql_str
 
 
+def let(value: str, var: str, body: str) -> str:
+    """Bind ``value`` once as ``var`` inside ``body`` (a one-element list_transform)."""
+    return f"list_transform([{value}], lambda {var}: {body})[1]"
+
+
 def re_(p: str, flags: str = "") -> str:
     return sql_re(p.replace("(?=", "(?:"), flags)
 
@@ -115,10 +120,10 @@ def site_title(x: str, site: str) -> str:
         cand = strip(f"regexp_extract({x}, {re_(p, flags)}, 1)")
         if site == "jumia":
             c = strip(sub(cand, rules.JUMIA_TITLE_PREFIX[4:], "i"))
-            branches.append(f"CASE WHEN length({c}) > 10 THEN {c} END")
+            branches.append(let(c, "_c", "CASE WHEN length(_c) > 10 THEN _c END"))
         else:
             c = clean_extracted_title(cand, site)
-            branches.append(f"CASE WHEN {valid_title(c, site)} THEN {c} END")
+            branches.append(let(c, "_c", f"CASE WHEN {valid_title('_c', site)} THEN _c END"))
     return "coalesce(" + ", ".join(branches) + ")"
 
 
@@ -165,8 +170,13 @@ def site_offer(x: str, site: str, mode: str = "pattern") -> tuple[str, str, str]
             rt, rp = fallback_title(x, site), fallback_price_text(x, site)
         t, pr = final_title(rt, site), site_price_number(rp, site)
         gate = f"length({t}) > 5"
-    ok = f"coalesce(({rt}) IS NOT NULL AND ({rp}) IS NOT NULL AND {pr} > 0 AND {gate}, FALSE)"
-    return ok, t, pr
+    # bind the raw title and price once; the three results read the bound values
+    raw = f"struct_pack(t := {rt}, p := {rp})"
+    t_b = t.replace(rt, "_r.t") if rt in t else t
+    pr_b = pr.replace(rp, "_r.p") if rp in pr else pr
+    gate_b = gate.replace(t, t_b)
+    ok = let(raw, "_r", f"coalesce(_r.t IS NOT NULL AND _r.p IS NOT NULL AND {pr_b} > 0 AND {gate_b}, FALSE)")
+    return ok, let(raw, "_r", t_b), let(raw, "_r", pr_b)
 
 
 # ------------------------------------------------------------------ entities
