@@ -10,7 +10,8 @@ from tests.conftest import SMALL
 
 NAMES = ["best_deal", "offer_counts", "price_comparison", "upsert_prices", "refresh_prices", "site_offers",
          "entity_offers", "page_text", "window_chunks", "product_chunks", "page_links", "dedupe_offers",
-         "reuse_results", "normalize_analysis", "training_stats", "split_examples", "cache_key", "search_urls"]
+         "reuse_results", "normalize_analysis", "training_stats", "split_examples", "cache_key", "search_urls",
+         "relevance", "top_offers", "chunk_offers", "bio_labels", "decode_bio", "decode_pages", "stream_refresh"]
 
 
 @pytest.fixture(scope="module")
