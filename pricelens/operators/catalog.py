@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,17 +69,16 @@ def upsert_sources(current: DataFrame, batch_names: DataFrame, order: Sequence[s
     """Get-or-create sources by exact name. New names get ids after the current
     maximum, numbered in order of first appearance; logo = site key, url = ''.
 
-    ``batch_names`` has ``name``, ``site_key`` and the ``order`` columns. The set
-    of *new source names* is small by nature (retailers, not offers), so numbering
-    it with one window is bounded work.
+    ``batch_names`` has ``name``, ``site_key`` and the ``order`` columns. New names
+    are numbered with the distributed global rank (no single-partition window).
     """
+    from .training import global_rank
     first = _first(batch_names, ["name"], F.struct(*[F.col(c) for c in order]),
                    ["site_key", *order])
     new = first.join(current.select("name"), "name", "left_anti")
     base = current.select(F.coalesce(F.max("source_id"), F.lit(0))).scalar()  # scalar subquery
-    w = Window.orderBy(*[F.col(c) for c in order])
-    numbered = (new.withColumn("_n", F.row_number().over(w))
-                .select((base + F.col("_n")).cast("long").alias("source_id"), "name",
+    numbered = (global_rank(new, list(order))
+                .select((base + F.col("row_rank") + 1).cast("long").alias("source_id"), "name",
                         F.lit("").alias("url"), F.col("site_key").alias("logo"), F.lit(True).alias("active")))
     return current.unionByName(numbered.select(*current.columns))
 
