@@ -14,11 +14,6 @@ Scores are rounded to 12 decimals so threshold tests are stable.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +27,23 @@ TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 ROUND = 12
 
 
-@functools.lru_cache(maxsize=1)
+# The English stop words that Spark's StopWordsRemover documents as its default list.
+STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split())
+
+
 def stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the installed Spark jars
-    (the same list ``StopWordsRemover.loadDefaultStopWords('english')`` returns)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for j in jars:
-        with zipfile.ZipFile(j) as z:
-            for n in z.namelist():
-                if n.endswith("stopwords/english.txt"):
-                    return tuple(w for w in z.read(n).decode("utf-8").split() if w)
-    raise RuntimeError("English stop-word list not found in the Spark jars")
+    return STOP_WORDS
 
 
 def tokens(text: Column) -> Column:
