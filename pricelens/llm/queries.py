@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ..sources.tables import load
-from . import decontaminate, exact_dedup, near_dedup
+from . import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity
 from .registry import query
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+@query("op1_secret_scan")
+def secret_scan(spark, sf_dir):
+    """Secrets of every document: known shapes and windows of high entropy."""
+    return secrets.find_secrets(load(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def toxic_score(spark, sf_dir):
+    """Toxicity score of every document, learned from four fifths of the labels."""
+    return toxicity.scores(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op4_byte_bpe")
+def byte_bpe_round_trip(spark, sf_dir):
+    """Token ids of every document and the bytes that they decode to."""
+    return byte_bpe.round_trip(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                               public_tokenizers.PATTERN)
+
+
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     """Component of every document: 4-word shingles, at most 4 differing bits."""
@@ -49,3 +70,9 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 def exact(spark, sf_dir):
     """The kept document of every group of texts equal up to white space."""
     return exact_dedup.decisions(spark, load(spark, sf_dir, "documents"))
+
+
+@query("op10_token_counts")
+def count_tokens(spark, sf_dir):
+    """Number of tokens of every document, and whether it is over 1024."""
+    return token_counts.token_counts(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
