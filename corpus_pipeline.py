@@ -1,3 +1,65 @@
-"""A training-data pipeline over ``documents``: each stage calls one operator."""
+"""A training-data pipeline over ``documents``; every stage calls one operator.
 
-STAGES = []
+A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
+and read again as the next stage's ``docs``. All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from pricelens.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality
+from pricelens.llm.registry import query
+from pricelens.session import checkpoint_dir, prepare
+from pricelens.sources.tables import load
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(prepare(spark), docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(prepare(spark), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (4-word shingles, at most 4 bits)."""
+    return near_dedup.keep_first(prepare(spark), docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a 10-word window of a benchmark item."""
+    return decontaminate.drop_contaminated(prepare(spark), docs, load(spark, sf_dir, "benchmark"))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (as digests) of what is left, and the bytes that they decode to."""
+    return byte_bpe.round_trip(prepare(spark), docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("byte-level BPE", encode_texts),
+]
+# A trained classifier and 64-bit XXH64 majorities are beyond SQL; tests hold the stages
+# against brute force instead.
+ORACLE_SQL = None
+
+
+@query("pipeline", ORACLE_SQL)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after another, each written to the shared folder and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{i}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import load
-from . import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, licenses, near_dedup, quality, secrets, substring_dedup, token_counts, toxicity
 from .registry import query
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,12 @@ def secret_scan(spark, sf_dir):
     return secrets.find_secrets(load(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_classifier")
+def quality_score(spark, sf_dir):
+    """Quality score of every document, learned from weak labels alone."""
+    return quality.scores(spark, load(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def toxic_score(spark, sf_dir):
     """Toxicity score of every document, learned from four fifths of the labels."""
@@ -30,6 +36,21 @@ def byte_bpe_round_trip(spark, sf_dir):
                                public_tokenizers.PATTERN)
 
 
+@query("op5_substring_dedup", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i,
+                  string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start, length(line) AS size,
+             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm FROM l),
+k AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM u WHERE norm <> ''),
+r AS (SELECT *, row_number() OVER w AS rn, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start,
+             count(*) OVER (PARTITION BY norm) AS copies FROM k WHERE n_words >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
+SELECT doc_id, start, start + size AS "end", n_words, keep_doc_id, keep_start, copies FROM r WHERE rn > 1
+""")
+def substring_dedup_lines(spark, sf_dir):
+    """Every line of 5 or more words that repeats an earlier one, with its offsets."""
+    return substring_dedup.removals(spark, load(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     """Component of every document: 4-word shingles, at most 4 differing bits."""
@@ -62,6 +83,35 @@ def benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def _licenses_sql() -> str:
+    def lit(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+    same = ", ".join(f"{lit(a)}: {lit(b)}" for a, b in licenses.SPELLINGS.items())
+    known = ", ".join(f"({lit(i)}, {lit(t)})" for i, t in licenses.KNOWN)
+
+    def canon(text: str) -> str:
+        plain = rf"trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        word = f"coalesce(MAP {{{same}}}[w], w)"
+        return (rf"list_transform(string_split_regex({text}, '\r\n|\r|\n'), lambda x: "
+                f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: {word}), ' '))")
+    whole = (r"array_to_string(list_filter(lines, lambda x: x <> '' AND NOT regexp_matches(x, "
+             rf"{lit(licenses._COPYRIGHT)})), ' ')")
+    return f"""
+WITH k AS (SELECT license_id, {canon('t')} AS lines FROM (VALUES {known}) v(license_id, t)),
+known AS (SELECT license_id, 'text' AS scope, {whole} AS c FROM k UNION SELECT license_id, 'line', array_to_string(lines, ' ') FROM k),
+d AS (SELECT doc_id, {canon('text')} AS lines FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 'text' AS scope, NULL::INTEGER AS line, {whole} AS c FROM d
+      UNION ALL SELECT doc_id, 'line', unnest(range(len(lines)))::INTEGER, unnest(lines) FROM d)
+SELECT doc_id, license_id, scope, line FROM u JOIN known USING (scope, c) WHERE c <> ''
+"""
+
+
+@query("op8_license_scan", _licenses_sql())
+def license_scan(spark, sf_dir):
+    """Documents and lines that are known licence texts or notices."""
+    return licenses.find_licenses(spark, load(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", rf"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
