@@ -54,14 +54,13 @@ def hot_windows(run: str, width: int, threshold: float) -> Iterator[tuple[int, i
     total, most = 0.0, width * (math.log2(width) - threshold)  # entropy = log2(width) - total / width
     start = end = None
     for i, ch in enumerate(run):
+        if i >= width:  # the leaving character first: no count goes beyond the width
+            c = counts[run[i - width]]
+            counts[run[i - width]] = c - 1
+            total += cost[c - 1] - cost[c]
         c = counts.get(ch, 0)
         counts[ch] = c + 1
         total += cost[c + 1] - cost[c]
-        if i >= width:
-            old = run[i - width]
-            c = counts[old]
-            counts[old] = c - 1
-            total += cost[c - 1] - cost[c]
         if i >= width - 1 and total <= most + 1e-9:
             if end is not None and i - width + 1 > end:
                 yield start, end

@@ -36,8 +36,8 @@ from .common import id_text, map_texts, written
 MAX_TOXIC, MAX_ORDINARY = 4_000, 6_000  # labelled texts used at most
 WINDOW = 256                            # bytes
 SHORTEST, LONGEST = 4, 9                # bytes of a word beginning
-BASE_PIECES, TOXIC_PIECES = 1_000, 256
-MIN_SHARE, MIN_Z = 0.02, 8.0            # of toxic texts; for a toxic piece
+BASE_PIECES, TOXIC_PIECES = 2_000, 256
+MIN_SHARE, MIN_Z = 0.02, 6.0            # of toxic texts; for a toxic piece
 
 
 def held_out(doc_id="doc_id"):
