@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .windows import skew_safe_row_number
 
 DEFAULT_TIE = ("site_ord", "pos")
 
@@ -67,7 +68,6 @@ def apply_filters(offers: DataFrame, searches: DataFrame, key: str = "query_id",
                   by: str = "site_key", missing_price_as_zero: bool = False) -> DataFrame:
     """Keep offers passing their search's min/max price, retailer list and category.
 
-    Runs on the already-limited result list (the filters apply after the top-N).
     ``by='source'`` compares retailers by display name and counts a missing price
     as 0 (the result-page variant).
     """
@@ -79,27 +79,40 @@ def apply_filters(offers: DataFrame, searches: DataFrame, key: str = "query_id",
     return j.filter(pred).drop("category", "min_price", "max_price", "retailers")
 
 
+def _flag_min(df: DataFrame, rank: Sequence[Column], key: str, name: str, ok: Column) -> DataFrame:
+    """Flag the row of each key with the least ``rank``, if ``ok``.
+
+    The least rank per key is an aggregate with map-side combine; its join back is one row per
+    key against all rows, which AQE splits where a key is hot. (A window would sort a whole
+    key in one task.) ``rank`` must tell rows apart; of equal rows the first id is flagged.
+    """
+    r = df.withColumn("_rank", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)]))
+    least = r.groupBy(key).agg(F.min("_rank").alias("_least")).withColumnRenamed(key, "_key")
+    j = r.join(least, F.col(key).eqNullSafe(F.col("_key")))
+    return j.withColumn(name, (F.col("_rank") == F.col("_least")) & ok).drop("_rank", "_least", "_key")
+
+
 def flag_first(df: DataFrame, order: Sequence[str | Column], key: str = "query_id",
                name: str = "best_deal") -> DataFrame:
     """Flag the first row of each result list."""
-    w = Window.partitionBy(key).orderBy(*_order(order))
-    return df.withColumn(name, F.row_number().over(w) == 1)
+    return _flag_min(df, _order(order), key, name, F.lit(True))
 
 
 def flag_lowest_positive(df: DataFrame, order: Sequence[str | Column], key: str = "query_id",
                          name: str = "is_lowest") -> DataFrame:
     """Flag the row with the lowest positive price (first on a tie); none if no positive price."""
-    w = Window.partitionBy(key).orderBy(F.when(F.col("price") > 0, F.col("price")).asc_nulls_last(),
-                                        *_order(order))
-    return df.withColumn(name, (F.row_number().over(w) == 1) & (F.col("price") > 0))
+    positive = F.coalesce(F.col("price") > 0, F.lit(False))
+    rank = [~positive, F.when(positive, F.col("price")), *_order(order)]
+    return _flag_min(df, rank, key, name, positive)
 
 
 def sort_offers(df: DataFrame, ascending: bool = True, key: str = "query_id",
-                tie: Sequence[str | Column] = ("rank",), name: str = "sort_pos") -> DataFrame:
-    """Re-sort each result list by price (missing = 0), stable on the list order."""
+                tie: Sequence[str] = ("rank",), name: str = "sort_pos") -> DataFrame:
+    """Number each result list by price (missing = 0), stable on ``tie``; a list of any length
+    is numbered by many tasks."""
     p = F.coalesce(F.col("price"), F.lit(0.0))
-    w = Window.partitionBy(key).orderBy(p.asc() if ascending else p.desc(), *_order(tie))
-    return df.withColumn(name, F.row_number().over(w).cast("long"))
+    numbered = skew_safe_row_number(df.withColumn("_by", p if ascending else -p), key, ["_by", *tie], name)
+    return numbered.drop("_by")
 
 
 def offers_for_site(df: DataFrame, site_key: str) -> DataFrame:

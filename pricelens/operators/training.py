@@ -38,7 +38,7 @@ def annotate(query: Column, title: Column, price: Column, currency: Column, url:
         F.lit("[PRICE]"), price_str, F.lit("[/PRICE] "),
         opt(url, lambda c: F.concat(F.lit("[URL]"), c, F.lit("[/URL] "))),
         opt(image_url, lambda c: F.concat(F.lit("[IMG]"), c, F.lit("[/IMG] "))),
-        opt(description, lambda c: F.concat(F.lit("Description: "), F.substring(c, 1, 100))))
+        opt(description, lambda c: F.concat(F.lit("Description: "), c)))
     ok = title.isNotNull() & (title != "") & price.isNotNull() & (price != 0)
     return F.when(ok, text)
 

@@ -13,43 +13,41 @@ from ..operators import ranking as RK
 from ..operators import training as TR
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
-from .compare_queries import UNION_SQL, union_sites_df
 from .registry import query
 
 FXT = ["offers", "searches"]
 
 
 def _offer_fields(u):
-    """Offer fields for annotation: image on even positions, description on the first two."""
-    img = F.when(F.col("pos") % 2 == 0, F.concat(F.replace(F.col("url"), F.lit("/item/"), F.lit("/img/")), F.lit(".jpg")))
-    desc = F.when(F.col("pos") < 2, F.concat(F.lit("Buy "), F.col("title"), F.lit(" from "), F.col("source")))
+    """Offer fields for annotation: image on even lines, description on the first two."""
+    img = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.replace(F.col("url"), F.lit("/item/"), F.lit("/img/")), F.lit(".jpg")))
+    desc = F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("Buy "), F.col("title"), F.lit(" from "), F.col("source")))
     return u.withColumn("image_url", img).withColumn("description", desc)
 
 
 def examples_df(spark, sf_dir):
-    """T1 over the per-site result lists of every search."""
-    u = _offer_fields(union_sites_df(spark, sf_dir)).join(
-        fx.searches(spark, sf_dir).select("query_id", "query"), "query_id")
+    """T1 over all offers of every search."""
+    u = _offer_fields(fx.offers(spark, sf_dir))
     text = TR.annotate(F.col("query"), F.col("title"), F.col("price"), F.lit(""), F.col("url"),
                        F.col("image_url"), F.col("description"))
-    return u.select("query_id", "site_key", "pos", F.explode(TX.if_present(text)).alias("text"), "query", "source",
+    return u.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.explode(TX.if_present(text)).alias("text"), "query", "source",
                     F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 
 
-_IMG_SQL = "CASE WHEN pos % 2 = 0 THEN replace(url, '/item/', '/img/') || '.jpg' END"
-_DESC_SQL = "CASE WHEN pos < 2 THEN 'Buy ' || title || ' from ' || source END"
-EXAMPLES_SQL = f"""SELECT query_id, site_key, pos,
+_IMG_SQL = "CASE WHEN l_linenumber % 2 = 0 THEN replace(url, '/item/', '/img/') || '.jpg' END"
+_DESC_SQL = "CASE WHEN l_linenumber <= 2 THEN 'Buy ' || title || ' from ' || source END"
+EXAMPLES_SQL = f"""SELECT query_id, site_key, l_orderkey, l_linenumber,
   'Query: ' || query || chr(10) || '[TITLE]' || title || '[/TITLE] ' ||
   '[PRICE]' || CAST(price AS VARCHAR) || '[/PRICE] ' ||
   CASE WHEN coalesce(url, '') <> '' THEN '[URL]' || url || '[/URL] ' ELSE '' END ||
   CASE WHEN coalesce(img, '') <> '' THEN '[IMG]' || img || '[/IMG] ' ELSE '' END ||
-  CASE WHEN coalesce(descr, '') <> '' THEN 'Description: ' || substr(descr, 1, 100) ELSE '' END AS text,
+  CASE WHEN coalesce(descr, '') <> '' THEN 'Description: ' || descr ELSE '' END AS text,
   query, source, strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS timestamp
-FROM (SELECT u.*, s.query, {_IMG_SQL} AS img, {_DESC_SQL} AS descr FROM ({UNION_SQL}) u JOIN searches s USING (query_id)) x
+FROM (SELECT *, {_IMG_SQL} AS img, {_DESC_SQL} AS descr FROM offers) x
 WHERE coalesce(title, '') <> '' AND coalesce(price, 0) <> 0"""
 
 
-@query("annotate_offers", sql=f"SELECT query_id, site_key, pos, text, query, source, timestamp FROM ({EXAMPLES_SQL}) e",
+@query("annotate_offers", sql=f"SELECT query_id, site_key, l_orderkey, l_linenumber, text, query, source, timestamp FROM ({EXAMPLES_SQL}) e",
        fixtures=FXT)
 def annotate_offers(spark, sf_dir):
     """Offers turned into annotated training texts."""
@@ -59,7 +57,7 @@ def annotate_offers(spark, sf_dir):
 def bio_df(spark, sf_dir):
     e = examples_df(spark, sf_dir)
     return e.withColumn("bio", TR.bio_labels(F.col("text"))).select(
-        "query_id", "site_key", "pos", "text", F.col("bio.tokens").alias("tokens"), F.col("bio.labels").alias("labels"))
+        "query_id", "site_key", "l_orderkey", "l_linenumber", "text", F.col("bio.tokens").alias("tokens"), F.col("bio.labels").alias("labels"))
 
 
 def _bio_sql() -> str:
@@ -72,10 +70,10 @@ def _bio_sql() -> str:
         return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: length(w) > 0)"
     return f"""WITH RECURSIVE ex AS ({EXAMPLES_SQL}),
   scan AS (
-    SELECT query_id, site_key, pos, text, 1::BIGINT AS cur, 1::BIGINT AS srch, []::VARCHAR[] AS toks,
+    SELECT query_id, site_key, l_orderkey, l_linenumber, text, 1::BIGINT AS cur, 1::BIGINT AS srch, []::VARCHAR[] AS toks,
            []::INTEGER[] AS labs, FALSE AS done FROM ex
     UNION ALL
-    SELECT query_id, site_key, pos, text,
+    SELECT query_id, site_key, l_orderkey, l_linenumber, text,
       CASE WHEN nm = '' THEN cur WHEN ok THEN cl_end ELSE cur END,
       CASE WHEN nm = '' THEN srch WHEN ok THEN cl_end ELSE o + 1 END,
       CASE WHEN nm = '' THEN list_concat(toks, {words('substr(text, cur)')})
@@ -94,29 +92,29 @@ def _bio_sql() -> str:
             SELECT *, CASE WHEN nm = '' THEN 0 ELSE srch + strpos(substr(text, srch), '[' || nm || ']') - 1 END AS o
             FROM (SELECT *, regexp_extract(substr(text, srch), '\\[(\\w+)\\]', 1) AS nm FROM scan WHERE NOT done) a) b) c) d) e) f
   )
-  SELECT query_id, site_key, pos, toks AS tokens, labs AS labels FROM scan WHERE done"""
+  SELECT query_id, site_key, l_orderkey, l_linenumber, toks AS tokens, labs AS labels FROM scan WHERE done"""
 
 
 BIO_SQL = _bio_sql()
 
 
-@query("bio_labels", sql=f"""SELECT query_id, site_key, pos, CAST(len(tokens) AS INTEGER) AS n_tokens,
+@query("bio_labels", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(len(tokens) AS INTEGER) AS n_tokens,
   array_to_string(tokens, ' ') AS tokens, array_to_string(list_transform(labels, lambda x: CAST(x AS VARCHAR)), ',') AS labels
   FROM ({BIO_SQL}) b""", fixtures=FXT)
 def bio_labels(spark, sf_dir):
     """Annotated texts -> whitespace tokens and BIO label ids."""
     b = bio_df(spark, sf_dir)
-    return b.select("query_id", "site_key", "pos", F.size("tokens").alias("n_tokens"),
+    return b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.size("tokens").alias("n_tokens"),
                     F.array_join("tokens", " ").alias("tokens"),
                     F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
-@query("bio_valid", sql=f"""SELECT query_id, site_key, pos, CAST(len(tokens) AS INTEGER) AS n_tokens FROM ({BIO_SQL}) b
+@query("bio_valid", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(len(tokens) AS INTEGER) AS n_tokens FROM ({BIO_SQL}) b
   WHERE len(tokens) > 0 AND len(tokens) = len(labels)""", fixtures=FXT)
 def bio_valid(spark, sf_dir):
     """Examples with non-empty, equally long token and label lists."""
     b = bio_df(spark, sf_dir)
-    return b.filter(TR.bio_valid(F.col("tokens"), F.col("labels"))).select("query_id", "site_key", "pos",
+    return b.filter(TR.bio_valid(F.col("tokens"), F.col("labels"))).select("query_id", "site_key", "l_orderkey", "l_linenumber",
                                                                         F.size("tokens").alias("n_tokens"))
 
 
@@ -128,7 +126,7 @@ _ALIGN = (f"list_concat(list_transform(wid, lambda w, i: CASE WHEN w IS NULL THE
           f"list_transform(range({rules.MAX_SEQ_LEN}), lambda z: {rules.IGNORE_LABEL}))[1:{rules.MAX_SEQ_LEN}]")
 
 
-@query("align_labels", sql=f"""SELECT query_id, site_key, pos, CAST(len(al) AS INTEGER) AS n_positions,
+@query("align_labels", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(len(al) AS INTEGER) AS n_positions,
   CAST(len(list_filter(al, lambda x: x <> {rules.IGNORE_LABEL})) AS INTEGER) AS n_labelled,
   array_to_string(list_transform(al, lambda x: CAST(x AS VARCHAR)), ',') AS aligned
   FROM (SELECT *, {_ALIGN} AS al FROM (SELECT *, {_WID} AS wid FROM ({BIO_SQL}) b) w) a""", fixtures=FXT)
@@ -136,18 +134,18 @@ def align_labels(spark, sf_dir):
     """T4: labels aligned to sub-word positions (first piece labelled, others -100), 512 long."""
     b = bio_df(spark, sf_dir).withColumn("word_ids", TR.word_ids_for(F.col("tokens")))
     al = TR.align_labels(F.col("word_ids"), F.col("labels"))
-    return b.select("query_id", "site_key", "pos", F.size(al).alias("n_positions"),
+    return b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.size(al).alias("n_positions"),
                     F.size(F.filter(al, lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
                     F.array_join(F.transform(al, lambda x: x.cast("string")), ",").alias("aligned"))
 
 
-@query("split_examples", sql=f"""SELECT query_id, site_key, pos,
-  CASE WHEN row_number() OVER (ORDER BY md5(text), query_id, site_key, pos) - 1 < ceil(0.2 * count(*) OVER ())
+@query("split_examples", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber,
+  CASE WHEN row_number() OVER (ORDER BY md5(text), query_id, site_key, l_orderkey, l_linenumber) - 1 < ceil(0.2 * count(*) OVER ())
        THEN 'validation' ELSE 'train' END AS split FROM ({EXAMPLES_SQL}) e""", fixtures=FXT)
 def split_examples(spark, sf_dir):
     """T5: exact 80/20 train/validation split in hash order."""
     e = examples_df(spark, sf_dir).withColumn("_h", F.md5("text"))
-    return TR.split_examples(e, ["_h", "query_id", "site_key", "pos"]).select("query_id", "site_key", "pos", "split")
+    return TR.split_examples(e, ["_h", "query_id", "site_key", "l_orderkey", "l_linenumber"]).select("query_id", "site_key", "l_orderkey", "l_linenumber", "split")
 
 
 @query("training_ready", sql=f"""SELECT count(*) AS n_examples, count(*) >= {rules.TRAIN_MIN_EXAMPLES} AS can_train,
@@ -169,9 +167,9 @@ def training_stats(spark, sf_dir):
 
 def _decode_sql() -> str:
     names = "CASE x " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in rules.LABEL2ID.items()) + " ELSE 'O' END"
-    src = (f"SELECT query_id, site_key, pos, list_concat(['[CLS]'], tokens, ['[SEP]']) AS t2, "
+    src = (f"SELECT query_id, site_key, l_orderkey, l_linenumber, list_concat(['[CLS]'], tokens, ['[SEP]']) AS t2, "
            f"list_concat(['O'], list_transform(labels, lambda x: {names}), ['O']) AS l2 FROM ({BIO_SQL}) b")
-    return decode_records_sql(src, ["query_id", "site_key", "pos"], "k")
+    return decode_records_sql(src, ["query_id", "site_key", "l_orderkey", "l_linenumber"], "k")
 
 
 def decode_records_sql(src: str, keys: list[str], kname: str) -> str:
@@ -213,13 +211,13 @@ def decode_bio(spark, sf_dir):
     b = bio_df(spark, sf_dir)
     toks = F.concat(F.array(F.lit("[CLS]")), F.col("tokens"), F.array(F.lit("[SEP]")))
     labs = F.concat(F.array(F.lit("O")), TR.id_labels_to_names(F.col("labels")), F.array(F.lit("O")))
-    d = b.select("query_id", "site_key", "pos", F.posexplode(TR.decode_bio(toks, labs)).alias("k", "rec"))
-    return d.select("query_id", "site_key", "pos", "k", F.col("rec")["title"].alias("title"),
+    d = b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.posexplode(TR.decode_bio(toks, labs)).alias("k", "rec"))
+    return d.select("query_id", "site_key", "l_orderkey", "l_linenumber", "k", F.col("rec")["title"].alias("title"),
                     F.col("rec")["price"].alias("price"), F.col("rec")["url"].alias("url"),
                     F.col("rec")["img"].alias("img"))
 
 
-@query("join_pieces", sql=f"""SELECT query_id, site_key, pos,
+@query("join_pieces", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber,
   array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 0), ' ') AS text
   FROM ({EXAMPLES_SQL}) e""", fixtures=FXT)
 def join_pieces(spark, sf_dir):
@@ -229,7 +227,7 @@ def join_pieces(spark, sf_dir):
     pieces = F.flatten(F.transform(words, lambda w: F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.length(w) / 4) - 1, F.lit(0)).cast("int")),
         lambda k: F.when(k == 0, F.substring(w, 1, 4)).otherwise(F.concat(F.lit("##"), F.substring(w, k * 4 + 1, 4))))))
-    return e.select("query_id", "site_key", "pos", TR.join_pieces(pieces).alias("text"))
+    return e.select("query_id", "site_key", "l_orderkey", "l_linenumber", TR.join_pieces(pieces).alias("text"))
 
 
 def _rule_predictions(tokens):
@@ -290,7 +288,7 @@ def training_load(spark, sf_dir):
     documents of at most 100 examples each (one file per document), loaded back."""
     path = os.path.join(checkpoint_dir(spark), "training-docs", uuid.uuid4().hex)
     e = examples_df(spark, sf_dir)
-    doc_no = F.abs(F.xxhash64("query_id", "site_key", "pos")) % F.greatest(
+    doc_no = F.abs(F.xxhash64("query_id", "site_key", "l_orderkey", "l_linenumber")) % F.greatest(
         F.lit(1), F.ceil(e.select(F.count(F.lit(1))).scalar() / 100))
     ex = F.struct("text", "query", "source", "timestamp")
     docs = (e.withColumn("doc", doc_no).groupBy("doc")

@@ -113,19 +113,19 @@ def offer_title(name: Column, brand: Column, ptype: Column) -> Column:
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem as an offer of its part, on the site ``l_suppkey % 5``.
 
-    Columns: query_id, title, price, url, last_updated, site_ord, site_key,
+    Columns: query_id, query, title, price, url, last_updated, site_ord, site_key,
     source, plus the lineitem order key (the stable tie order inside a site).
     """
-    s = searches(spark, sf_dir).select("query_id", "query")
-    p = (load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-         .join(s, F.col("p_name") == F.col("query")))
+    # A search's id is a function of its query, the part name: no join with the searches.
+    p = load(spark, sf_dir, "part").where("p_name IS NOT NULL").select(
+        "p_partkey", hash_id(F.col("p_name")).alias("query_id"), F.col("p_name").alias("query"), "p_brand", "p_type")
     li = load(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_shipdate")
     st = F.broadcast(sites(spark).select("site_ord", "site_key", "source"))  # 5 rows
     o = (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
          .join(st, (F.col("l_suppkey") % 5).cast("int") == F.col("site_ord")))
     return o.select(
-        "query_id",
-        offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"),
+        "query_id", "query",
+        offer_title(F.col("query"), F.col("p_brand"), F.col("p_type")).alias("title"),
         F.col("l_extendedprice").alias("price"),
         F.concat(F.lit("https://shop.example.com/item/"), F.col("l_partkey").cast("string")).alias("url"),
         F.col("l_shipdate").alias("last_updated"),
@@ -134,7 +134,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OFFERS_SQL = f"""
-SELECT s.query_id, concat_ws(' ', p_name, replace(p_brand, '#', ' '), p_type) AS title,
+SELECT s.query_id, s.query, concat_ws(' ', p_name, replace(p_brand, '#', ' '), p_type) AS title,
        l_extendedprice AS price,
        'https://shop.example.com/item/' || CAST(l_partkey AS VARCHAR) AS url,
        l_shipdate AS last_updated, t.site_ord, t.site_key, t.source, {LINE_ORDER_SQL}
