@@ -60,8 +60,10 @@ def price_fallback(text: Column) -> Column:
         F.struct(F.lit(0.0).alias("amount"), F.lit("").alias("currency")))
 
 
-def description(text: Column) -> Column:
-    n = rules.DESCRIPTION_CHARS
+def description(text: Column, n: int | None = None) -> Column:
+    """The whole text (with ``n``, its first characters and an ellipsis)."""
+    if n is None:
+        return text
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 

@@ -84,3 +84,13 @@ def site_price_number(col: Column, site_key: str) -> Column:
     else:
         c = F.regexp_replace(F.regexp_replace(col, F.lit(r"(?Ud)[₵,\s]"), F.lit("")), F.lit("GH"), F.lit(""))
     return F.coalesce(to_double(F.nullif(c, F.lit(""))), F.lit(0.0))
+
+
+def number_text(x: Column) -> Column:
+    """A double as Python and SQL engines print it: without an exponent from 1e-4 to 1e16
+    (Java's text has one from 1e7 and below 1e-3)."""
+    t = x.cast("string")
+    plain = F.regexp_replace(t.cast("decimal(38,20)").cast("string"), F.lit(r"(\.\d*?)0+$"), F.lit("$1"))
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    a = F.abs(x)
+    return F.when(t.contains("E") & (a >= 1e-4) & (a < 1e16), plain).otherwise(t)

@@ -59,8 +59,8 @@ def main_text_lines(html: Column) -> Column:
     return F.array_remove(lines, "")
 
 
-def page_text(html: Column, min_chars: int = 100) -> Column:
-    """Main text (lines joined by newline); NULL when shorter than ``min_chars``."""
+def page_text(html: Column, min_chars: int = 1) -> Column:
+    """Main text (lines joined by newline); NULL when shorter than ``min_chars`` (by default, when empty)."""
     return let(F.array_join(main_text_lines(html), "\n"), lambda t: F.when(F.length(t) >= min_chars, t))
 
 
@@ -106,45 +106,54 @@ def url_join(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(origin, F.when(dir_ == "", F.lit("/")).otherwise(dir_), ref)))
 
 
-def page_links(html: Column, base: Column, cap: int = rules.PAGE_URL_CAP) -> Column:
-    """Product-like links: three href patterns in order, resolved, first occurrence kept, at most ``cap``."""
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def page_links(html: Column, base: Column, cap: int | None = None) -> Column:
+    """Product-like links: three href patterns in order, resolved, first occurrence kept (the
+    first ``cap``, if given)."""
     found = F.concat(*[find_all(html, p[4:], 1, flags="i") for p in rules.PAGE_LINK_PATTERNS])
-    return F.slice(F.array_distinct(F.transform(found, lambda u: url_join(base, u))), 1, cap)
+    return _first(F.array_distinct(F.transform(found, lambda u: url_join(base, u))), cap)
 
 
-def page_images(html: Column, cap: int = rules.PAGE_IMAGE_CAP) -> Column:
-    """Images (src then data-src) whose URL mentions product/item; duplicates kept; at most ``cap``."""
+def page_images(html: Column, cap: int | None = None) -> Column:
+    """Images (src then data-src) whose URL mentions product/item; duplicates kept (the first
+    ``cap``, if given)."""
     found = F.concat(*[find_all(html, p[4:], 1, flags="i") for p in rules.PAGE_IMAGE_PATTERNS])
     keep = F.filter(found, lambda u: F.lower(u).contains("product") | F.lower(u).contains("item"))
-    return F.slice(keep, 1, cap)
+    return _first(keep, cap)
 
 
-def page_pools(html: Column, n: int) -> Column:
-    """eBay pools: item URLs and CDN images, else any https URL / any image (first n);
-    each pool is the list twice, cut to 2n."""
+def page_pools(html: Column, n: int | None = None) -> Column:
+    """eBay pools: item URLs and CDN images, else any https URL / any image; each pool is the
+    list twice. With ``n``, fallback lists are cut to n and pools to 2n."""
     def pool(primary: Column, fallback_pattern: str) -> Column:
         return let(primary, lambda a: let(
             F.when(F.size(a) > 0, a).otherwise(
-                F.slice(F.regexp_extract_all(html, F.lit(fallback_pattern), F.lit(0)), 1, n)),
-            lambda b: F.slice(F.concat(b, b), 1, 2 * n)))
+                _first(F.regexp_extract_all(html, F.lit(fallback_pattern), F.lit(0)), n)),
+            lambda b: _first(F.concat(b, b), n and 2 * n)))
     urls = pool(F.regexp_extract_all(html, F.lit(rules.EBAY_ITEM_URL), F.lit(0)), rules.ANY_HTTPS_URL)
     imgs = pool(F.regexp_extract_all(html, F.lit(rules.EBAY_IMAGE_URL), F.lit(0)), rules.ANY_IMAGE_URL)
     return F.struct(urls.alias("urls"), imgs.alias("images"))
 
 
-def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: int | None, cap: int,
-                  close_over: int | None = None) -> Column:
+def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: int | None,
+                  cap: int | None = None, close_over: int | None = None) -> Column:
     """Chunk boundaries from per-line lengths and per-line "closing" flags.
 
     A chunk of >= 2 lines closes at a flagged line (or, with ``close_over``, once
     it is longer than that); a closed chunk shorter than ``min_keep`` is dropped
     (its lines are consumed anyway); with ``max_len`` a chunk longer than that
-    ends regardless; the tail is kept; at most ``cap`` chunks. The fold state is
+    ends regardless; the tail is kept; the first ``cap`` chunks, if given. The fold state is
     four integers and the boundary list -- no text is copied.
     """
     init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("len"),
                     F.array().cast("array<struct<s:int,e:int>>").alias("b"))
 
+    def room(acc):
+        return F.lit(True) if cap is None else F.size(acc["b"]) < cap
+
     def step(acc, x):
         i = acc["i"]
         n2 = acc["n"] + 1
@@ -153,7 +162,7 @@ def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: in
         close = (n2 >= 2) & trig
         emit_close = close if min_keep is None else (close & (len2 > min_keep))
         over = (~close & (len2 > max_len)) if max_len is not None else F.lit(False)
-        emit = (emit_close | over) & (F.size(acc["b"]) < cap)
+        emit = (emit_close | over) & room(acc)
         b2 = F.when(emit, F.concat(acc["b"], F.array(F.struct(acc["s"].alias("s"), (i + 1).alias("e")))))\
             .otherwise(acc["b"])
         reset = close | over
@@ -164,7 +173,7 @@ def _chunk_bounds(lens: Column, flags: Column, max_len: int | None, min_keep: in
                         b2.alias("b"))
 
     def finish(acc):
-        return F.when((acc["n"] > 0) & (F.size(acc["b"]) < cap),
+        return F.when((acc["n"] > 0) & room(acc),
                       F.concat(acc["b"], F.array(F.struct(acc["s"].alias("s"), (acc["s"] + acc["n"]).alias("e")))))\
             .otherwise(acc["b"])
 
@@ -190,8 +199,9 @@ def ebay_flags(lines: Column) -> Column:
     return F.transform(lines, lambda l: l.rlike(jre(rules.EBAY_CHUNK_PRICE)))
 
 
-def chunk_array(text: Column, rule: str = "generic") -> Column:
-    """The chunk array of ``text`` (E9 generic rule, or E9b with ``rule='ebay'``).
+def chunk_array(text: Column, rule: str = "generic", cap: int | None = None, min_keep: int | None = None) -> Column:
+    """The chunk array of ``text`` (E9 generic rule, or E9b with ``rule='ebay'``). With ``cap``,
+    the first chunks only; with ``min_keep``, generic chunks of at most so many characters go.
 
     The line array is bound once (``let``); per-line lengths and closing flags
     are computed from it by ``transform``; the fold only combines integers and
@@ -200,11 +210,9 @@ def chunk_array(text: Column, rule: str = "generic") -> Column:
     def build(ls: Column) -> Column:
         lens = F.transform(ls, lambda l: F.length(l))
         if rule == "ebay":
-            bounds = _chunk_bounds(lens, ebay_flags(ls), None, None, rules.EBAY_CHUNK_CAP,
-                                   close_over=rules.EBAY_CHUNK_MAX)
+            bounds = _chunk_bounds(lens, ebay_flags(ls), None, None, cap, close_over=rules.EBAY_CHUNK_MAX)
         else:
-            bounds = _chunk_bounds(lens, generic_flags(ls), rules.GENERIC_CHUNK_MAX, rules.GENERIC_CHUNK_MIN,
-                                   rules.GENERIC_CHUNK_CAP)
+            bounds = _chunk_bounds(lens, generic_flags(ls), rules.GENERIC_CHUNK_MAX, min_keep, cap)
         return F.transform(bounds, lambda c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n"))
     return let(chunk_lines(text), build)
 

@@ -45,20 +45,20 @@ def final_title(col: Column, site_key: str) -> Column:
 
 
 def generic_title(col: Column) -> Column:
-    """Generic clean-up: cut at a price or the word 'price', collapse, <= 100 chars."""
+    """Generic clean-up: cut at a price or the word 'price', collapse."""
     t = sub(col, rules.GENERIC_TITLE_PRICE_CUT)
     t = F.regexp_replace(t, F.lit("(?Ud)" + rules.GENERIC_TITLE_WORD_CUT), F.lit(""))
-    return F.substring(collapse_ws(t), 1, rules.TITLE_MAX_CHARS)
+    return collapse_ws(t)
 
 
 def ebay_title(col: Column) -> Column:
-    """eBay clean-up: model phrase, else from 'iPhone' on; drop after a dash; <= 100."""
+    """eBay clean-up: model phrase, else from 'iPhone' on; drop after a dash."""
     model = search(col, rules.EBAY_CLEAN_MODEL[4:], 1, flags="i")
     iphone = F.when(col.contains("iPhone"), search(col, rules.EBAY_CLEAN_IPHONE[4:], 0, flags="i"))
     t = F.coalesce(pystrip(model), pystrip(iphone), col)
     t = F.regexp_replace(t, F.lit(r"(?Ud)\s+"), F.lit(" "))
     t = F.regexp_replace(t, F.lit(rules.EBAY_CLEAN_DASH), F.lit(""))
-    return F.substring(pystrip(t), 1, rules.TITLE_MAX_CHARS)
+    return pystrip(t)
 
 
 # ------------------------------------------------------------------ validity

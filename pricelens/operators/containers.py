@@ -125,8 +125,8 @@ def _attr_values(n: _Node, tag: str, attr: str) -> list[str]:
     return [e.attrs[attr] for e in _elements(n) if e.tag == tag and e.attrs.get(attr)]
 
 
-def find_containers(html: str, site_key: str, n: int) -> list[_Node]:
-    """The first ``n`` containers of a page under the site's selector cascade."""
+def find_containers(html: str, site_key: str, n: int | None = None) -> list[_Node]:
+    """The containers of a page (the first ``n``, if given) under the site's selector cascade."""
     p = _Tree()
     try:
         p.feed(html or "")
@@ -147,8 +147,8 @@ def find_containers(html: str, site_key: str, n: int) -> list[_Node]:
     return divs[:n]
 
 
-def containers(pages: DataFrame, n: int) -> DataFrame:
-    """(page_id, site_key, html) -> one row per container (first ``n`` per page)."""
+def containers(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """(page_id, site_key, html) -> one row per container (the first ``n`` of a page, if given)."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -161,8 +161,8 @@ def containers(pages: DataFrame, n: int) -> DataFrame:
     return pages.select("page_id", "site_key", "url", "html").mapInPandas(split, CONTAINER_SCHEMA)
 
 
-def container_text(texts, word_limit) -> "F.Column":
-    """Texts joined by ' | ', whitespace collapsed, words of ``word_limit``+ chars dropped."""
+def container_text(texts, word_limit: int | None = None) -> "F.Column":
+    """Texts joined by ' | ', whitespace collapsed; with ``word_limit``, words as long are dropped."""
     t = F.regexp_replace(F.array_join(texts, " | "), F.lit(r"(?U)\s+"), F.lit(" "))
-    words = F.filter(F.split(t, " "), lambda w: (F.length(w) > 0) & (F.length(w) < word_limit))
+    words = F.filter(F.split(t, " "), lambda w: (F.length(w) > 0) if word_limit is None else (F.length(w) > 0) & (F.length(w) < word_limit))
     return F.array_join(words, " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -52,7 +52,6 @@ from ..functions import titles as TI  # noqa: E402
 from . import containers as CT  # noqa: E402
 
 CONTAINER_SITES = [s for s, *_ in rules.SITE_LIMITS]
-_LIMITS = {k: (mn, wl) for k, mn, wl, _a, _b in rules.SITE_LIMITS}
 _ROOT = {k: (root, host) for (_o, k, _n, _p, root, host) in rules.SITES}
 _NAME = {k: n for (_o, k, n, *_x) in rules.SITES}
 _ORD = {k: o for (o, k, *_x) in rules.SITES}
@@ -87,14 +86,13 @@ def first_image(srcs: Column, site_key: str) -> Column:
 
 
 def container_offers(cont: DataFrame, mode: str = "pattern") -> DataFrame:
-    """E5-E7 for the container sites: text gate, links, title/price rules, offer gate, id."""
+    """E5-E7 for the container sites: text, links, title/price rules, offer gate, id."""
     site = F.col("site_key")
-    text = by_site(site, lambda k: CT.container_text(F.col("texts"), _LIMITS[k][1]))
-    min_len = by_site(site, lambda k: F.lit(_LIMITS[k][0]))
+    text = CT.container_text(F.col("texts"))
     # rows are emitted through a one-element explode, not a filter, so the text and
     # the offer rules are evaluated once (a filter would be pushed below and re-run them)
     c = cont.select("page_id", "site_key", "url", "pos", "hrefs", "srcs",
-                    F.explode(TX.if_present(let(text, lambda t: F.when(F.length(t) >= min_len, t)))).alias("text"))
+                    F.explode(TX.if_present(text)).alias("text"))
     o = c.select(
         "page_id", "site_key", "url", "pos",
         by_site(site, lambda k: first_link(F.col("hrefs"), k)).alias("product_url"),
@@ -111,9 +109,9 @@ def container_offers(cont: DataFrame, mode: str = "pattern") -> DataFrame:
     )
 
 
-def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
+def ebay_offers(pages: DataFrame, n: int | None = None) -> DataFrame:
     """eBay job: main text -> eBay chunks -> positional URL/image pools -> title/price
-    rules -> gate; the cap counts *accepted* offers (first ``n`` by chunk order)."""
+    rules -> gate; with ``n``, the first accepted offers of a page in chunk order."""
     p = pages.filter(F.col("site_key") == "ebay").select(
         "page_id", "url", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"),
         TX.page_pools(F.col("html"), n).alias("pool"))
@@ -124,9 +122,9 @@ def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
                   F.get(F.col("pool.images"), F.col("pos")).alias("image_url"),
                   F.explode(F.array(TI.site_offer_parts(F.col("chunk"), "ebay"))).alias("o")) \
         .filter(TI.offer_gate(F.col("o")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("page_id").orderBy("pos")
-    o = o.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
+    if n is not None:
+        w = Window.partitionBy("page_id").orderBy("pos")
+        o = o.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
     return o.select(
         offer_id(F.lit("ebay"), F.col("o.title"), F.col("pos")).alias("id"),
         "page_id", F.lit("ebay").alias("site_key"), "pos",
@@ -136,11 +134,11 @@ def ebay_offers(pages: DataFrame, n: int) -> DataFrame:
         F.lit(_NAME["ebay"]).alias("source"), F.lit(None).cast("string").alias("extraction_method"))
 
 
-def extract_offers(pages: DataFrame, n: int, mode: str = "pattern") -> DataFrame:
+def extract_offers(pages: DataFrame, n: int | None = None, mode: str = "pattern") -> DataFrame:
     """All sites' offers from captured result pages (page_id, url, html, site_key).
 
     Container sites go through the HTML container step; eBay through text
-    chunks. One stage per branch, no shuffle except eBay's accepted-offer cap.
+    chunks. One stage per branch, no shuffle (with ``n``, one for eBay's accepted offers).
     """
     cont = CT.containers(pages.filter(F.col("site_key") != "ebay"), n)
     return container_offers(cont, mode).unionByName(ebay_offers(pages, n))
@@ -170,11 +168,11 @@ def split_errors(df: DataFrame, status: str = "status") -> tuple[DataFrame, Data
     return df.filter(F.col(status) == "ok"), df.filter(F.col(status) != "ok")
 
 
-def chunk_offers(pages: DataFrame, budget: int = rules.GENERIC_RESULT_CAP) -> DataFrame:
+def chunk_offers(pages: DataFrame, budget: int | None = None) -> DataFrame:
     """Generic extractor over pages (page_id, url, html, query).
 
-    Main text (>= 100 chars) -> line chunks (first 20) -> the first ``budget``
-    chunks -> relevance gate (>= 0.3) -> entities -> offer; the i-th chunk takes
+    Main text -> line chunks (the first ``budget``, if given) -> relevance gate
+    (>= 0.3) -> entities -> offer; the i-th chunk takes
     the i-th product link / image of the page (page URL / '' past the end; i counts
     chunks before any filtering); valid if title > 5 chars and price > 0; source
     from the page URL.
@@ -186,7 +184,7 @@ def chunk_offers(pages: DataFrame, budget: int = rules.GENERIC_RESULT_CAP) -> Da
                      TX.page_images(F.col("html")).alias("images"))
     c = TX.with_chunks(p, "text", "chunks").select(
         "page_id", "url", "query", "links", "images", F.posexplode("chunks").alias("pos", "chunk"))
-    c = c.filter(F.col("pos") < budget).select(
+    c = c.filter(F.lit(True) if budget is None else F.col("pos") < budget).select(
         "*", F.explode(TX.if_present(let(relevance(F.col("chunk"), F.col("query")),
                                          lambda r: F.when(r >= rules.RELEVANCE_MIN, r)))).alias("rel"))
     valid = lambda o: F.when((F.length(o["title"]) > 5) & (o["price"] > 0), o)

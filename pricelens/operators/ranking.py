@@ -1,11 +1,9 @@
 """Ranking, budgets and de-duplication of offers.
 
-Per-search steps run on lists whose length is bounded by the result cap (at
-most ``GENERIC_RESULT_CAP`` offers per search, at most 5 sites), so packing a
-search's offers into one array and folding over it with ``aggregate`` is
-bounded work per row -- and it states the reference's sequential rules
-("walk in rank order", "earlier site fills first") exactly, with no pair
-generation and no driver loop.
+The sequential rules ("walk in rank order", "earlier site fills first") are folds
+over one array per search: the budget's holds at most ``n`` offers of each site,
+the near-duplicate walk's the search's distinct titles. Ranks are numbered
+without a per-search window.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.regex import pystrip
 from ..functions.relevance import ROUND, score, terms, with_relevance
+from .windows import skew_safe_row_number
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
@@ -69,14 +68,26 @@ def rank_offers(offers: DataFrame, searches: DataFrame | None = None, key: str =
             .withColumn("rank", F.row_number().over(w).cast("long")).drop("query"))
 
 
+def number_by_score(scored: DataFrame, tie: Sequence[str], key: str = "query_id") -> DataFrame:
+    """R3 over already scored offers (``relevance_score``): descending, stable on ``tie``; a
+    search of any size is numbered by many tasks."""
+    return skew_safe_row_number(scored.withColumn("_by", -F.col("relevance_score")), key, ["_by", *tie], "rank").drop("_by")
+
+
 def dedupe_offers(ranked: DataFrame, key: str = "query_id", order: str = "rank",
                   keep: Sequence[str] = ("title",)) -> DataFrame:
     """Walk each search's offers in rank order; drop an offer whose title is
     more than 0.8 relevant to an already kept title (new title as text, kept
-    title as query, both lower-cased). Input lists are capped (<= 15 per search);
-    each title is tokenized once, before packing."""
+    title as query, both lower-cased).
+
+    Equal titles fall to the first of them by an aggregate with map-side combine, so a search's
+    list holds its distinct titles only; each is tokenized once, before packing. (A blank
+    title is relevant to nothing, itself included: every one of them stays.)"""
     cols = [order, *[c for c in keep if c != order]]
-    items = ranked.select(key, *cols, terms(F.lower(F.col("title"))).alias("_t"))
+    blank = F.when(pystrip(F.col("title")) == "", F.col(order)).alias("_blank")
+    first = ranked.groupBy(key, "title", blank).agg(F.min(order).alias(order), *[
+        F.min_by(c, order).alias(c) for c in keep if c not in (order, "title")])
+    items = first.select(key, *cols, terms(F.lower(F.col("title"))).alias("_t"))
     packed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols, "_t"))).alias("items"))
     empty = F.array().cast(packed.schema["items"].dataType.simpleString())
 
@@ -90,7 +101,7 @@ def dedupe_offers(ranked: DataFrame, key: str = "query_id", order: str = "rank",
 
 def dedupe_signature(df: DataFrame, key: Sequence[str], order: Sequence[str],
                      title: str = "title", price: str = "price") -> DataFrame:
-    """Exact signature ``lower(trim(title))[:50] | lower(trim(price))``; the first
+    """Exact signature ``lower(trim(title)) | lower(trim(price))``; the first
     row per signature wins; rows with neither title nor price are skipped.
 
     ``groupBy(signature).agg(min_by(...))`` -- partial aggregation on the map
@@ -98,15 +109,9 @@ def dedupe_signature(df: DataFrame, key: Sequence[str], order: Sequence[str],
     """
     t = F.lower(pystrip(F.coalesce(F.col(title), F.lit(""))))
     p = F.lower(pystrip(F.coalesce(F.col(price), F.lit(""))))
-    sig = F.concat(F.substring(t, 1, 50), F.lit("|"), p)
+    sig = F.concat(t, F.lit("|"), p)
     d = df.filter((t != "") | (p != "")).withColumn("signature", sig)
     others = [c for c in df.columns if c not in key]
     packed = F.struct(*[F.col(c) for c in others])
     return (d.groupBy(*key, "signature").agg(F.min_by(packed, F.struct(*_cols(order))).alias("_r"))
             .select(*key, "signature", *[F.col(f"_r.{c}").alias(c) for c in others]))
-
-
-def top_n(df: DataFrame, n: int, key: str = "query_id", order: str = "rank") -> DataFrame:
-    """Keep the first ``n`` rows per key (a WindowGroupLimit)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from ..functions.prices import number_text
 from ..functions.regex import let, pystrip
 from ..session import checkpoint_dir
 
@@ -31,7 +32,7 @@ def annotate(query: Column, title: Column, price: Column, currency: Column, url:
     """Offer -> annotated text with [TITLE]/[PRICE]/[URL]/[IMG] spans; NULL without title or price."""
     def opt(c: Column, fmt) -> Column:
         return F.when(c.isNotNull() & (c != ""), fmt(c)).otherwise(F.lit(""))
-    price_str = pystrip(F.concat_ws(" ", F.coalesce(currency, F.lit("")), price.cast("string")))
+    price_str = pystrip(F.concat_ws(" ", F.coalesce(currency, F.lit("")), number_text(price.cast("double"))))
     text = F.concat(
         F.lit("Query: "), query, F.lit("\n"),
         F.lit("[TITLE]"), title, F.lit("[/TITLE] "),
@@ -145,7 +146,8 @@ def training_stats(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("earliest"), F.max("timestamp").alias("latest"),
         F.grouping_id().alias("_g"))
     kind = F.when(F.col("_g") == 1, F.lit("source")).when(F.col("_g") == 2, F.lit("query")).otherwise(F.lit("total"))
-    key = F.coalesce(F.when(F.col("_g") == 1, F.col("source")).when(F.col("_g") == 2, F.col("query")), F.lit(""))
+    key = F.coalesce(F.when(F.col("_g") == 1, F.col("source")).when(F.col("_g") == 2, F.col("query")),
+                     F.when(F.col("_g") == 3, F.lit("")).otherwise(F.lit("unknown")))
     return g.select(kind.alias("kind"), key.alias("key"), "n", "earliest", "latest")
 
 

@@ -18,12 +18,13 @@ def _nonempty(c: Column) -> Column:
 
 
 def parse_analysis(response: Column) -> Column:
-    """JSON text -> VARIANT, NULL when empty or malformed (no exception)."""
-    return F.try_parse_json(F.nullif(pystrip(response), F.lit("")))
+    """JSON text -> VARIANT, NULL when empty, malformed or no object (no exception)."""
+    v = F.try_parse_json(F.nullif(pystrip(response), F.lit("")))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
 
 
 def normalize_analysis(df: DataFrame, response: str = "response") -> DataFrame:
-    """V1: trimmed names, brand '' -> NULL (NULL allowed), at most 5 features and
+    """V1: trimmed names, brand '' -> NULL (NULL allowed), all features and
     search terms, confidence default 0.8 clamped to [0, 1]; no usable name ->
     'Unidentified Product' at 0.3; unreadable responses -> a failure row."""
     def build(v: Column) -> Column:
@@ -43,9 +44,9 @@ def normalize_analysis(df: DataFrame, response: str = "response") -> DataFrame:
             F.when(ok, pystrip(F.coalesce(get("$.category", "string"), F.lit("Unknown"))))
              .otherwise(F.lit("Error")).alias("category"),
             F.when(ok, F.nullif(pystrip(get("$.brand", "string")), F.lit(""))).alias("brand"),
-            F.when(ok, F.slice(F.coalesce(get("$.features", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
+            F.when(ok, F.coalesce(get("$.features", "array<string>"), empty))
              .otherwise(empty).alias("features"),
-            F.when(ok, F.slice(F.coalesce(get("$.search_terms", "array<string>"), empty), 1, rules.ANALYSIS_MAX_ITEMS))
+            F.when(ok, F.coalesce(get("$.search_terms", "array<string>"), empty))
              .otherwise(empty).alias("search_terms"),
             F.when(ok, F.when(unnamed, F.lit(rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE)).otherwise(conf))
              .otherwise(F.lit(0.0)).alias("confidence"),

@@ -10,11 +10,9 @@ from ..functions.regex import let
 from ..functions.relevance import ROUND, STOP_CTE, score, score_sql, terms, terms_select, with_relevance
 from ..operators import ranking as RK
 from ..sources import fixtures as fx
-from .compare_queries import UNION_SQL, union_sites_df
 from .registry import query
 
 N = rules.GENERIC_RESULT_CAP   # 15 results per search
-CHUNK_CAP = rules.GENERIC_CHUNK_CAP
 L = fx.LINE_ORDER_SQL
 FXR = ["offers", "searches"]
 
@@ -24,56 +22,56 @@ def _description(title, source):
 
 
 def candidates_df(spark, sf_dir):
-    """Generic-extractor candidates: each site's first chunks (offers) per search,
-    with the relevance gate of the chunk text against the query."""
-    o = fx.offers(spark, sf_dir)
-    w = Window.partitionBy("query_id", "site_ord").orderBy(*fx.LINE_ORDER)
+    """Generic-extractor candidates: every offer of a search, with the relevance gate of its
+    text against the query. Scores depend on (search, title, source) only and are computed
+    once for each."""
     gen = F.create_map(*[x for i, k in enumerate(rules.GENERIC_SITE_ORDER) for x in (F.lit(k), F.lit(i))])
-    # filter on the row number itself so the planner inserts a partial (map-side) group limit
-    c = (o.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= CHUNK_CAP)
-         .withColumn("pos", F.col("_rn") - 1).drop("_rn")
-         .withColumn("description", _description(F.col("title"), F.col("source")))
+    c = (fx.offers(spark, sf_dir).withColumn("description", _description(F.col("title"), F.col("source")))
          .withColumn("gen_ord", F.try_element_at(gen, F.col("site_key"))))
-    s = fx.searches(spark, sf_dir).select("query_id", "query")
-    c = with_relevance(c.join(s, "query_id"), "description", "query", "_gate")
-    gate = (F.col("_gate") >= rules.RELEVANCE_MIN) & (F.length("title") > 5) & (F.col("price") > 0)
-    return c.withColumn("valid", gate).drop("_gate")
+    keys = c.select("query_id", "query", "title", "source", "description").distinct()
+    scored = with_relevance(with_relevance(keys, "title", "query", "_rt"), "description", "query", "_rd")
+    scored = scored.select("query_id", "title", "source", (F.col("_rd") >= rules.RELEVANCE_MIN).alias("_gate"),
+                           F.round(F.col("_rt") * rules.RANK_TITLE_WEIGHT + F.col("_rd") * rules.RANK_DESC_WEIGHT, ROUND)
+                           .alias("relevance_score"))
+    c = c.join(scored, ["query_id", "title", "source"])
+    return c.withColumn("valid", F.col("_gate") & (F.length("title") > 5) & (F.col("price") > 0)).drop("_gate")
 
 
 def top_df(spark, sf_dir):
-    """Sites are visited in the generic extractor's order (``gen_ord``)."""
-    return RK.site_budget(candidates_df(spark, sf_dir), N, site="gen_ord")
+    """Sites are visited in the generic extractor's order (``gen_ord``). No site can look past
+    its first N offers, so only those are numbered (a map-side group limit)."""
+    w = Window.partitionBy("query_id", "site_ord").orderBy(*fx.LINE_ORDER)
+    first = (candidates_df(spark, sf_dir).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= N)
+             .withColumn("pos", F.col("_rn") - 1).drop("_rn"))
+    return RK.site_budget(first, N, site="gen_ord")
 
 
 def ranked_df(spark, sf_dir):
-    return RK.rank_offers(top_df(spark, sf_dir), tie=("gen_ord", "pos"))  # candidates carry their query
+    """Every valid offer of every search, ranked."""
+    c = candidates_df(spark, sf_dir).filter("valid")
+    return RK.number_by_score(c, tie=("gen_ord", *fx.LINE_ORDER))
 
 
 _GEN_SQL = "CASE site_key " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(rules.GENERIC_SITE_ORDER)) + " END"
-_CAND_SRC = f"""SELECT c.*, s.query FROM (SELECT *, 'Buy ' || title || ' from ' || source AS description,
-        {_GEN_SQL} AS gen_ord FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {L}) - 1 AS pos FROM offers) o
-        WHERE pos < {CHUNK_CAP}) c JOIN searches s USING (query_id)"""
-CAND_SQL = f"""SELECT *, ({score_sql('tq', 'td')} >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid
-  FROM ({terms_select(_CAND_SRC, {'tq': 'query', 'td': 'description'})}) t"""
+_CAND_SRC = f"""SELECT *, 'Buy ' || title || ' from ' || source AS description, {_GEN_SQL} AS gen_ord FROM offers"""
+CAND_SQL = f"""SELECT *, ({score_sql('tq', 'td')} >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid,
+  round({score_sql('tq', 'tt')} * {rules.RANK_TITLE_WEIGHT} + {score_sql('tq', 'td')} * {rules.RANK_DESC_WEIGHT}, {ROUND}) AS relevance_score
+  FROM ({terms_select(_CAND_SRC, {'tq': 'query', 'tt': 'title', 'td': 'description'})}) t"""
 
 
 def _ctes() -> str:
-    steps = [STOP_CTE, f"cand AS ({CAND_SQL})", f"b0 AS (SELECT query_id, {N} AS b0 FROM searches)"]
+    steps = [STOP_CTE, f"cand AS MATERIALIZED ({CAND_SQL})",
+             f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {L}) - 1 AS pos
+      FROM cand) f WHERE pos < {N})""", f"b0 AS (SELECT query_id, {N} AS b0 FROM searches)"]
     for k in range(len(rules.SITES)):
         steps.append(
-            f"b{k + 1} AS (SELECT p.*, greatest(p.b{k} - (SELECT count(*) FROM cand v WHERE v.valid "
+            f"b{k + 1} AS (SELECT p.*, greatest(p.b{k} - (SELECT count(*) FROM first v WHERE v.valid "
             f"AND v.query_id = p.query_id AND v.gen_ord = {k} AND v.pos < p.b{k}), 0) AS b{k + 1} FROM b{k} p)")
     case = "CASE v.gen_ord " + " ".join(f"WHEN {k} THEN bb.b{k}" for k in range(len(rules.SITES))) + " END"
-    steps.append(f"top AS (SELECT v.* FROM cand v JOIN b{len(rules.SITES)} bb USING (query_id) "
+    steps.append(f"top AS (SELECT v.* FROM first v JOIN b{len(rules.SITES)} bb USING (query_id) "
                  f"WHERE v.valid AND v.pos < {case})")
-    rank_src = ("SELECT t.query_id, t.gen_ord, t.site_key, t.pos, t.title, t.description, s.query "
-                "FROM top t JOIN searches s USING (query_id)")
-    scored = terms_select(rank_src, {"rq": "query", "rt": "title", "rd": "description"})
     steps.append(f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC,
-      gen_ord, pos) AS rank FROM (SELECT query_id, gen_ord, site_key, pos, title, description,
-      round({score_sql('rq', 'rt')} * {rules.RANK_TITLE_WEIGHT} + {score_sql('rq', 'rd')} * {rules.RANK_DESC_WEIGHT},
-      {ROUND}) AS relevance_score FROM ({scored}) z) r)""")
+      gen_ord, {L}) AS rank FROM cand WHERE valid)""")
     return "WITH " + ",\n".join(steps)
 
 
@@ -113,14 +111,15 @@ def top_offers(spark, sf_dir):
     return top_df(spark, sf_dir).select("query_id", "site_key", "pos", "title", "price")  # noqa
 
 
-@query("rank_offers", sql=f"{CTES}\nSELECT query_id, rank, site_key, pos, relevance_score FROM ranked",
+@query("rank_offers", sql=f"{CTES}\nSELECT query_id, rank, site_key, l_orderkey, l_linenumber, relevance_score FROM ranked",
        fixtures=FXR)
 def rank_offers(spark, sf_dir):
     """Offers ranked by 0.7 x title relevance + 0.3 x description relevance (stable)."""
-    return ranked_df(spark, sf_dir).select("query_id", "rank", "site_key", "pos", "relevance_score")
+    return ranked_df(spark, sf_dir).select("query_id", "rank", "site_key", "l_orderkey", "l_linenumber", "relevance_score")
 
 
-_PACK_SRC = terms_select("SELECT query_id, rank, title FROM ranked", {"tt": "lower(title)"})
+# Equal titles fall to the first of them; what is left is walked in rank order.
+_PACK_SRC = terms_select("SELECT query_id, min(rank) AS rank, title FROM ranked GROUP BY query_id, title, CASE WHEN trim(title) = '' THEN rank END", {"tt": "lower(title)"})
 _DUP = (f"list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: "
         f"{score_sql('k.t', 'x.t')} > {rules.DUPLICATE_ABOVE})) > 0 THEN acc ELSE list_append(acc, x) END, "
         f"[]::STRUCT(rank BIGINT, title VARCHAR, t STRUCT(grams VARCHAR[], words VARCHAR[], low VARCHAR))[])")
@@ -142,7 +141,7 @@ _SIG_T = "regexp_replace(title, '^\\s+|\\s+$', '', 'g')"
 @query("dedupe_signature", sql=f"""SELECT query_id, signature, title, price_text FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, signature ORDER BY site_ord, {L}) AS rn FROM (
     SELECT query_id, site_ord, {L}, title, CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
-      substr(lower({_SIG_T}), 1, 50) || '|' || lower(CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)) AS signature
+      lower({_SIG_T}) || '|' || lower(CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR)) AS signature
     FROM offers) x) y WHERE rn = 1""", fixtures=FXR)
 def dedupe_signature(spark, sf_dir):
     """Exact (title, price) signature de-duplication over all offers of a search, first row wins."""

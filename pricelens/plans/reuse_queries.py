@@ -58,10 +58,9 @@ def latest_per_key(spark, sf_dir):
 
 
 @query("evict_expired", sql=f"""WITH cur AS ({LATEST_SQL.format(where=f"WHERE cached_at <= {AS_OF_SQL}")})
-  SELECT cache_key, cached_at FROM cur WHERE (SELECT count(*) FROM cur) <= {rules.CACHE_CLEANUP_ABOVE}
-     OR {AGE_SQL} <= {TTL}""", fixtures=["result_store"])
+  SELECT cache_key, cached_at FROM cur WHERE {AGE_SQL} <= {TTL}""", fixtures=["result_store"])
 def evict_expired(spark, sf_dir):
-    """K4: clean-up of a large store: entries older than the TTL are removed."""
+    """K4: clean-up of the store: entries older than the TTL are removed."""
     store = fx.result_store(spark, sf_dir)
     cur = R.latest_per_key(store.filter(F.col("cached_at") <= _as_of()), tie="event_id")
     return R.evict(cur, _as_of()).select("cache_key", "cached_at")

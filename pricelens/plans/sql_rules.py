@@ -94,7 +94,7 @@ def final_title(x: str, site: str) -> str:
 def generic_title(x: str) -> str:
     t = sub(x, rules.GENERIC_TITLE_PRICE_CUT)
     t = sub(t, rules.GENERIC_TITLE_WORD_CUT[4:], "i")
-    return f"substr({collapse(t)}, 1, {rules.TITLE_MAX_CHARS})"
+    return collapse(t)
 
 
 def ebay_title(x: str) -> str:
@@ -103,7 +103,7 @@ def ebay_title(x: str) -> str:
     t = f"coalesce({model}, {iphone}, {x})"
     t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
     t = f"regexp_replace({t}, {sql_str(rules.EBAY_CLEAN_DASH)}, '', 'g')"
-    return f"substr({strip(t)}, 1, {rules.TITLE_MAX_CHARS})"
+    return strip(t)
 
 
 def valid_title(x: str, site: str = "jiji") -> str:
@@ -210,11 +210,6 @@ def price_fallback(x: str) -> tuple[str, str]:
             f"CASE WHEN {m} IS NOT NULL THEN {currency_of(m)} ELSE '' END")
 
 
-def description(x: str) -> str:
-    n = rules.DESCRIPTION_CHARS
-    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
-
-
 def entity_offer(x: str) -> dict[str, str]:
     t = longest(title_entities(x))
     fp = f"{price_entities(x)}[1]"
@@ -224,4 +219,4 @@ def entity_offer(x: str) -> dict[str, str]:
     return {"title": title,
             "price": f"CASE WHEN {has} THEN {amount_of(fp)} ELSE {fa} END",
             "currency": f"CASE WHEN {has} THEN {currency_of(fp)} ELSE {fc} END",
-            "description": description(x)}
+            "description": x}

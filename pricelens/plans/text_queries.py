@@ -11,7 +11,6 @@ from ..operators import extract as X
 from ..sources import fixtures as fx
 from ..sources import readers
 from ..sources.tables import load
-from .compare_queries import QUOTA
 from .registry import query
 
 # ---------------------------------------------------------------- SQL spellings
@@ -73,19 +72,18 @@ def _explode_sql(list_expr: str, key: str, name: str, table: str) -> str:
 _LINKS_SQL = ("list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)" for p in rules.PAGE_LINK_PATTERNS)
               + ")")
 _LINKS_SQL = f"list_transform({_LINKS_SQL}, lambda u: {url_join_sql('url', 'u')})"
-_LINKS_SQL = f"list_filter({_LINKS_SQL}, lambda x, i: list_position({_LINKS_SQL}, x) = i)[1:{rules.PAGE_URL_CAP}]"
+_LINKS_SQL = f"list_filter({_LINKS_SQL}, lambda x, i: list_position({_LINKS_SQL}, x) = i)"
 _IMGS_SQL = ("list_filter(list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)"
                                                    for p in rules.PAGE_IMAGE_PATTERNS)
-             + "), lambda u: contains(lower(u), 'product') OR contains(lower(u), 'item'))"
-             + f"[1:{rules.PAGE_IMAGE_CAP}]")
+             + "), lambda u: contains(lower(u), 'product') OR contains(lower(u), 'item'))")
 
 
-def _pool_sql(n: int) -> tuple[str, str]:
+def _pool_sql() -> tuple[str, str]:
     urls = f"regexp_extract_all(html, {_re(rules.EBAY_ITEM_URL)}, 0)"
     imgs = f"regexp_extract_all(html, {_re(rules.EBAY_IMAGE_URL)}, 0)"
-    urls = f"CASE WHEN len({urls}) > 0 THEN {urls} ELSE regexp_extract_all(html, {_re(rules.ANY_HTTPS_URL)}, 0)[1:{n}] END"
-    imgs = f"CASE WHEN len({imgs}) > 0 THEN {imgs} ELSE regexp_extract_all(html, {_re(rules.ANY_IMAGE_URL)}, 0)[1:{n}] END"
-    return f"list_concat({urls}, {urls})[1:{2 * n}]", f"list_concat({imgs}, {imgs})[1:{2 * n}]"
+    urls = f"CASE WHEN len({urls}) > 0 THEN {urls} ELSE regexp_extract_all(html, {_re(rules.ANY_HTTPS_URL)}, 0) END"
+    imgs = f"CASE WHEN len({imgs}) > 0 THEN {imgs} ELSE regexp_extract_all(html, {_re(rules.ANY_IMAGE_URL)}, 0) END"
+    return f"list_concat({urls}, {urls})", f"list_concat({imgs}, {imgs})"
 
 
 # ---------------------------------------------------------------- oracles for the folds
@@ -98,27 +96,25 @@ def _chunks_sql(lines: str, rule: str) -> str:
     """SQL fold over a line list (column reference): the same boundary rule as the Spark fold."""
     if rule == "ebay":
         flag = f"regexp_matches({lines}[i], {_re(rules.EBAY_CHUNK_PRICE)})"
-        cap, max_len, min_keep, close_over = rules.EBAY_CHUNK_CAP, None, None, rules.EBAY_CHUNK_MAX
+        max_len, close_over = None, rules.EBAY_CHUNK_MAX
     else:
         ind = "|".join(__import__("re").escape(w) for w in rules.GENERIC_CHUNK_INDICATORS)
         flag = (f"(regexp_matches(lower({lines}[i]), {_re(rules.GENERIC_CHUNK_PRICE)}) "
                 f"OR regexp_matches(lower({lines}[i]), {_re(ind)}))")
-        cap, max_len, min_keep, close_over = rules.GENERIC_CHUNK_CAP, rules.GENERIC_CHUNK_MAX, rules.GENERIC_CHUNK_MIN, None
+        max_len, close_over = rules.GENERIC_CHUNK_MAX, None
     items = f"list_transform(range(1, len({lines}) + 1), lambda i: struct_pack(l := length({lines}[i]), f := {flag}))"
     len2 = "CASE WHEN acc.n = 0 THEN x.l ELSE acc.len + 1 + x.l END"
     trig = f"(x.f OR {len2} > {close_over})" if close_over is not None else "x.f"
     close = f"(acc.n + 1 >= 2 AND {trig})"
-    emit_close = close if min_keep is None else f"({close} AND {len2} > {min_keep})"
     over = f"(NOT {close} AND {len2} > {max_len})" if max_len is not None else "FALSE"
-    emit = f"(({emit_close} OR {over}) AND len(acc.b) < {cap})"
     reset = f"({close} OR {over})"
     step = (f"struct_pack(i := acc.i + 1, s := CASE WHEN {reset} THEN acc.i + 1 ELSE acc.s END, "
             f"n := CASE WHEN {reset} THEN 0 ELSE acc.n + 1 END, len := CASE WHEN {reset} THEN 0 ELSE {len2} END, "
-            f"b := CASE WHEN {emit} THEN list_append(acc.b, struct_pack(s := acc.s, e := acc.i + 1)) ELSE acc.b END)")
+            f"b := CASE WHEN {reset} THEN list_append(acc.b, struct_pack(s := acc.s, e := acc.i + 1)) ELSE acc.b END)")
     init = ("struct_pack(i := 0::BIGINT, s := 0::BIGINT, n := 0::BIGINT, len := 0::BIGINT, "
             "b := []::STRUCT(s BIGINT, e BIGINT)[])")
     fold = f"list_reduce({items}, lambda acc, x: {step}, {init})"
-    fin = (f"CASE WHEN f.n > 0 AND len(f.b) < {cap} THEN list_append(f.b, struct_pack(s := f.s, e := f.s + f.n)) "
+    fin = (f"CASE WHEN f.n > 0 THEN list_append(f.b, struct_pack(s := f.s, e := f.s + f.n)) "
            f"ELSE f.b END")
     return fold, fin
 
@@ -133,7 +129,7 @@ def _chunk_query_sql(src: str, rule: str) -> str:
 
 _LP_TEXT = f"SELECT page_id, {main_text_sql('html')} AS text FROM listing_pages"
 _RAW_TEXT = f"SELECT -page_id - 1 AS page_id, {main_text_sql('html')} AS text FROM pages"
-_TEXT_OK = "SELECT * FROM ({}) t WHERE length(text) >= 100"
+_TEXT_OK = "SELECT * FROM ({}) t WHERE length(text) >= 1"
 ORACLE_CHUNKS = _chunk_query_sql(
     _TEXT_OK.format(_LP_TEXT) + " UNION ALL " + _TEXT_OK.format(_RAW_TEXT), "generic")
 ORACLE_CHUNKS_EBAY = _chunk_query_sql(_TEXT_OK.format(_LP_TEXT), "ebay")
@@ -172,9 +168,9 @@ def clean_html(spark, sf_dir):
 
 
 @query("page_text", sql=f"""SELECT page_id, t AS text, CAST(len(string_split(t, {_NL})) AS INTEGER) AS n_lines FROM
-  (SELECT page_id, {main_text_sql('html')} AS t FROM pages) x WHERE length(t) >= 100""")
+  (SELECT page_id, {main_text_sql('html')} AS t FROM pages) x WHERE length(t) >= 1""")
 def page_text(spark, sf_dir):
-    """Main text of each page as lines; pages under 100 chars of text are skipped."""
+    """Main text of each page as lines; pages without text are skipped."""
     p = load(spark, sf_dir, "pages").select("page_id", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
     return p.select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
 
@@ -189,19 +185,19 @@ def window_chunks(spark, sf_dir):
 
 @query("page_links", sql=_explode_sql(_LINKS_SQL, "page_id", "link", "listing_pages"), fixtures=["listing_pages"])
 def page_links(spark, sf_dir):
-    """Product-like links of each page, resolved, de-duplicated in order, at most 20."""
+    """Product-like links of each page, resolved, de-duplicated in order."""
     p = fx.listing_pages(spark, sf_dir)
     return p.select("page_id", F.posexplode(TX.page_links(F.col("html"), F.col("url"))).alias("pos", "link"))
 
 
 @query("page_images", sql=_explode_sql(_IMGS_SQL, "page_id", "image", "listing_pages"), fixtures=["listing_pages"])
 def page_images(spark, sf_dir):
-    """Product-like images of each page (no de-duplication), at most 20."""
+    """Product-like images of each page (no de-duplication)."""
     p = fx.listing_pages(spark, sf_dir)
     return p.select("page_id", F.posexplode(TX.page_images(F.col("html"))).alias("pos", "image"))
 
 
-_PU, _PI = _pool_sql(QUOTA)
+_PU, _PI = _pool_sql()
 
 
 @query("page_pools", sql=f"""{_explode_sql(_PU, 'page_id', 'value', 'listing_pages')}
@@ -211,7 +207,7 @@ _PU, _PI = _pool_sql(QUOTA)
        fixtures=["listing_pages"])
 def page_pools(spark, sf_dir):
     """eBay URL and image pools used for positional pairing."""
-    p = fx.listing_pages(spark, sf_dir).select("page_id", TX.page_pools(F.col("html"), QUOTA).alias("pool"))
+    p = fx.listing_pages(spark, sf_dir).select("page_id", TX.page_pools(F.col("html")).alias("pool"))
     u = p.select("page_id", F.lit("url").alias("kind"), F.posexplode("pool.urls").alias("pos", "value"))
     i = p.select("page_id", F.lit("image").alias("kind"), F.posexplode("pool.images").alias("pos", "value"))
     return u.unionByName(i)
@@ -242,27 +238,52 @@ def product_chunks_ebay(spark, sf_dir):
 
 def _containers(spark, sf_dir):
     pages = fx.listing_pages(spark, sf_dir).filter(F.col("site_key") != "ebay")
-    return CT.containers(pages, QUOTA)
+    return CT.containers(pages)
 
 
-@query("containers")
+# Oracles of the container jobs: a listing page is its fragments in id order, each fragment is one
+# container with one text, one link and one image; the scripts, menu and footer around are none.
+_FRAGMENTS_SQL = f"""SELECT CAST(id // {fx.PAGE_PARTS} AS BIGINT) AS page_id, t.site_key, t.link_root, t.source,
+  t.search_prefix || 'page' || CAST(id // {fx.PAGE_PARTS} AS VARCHAR) AS page_url, lt.id AS part, lt.text,
+  CAST(row_number() OVER (PARTITION BY id // {fx.PAGE_PARTS} ORDER BY id) - 1 AS INTEGER) AS pos,
+  t.link_root || '/item/' || CAST(id AS VARCHAR) || '.html' AS product_url,
+  'https://img.example.com/product/' || CAST(id AS VARCHAR) || '.jpg' AS image_url
+  FROM listing_text lt JOIN sites t ON t.site_ord = (id // {fx.PAGE_PARTS}) % 5 WHERE t.site_key <> 'ebay'"""
+
+
+def _extract_offers_sql() -> str:
+    from . import sql_rules as SR
+    def per_site(i: int) -> str:
+        return "CASE site_key " + " ".join(f"WHEN '{k}' THEN {SR.site_offer('text', k)[i]}" for k in X.CONTAINER_SITES) + " END"
+    ok, title, price = SR.site_offer("chunk", "ebay")
+    urls, images = _pool_sql()
+    return f"""SELECT site_key || '_' || substr(sha256(title || CAST(pos AS VARCHAR)), 1, 16) AS id, page_id, site_key, pos, title,
+    price, image_url, product_url AS url, source, 'ML-BERT' AS extraction_method
+  FROM (SELECT *, {per_site(0)} AS ok, {per_site(1)} AS title, {per_site(2)} AS price FROM ({_FRAGMENTS_SQL}) f) c WHERE ok
+  UNION ALL
+  SELECT 'ebay_' || substr(sha256(title || CAST(pos AS VARCHAR)), 1, 16), page_id, 'ebay', pos, title, price,
+    coalesce(images[pos + 1], ''), coalesce(urls[pos + 1], url), (SELECT source FROM sites WHERE site_key = 'ebay'), NULL
+  FROM (SELECT page_id, chunk_no AS pos, url, urls, images, {ok} AS ok, {title} AS title, {price} AS price
+        FROM ({ORACLE_CHUNKS_EBAY}) k JOIN (SELECT page_id, url, {urls} AS urls, {images} AS images FROM listing_pages
+                                            WHERE site_key = 'ebay') p USING (page_id)) e WHERE ok"""
+
+
+@query("containers", sql=f"""SELECT page_id, site_key, pos, 1::INTEGER AS n_texts, 1::INTEGER AS n_links, 1::INTEGER AS n_images
+  FROM ({_FRAGMENTS_SQL}) f""", fixtures=["listing_text", "sites"])
 def containers(spark, sf_dir):
-    """The first product containers of each listing page under its site's selector cascade."""
+    """The product containers of each listing page under its site's selector cascade."""
     return _containers(spark, sf_dir).select("page_id", "site_key", "pos", F.size("texts").alias("n_texts"),
                                              F.size("hrefs").alias("n_links"), F.size("srcs").alias("n_images"))
 
 
-@query("container_text")
+@query("container_text", sql=f"SELECT page_id, pos, text FROM ({_FRAGMENTS_SQL}) f", fixtures=["listing_text", "sites"])
 def container_text(spark, sf_dir):
-    """E5: container text (' | '-joined, long words dropped), gated by the site's minimum length."""
+    """E5: container text (' | '-joined)."""
     c = _containers(spark, sf_dir)
-    t = X.by_site(F.col("site_key"), lambda k: CT.container_text(F.col("texts"), X._LIMITS[k][1]))
-    mn = X.by_site(F.col("site_key"), lambda k: F.lit(X._LIMITS[k][0]))
-    return c.select("page_id", "pos", t.alias("text"), mn.alias("min_len")).filter(F.length("text") >= F.col("min_len")) \
-        .drop("min_len")
+    return c.select("page_id", "pos", CT.container_text(F.col("texts")).alias("text"))
 
 
-@query("container_links")
+@query("container_links", sql=f"SELECT page_id, pos, product_url, image_url FROM ({_FRAGMENTS_SQL}) f", fixtures=["listing_text", "sites"])
 def container_links(spark, sf_dir):
     """First acceptable product link and image of each container."""
     c = _containers(spark, sf_dir)
@@ -271,10 +292,10 @@ def container_links(spark, sf_dir):
                     X.by_site(F.col("site_key"), lambda k: X.first_image(F.col("srcs"), k)).alias("image_url"))
 
 
-@query("extract_offers")
+@query("extract_offers", sql=_extract_offers_sql(), fixtures=["listing_text", "listing_pages", "sites"])
 def extract_offers(spark, sf_dir):
     """Full per-site offer extraction from listing pages (pattern mode)."""
-    return X.extract_offers(fx.listing_pages(spark, sf_dir), QUOTA, "pattern")
+    return X.extract_offers(fx.listing_pages(spark, sf_dir), mode="pattern")
 
 
 @query("drop_blob_logs", sql=f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents
@@ -286,7 +307,7 @@ def drop_blob_logs(spark, sf_dir):
 
 
 @query("quarantine", sql=f"""SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty'
-    WHEN length({main_text_sql('html')}) < 100 THEN 'no_text' ELSE 'ok' END AS status FROM pages""")
+    WHEN length({main_text_sql('html')}) < 1 THEN 'no_text' ELSE 'ok' END AS status FROM pages""")
 def quarantine(spark, sf_dir):
     """Each page is either processed ('ok') or set aside with a reason; one bad page never stops the rest."""
     p = load(spark, sf_dir, "pages").select("page_id", "html")
@@ -304,12 +325,11 @@ def _chunk_offers_sql() -> str:
         array_to_string(ls[c.s + 1:c.e], {_NL}) AS chunk FROM (
       SELECT *, unnest(bnd) AS c, generate_subscripts(bnd, 1) AS k FROM (
         SELECT *, {fin} AS bnd FROM (SELECT *, {fold} AS f FROM (
-          SELECT *, {_lines_sql('text')} AS ls FROM ({pages}) p WHERE length(text) >= 100) a) b) c) d"""
+          SELECT *, {_lines_sql('text')} AS ls FROM ({pages}) p WHERE length(text) >= 1) a) b) c) d"""
     rel = f"SELECT *, {score_sql('tq', 'tc')} AS rel FROM ({terms_select(chunks, {'tq': 'query', 'tc': 'chunk'})}) r"
     eo = SR.entity_offer("chunk")
     offers = (f"SELECT *, {eo['title']} AS o_title, {eo['price']} AS o_price, {eo['currency']} AS o_currency, "
-              f"{eo['description']} AS o_desc FROM ({rel}) e WHERE pos < {rules.GENERIC_RESULT_CAP} "
-              f"AND rel >= {rules.RELEVANCE_MIN}")
+              f"{eo['description']} AS o_desc FROM ({rel}) e WHERE rel >= {rules.RELEVANCE_MIN}")
     host = _HOST_SQL
     src = "CASE " + " ".join(f"WHEN contains({host}, '{h}') THEN '{n}'" for h, n, _k in rules.HOST_SOURCES) + " ELSE 'Unknown' END"
     key = "CASE " + " ".join(f"WHEN contains({host}, '{h}') THEN '{k}'" for h, _n, k in rules.HOST_SOURCES) + " ELSE 'unknown' END"

@@ -157,7 +157,8 @@ def training_ready(spark, sf_dir):
 
 @query("training_stats", sql=f"""SELECT CASE WHEN grouping(source, query) = 1 THEN 'source'
     WHEN grouping(source, query) = 2 THEN 'query' ELSE 'total' END AS kind,
-  coalesce(CASE WHEN grouping(source, query) = 1 THEN source WHEN grouping(source, query) = 2 THEN query END, '') AS key,
+  coalesce(CASE WHEN grouping(source, query) = 1 THEN source WHEN grouping(source, query) = 2 THEN query END,
+    CASE WHEN grouping(source, query) = 3 THEN '' ELSE 'unknown' END) AS key,
   count(*) AS n, min(timestamp) AS earliest, max(timestamp) AS latest
   FROM ({EXAMPLES_SQL}) e GROUP BY GROUPING SETS ((source), (query), ())""", fixtures=FXT)
 def training_stats(spark, sf_dir):
@@ -257,7 +258,7 @@ def _decode_pages_sql() -> str:
     pz = "lower(regexp_replace(coalesce(price, ''), '^\\s+|\\s+$', '', 'g'))"
     return f"""SELECT page_id, signature, win, k, title, price FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id, signature ORDER BY win, k) AS rn FROM (
-    SELECT *, substr({t}, 1, 50) || '|' || {pz} AS signature FROM ({recs}) r WHERE {t} <> '' OR {pz} <> '') s) d WHERE rn = 1"""
+    SELECT *, {t} || '|' || {pz} AS signature FROM ({recs}) r WHERE {t} <> '' OR {pz} <> '') s) d WHERE rn = 1"""
 
 
 @query("decode_pages", sql=_decode_pages_sql(), fixtures=["listing_pages"])

@@ -10,7 +10,7 @@ from ..sources import fixtures as fx
 from .registry import query
 
 _S = "regexp_replace(response, '^\\s+|\\s+$', '', 'g')"
-_OK = f"(coalesce({_S}, '') <> '' AND json_valid({_S}))"
+_OK = f"(CASE WHEN coalesce({_S}, '') <> '' AND json_valid({_S}) THEN json_type({_S}) = 'OBJECT' ELSE FALSE END)"
 _NAME = f"regexp_replace(coalesce(json_extract_string(response, '$.product_name'), 'Unknown Product'), '^\\s+|\\s+$', '', 'g')"
 _CONF = (f"least(greatest(coalesce(CAST(json_extract(response, '$.confidence') AS DOUBLE), "
          f"{rules.ANALYSIS_DEFAULT_CONFIDENCE}), 0.0), 1.0)")
@@ -20,9 +20,9 @@ NORM_SQL = f"""SELECT image_id, ok AS success,
   CASE WHEN ok THEN regexp_replace(coalesce(json_extract_string(response, '$.category'), 'Unknown'), '^\\s+|\\s+$', '', 'g')
        ELSE 'Error' END AS category,
   CASE WHEN ok THEN nullif(regexp_replace(json_extract_string(response, '$.brand'), '^\\s+|\\s+$', '', 'g'), '') END AS brand,
-  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.features') AS VARCHAR[]), [])[1:{rules.ANALYSIS_MAX_ITEMS}]
+  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.features') AS VARCHAR[]), [])
        ELSE []::VARCHAR[] END AS features,
-  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.search_terms') AS VARCHAR[]), [])[1:{rules.ANALYSIS_MAX_ITEMS}]
+  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.search_terms') AS VARCHAR[]), [])
        ELSE []::VARCHAR[] END AS search_terms,
   CASE WHEN NOT ok THEN 0.0 WHEN nm = '' OR nm = 'Unknown Product' THEN {rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE}
        ELSE {_CONF} END AS confidence,

@@ -46,7 +46,7 @@ def test_analysis_edge_rows(spark):
             (5, '{"product_name": " Watch ", "brand": " ", "confidence": 0.55}')]
     df = spark.createDataFrame(rows, "image_id long, response string")
     got = {r["image_id"]: r for r in V.normalize_analysis(df).collect()}
-    assert got[1]["brand"] is None and got[1]["confidence"] == 1.0 and len(got[1]["features"]) == 5
+    assert got[1]["brand"] is None and got[1]["confidence"] == 1.0 and len(got[1]["features"]) == 6
     assert not got[2]["success"] and got[2]["error"] == "invalid response" and got[2]["product_name"] == "Analysis Failed"
     assert got[3]["error"] == "empty response"
     assert got[4]["product_name"] == "Unidentified Product" and got[4]["confidence"] == 0.3
@@ -54,3 +54,36 @@ def test_analysis_edge_rows(spark):
     q = V.normalize_analysis(df).select("image_id", V.analysis_query(F.col("success"), F.col("brand"), F.col("product_name"),
                                                                      F.col("category"), F.col("search_terms")).alias("q"))
     assert {r["image_id"]: r["q"] for r in q.collect()} == {1: "Phone X", 2: "product", 3: "product", 4: "Shoes", 5: "Watch"}
+
+
+def test_analysis_must_be_an_object(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["[1]", '"x"', "5", "null", "true", "{}"])], "image_id long, response string")
+    got = {r["image_id"]: r["success"] for r in V.normalize_analysis(df).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_number_text(spark):
+    from pricelens.functions.prices import number_text
+    want = {1.0: "1.0", 0.5: "0.5", 12345678.9: "12345678.9", 1e7: "10000000.0", 1.5e15: "1500000000000000.0", 0.0005: "0.0005",
+            104999.91: "104999.91", -2.5e8: "-250000000.0"}
+    df = spark.createDataFrame([(x,) for x in want], "x double")
+    assert {r[0]: r[1] for r in df.select("x", number_text(F.col("x"))).collect()} == want == {x: str(x) for x in want}
+
+
+def test_best_deal_of_a_hot_search(spark):
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.lit(-1)).alias("query_id"),
+                                     ((F.col("id") * 7919) % 1009).cast("double").alias("price"), F.col("id"))
+    first = C.flag_first(df, ["price", "id"]).filter("best_deal").select("query_id", "id")
+    want = df.groupBy("query_id").agg(F.min_by("id", F.struct("price", "id")).alias("id"))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, want.collect()))
+    low = C.flag_lowest_positive(df, ["id"]).filter("is_lowest")
+    assert low.count() == df.filter("price > 0").select("query_id").distinct().count() and low.filter("price <= 0").count() == 0
+
+
+def test_import_needs_no_spark_jars(monkeypatch):
+    """The stop words, and with them all oracle SQL, are plain data of the package."""
+    import glob
+    import importlib
+    from pricelens.functions import relevance
+    monkeypatch.setattr(glob, "glob", lambda *a, **k: [])
+    assert len(importlib.reload(relevance).stop_words()) > 100

@@ -1,44 +1,69 @@
-"""BIO encode / decode against restatements, and the encode->decode round trip."""
+"""BIO encoding and decoding: expected tables and the encode -> decode round trip."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from pricelens.operators import training as TR
-from tests import restate
 
 random.seed(11)
 
 
-def test_bio_labels_edge_rows(spark):
-    texts = [
-        "Query: phone\n[TITLE]Small  Ring[/TITLE] [PRICE]123.5[/PRICE] [URL]http://x/item/1[/URL] ",
-        "[TITLE]a[/TITLE][TITLE]b c[/TITLE]",            # adjacent entities
-        "before [FOO]unknown tag[/FOO] after",           # unknown tag -> O
-        "[TITLE][/TITLE] empty tag",                      # empty entity
-        "[TITLE]line\nbreak[/TITLE]",                     # newline: not an entity
-        "plain words only", "",
+def test_bio_labels_table(spark):
+    # B-/I- ids: TITLE 1/2, PRICE 3/4, URL 5/6, IMG 7/8
+    from pricelens.functions.rules import LABEL2ID as ID
+    bt, it, bp, bu = ID["B-TITLE"], ID["I-TITLE"], ID["B-PRICE"], ID["B-URL"]
+    table = [
+        ("Query: phone\n[TITLE]Small  Ring[/TITLE] [PRICE]123.5[/PRICE] [URL]http://x/item/1[/URL] ",
+         ["Query:", "phone", "Small", "Ring", "123.5", "http://x/item/1"], [0, 0, bt, it, bp, bu]),
+        ("[TITLE]a[/TITLE][TITLE]b c[/TITLE]", ["a", "b", "c"], [bt, bt, it]),                          # adjacent entities
+        ("before [FOO]unknown tag[/FOO] after", ["before", "unknown", "tag", "after"], [0, 0, 0, 0]),  # unknown tag
+        ("[TITLE][/TITLE] empty tag", ["empty", "tag"], [0, 0]),
+        ("[TITLE]line\nbreak[/TITLE]", ["[TITLE]line", "break[/TITLE]"], [0, 0]),                      # no entity
+        ("plain words only", ["plain", "words", "only"], [0, 0, 0]), ("", [], []),
     ]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("i", TR.bio_labels(F.col("t")).alias("b")).collect()
-    for r in rows:
-        toks, labs = restate.bio(texts[r["i"]])
-        assert list(r["b"]["tokens"]) == toks
-        assert list(r["b"]["labels"]) == labs
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(table)], "i int, t string")
+    for r in df.select("i", TR.bio_labels(F.col("t")).alias("b")).collect():
+        assert (list(r["b"]["tokens"]), list(r["b"]["labels"])) == table[r["i"]][1:], table[r["i"]][0]
+
+
+def test_decode_table(spark):
+    table = [
+        ("iphone/B-TITLE ##s/I-TITLE 13/I-TITLE $/B-PRICE 999/I-PRICE ##.00/I-PRICE", [{"title": "iphones 13", "price": "$ 999.00"}]),
+        ("a/B-TITLE x/O b/B-TITLE", [{"title": "a"}, {"title": "b"}]),                       # O ends a record
+        ("u/B-URL x/O a/B-TITLE", [{"url": "u", "title": "a"}]),                             # incomplete: carried on
+        ("u/B-URL x/O", []),                                                                # never complete
+        ("[CLS]/O a/B-TITLE [SEP]/O [PAD]/B-TITLE b/I-TITLE", [{"title": "a b"}]),          # special tokens are skipped
+        ("a/I-TITLE b/I-PRICE", []),                                                        # nothing opened
+        ("a/B-TITLE q/X b/I-TITLE", [{"title": "a b"}]),                                    # unknown label
+        ("a/B-TITLE b/B-TITLE", [{"title": "b"}]),                                          # the later one stays
+        ("", []),
+    ]
+    rows = []
+    for i, (t, _) in enumerate(table):
+        pairs = [x.rsplit("/", 1) for x in t.split()]
+        rows.append((i, [a for a, _ in pairs], [b for _, b in pairs]))
+    df = spark.createDataFrame(rows, "i int, t array<string>, l array<string>")
+    for r in df.select("i", TR.decode_bio(F.col("t"), F.col("l")).alias("d")).collect():
+        assert [dict(m) for m in r["d"]] == table[r["i"]][1], table[r["i"]][0]
 
 
-def test_decode_matches_restatement(spark):
-    names = ["O", "B-TITLE", "I-TITLE", "B-PRICE", "I-PRICE", "B-URL", "I-URL", "B-IMG", "I-IMG", "B-RATING", "X"]
-    toks_pool = ["[CLS]", "[SEP]", "[PAD]", "iphone", "##s", "13", "pro", "$", "999", "##.00", "red"]
+def test_random_records_come_back(spark):
     cases = []
-    for _ in range(400):
-        n = random.randint(0, 25)
-        cases.append(([random.choice(toks_pool) for _ in range(n)], [random.choice(names) for _ in range(n)]))
-    df = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(cases)], "i int, t array<string>, l array<string>")
-    rows = df.select("i", TR.decode_bio(F.col("t"), F.col("l")).alias("d")).collect()
-    for r in rows:
-        want = restate.decode(*cases[r["i"]])
-        assert [dict(m) for m in r["d"]] == want
+    for _ in range(200):
+        recs = [{"title": " ".join(random.choice(["red", "ring", "pro", "13"]) for _ in range(random.randint(1, 4))),
+                 "price": str(random.randint(1, 999))} for _ in range(random.randint(0, 4))]
+        toks, labs = ["[CLS]"], ["O"]
+        for r in recs:
+            for k, v in r.items():
+                toks += v.split()
+                labs += ["B-" + k.upper()] + ["I-" + k.upper()] * (len(v.split()) - 1)
+            toks.append("sep")
+            labs.append("O")
+        cases.append((toks, labs, recs))
+    df = spark.createDataFrame([(i, t, l) for i, (t, l, _) in enumerate(cases)], "i int, t array<string>, l array<string>")
+    for r in df.select("i", TR.decode_bio(F.col("t"), F.col("l")).alias("d")).collect():
+        assert [dict(m) for m in r["d"]] == cases[r["i"]][2]
 
 
 def test_encode_decode_round_trip(spark):
