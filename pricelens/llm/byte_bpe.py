@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text
-from .pretoken import BYTE_LEVEL_PATTERN, gather, pack_ints, splitter, unpack_ints
+from .pretoken import BYTE_LEVEL_PATTERN, gather, join_parts, pack_ints, split_parts, splitter, unpack_ints
 
 BLOCK_WORDS = 400_000   # distinct words of a block (some 60 MB in a task)
 CHUNK_TOKENS = 1 << 17  # pre-tokens packed in one row, whole documents
@@ -71,13 +71,19 @@ def split_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int)
 
     def close_chunk():
         if ids:
-            chunks.append((ids[:], sizes[:], pack(pack_ints(flat))))
+            chunks.append((ids[:], sizes[:], np.array(flat, np.uint32)))
             ids.clear(), sizes.clear(), flat.clear()
 
     def close_block():
         nonlocal numbers, closed
         close_chunk()
+        # Number anew, common words first: their numbers take one byte.
+        times = sum(np.bincount(local, minlength=len(numbers)) for _, _, local in chunks)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
         words = [w.encode() for w in numbers]
+        words = [words[i] for i in order.tolist()]
         digest = xxhash.xxh64(b"%d-%d" % (task, closed))
         for w in words:
             digest.update(w)
@@ -88,12 +94,10 @@ def split_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int)
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             own = order[cuts[b]:cuts[b + 1]]
             mine = [words[i] for i in own.tolist()]
-            lens = pack_ints([len(w) for w in mine])
-            head = pack_ints(np.diff(own, prepend=0))
-            yield _row(b, block, WORDS, len(words), None, None, pack(
-                pack_ints([len(mine), len(head), len(lens)]).ljust(15, b"\x00") + head + lens + b"".join(mine)))
-        for k, (i, s, payload) in enumerate(chunks):
-            yield _row((block + k) % buckets, block, DOCS, len(words), i, s, payload)
+            yield _row(b, block, WORDS, len(words), None, None, join_parts(
+                [pack_ints(np.diff(own, prepend=0), pack), pack_ints([len(w) for w in mine], pack), pack(b"".join(mine))]))
+        for k, (i, s, local) in enumerate(chunks):
+            yield _row((block + k) % buckets, block, DOCS, len(words), i, s, pack_ints(rank[local], pack))
         numbers, closed = _Numbers(), closed + 1
         chunks.clear()
 
@@ -111,13 +115,12 @@ def split_blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int)
         yield from close_block()
 
 
-def _words(payload: bytes):
+def _words(payload: bytes, unpack):
     """Local numbers and words of a word row."""
-    data = zstandard.ZstdDecompressor().decompress(payload)
-    _n, head, lens = unpack_ints(data[:15])[:3].tolist()
-    own = np.cumsum(unpack_ints(data[15:15 + head]))
-    ends = list(accumulate(unpack_ints(data[15 + head:15 + head + lens]).tolist(), initial=15 + head + lens))
-    return own, [data[s:e] for s, e in zip(ends, ends[1:])]
+    own, lens, data = split_parts(payload)
+    data = unpack(data)
+    ends = list(accumulate(unpack_ints(lens, unpack).tolist(), initial=0))
+    return np.cumsum(unpack_ints(own, unpack)), [data[s:e] for s, e in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,7 +131,8 @@ def _merges(ranks: Broadcast):
 
 def encode_words(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
     """Encode each distinct word of a bucket once; document rows pass through."""
-    encode, vocabulary, pack = _merges(ranks), ranks.value, zstandard.ZstdCompressor(level=3).compress
+    encode, vocabulary = _merges(ranks), ranks.value
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
     bucket, known = None, {}
     for batch in batches:
         kinds, at = batch.column("kind").to_pylist(), batch.column("bucket").to_pylist()
@@ -139,7 +143,7 @@ def encode_words(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterato
                 continue
             if b != bucket:
                 bucket, known = b, {}
-            own, words = _words(payload)
+            own, words = _words(payload, unpack)
             found = []
             for w in words:
                 ids = known.get(w)
@@ -147,8 +151,8 @@ def encode_words(batches: Iterator[pa.RecordBatch], ranks: Broadcast) -> Iterato
                     r = vocabulary.get(w)
                     known[w] = ids = encode(w.decode()) if r is None else [r]
                 found.append(ids)
-            parts = [pack_ints(np.diff(own, prepend=0)), pack_ints([len(x) for x in found]), pack_ints([i for x in found for i in x])]
-            payloads.append(pack(pack_ints([len(p) for p in parts]).ljust(15, b"\x00") + b"".join(parts)))
+            payloads.append(join_parts([pack_ints(np.diff(own, prepend=0), pack), pack_ints([len(x) for x in found], pack),
+                                        pack_ints([i for x in found for i in x], pack)]))
         yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 
 
@@ -160,11 +164,8 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, kind, n_words, ids, sizes, payload in zip(*(batch.column(c).to_pylist() for c in _NAMES[1:])):
             if b != block:
                 block, parts, table = b, [], None
-            data = unpack(payload)
             if kind == WORDS:
-                lens = unpack_ints(data[:15])[:3].tolist()
-                ends = list(accumulate(lens, initial=15))
-                own, n, flat = (unpack_ints(data[s:e]) for s, e in zip(ends, ends[1:]))
+                own, n, flat = (unpack_ints(p, unpack) for p in split_parts(payload))
                 parts.append((np.cumsum(own), n, flat.astype(np.int32)))
                 continue
             if table is None:
@@ -177,7 +178,7 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts[own], size[own] = np.cumsum(n) - n, n
                 table, parts = (pool, starts, size), []
             pool, starts, size = table
-            local = unpack_ints(data)
+            local = unpack_ints(payload, unpack)
             tokens = size[local]
             flat = gather(pool, starts[local], tokens)
             upto = np.r_[0, np.cumsum(tokens)]
@@ -190,10 +191,9 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str = BYTE_LEVEL_PATTERN) -> DataFrame:
     """``doc_id, ids array<int>`` for every row."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
+    buckets = parts
     shared = spark.sparkContext.broadcast(ranks)
     split = id_text(docs).mapInArrow(lambda it: split_blocks(it, pattern, buckets), PARTS)
-    # Several buckets share a task; rows of one bucket stay together.
     met = split.repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = met.mapInArrow(lambda it: encode_words(it, shared), PARTS)
     home = back.repartition(parts, "block").sortWithinPartitions("block", "kind")

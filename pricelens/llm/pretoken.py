@@ -1,4 +1,4 @@
-"""Splitting texts into pre-tokens, and compact integer lists."""
+"""Splitting texts into pre-tokens, and compact lists of integers."""
 
 from __future__ import annotations
 
@@ -27,26 +27,39 @@ def splitter(pattern: str = BYTE_LEVEL_PATTERN) -> Callable[[str], list[str]]:
     return lambda text: whole(text) if beyond(text) else latin(text)
 
 
-def pack_ints(values) -> bytes:
-    """Non-negative integers (below 2**35) as base-128 varints."""
-    v = np.asarray(values, np.uint64)
-    size = 1 + sum((v >= np.uint64(1 << s)).astype(np.int64) for s in (7, 14, 21, 28))
-    width = int(size.max()) if len(v) else 1
-    out = np.empty((len(v), width), np.uint8)
-    for k in range(width):
-        out[:, k] = (v >> np.uint64(7 * k)) & np.uint64(127)
-        out[:, k] |= ((size > k + 1) * 128).astype(np.uint8)
-    return out[np.arange(width) < size[:, None]].tobytes()
-
-
-def unpack_ints(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(a < 128)
-    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-    out = (a[starts] & 127).astype(np.int64)
-    for k in range(1, int((ends - starts).max()) + 1 if len(ends) else 0):
-        more = ends - starts >= k
-        out[more] |= (a[starts[more] + k] & 127).astype(np.int64) << (7 * k)
+def pack_ints(values, pack: Callable[[bytes], bytes]) -> bytes:
+    """Integers from 0 below 2**32, seven bits a byte, each byte position compressed on its
+    own: first bytes, then the second bytes of those numbers that have one, and so on."""
+    v, out = np.asarray(values, np.uint32), []
+    while True:
+        more = v >= 128
+        out.append(pack(((v & 127) | more * np.uint32(128)).astype(np.uint8).tobytes()))
+        if not more.any():
+            return join_parts(out)
+        v = v[more] >> 7
+
+
+def unpack_ints(data: bytes, unpack: Callable[[bytes], bytes]) -> np.ndarray:
+    planes = [np.frombuffer(unpack(p), np.uint8) for p in split_parts(data)]
+    v = planes.pop().astype(np.int64)
+    for p in reversed(planes):
+        low = (p & 127).astype(np.int64)
+        low[p >= 128] |= v << 7
+        v = low
+    return v
+
+
+def join_parts(parts: list[bytes]) -> bytes:
+    """Byte strings behind their lengths."""
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def split_parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 4], "little")
+        out.append(data[at + 4:at + 4 + size])
+        at += 4 + size
     return out
 
 

@@ -33,9 +33,14 @@ def test_split_equals_pattern(text):
     assert P.splitter()(text) == regex.findall(public_tokenizers.PATTERN, text)
 
 
-@given(st.lists(st.integers(0, (1 << 35) - 1)))
+@given(st.lists(st.integers(0, (1 << 32) - 1)))
 def test_int_packing(values):
-    assert P.unpack_ints(P.pack_ints(values)).tolist() == values
+    assert P.unpack_ints(P.pack_ints(values, bytes), bytes).tolist() == values
+
+
+@given(st.lists(st.binary()))
+def test_parts(parts):
+    assert P.split_parts(P.join_parts(parts)) == parts
 
 
 def test_encode_decode(spark, library, monkeypatch):
