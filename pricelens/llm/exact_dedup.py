@@ -141,10 +141,12 @@ def decisions(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = d.where("norm IS NOT NULL").groupBy("text_sha256", "norm").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # One text per digest from here on; anything else must fail, not merge.
-    groups = same.groupBy("text_sha256").agg(
+    # A table of its own, so that the join below deals both sides anew and a hot digest's rows
+    # can be split over tasks.
+    groups = written(spark, same.groupBy("text_sha256").agg(
         F.when(F.count("*") == 1, F.min("keep_id")).otherwise(
             F.raise_error(F.lit("different texts share a SHA-256 digest")).cast("bigint")).alias("keep_id"),
-        F.min("group_size").alias("group_size"))
+        F.min("group_size").alias("group_size")), "groups")
     copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
     routed = d.where("norm IS NOT NULL").select("doc_id", "text_sha256", copy.alias("copy"))
     routed = routed.join(groups, "text_sha256").select(
