@@ -276,7 +276,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_dist
     linked = prints.join(lab, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     group = lab.join(smallest, "root").select("fp", "component_id")
-    of_print = prints.join(group, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # A table of its own: rows of one hot fingerprint can then be split over tasks.
+    of_print = written(spark, prints.join(group, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first").alias("component_id")), "components")
     return rows.join(of_print, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
