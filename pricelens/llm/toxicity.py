@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import id_text, map_texts, written
 
 MAX_TOXIC, MAX_ORDINARY = 4_000, 6_000  # labelled texts used at most
-WINDOW = 256                            # bytes
+WINDOW = 192                            # bytes
 SHORTEST, LONGEST = 4, 9                # bytes of a word beginning
 BASE_PIECES, TOXIC_PIECES = 2_000, 256
-MIN_SHARE, MIN_Z = 0.02, 6.0            # of toxic texts; for a toxic piece
+MIN_SHARE, MIN_Z, MIN_LIFT = 0.02, 6.0, 10  # for a toxic piece: share of toxic texts, z score, ratio of shares
 
 
 def held_out(doc_id="doc_id"):
@@ -96,8 +96,9 @@ def longest_forms(counts: dict[bytes, int]) -> list[bytes]:
 
 
 def train_dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and of the toxic dictionary (best pieces last, where
-    references are cheapest)."""
+    """Contents of the ordinary and of the toxic dictionary (the commonest pieces last, where
+    references are cheapest). Both end alike, so what ordinary prose costs is the same with
+    either, and the difference is what the toxic pieces save."""
     n = {r["toxic"]: r["n"] for r in rows.where("fit").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nt, no = n.get(1, 0), n.get(0, 0)
     pieces = piece_counts(rows)
@@ -105,11 +106,12 @@ def train_dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
     a, b = F.col("in_toxic") / max(nt, 1), F.col("in_ordinary") / max(no, 1)
     p = (F.col("in_toxic") + F.col("in_ordinary")) / max(nt + no, 1)
     z = (a - b) / F.sqrt(p * (1 - p) * (1 / max(nt, 1) + 1 / max(no, 1)) + F.lit(1e-12))
-    toxic = {bytes(r["piece"]): r["in_toxic"] for r in pieces.where((z >= MIN_Z) & (a >= MIN_SHARE) & (F.col("in_toxic") >= 3))
+    toxic = {bytes(r["piece"]): r["in_toxic"] for r in pieces.where((z >= MIN_Z) & (a >= MIN_SHARE) & (F.col("in_toxic") >= 3)
+                                                                        & (a * max(no, 1) >= MIN_LIFT * (F.col("in_ordinary") + 0.5)))
              .orderBy(z.desc(), "piece").limit(16 * TOXIC_PIECES).collect()}
     best = sorted(longest_forms(toxic), key=lambda x: (toxic[x], x))[-TOXIC_PIECES:]
     shared = b"".join(reversed(base)) or b" "
-    return shared, shared + b"".join(best)
+    return shared, b"".join(best) + shared
 
 
 @functools.lru_cache(maxsize=2)
@@ -123,13 +125,30 @@ def _compressors(shared: Broadcast):
     return tuple(of(c) for c in shared.value)
 
 
+def windows(text: bytes) -> list[bytes]:
+    """Pieces of at most ``WINDOW`` bytes that end before a space where there is one."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + WINDOW
+        if end < len(text):
+            space = text.rfind(b" ", at + 1, end)
+            end = space if space > at else end
+        out.append(text[at:end])
+        at = end
+    return out or [b""]
+
+
+FEATURES = 12
+
+
 def features(text: bytes, shared: Broadcast) -> tuple[float, ...]:
-    """What the windows' compression lengths say: mean, largest and summed advantage of the
-    toxic dictionary, share of windows with a clear one, and the number of windows."""
+    """What the windows' compression lengths say, from each window's advantage ``d`` of the
+    toxic dictionary in bytes: mean, extremes, sums, and the shares of windows beyond bounds."""
     ordinary, toxic = _compressors(shared)
-    text = text.lower()
-    d = np.array([len(ordinary(w)) - len(toxic(w)) for w in (text[i:i + WINDOW] for i in range(0, max(len(text), 1), WINDOW))], float)
-    return float(d.mean()), float(d.max()), float(np.log1p(np.maximum(d - 1, 0).sum())), float((d > 2).mean()), float(np.log1p(len(d)))
+    d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower())], float)
+    top = np.sort(d)[-2:]
+    return (float(d.mean()), float(top[-1]), float(top.mean()), float(np.log1p(np.maximum(d - 1, 0).sum())), float(np.log1p(len(d))),
+            *(float((d > k).mean()) for k in (1, 2, 3, 4)), float((d < 0).mean()), *(float(np.log1p((d > k).sum())) for k in (3, 4)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, prior: float):
@@ -164,12 +183,12 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     model = None
     if 0 < share < 1 and rows.groupBy("fit", "toxic").count().count() == 4:
         shared = spark.sparkContext.broadcast(train_dictionaries(rows))
-        names = ["a", "b", "c", "d", "e"]
+        names = [f"f{k}" for k in range(FEATURES)]
 
         def featured(batches):
             for b in batches:
-                f = np.array([features(t, shared) for t in b.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(5))], names=["toxic", *names])
+                f = np.array([features(t, shared) for t in b.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, FEATURES)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(FEATURES))], names=["toxic", *names])
         got = (rows.where("NOT fit").select(F.col("toxic").cast("int").alias("toxic"), "text")
                .mapInArrow(featured, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow())  # bounded by the sample
         model = calibrate(np.column_stack([got[n].to_numpy() for n in names]), got["toxic"].to_numpy(), float(share))
@@ -179,7 +198,7 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
             s = np.full(len(texts), float(share))
         else:
             mean, scale, w = model
-            f = np.array([features(t, shared) for t in texts]).reshape(-1, 5)
+            f = np.array([features(t, shared) for t in texts]).reshape(-1, FEATURES)
             s = 1 / (1 + np.exp(-np.clip(w[0] + ((f - mean) / scale) @ w[1:], -30, 30)))
         return pa.RecordBatch.from_arrays([ids, pa.array(s, pa.float64())], names=["doc_id", "score"])
     scored = map_texts(id_text(docs), per_batch, "doc_id bigint, score double")

@@ -7,7 +7,7 @@ from pricelens.llm import quality as Q, toxicity as X
 from pricelens.sources.tables import load
 from . import data
 
-SF = "/root/testdata/sf0.01"
+SF, SF_LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def auc(score, y):
@@ -20,14 +20,14 @@ def auc(score, y):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
+    docs, labels = load(spark, SF_LARGE, "documents"), load(spark, SF_LARGE, "labels")
     got = X.scores(spark, docs, labels)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     pdf = got.toPandas()
     assert len(pdf) == docs.count() and pdf.score.between(0, 1).all() and ((pdf.score >= 0.5) == (pdf.predicted == 1)).all()
     assert (pdf.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in pdf.doc_id]).all()
     held = pdf.merge(labels.toPandas(), on="doc_id").query("held_out")
-    assert auc(held.score.to_numpy(), held.toxic.to_numpy()) > 0.85  # 80 rows, 320 to learn from
+    assert auc(held.score.to_numpy(), held.toxic.to_numpy()) > 0.88  # 97 toxic among 825 held-out rows; smaller tables hold too few
     # Held-out labels and other columns change nothing.
     from pyspark.sql import functions as F
     other = labels.withColumn("toxic", F.when(X.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -86,6 +86,12 @@ def test_em_recovers_known_labellers():
     assert ((post[inv.ravel()] >= 0.5) == good).mean() > 0.99
 
 
+@pytest.mark.parametrize("text", [b"", b" ", b"a" * 1000, b"ab " * 300, b" " * 500])
+def test_windows_cover_the_text(text):
+    w = X.windows(text)
+    assert b"".join(w) == text and all(len(x) <= X.WINDOW for x in w)
+
+
 @pytest.mark.parametrize("text", [b"", b" ", b"one", b"\xe6\xbc\xa2\xe5\xad\x97", b"a " * 50_000])
 def test_features_of_odd_texts(text):
     assert len(Q.votes(text)) == Q.LABELLERS and all(np.isfinite(v) for v in Q.shape_features(text).values())
