@@ -7,10 +7,6 @@ distributed global rank) and the statistics (one grouping-sets aggregate).
 
 from __future__ import annotations
 
-import json
-import math
-import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -215,17 +211,19 @@ def id_labels_to_names(labels: Column) -> Column:
 EXAMPLE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("query", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("timestamp", T.StringType()),
+    T.StructField("product_data", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
 def write_training_set(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Append examples (UTF-8 JSON Lines, or parquet), partitioned by source."""
-    df.write.mode("append").partitionBy("source").format(fmt).save(path)
+    """Append examples (UTF-8 JSON Lines, or parquet), partitioned by source; a record
+    carries its source as ``site`` and its product data as an object."""
+    df.withColumn("site", F.col("source")).write.mode("append").partitionBy("source").format(fmt).save(path)
 
 
 def read_training_set(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """S3: load examples; keep rows with text and query; source defaults to the
-    record's 'site' and then 'unknown', timestamp to ''.
+    """S3: load examples; keep rows that have a text and a query (even empty ones); source is
+    the record's 'site', else 'unknown'; timestamp defaults to '', product data to {}.
 
     ``layout='lines'``: JSON Lines (splittable; what ``write_training_set`` writes).
     ``layout='document'``: one JSON document per file, either a bare array of
@@ -237,31 +235,16 @@ def read_training_set(spark: SparkSession, path: str, layout: str = "lines") ->
         doc = F.try_parse_json(F.col("value"))
         arr = F.coalesce(F.try_variant_get(doc, "$.training_data", "array<variant>"),
                          F.try_variant_get(doc, "$", "array<variant>"))
-        part = F.col("source") if "source" in raw.columns else F.lit(None).cast("string")
-        ex = raw.select(F.explode(arr).alias("ex"), part.alias("_part"))
+        ex = raw.select(F.explode(arr).alias("ex"))
     else:
         raw = spark.read.text(path)
-        part = F.col("source") if "source" in raw.columns else F.lit(None).cast("string")
-        ex = raw.select(F.try_parse_json(F.col("value")).alias("ex"), part.alias("_part")).filter(F.col("ex").isNotNull())
+        ex = raw.select(F.try_parse_json(F.col("value")).alias("ex")).filter(F.col("ex").isNotNull())
 
-    def g(p):
-        return F.try_variant_get(F.col("ex"), p, "string")
+    def g(p, typ="string"):
+        return F.try_variant_get(F.col("ex"), p, typ)
     out = ex.select(g("$.text").alias("text"), g("$.query").alias("query"),
-                    F.coalesce(g("$.source"), F.col("_part"), g("$.site"), F.lit("unknown")).alias("source"),
-                    F.coalesce(g("$.timestamp"), F.lit("")).alias("timestamp"))
-    return out.filter(F.col("text").isNotNull() & (F.col("text") != "")
-                      & F.col("query").isNotNull() & (F.col("query") != ""))
-
-
-def write_document(spark: SparkSession, rows: list[dict], path: str, wrapped: bool = True) -> str:
-    """Write a small training document in the two-level layout (for fixtures and tests)."""
-    os.makedirs(path, exist_ok=True)
-    f = os.path.join(path, f"examples-{uuid.uuid4().hex}.json")
-    body = {"metadata": {"total_examples": len(rows)}, "training_data": rows} if wrapped else rows
-    with open(f, "w", encoding="utf-8") as fh:
-        json.dump(body, fh, ensure_ascii=False, indent=2)
-    return f
-
-
-def validation_size(n: int, share: float = 0.2) -> int:
-    return math.ceil(n * share)
+                    F.coalesce(g("$.site"), F.lit("unknown")).alias("source"),
+                    F.coalesce(g("$.timestamp"), F.lit("")).alias("timestamp"),
+                    F.coalesce(g("$.product_data", "map<string,string>"),
+                               F.create_map().cast("map<string,string>")).alias("product_data"))
+    return out.filter(F.col("text").isNotNull() & F.col("query").isNotNull())

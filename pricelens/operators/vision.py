@@ -58,6 +58,35 @@ def normalize_analysis(df: DataFrame, response: str = "response") -> DataFrame:
         *[F.col(c) for c in df.columns], "_a.*")
 
 
+def normalize_analysis_lenient(df: DataFrame, response: str = "response") -> DataFrame:
+    """V1, lenient variant: fields trimmed, missing ones empty, brand NULL only when missing or
+    empty; no name -> 'Unknown Product' at 0.3; unreadable responses -> its own failure row."""
+    def build(v: Column) -> Column:
+        def get(path, typ):
+            return F.try_variant_get(v, path, typ)
+
+        ok = v.isNotNull()
+        name = pystrip(F.coalesce(get("$.product_name", "string"), F.lit("")))
+        brand = get("$.brand", "string")
+        conf = F.least(F.greatest(F.coalesce(get("$.confidence", "double"),
+                                             F.lit(rules.ANALYSIS_DEFAULT_CONFIDENCE)), F.lit(0.0)), F.lit(1.0))
+        empty = F.array().cast("array<string>")
+        return F.struct(
+            ok.alias("success"),
+            F.when(ok, F.when(name == "", F.lit("Unknown Product")).otherwise(name))
+             .otherwise(F.lit("Image Analysis Failed")).alias("product_name"),
+            F.when(ok, pystrip(F.coalesce(get("$.category", "string"), F.lit("")))).otherwise(F.lit("Unknown")).alias("category"),
+            F.when(ok & (brand != ""), pystrip(brand)).alias("brand"),
+            F.coalesce(get("$.features", "array<string>"), empty).alias("features"),
+            F.coalesce(get("$.search_terms", "array<string>"), empty).alias("search_terms"),
+            F.when(ok, F.when(name == "", F.lit(rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE)).otherwise(conf))
+             .otherwise(F.lit(0.0)).alias("confidence"),
+            F.when(~ok, F.when(_nonempty(pystrip(F.col(response))), F.lit("invalid response"))
+                   .otherwise(F.lit("empty response"))).alias("error"))
+    return df.select("*", let(parse_analysis(F.col(response)), build).alias("_a")).select(
+        *[F.col(c) for c in df.columns], "_a.*")
+
+
 def analysis_query(success: Column, brand: Column, name: Column, category: Column, terms: Column) -> Column:
     """V2 (rule set A): brand + product name; too few parts -> add the first two
     search terms; else the category; else 'product'."""
@@ -97,6 +126,20 @@ def alternative_queries(success: Column, name: Column, category: Column, feature
     return F.when(success, F.slice(alts, 1, n)).otherwise(empty)
 
 
+def alternative_queries_b(error: Column, name: Column, category: Column, features: Column, terms: Column,
+                          n: int = rules.ALTERNATIVE_QUERIES) -> Column:
+    """V3 (rule set B): category + name, name + each of the first two features, then those of
+    the first ``n`` search terms that are not listed yet; the first ``n`` of all."""
+    empty = F.array().cast("array<string>")
+    base = F.concat(
+        F.when(_nonempty(category) & _nonempty(name), F.array(F.concat_ws(" ", category, name))).otherwise(empty),
+        F.when(_nonempty(name), F.transform(F.slice(features, 1, 2), lambda f: F.concat_ws(" ", name, f)))
+         .otherwise(empty))
+    alts = F.aggregate(F.slice(terms, 1, n), base, lambda acc, t: F.when(F.array_contains(acc, t), acc)
+                       .otherwise(F.concat(acc, F.array(t))))
+    return F.when(error.isNotNull(), empty).otherwise(F.slice(alts, 1, n))
+
+
 def confidence_band(conf: Column) -> Column:
     """V4: struct(percent, band) -- percent rounded half up; >= 80 high, >= 60 medium, else low."""
     pct = F.floor(conf * 100 + 0.5).cast("int")

@@ -8,7 +8,6 @@ from ..functions import rules
 from ..operators import catalog as K
 from ..sources import fixtures as fx
 from ..sources.tables import load
-from .compare_queries import CHEAPEST_SQL, cheapest_df
 from .registry import query
 
 L = fx.LINE_ORDER
@@ -102,16 +101,16 @@ def upsert_products(spark, sf_dir):
 
 @query("upsert_sources", sql=f"""WITH seed AS ({_SEED_SQL}),
   new AS (SELECT name, site_key, q, r FROM (
-    SELECT source AS name, site_key, query_id AS q, rank AS r,
-           row_number() OVER (PARTITION BY source ORDER BY query_id, rank) AS rn FROM ({CHEAPEST_SQL}) c) t
+    SELECT source AS name, site_key, query_id AS q, site_ord AS r,
+           row_number() OVER (PARTITION BY source ORDER BY query_id, site_ord, {fx.LINE_ORDER_SQL}) AS rn FROM offers) t
     WHERE rn = 1 AND name NOT IN (SELECT name FROM seed))
   SELECT * FROM seed UNION ALL
   SELECT CAST((SELECT max(source_id) FROM seed) + row_number() OVER (ORDER BY q, r) AS BIGINT), name, '', site_key, TRUE
   FROM new""", fixtures=["offers", "searches"])
 def upsert_sources(spark, sf_dir):
     """Get-or-create the offers' sources by exact name (site names differ from seed names)."""
-    batch = cheapest_df(spark, sf_dir).select(F.col("source").alias("name"), "site_key",
-                                              F.col("query_id").alias("q"), F.col("rank").alias("r"))
+    batch = fx.offers(spark, sf_dir).select(F.col("source").alias("name"), "site_key",
+                                            F.col("query_id").alias("q"), F.col("site_ord").alias("r"))
     return K.upsert_sources(K.seed_sources(spark), batch, order=["q", "r"])
 
 

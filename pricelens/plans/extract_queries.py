@@ -11,9 +11,9 @@ from ..functions import rules
 from ..functions import titles as TI
 from ..functions import text as TX
 from ..operators import extract as X
+from ..operators.windows import skew_safe_row_number
 from ..sources import fixtures as fx
 from . import sql_rules as S
-from .compare_queries import UNION_SQL, union_sites_df
 from .registry import query
 
 CONTAINER_SITES = ["jiji", "jumia", "tonaton", "aliexpress"]
@@ -211,11 +211,14 @@ def price_fallback(spark, sf_dir):
 
 
 @query("offer_id", sql=f"""SELECT query_id, site_key, pos,
-  site_key || '_' || substr(sha256(title || CAST(pos AS VARCHAR)), 1, 16) AS id FROM ({UNION_SQL}) u""",
+  site_key || '_' || substr(sha256(title || CAST(pos AS VARCHAR)), 1, 16) AS id FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {fx.LINE_ORDER_SQL}) - 1 AS pos FROM offers) u""",
        fixtures=["offers", "searches"])
 def offer_id(spark, sf_dir):
-    """Stable offer id from site key, title and position."""
-    return X.with_offer_id(union_sites_df(spark, sf_dir)).select("query_id", "site_key", "pos", "id")
+    """Stable offer id from site key, title and position in the site's list, for all offers."""
+    o = fx.offers(spark, sf_dir).withColumn("_list", F.concat_ws("|", "query_id", "site_ord"))
+    o = skew_safe_row_number(o, "_list", fx.LINE_ORDER, "_no").withColumn("pos", F.col("_no") - 1)
+    return X.with_offer_id(o).select("query_id", "site_key", "pos", "id")
 
 
 _HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"

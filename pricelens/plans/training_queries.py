@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as TX
+from ..functions.prices import number_text
 from ..operators import ranking as RK
 from ..operators import training as TR
 from ..session import checkpoint_dir
@@ -25,13 +26,13 @@ def _offer_fields(u):
     return u.withColumn("image_url", img).withColumn("description", desc)
 
 
-def examples_df(spark, sf_dir):
-    """T1 over all offers of every search."""
+def examples_df(spark, sf_dir, *more):
+    """T1 over all offers of every search (with ``more`` columns of the offer)."""
     u = _offer_fields(fx.offers(spark, sf_dir))
     text = TR.annotate(F.col("query"), F.col("title"), F.col("price"), F.lit(""), F.col("url"),
                        F.col("image_url"), F.col("description"))
     return u.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.explode(TX.if_present(text)).alias("text"), "query", "source",
-                    F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+                    F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), *more)
 
 
 _IMG_SQL = "CASE WHEN l_linenumber % 2 = 0 THEN replace(url, '/item/', '/img/') || '.jpg' END"
@@ -42,7 +43,7 @@ EXAMPLES_SQL = f"""SELECT query_id, site_key, l_orderkey, l_linenumber,
   CASE WHEN coalesce(url, '') <> '' THEN '[URL]' || url || '[/URL] ' ELSE '' END ||
   CASE WHEN coalesce(img, '') <> '' THEN '[IMG]' || img || '[/IMG] ' ELSE '' END ||
   CASE WHEN coalesce(descr, '') <> '' THEN 'Description: ' || descr ELSE '' END AS text,
-  query, source, strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS timestamp
+  query, source, strftime(last_updated, '%Y-%m-%dT%H:%M:%S') AS timestamp, title, price, url
 FROM (SELECT *, {_IMG_SQL} AS img, {_DESC_SQL} AS descr FROM offers) x
 WHERE coalesce(title, '') <> '' AND coalesce(price, 0) <> 0"""
 
@@ -274,26 +275,40 @@ def decode_pages(spark, sf_dir):
     return RK.dedupe_signature(recs, key=["page_id"], order=["win", "k"])
 
 
-@query("training_roundtrip", sql=f"SELECT text, query, source, timestamp FROM ({EXAMPLES_SQL}) e", fixtures=FXT)
+STORED_SQL = f"""SELECT text, query, source, timestamp, CAST(json_object('price', CAST(price AS VARCHAR), 'title', title, 'url', url)
+  AS VARCHAR) AS product_data FROM ({EXAMPLES_SQL}) e"""
+
+
+def _stored(spark, sf_dir):
+    data = F.create_map(F.lit("title"), F.col("title"), F.lit("price"), number_text(F.col("price")), F.lit("url"), F.col("url"))
+    return examples_df(spark, sf_dir, "title", "price", "url").select("text", "query", "source", "timestamp", data.alias("product_data"))
+
+
+def _loaded(df):
+    return df.withColumn("product_data", F.to_json("product_data"))
+
+
+@query("training_roundtrip", sql=STORED_SQL, fixtures=FXT)
 def training_roundtrip(spark, sf_dir):
-    """S4 + S3: examples written as JSON Lines (partitioned by source) into the
-    shared checkpoint folder, then loaded back."""
+    """S4 + S3: examples with their product data written as JSON Lines (partitioned by source)
+    into the shared checkpoint folder, then loaded back (objects come back in key order)."""
     path = os.path.join(checkpoint_dir(spark), "training", uuid.uuid4().hex)
-    TR.write_training_set(examples_df(spark, sf_dir).select("text", "query", "source", "timestamp"), path)
-    return TR.read_training_set(spark, path)
+    TR.write_training_set(_stored(spark, sf_dir), path)
+    return _loaded(TR.read_training_set(spark, path))
 
 
-@query("training_load", sql=f"SELECT text, query, source, timestamp FROM ({EXAMPLES_SQL}) e", fixtures=FXT)
+@query("training_load", sql=STORED_SQL, fixtures=FXT)
 def training_load(spark, sf_dir):
     """S3 (document layout): examples stored as ``{"metadata", "training_data": [...]}``
-    documents of at most 100 examples each (one file per document), loaded back."""
+    documents of about 100 examples, one file for each, loaded back. Files are named by
+    Spark and lie in one folder."""
     path = os.path.join(checkpoint_dir(spark), "training-docs", uuid.uuid4().hex)
-    e = examples_df(spark, sf_dir)
-    doc_no = F.abs(F.xxhash64("query_id", "site_key", "l_orderkey", "l_linenumber")) % F.greatest(
-        F.lit(1), F.ceil(e.select(F.count(F.lit(1))).scalar() / 100))
-    ex = F.struct("text", "query", "source", "timestamp")
-    docs = (e.withColumn("doc", doc_no).groupBy("doc")
-            .agg(F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("total_examples")).alias("metadata"),
-                                    F.collect_list(ex).alias("training_data"))).alias("value")))
-    docs.write.partitionBy("doc").text(path)
-    return TR.read_training_set(spark, path, layout="document")
+    e = _stored(spark, sf_dir).withColumn("site", F.col("source"))
+    docs_n = F.greatest(F.lit(1), F.ceil(e.select(F.count(F.lit(1))).scalar() / 100))
+    e = e.withColumn("doc", F.pmod(F.xxhash64("text", "timestamp"), docs_n))
+    ex = F.struct("text", "query", "site", "timestamp", "product_data")
+    docs = e.groupBy("doc").agg(
+        F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("total_examples")).alias("metadata"),
+                           F.collect_list(ex).alias("training_data"))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _loaded(TR.read_training_set(spark, path, layout="document"))

@@ -103,6 +103,47 @@ def alternative_queries(spark, sf_dir):
     return n.select("image_id", F.posexplode(alts).alias("pos", "alt"))
 
 
+LENIENT_SQL = f"""SELECT image_id, ok AS success,
+  CASE WHEN NOT ok THEN 'Image Analysis Failed' WHEN nm = '' THEN 'Unknown Product' ELSE nm END AS product_name,
+  CASE WHEN ok THEN regexp_replace(coalesce(json_extract_string(response, '$.category'), ''), '^\\s+|\\s+$', '', 'g')
+       ELSE 'Unknown' END AS category,
+  CASE WHEN ok AND json_extract_string(response, '$.brand') <> ''
+       THEN regexp_replace(json_extract_string(response, '$.brand'), '^\\s+|\\s+$', '', 'g') END AS brand,
+  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.features') AS VARCHAR[]), []) ELSE []::VARCHAR[] END AS features,
+  CASE WHEN ok THEN coalesce(CAST(json_extract(response, '$.search_terms') AS VARCHAR[]), []) ELSE []::VARCHAR[] END AS search_terms,
+  CASE WHEN NOT ok THEN 0.0 WHEN nm = '' THEN {rules.ANALYSIS_UNIDENTIFIED_CONFIDENCE} ELSE {_CONF} END AS confidence,
+  CASE WHEN ok THEN NULL WHEN coalesce({_S}, '') <> '' THEN 'invalid response' ELSE 'empty response' END AS error
+FROM (SELECT image_id, response, {_OK} AS ok, CASE WHEN {_OK} THEN
+        regexp_replace(coalesce(json_extract_string(response, '$.product_name'), ''), '^\\s+|\\s+$', '', 'g') END AS nm FROM analyses) a"""
+
+
+@query("normalize_analysis_lenient", sql=f"""SELECT image_id, success, product_name, category, brand,
+  array_to_string(features, '|') AS features, array_to_string(search_terms, '|') AS search_terms, confidence, error
+  FROM ({LENIENT_SQL}) n""", fixtures=["analyses"])
+def normalize_analysis_lenient(spark, sf_dir):
+    """V1: the lenient variant with its own defaults and failure row."""
+    return V.normalize_analysis_lenient(fx.analyses(spark, sf_dir)).select(
+        "image_id", "success", "product_name", "category", "brand", F.array_join("features", "|").alias("features"),
+        F.array_join("search_terms", "|").alias("search_terms"), "confidence", "error")
+
+
+_ALT_B = (f"list_reduce(search_terms[1:{rules.ALTERNATIVE_QUERIES}], lambda acc, t: CASE WHEN list_contains(acc, t) THEN acc "
+          f"ELSE list_append(acc, t) END, list_concat("
+          f"CASE WHEN coalesce(category, '') <> '' AND coalesce(product_name, '') <> '' THEN [category || ' ' || product_name] ELSE []::VARCHAR[] END, "
+          f"CASE WHEN coalesce(product_name, '') <> '' THEN list_transform(features[1:2], lambda f: product_name || ' ' || f) ELSE []::VARCHAR[] END))")
+
+
+@query("alternative_queries_b", sql=f"""SELECT image_id, CAST(i - 1 AS INTEGER) AS pos, alt FROM (
+  SELECT image_id, unnest(L) AS alt, generate_subscripts(L, 1) AS i FROM (
+    SELECT image_id, CASE WHEN error IS NULL THEN ({_ALT_B})[1:{rules.ALTERNATIVE_QUERIES}] ELSE []::VARCHAR[] END AS L
+    FROM ({LENIENT_SQL}) n) a) b""", fixtures=["analyses"])
+def alternative_queries_b(spark, sf_dir):
+    """V3: alternative searches by rule set B, over the lenient analyses."""
+    n = V.normalize_analysis_lenient(fx.analyses(spark, sf_dir))
+    alts = V.alternative_queries_b(F.col("error"), F.col("product_name"), F.col("category"), F.col("features"), F.col("search_terms"))
+    return n.select("image_id", F.posexplode(alts).alias("pos", "alt"))
+
+
 @query("confidence_band", sql=f"""SELECT image_id, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS percent,
   CASE WHEN floor(confidence * 100 + 0.5) >= {rules.CONFIDENCE_HIGH} THEN 'high'
        WHEN floor(confidence * 100 + 0.5) >= {rules.CONFIDENCE_MEDIUM} THEN 'medium' ELSE 'low' END AS band

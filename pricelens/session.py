@@ -85,8 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage and to stage stream inputs.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder and
-    is used as is. Only when it is unset -- local tests and benches -- a private
-    folder is created for this session.
+    is used as is. Only a ``local[...]`` session without it (tests, benches) gets a
+    private folder; elsewhere a machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -99,6 +99,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pricelens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

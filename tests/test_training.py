@@ -1,5 +1,6 @@
 """BIO encoding and decoding: expected tables and the encode -> decode round trip."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -89,10 +90,12 @@ def test_exact_split_sizes(spark):
 
 
 def test_training_document_layouts(spark, tmp_path):
-    rows = [{"text": "t1", "query": "q", "site": "jiji"}, {"text": "t2", "query": "q", "timestamp": "2024"},
-            {"text": "", "query": "q"}, {"query": "q"}]
-    TR.write_document(spark, rows, str(tmp_path / "a"), wrapped=True)
-    TR.write_document(spark, rows, str(tmp_path / "b"), wrapped=False)
-    for sub in ("a", "b"):
-        got = sorted(tuple(r) for r in TR.read_training_set(spark, str(tmp_path / sub), layout="document").collect())
-        assert got == [("t1", "q", "jiji", ""), ("t2", "q", "unknown", "2024")]
+    rows = [{"text": "t1", "query": "q", "site": "jiji", "source": "x", "product_data": {"title": "T", "price": 2.5}},
+            {"text": "t2", "query": "q", "timestamp": "2024", "source": "x"},
+            {"text": "", "query": "q"}, {"query": "q"}, {"text": "t"}]
+    for sub, body in (("a", {"metadata": {"total_examples": len(rows)}, "training_data": rows}), ("b", rows)):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "examples.json").write_text(json.dumps(body, indent=2), encoding="utf-8")
+        got = TR.read_training_set(spark, str(tmp_path / sub), layout="document")
+        assert sorted((*r[:4], tuple(sorted(r.product_data.items()))) for r in got.collect()) == [
+            ("", "q", "unknown", "", ()), ("t1", "q", "jiji", "", (("price", "2.5"), ("title", "T"))), ("t2", "q", "unknown", "2024", ())]
