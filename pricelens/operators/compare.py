@@ -133,7 +133,7 @@ def offer_counts(df: DataFrame, key: str = "query_id", site: str = "site_key") -
                     F.col("level").cast("long").alias("level"), "n_offers"))
 
 
-def _sites_array() -> Column:
+def sites_array() -> Column:
     return F.array(*[F.struct(F.lit(o).alias("site_ord"), F.lit(k).alias("site_key"),
                               F.lit(n).alias("source"), F.lit(p).alias("search_prefix"))
                      for (o, k, n, p, _r, _h) in rules.SITES])
@@ -150,7 +150,7 @@ def search_urls(searches: DataFrame, key: str = "query_id") -> DataFrame:
     The five sites are a constant array exploded per row (a Generate inside the
     same stage), not a join.
     """
-    s = searches.select(key, "query", F.explode(_sites_array()).alias("s"))
+    s = searches.select(key, "query", F.explode(sites_array()).alias("s"))
     return s.select(key, "s.site_ord", "s.site_key",
                     F.concat(F.col("s.search_prefix"), quote_plus(F.col("query"))).alias("search_url"))
 
@@ -158,6 +158,6 @@ def search_urls(searches: DataFrame, key: str = "query_id") -> DataFrame:
 def with_site_quota(searches: DataFrame, total: int = rules.RESULTS_PER_SEARCH,
                     key: str = "query_id") -> DataFrame:
     """Per search: available sites and the per-site quota ``max(1, total // n_sites)``."""
-    n = F.size(_sites_array())
+    n = F.size(sites_array())
     return searches.select(key, n.cast("long").alias("n_sites"),
                            F.greatest(F.lit(1), F.floor(F.lit(total) / n)).cast("long").alias("quota"))

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.regex import let
-from ..functions.relevance import ROUND, STOP_CTE, score, score_sql, terms, terms_select, with_relevance
+from ..functions.relevance import ROUND, STOP_CTE, score, score_sql, terms, terms_select
+from ..operators import compare as C
 from ..operators import ranking as RK
 from ..sources import fixtures as fx
+from ..sources.tables import load
 from .registry import query
 
 N = rules.GENERIC_RESULT_CAP   # 15 results per search
@@ -21,20 +22,31 @@ def _description(title, source):
     return F.concat(F.lit("Buy "), title, F.lit(" from "), source)
 
 
+def scored_offers(spark, sf_dir):
+    """Every offer with its scores against its search. Scores depend on the part and the site
+    only, so they are computed on the parts (times the five sites, a constant array) and joined
+    once to the offers."""
+    p = load(spark, sf_dir, "part").where("p_name IS NOT NULL").select(
+        "p_partkey", fx.hash_id(F.col("p_name")).alias("query_id"),
+        fx.offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"), terms(F.col("p_name")).alias("tq"))
+    p = p.withColumn("tt", terms(F.col("title")))
+    k = p.select("p_partkey", "query_id", "title", "tq", "tt", F.explode(C.sites_array()).alias("s"))
+    k = k.withColumn("td", terms(_description(F.col("title"), F.col("s.source"))))
+    k = k.select("p_partkey", "query_id", "title", "s.site_ord", "s.site_key", "s.source",
+                 score(F.col("tq"), F.col("tt")).alias("title_rel"), score(F.col("tq"), F.col("td")).alias("desc_rel"),
+                 score(F.col("tt"), F.col("tq")).alias("reverse_rel"))
+    li = load(spark, sf_dir, "lineitem").select(*fx.LINE_ORDER, (F.col("l_suppkey") % 5).cast("int").alias("_site"))
+    return li.join(k, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("_site") == F.col("site_ord"))).drop("p_partkey", "_site")
+
+
 def candidates_df(spark, sf_dir):
     """Generic-extractor candidates: every offer of a search, with the relevance gate of its
-    text against the query. Scores depend on (search, title, source) only and are computed
-    once for each."""
+    text against the query."""
     gen = F.create_map(*[x for i, k in enumerate(rules.GENERIC_SITE_ORDER) for x in (F.lit(k), F.lit(i))])
-    c = (fx.offers(spark, sf_dir).withColumn("description", _description(F.col("title"), F.col("source")))
-         .withColumn("gen_ord", F.try_element_at(gen, F.col("site_key"))))
-    keys = c.select("query_id", "query", "title", "source", "description").distinct()
-    scored = with_relevance(with_relevance(keys, "title", "query", "_rt"), "description", "query", "_rd")
-    scored = scored.select("query_id", "title", "source", (F.col("_rd") >= rules.RELEVANCE_MIN).alias("_gate"),
-                           F.round(F.col("_rt") * rules.RANK_TITLE_WEIGHT + F.col("_rd") * rules.RANK_DESC_WEIGHT, ROUND)
-                           .alias("relevance_score"))
-    c = c.join(scored, ["query_id", "title", "source"])
-    return c.withColumn("valid", F.col("_gate") & (F.length("title") > 5) & (F.col("price") > 0)).drop("_gate")
+    s = F.round(F.col("title_rel") * rules.RANK_TITLE_WEIGHT + F.col("desc_rel") * rules.RANK_DESC_WEIGHT, ROUND)
+    return scored_offers(spark, sf_dir).withColumns({
+        "gen_ord": F.try_element_at(gen, F.col("site_key")), "relevance_score": s, "price": F.col("l_extendedprice"),
+        "valid": (F.col("desc_rel") >= rules.RELEVANCE_MIN) & (F.length("title") > 5) & (F.col("l_extendedprice") > 0)})
 
 
 def top_df(spark, sf_dir):
@@ -85,23 +97,8 @@ CTES = _ctes()
                       {'tq': 'query', 'tt': 'title', 'td': 'description'})}) x""", fixtures=FXR)
 def relevance_q(spark, sf_dir):
     """Relevance of every offer's title and description to its search (and the reverse direction)."""
-    # Scores depend only on (search, title, source), which repeat across many offers: score each
-    # distinct triple once and join the scores back. Each search is tokenized once (on the
-    # searches table); per triple the title and description are tokenized once each and the three
-    # scores share them. A title dominating the offers only makes the join side skewed, which AQE splits.
-    o = fx.offers(spark, sf_dir)
-    s = fx.searches(spark, sf_dir).select("query_id", terms(F.col("query")).alias("tq"))
-    keys = o.select("query_id", "title", "source").distinct().join(s, "query_id")
-    sides = F.struct(terms(F.col("title")).alias("t"),
-                     terms(_description(F.col("title"), F.col("source"))).alias("d"))
-    scores = let(sides, lambda p: F.struct(score(F.col("tq"), p["t"]).alias("title_rel"),
-                                           score(F.col("tq"), p["d"]).alias("desc_rel"),
-                                           score(p["t"], F.col("tq")).alias("reverse_rel")))
-    scored = keys.select("query_id", "title", "source", scores.alias("r")).select(
-        "query_id", "title", "source", "r.*")
-    return o.join(scored, ["query_id", "title", "source"]).select(
-        "query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        "title_rel", "desc_rel", "reverse_rel")
+    return scored_offers(spark, sf_dir).select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                               "title_rel", "desc_rel", "reverse_rel")
 
 
 @query("top_offers", sql=f"{CTES}\nSELECT query_id, site_key, pos, title, price FROM top", fixtures=FXR)
