@@ -89,8 +89,24 @@ def window_chunks(text: Column, max_tokens: int = rules.WINDOW_TOKENS) -> Column
 
 
 # ------------------------------------------------------------------ E8, E8b, E8c
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved (query and fragment untouched)."""
+    p = F.regexp_extract(path, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(path, r"^[^?#]*([\s\S]*)$", 1)
+    segs = F.split(p, "/")
+
+    def step(acc, x):
+        up = F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == ".", acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(segs, F.array().cast("array<string>"), step)
+    # a last segment that went leaves its slash
+    tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(p.contains("/."), F.concat(F.array_join(kept, "/"), tail, rest)).otherwise(path)
+
+
 def url_join(base: Column, ref: Column) -> Column:
-    """Resolve a reference against a page URL (absolute, //host, /path, ?q, #f, relative)."""
+    """Resolve a reference against a page URL (absolute, //host, /path, ?q, #f, relative with
+    ``.`` and ``..`` segments)."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     no_frag = F.regexp_extract(base, r"^([^#]*)", 1)
@@ -99,11 +115,11 @@ def url_join(base: Column, ref: Column) -> Column:
     dir_ = F.regexp_extract(path, r"^(.*/)", 1)
     return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
             .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(origin, ref))
+            .when(ref.startswith("/"), F.concat(origin, without_dots(ref)))
             .when(ref.startswith("?"), F.concat(no_query, ref))
             .when(ref.startswith("#"), F.concat(no_frag, ref))
             .when(ref == "", base)
-            .otherwise(F.concat(origin, F.when(dir_ == "", F.lit("/")).otherwise(dir_), ref)))
+            .otherwise(F.concat(origin, without_dots(F.concat(F.when(dir_ == "", F.lit("/")).otherwise(dir_), ref)))))
 
 
 def _first(items: Column, n: int | None) -> Column:

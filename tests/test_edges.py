@@ -87,3 +87,14 @@ def test_import_needs_no_spark_jars(monkeypatch):
     from pricelens.functions import relevance
     monkeypatch.setattr(glob, "glob", lambda *a, **k: [])
     assert len(importlib.reload(relevance).stop_words()) > 100
+
+
+def test_url_join_resolves_dots(spark):
+    from urllib.parse import urljoin
+    from pricelens.functions.text import url_join
+    base = "https://shop.example.com/a/b/list?page=2#top"
+    refs = ["item/1", "./item/1", "../item/1", "../../item/1", "../../../item/1", "x/../item/./2?q=../z", "/p/../item/3", "/p/./q/..",
+            "..", ".", "//cdn.example.com/x", "https://o.example.com/../k", "?q=1", "#f", "item/a.b/c..d"]
+    df = spark.createDataFrame([(base, r) for r in refs], "b string, r string")
+    got = {r.r: r.u for r in df.select("r", url_join(F.col("b"), F.col("r")).alias("u")).collect()}
+    assert got == {r: urljoin(base, r) for r in refs}
