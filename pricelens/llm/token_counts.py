@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 
 import pyarrow as pa
@@ -57,6 +58,7 @@ def special_strings(spec: str) -> list[str]:
 @functools.lru_cache(maxsize=2)
 def _worker(shared: Broadcast):
     """Tokenizer, costs of known words and the special strings, once per Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     spec, whole, special = shared.value
     return Tokenizer.from_str(spec), dict(whole), special and re.compile("|".join(map(re.escape, special))), len(whole)
 
