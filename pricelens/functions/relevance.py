@@ -135,17 +135,6 @@ def relevance(text: Column, query: Column) -> Column:
     return let(both, lambda p: score(p["q"], p["d"]))
 
 
-def relevance_to_terms(text: Column, query_terms: Column) -> Column:
-    """Relevance of ``text`` to a query given as a precomputed ``terms`` struct column
-    (tokenize each search once, on the searches table, and join it in)."""
-    return let(terms(text), lambda d: score(query_terms, d))
-
-
-def relevance_of_terms(text_terms: Column, query: Column) -> Column:
-    """Relevance of a text given as a ``terms`` struct column to ``query``."""
-    return let(terms(query), lambda q: score(q, text_terms))
-
-
 def with_relevance(df, text: Column | str, query: Column | str, out: str):
     """Add ``out`` = relevance(text, query), tokenizing each side once."""
     t = F.col(text) if isinstance(text, str) else text

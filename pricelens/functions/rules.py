@@ -20,7 +20,6 @@ SITES = [
     (3, "tonaton", "Tonaton Ghana", "https://tonaton.com/search?query=", "https://tonaton.com", "tonaton.com"),
     (4, "aliexpress", "AliExpress", "https://www.aliexpress.com/wholesale?SearchText=", "https://www.aliexpress.com", "aliexpress.com"),
 ]
-SITE_KEYS = [s[1] for s in SITES]
 
 # Per-site container rules for the four container-based sites.
 # (site_key, min container text length, word length limit, price min, price max)
@@ -56,16 +55,7 @@ HOST_SOURCES = [
     ("tonaton.com", "Tonaton", "tonaton"),
 ]
 
-# Search URL templates of the generic extractor, in visiting order.
-GENERIC_SEARCH_URLS = [
-    "https://www.jumia.com.gh/catalog/?q=",
-    "https://www.ebay.com/sch/i.html?_nkw=",
-    "https://www.aliexpress.com/wholesale?SearchText=",
-    "https://jiji.com.gh/search?query=",
-    "https://tonaton.com/s_",
-]
-
-# Site keys in the generic extractor's visiting order (the URL list above).
+# Site keys in the generic extractor's visiting order.
 GENERIC_SITE_ORDER = ["jumia", "ebay", "aliexpress", "jiji", "tonaton"]
 
 # Category filter keywords (substring match on the lower-cased title).
@@ -88,7 +78,6 @@ USD_TO_GHS = 10.85
 
 # Result reuse time-to-live (seconds) and the clean-up trigger size.
 CACHE_TTL_SECONDS = 3600
-CACHE_CLEANUP_ABOVE = 100
 
 # Image intake.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "gif"]
@@ -121,8 +110,6 @@ PAGE_IMAGE_PATTERNS = [
     r"""(?i)src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
     r"""(?i)data-src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
 ]
-PAGE_URL_CAP = 20
-PAGE_IMAGE_CAP = 20
 
 # eBay page pools.
 EBAY_ITEM_URL = r"""https://www\.ebay\.com/itm/[^\s"'<>]+"""
@@ -134,12 +121,9 @@ ANY_IMAGE_URL = r"""(?i)https?://[^\s"'<>]+\.(?:jpg|jpeg|png|gif|webp)"""
 GENERIC_CHUNK_INDICATORS = ["price", "buy", "add to cart", "shop", "product", "item",
                             "₵", "$", "€", "£", "USD", "GHS", "delivery", "shipping"]
 GENERIC_CHUNK_PRICE = r"[\$₵€£]\s*\d+|price.*\d+"
-GENERIC_CHUNK_MIN = 50
 GENERIC_CHUNK_MAX = 500
-GENERIC_CHUNK_CAP = 20
 EBAY_CHUNK_PRICE = r"\$\s*\d+|USD\s*\d+"
 EBAY_CHUNK_MAX = 80
-EBAY_CHUNK_CAP = 25
 
 # Entity patterns of the rule-based recogniser (score per kind).
 ENTITY_TITLE_PATTERNS = [
@@ -159,7 +143,6 @@ PRICE_FALLBACK_PATTERNS = [
 ]
 TITLE_FALLBACK_REJECT = r"(?i)[\$₵€£]\d+|price|buy|cart|menu|home"
 AMOUNT_PATTERN = r"(\d+(?:,\d{3})*(?:\.\d{2})?)"
-DESCRIPTION_CHARS = 200
 
 # Relevance gate, near-duplicate threshold and rank weights.
 RELEVANCE_MIN = 0.3
@@ -304,12 +287,10 @@ EBAY_CLEAN_DASH = r"[–—-]+.*$"
 # Generic title clean-up.
 GENERIC_TITLE_PRICE_CUT = r"[\$₵€£]\s*\d+.*$"
 GENERIC_TITLE_WORD_CUT = r"(?i)price.*$"
-TITLE_MAX_CHARS = 100
 
 # Image analysis defaults.
 ANALYSIS_DEFAULT_CONFIDENCE = 0.8
 ANALYSIS_UNIDENTIFIED_CONFIDENCE = 0.3
-ANALYSIS_MAX_ITEMS = 5
 ALTERNATIVE_QUERIES = 3
 CONFIDENCE_HIGH = 80
 CONFIDENCE_MEDIUM = 60

@@ -63,9 +63,7 @@ def rank_offers(offers: DataFrame, searches: DataFrame | None = None, key: str =
     j = offers if searches is None else offers.join(searches.select(key, "query"), key)
     j = with_relevance(with_relevance(j, "title", "query", "_rt"), "description", "query", "_rdsc")
     s = F.round(F.col("_rt") * rules.RANK_TITLE_WEIGHT + F.col("_rdsc") * rules.RANK_DESC_WEIGHT, ROUND)
-    w = Window.partitionBy(key).orderBy(F.col("relevance_score").desc(), *_cols(tie))
-    return (j.withColumn("relevance_score", s).drop("_rt", "_rdsc")
-            .withColumn("rank", F.row_number().over(w).cast("long")).drop("query"))
+    return number_by_score(j.withColumn("relevance_score", s).drop("_rt", "_rdsc", "query"), tie, key)
 
 
 def number_by_score(scored: DataFrame, tie: Sequence[str], key: str = "query_id") -> DataFrame:

@@ -87,13 +87,28 @@ def align_labels(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_
     return F.slice(F.concat(al, F.array_repeat(ign, max_len)), 1, max_len)
 
 
-def word_ids_for(tokens: Column, piece_chars: int = 6, max_len: int = rules.MAX_SEQ_LEN) -> Column:
+def piece_words(tokens: Column, piece_chars: int = 6) -> Column:
     """Word ids of a sub-word tokenization where each word splits into
-    ceil(len / piece_chars) pieces, framed by two special positions and padded."""
-    pieces = F.flatten(F.transform(tokens, lambda t, k: F.array_repeat(
+    ceil(len / piece_chars) pieces."""
+    return F.flatten(F.transform(tokens, lambda t, k: F.array_repeat(
         k, F.greatest(F.lit(1), F.ceil(F.length(t) / piece_chars)).cast("int"))))
-    nul = F.lit(None).cast("int")
-    return F.slice(F.concat(F.array(nul), pieces, F.array(nul), F.array_repeat(nul, max_len)), 1, max_len)
+
+
+def aligned_parts(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_LEN) -> Column:
+    """The aligned labels of an example of any length as sequences of ``max_len`` positions, each
+    framed by two special positions and padded; a word that goes on in the next sequence is
+    not labelled again."""
+    ign, room = F.lit(rules.IGNORE_LABEL), max_len - 2
+
+    def part(al: Column, p: Column) -> Column:
+        body = F.slice(al, p * room + 1, F.lit(room))
+        return F.slice(F.concat(F.array(ign), body, F.array(ign), F.array_repeat(ign, max_len)), 1, max_len)
+
+    def build(w: Column) -> Column:
+        al = F.transform(w, lambda x, k: F.when((k == 0) | (F.get(w, k - 1) != x), F.coalesce(F.get(labels, x), F.lit(0))).otherwise(ign))
+        return let(al, lambda v: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(v) / room)).cast("int") - 1), lambda p: part(v, p)))
+    return let(word_ids, build)
 
 
 # ---------------------------------------------------------------- T5

@@ -119,25 +119,31 @@ def bio_valid(spark, sf_dir):
                                                                         F.size("tokens").alias("n_tokens"))
 
 
-_WID = (f"list_concat([NULL::INTEGER], flatten(list_transform(range(len(tokens)), lambda k: list_transform("
-        f"range(CAST(greatest(1, ceil(length(tokens[k + 1]) / 6)) AS BIGINT)), lambda z: CAST(k AS INTEGER)))), "
-        f"[NULL::INTEGER], list_transform(range({rules.MAX_SEQ_LEN}), lambda z: NULL::INTEGER))[1:{rules.MAX_SEQ_LEN}]")
-_ALIGN = (f"list_concat(list_transform(wid, lambda w, i: CASE WHEN w IS NULL THEN {rules.IGNORE_LABEL} "
-          f"WHEN i = 1 OR wid[i - 1] IS DISTINCT FROM w THEN coalesce(labels[w + 1], 0) ELSE {rules.IGNORE_LABEL} END), "
-          f"list_transform(range({rules.MAX_SEQ_LEN}), lambda z: {rules.IGNORE_LABEL}))[1:{rules.MAX_SEQ_LEN}]")
-
-
-@query("align_labels", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(len(al) AS INTEGER) AS n_positions,
-  CAST(len(list_filter(al, lambda x: x <> {rules.IGNORE_LABEL})) AS INTEGER) AS n_labelled,
-  array_to_string(list_transform(al, lambda x: CAST(x AS VARCHAR)), ',') AS aligned
-  FROM (SELECT *, {_ALIGN} AS al FROM (SELECT *, {_WID} AS wid FROM ({BIO_SQL}) b) w) a""", fixtures=FXT)
+_PIECES = ("flatten(list_transform(range(len(tokens)), lambda k: list_transform(range(CAST(greatest(1, ceil(length(tokens[k + 1]) / 6)) "
+           "AS BIGINT)), lambda z: CAST(k AS INTEGER))))")
+_ROOM = rules.MAX_SEQ_LEN - 2
+_ALIGNED = (f"list_transform(wid, lambda w, i: CASE WHEN i = 1 OR wid[i - 1] <> w THEN coalesce(labels[w + 1], 0) "
+            f"ELSE {rules.IGNORE_LABEL} END)")
+_PART = (f"list_concat([{rules.IGNORE_LABEL}], al[part * {_ROOM} + 1:(part + 1) * {_ROOM}], "
+         f"list_transform(range({rules.MAX_SEQ_LEN}), lambda z: {rules.IGNORE_LABEL}))[1:{rules.MAX_SEQ_LEN}]")
+
+
+@query("align_labels", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(part AS INTEGER) AS part,
+  CAST(len(ap) AS INTEGER) AS n_positions,
+  CAST(len(list_filter(ap, lambda x: x <> {rules.IGNORE_LABEL})) AS INTEGER) AS n_labelled,
+  array_to_string(list_transform(ap, lambda x: CAST(x AS VARCHAR)), ',') AS aligned
+  FROM (SELECT *, {_PART} AS ap FROM (
+    SELECT *, unnest(range(CAST(greatest(1, ceil(len(al) / {_ROOM})) AS BIGINT))) AS part FROM (
+      SELECT *, {_ALIGNED} AS al FROM (SELECT *, {_PIECES} AS wid FROM ({BIO_SQL}) b) w) a) p) q""", fixtures=FXT)
 def align_labels(spark, sf_dir):
-    """T4: labels aligned to sub-word positions (first piece labelled, others -100), 512 long."""
-    b = bio_df(spark, sf_dir).withColumn("word_ids", TR.word_ids_for(F.col("tokens")))
-    al = TR.align_labels(F.col("word_ids"), F.col("labels"))
-    return b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.size(al).alias("n_positions"),
-                    F.size(F.filter(al, lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
-                    F.array_join(F.transform(al, lambda x: x.cast("string")), ",").alias("aligned"))
+    """T4: labels aligned to sub-word positions (first piece labelled, others -100), in
+    sequences of 512."""
+    b = bio_df(spark, sf_dir)
+    parts = TR.aligned_parts(TR.piece_words(F.col("tokens")), F.col("labels"))
+    b = b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.posexplode(parts).alias("part", "al"))
+    return b.select("query_id", "site_key", "l_orderkey", "l_linenumber", "part", F.size("al").alias("n_positions"),
+                    F.size(F.filter("al", lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
+                    F.array_join(F.transform("al", lambda x: x.cast("string")), ",").alias("aligned"))
 
 
 @query("split_examples", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber,

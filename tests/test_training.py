@@ -80,6 +80,18 @@ def test_align_labels(spark):
     assert list(al) == [-100, 1, -100, 2, 0, -100, -100, -100, -100, -100]
 
 
+def test_long_examples_take_several_sequences(spark):
+    # 1 to 4 pieces a word; 20 positions hold 18 pieces
+    words = ["x" * n for n in (3, 7, 13, 20, 6, 1)] * 9
+    labels = [(7 * i) % 9 for i in range(len(words))]
+    df = spark.createDataFrame([(words, labels), ([], [])], "t array<string>, l array<int>")
+    rows = [r["p"] for r in df.select(TR.aligned_parts(TR.piece_words(F.col("t")), F.col("l"), 20).alias("p")).collect()]
+    flat = [x for w, lab in zip(words, labels) for x in [lab] + [-100] * ((len(w) - 1) // 6)]
+    assert len(rows[0]) == -(-len(flat) // 18) and rows[1] == [[-100] * 20]
+    assert all(len(p) == 20 and p[0] == p[-1] == -100 for p in rows[0])
+    assert [x for p in rows[0] for x in p[1:-1]][:len(flat)] == flat
+
+
 def test_exact_split_sizes(spark):
     df = spark.range(0, 1003).withColumn("h", F.md5(F.col("id").cast("string")))
     s = TR.split_examples(df, ["h", "id"]).groupBy("split").count().collect()
