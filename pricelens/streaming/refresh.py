@@ -2,11 +2,12 @@
 price catalogue, one micro-batch at a time.
 
 The catalogue is a parquet table partitioned by ``bucket = pmod(xxhash64(key), B)``.
-Each micro-batch reads only the buckets its keys fall in (a semi-join on the
-bucket column, pruned to those partitions), applies the set-based upsert,
-stages the result under the batch id, and replaces just those buckets with a
-dynamic partition overwrite. Work per batch follows the batch, not the
-catalogue. "Latest wins" is decided by the observation order key carried in the
+Each micro-batch reads only the buckets its keys fall in (their numbers are
+literals in the filter, at most B of them, so partitions are pruned), applies the
+set-based upsert, stages the result, and replaces just those buckets with a
+dynamic partition overwrite. Work per batch follows the buckets that it touches:
+a batch of few keys against many buckets is small, a batch of many scattered
+keys touches all. The staging folder holds the last batch only. "Latest wins" is decided by the observation order key carried in the
 table (time, then the feed's tie-break columns), so the result does not depend
 on file arrival order, and re-applying a batch after a failure gives the same
 table (the upsert is idempotent). The staged output is read back before the
@@ -45,15 +46,16 @@ def refresh_stream_bucketed(spark: SparkSession, source_dir: str, schema, root:
     staging_root = os.path.join(os.path.dirname(root.rstrip("/")), "_staging")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select(*keep).withColumn("bucket", bucket_of(keys, buckets))
-        touched = b.select("bucket").distinct()
-        cur = spark.read.parquet(root).join(touched, "bucket", "left_semi").select(*keep, "bucket")
+        b = batch.select(*keep).withColumn("bucket", bucket_of(keys, buckets)).persist()  # read twice
+        touched = [r["bucket"] for r in b.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        cur = spark.read.parquet(root).where(F.col("bucket").isin(touched)).select(*keep, "bucket")
         new = K._latest(cur.unionByName(b), ["bucket", *keys], F.struct(*[F.col(c) for c in order]),
                         [c for c in keep if c not in keys])
-        stage = os.path.join(staging_root, f"batch={batch_id}")
+        stage = os.path.join(staging_root, "current")
         new.write.mode("overwrite").partitionBy("bucket").parquet(stage)
         (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(root))
+        b.unpersist()
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
