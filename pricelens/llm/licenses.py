@@ -82,12 +82,25 @@ SPELLINGS = {
     "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
     "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
+# Canonical lines that are copyright lines whatever their punctuation was (the SQL reads this rule too).
 _COPYRIGHT = r"^(copyright( c)?( [0-9]{4}|$| by | the )|c [0-9]{4}|all rights reserved)"
+# Words that follow "copyright" where a line of a licence body was wrapped.
+_BODY = ("notices?|holders?|owners?|ownership|licen[sc]es?|licensors?|statements?|laws?|interests?|treaty|act|permissions?|protection|"
+         "disclaimers?|doctrines?|claims?|patents?|trademarks?|related|rights?|infringements?|status|assignments?|agreements?|"
+         "information|material|and|or|on|in|of|for|to|is|it|with|as|that|under|from|including")
+_YEAR = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
+_BLANK = r"[<\[{(](?:yyyy|year|name|fullname|full name|copyright|date)"  # the blanks of a template
+# Copyright lines as they are written: the sign tells; the bare word or "(c)", which licence bodies have at line starts
+# as well, needs a year, a template's blank or a capitalised name.
+_NOTICE = (r"^[^\p{L}\p{N}©]*(?:(?i:portions(?: are)?|parts of this \p{L}+(?: are)?)[ \t]+)?(?:"
+           r"(?i:copyright)[\s:,]*+(?:©|\([cC]\)|(?i:&copy;))|©[^\p{L}\p{N}]*[\p{L}\p{N}]|"
+           rf"(?i:copyright)[\s:,]++(?!(?i:{_BODY})(?!\p{{L}}))(?:.*{_YEAR}|.*(?i:{_BLANK})|\p{{Lu}})|"
+           rf"\([cC]\)[\s:,]*+(?:.*{_YEAR}|(?i:{_BLANK})|(?:(?:\p{{Lu}}[\p{{L}}\p{{N}}.'-]*+|(?:and|of|the)(?!\p{{L}})|&)[\s,.]*+){{2,8}}$))")
 _VARIANT = "(^| )(" + "|".join(SPELLINGS) + ")( |$)"
 
 
 def canonical_lines(text: Column) -> Column:
-    """The canonical form of each line."""
+    """Each line's canonical form, and whether it was written as a copyright line."""
     def plain(line: Column) -> Column:
         return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
@@ -95,12 +108,14 @@ def canonical_lines(text: Column) -> Column:
 
     def spelled(line: Column) -> Column:
         return F.when(line.rlike(_VARIANT), F.array_join(F.transform(F.split(line, " "), lambda w: F.coalesce(same[w], w)), " ")).otherwise(line)
-    return F.transform(F.transform(F.split(text, "\r\n|\r|\n"), plain), spelled)
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.struct(plain(x).alias("plain"), x.rlike(_NOTICE).alias("notice")))
+    return F.transform(lines, lambda x: F.struct(spelled(x["plain"]).alias("canonical"), x["notice"].alias("notice")))
 
 
 def canonical_text(lines: Column) -> Column:
     """A whole text from its canonical lines, without copyright lines."""
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(_COPYRIGHT)), " ")
+    body = F.filter(lines, lambda x: (x["canonical"] != "") & ~x["notice"] & ~x["canonical"].rlike(_COPYRIGHT))
+    return F.array_join(F.transform(body, lambda x: x["canonical"]), " ")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -109,7 +124,7 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known]))
     t = spark.range(1).select(rows.alias("k")).select("k.license_id", canonical_lines(F.col("k.text")).alias("lines"))
     whole = t.select("license_id", F.lit("text").alias("scope"), canonical_text(F.col("lines")).alias("canonical"))
-    line = t.select("license_id", F.lit("line").alias("scope"), F.array_join("lines", " ").alias("canonical"))
+    line = t.select("license_id", F.lit("line").alias("scope"), F.array_join("lines.canonical", " ").alias("canonical"))
     return whole.union(line).where("canonical <> ''").select("license_id", "scope", "canonical", F.sha2("canonical", 256).alias("digest")).distinct()
 
 
@@ -121,7 +136,7 @@ def find_licenses(spark: SparkSession, docs: DataFrame, known=KNOWN) -> DataFram
     d = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical_lines(F.col("text")).alias("lines"))
     units = F.concat(
         F.array(F.struct(F.lit("text").alias("scope"), F.lit(None).cast("int").alias("line"), canonical_text(F.col("lines")).alias("canonical"))),
-        F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), i.alias("line"), x.alias("canonical"))))
+        F.transform("lines", lambda x, i: F.struct(F.lit("line").alias("scope"), i.alias("line"), x["canonical"].alias("canonical"))))
     u = d.select("doc_id", F.explode(F.filter(units, lambda x: F.length(x["canonical"]).isin(sizes))).alias("u"))
     u = u.select("doc_id", "u.scope", "u.line", F.sha2("u.canonical", 256).alias("digest"))
     return u.join(F.broadcast(digests.drop("canonical")), ["scope", "digest"]).select("doc_id", "license_id", "scope", "line")

@@ -66,6 +66,19 @@ def test_licenses(spark):
     assert L.find_licenses(spark, data.empty(spark)).count() == 0
 
 
+def test_copyright_lines_of_all_forms(spark):
+    mit = "Permission is hereby" + next(t for i, t in L.KNOWN if i == "MIT").split("Permission is hereby")[1]
+    notices = ["Copyright (c) Microsoft Corporation. All rights reserved.", "Copyright (c) Facebook, Inc. and its affiliates.", "Copyright Jane Doe 2020",
+               "(c) Jane 2020", "© 2020 Jane", "© Jane Doe", "Portions Copyright (c) 2020 X", "Copyright (c) [year] [fullname]", "Copyright (c) <year> <copyright holders>",
+               " * Copyright [yyyy] [name of copyright owner]", "# Copyright: Jane Doe", "copyright jane doe, 2020", "Copyright 2020 Jane", "(C) Jane Doe and Others", "&copy; no"]
+    body = ["copyright notice and this", "COPYRIGHT HOLDER BE LIABLE", "COPYRIGHT OWNER OR CONTRIBUTORS", "copyright license to reproduce", "Copyright and Related Rights",
+            "copyright on the Program, and", "(c) You must retain, in the Source", "copyrighted 2020", "Copyright Act of 1976", "scope (c) 2020",
+            "(c) " + "A" * 50_000 + "!", "(c) " + "A." * 50_000 + "!", "copyright" + " " * 50_000 + "x", "(" * 50_000]  # no backtracking over long lines
+    rs = [(i, f"MIT License\n\n{x}\n\n{mit}", *[None] * 7) for i, x in enumerate(notices + body)]
+    got = {r.doc_id for r in L.find_licenses(spark, data.frame(spark, rs)).where("scope = 'text'").collect()}
+    assert [x for i, x in enumerate(notices + body) if i in got] == notices[:-1] + body[-1:]  # a line of punctuation alone is empty
+
+
 def test_license_plan_is_native(spark):
     plan = L.find_licenses(spark, data.frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
