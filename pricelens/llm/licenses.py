@@ -13,6 +13,10 @@ of one line may match as text and as line; repeated rows each give their rows; r
 
 from __future__ import annotations
 
+import json
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,11 @@ KNOWN = [
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
 ]
+# Where the terms end and advice on their use follows, and addresses that texts of the same terms give.
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor, Boston,? MA\s+02110-1301\s+USA")
+_ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+              "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA")
 # Spellings that count as equal, each with the form that stands for it.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -99,6 +108,19 @@ _NOTICE = (r"^[^\p{L}\p{N}©]*(?:(?i:portions(?: are)?|parts of this \p{L}+(?: a
 _VARIANT = "(^| )(" + "|".join(SPELLINGS) + ")( |$)"
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """``known_licenses.jsonl`` (a fixed list that comes with this package) in its usual forms: with and without the advice
+    after the terms, with each address of the publisher; BSD texts also without numbers."""
+    out = []
+    for line in pkgutil.get_data(__package__, "known_licenses.jsonl").decode().splitlines():
+        x = json.loads(line)
+        terms, end, _ = x["text"].partition(_TERMS_END)
+        for t in {x["text"], terms + end, terms}:
+            out += [(x["license_id"], y) for y in {t, *(_ADDRESS.sub(a, t) for a in _ADDRESSES)}]
+    bsd = [(i, t) for i, t in KNOWN + out if i.startswith("BSD-") and "Redistribution and use" in t]
+    return out + [(i, re.sub(r"\b[123]\. (?=Redistributions|Neither)", "", t)) for i, t in bsd]
+
+
 def canonical_lines(text: Column) -> Column:
     """Each line's canonical form, and whether it was written as a copyright line."""
     def plain(line: Column) -> Column:
@@ -118,7 +140,7 @@ def canonical_text(lines: Column) -> Column:
     return F.array_join(F.transform(body, lambda x: x["canonical"]), " ")
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known) -> DataFrame:
     """``license_id, scope, digest``: texts for whole documents and lines (``known`` is a
     fixed, bounded list)."""
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known]))
@@ -128,10 +150,10 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return whole.union(line).where("canonical <> ''").select("license_id", "scope", "canonical", F.sha2("canonical", 256).alias("digest")).distinct()
 
 
-def find_licenses(spark: SparkSession, docs: DataFrame, known=KNOWN) -> DataFrame:
+def find_licenses(spark: SparkSession, docs: DataFrame, known=None) -> DataFrame:
     """``doc_id, license_id, scope, line`` for each document and line that is a known text
-    (``line`` from 0, NULL for whole documents)."""
-    digests = known_digests(spark, known)
+    (``line`` from 0, NULL for whole documents); ``known`` is ``KNOWN`` and the full texts if not given."""
+    digests = known_digests(spark, KNOWN + full_texts() if known is None else known)
     sizes = [r["n"] for r in digests.select(F.length("canonical").alias("n")).distinct().collect()]
     d = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical_lines(F.col("text")).alias("lines"))
     units = F.concat(

@@ -79,6 +79,23 @@ def test_copyright_lines_of_all_forms(spark):
     assert [x for i, x in enumerate(notices + body) if i in got] == notices[:-1] + body[-1:]  # a line of punctuation alone is empty
 
 
+def test_full_texts(spark):
+    ids = {"Apache-2.0", "Artistic-1.0-Perl", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+           "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense"}
+    texts = [(i, t) for i, t in L.full_texts() if "\n" in t]
+    assert {i for i, _ in texts} == ids
+    bsd3 = next(t for i, t in L.KNOWN if i == "BSD-3-Clause")
+    gpl2 = next(t for i, t in texts if i == "GPL-2.0" and "51 Franklin Street" in t)
+    assert "51 Franklin" in gpl2
+    more = [("BSD-3-Clause", re.sub(r"\b[123]\. ", "\n * ", bsd3)), ("BSD-3-Clause", re.sub(r"\b[123]\. ", "\n", "BSD 3-Clause License\n(c) 2020 Jane\n" + bsd3)),
+            ("GPL-2.0", re.sub(r"51 Franklin Street.*USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA", gpl2).replace("\n", "\r\n")),
+            ("LGPL-2.0", re.sub(r"51 Franklin Street.*USA", "675 Mass Ave, Cambridge, MA 02139, USA", next(t for i, t in texts if i == "LGPL-2.0" and "51 Franklin Street" in t))),
+            (None, gpl2 + "and more")]
+    rs = [(i, t, *[None] * 7) for i, (_, t) in enumerate(texts + more)]
+    got = sorted((r.doc_id, r.license_id) for r in L.find_licenses(spark, data.frame(spark, rs)).where("scope = 'text'").collect())
+    assert got == [(i, want) for i, (want, _) in enumerate(texts + more) if want]
+
+
 def test_license_plan_is_native(spark):
     plan = L.find_licenses(spark, data.frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
