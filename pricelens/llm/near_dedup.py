@@ -284,9 +284,17 @@ def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_dist
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """``docs`` with the smallest ``doc_id`` of every component left; rows that share an id
-    count as one document, and rows without an id stay only where no other id is there."""
-    g = near_groups(spark, docs, shingle, max_distance)
-    drop = g.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
-    kept = docs.join(drop.distinct(), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of every component left, the one with the smallest ``doc_id``
+    (rows without an id rank last). Each row is judged by its own text, whatever other rows
+    have its id or none."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # Written once, so that the numbers hold for every later read.
+    numbered = written(spark, docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*cols).alias("doc")), "numbered")
+    prints_of = fingerprints(numbered.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), shingle)
+    rows = written(spark, prints_of.select(F.col("doc_id").alias("row"), "fp"), "fingerprints")
+    ids = numbered.select("row", F.col("doc.doc_id").cast("bigint").alias("doc_id"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    prints = written(spark, rows.join(ids, "row").groupBy("fp").agg(F.min(rank).alias("first")), "prints")
+    lab = components(spark, links(spark, prints, max_distance))
+    keep = prints.join(lab, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return numbered.join(keep.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")

@@ -95,3 +95,18 @@ def test_keep_first(spark):
     rows = [(5, "a b c d e f g h i j"), (3, "A b c d e f g h i j"), (9, "something else entirely here now"), (None, "a b c d e f g h i j")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in N.keep_first(spark, df).collect()) == [3, 9]
+
+
+def test_keep_first_decides_by_row(spark):
+    near, other, third = "a b c d e f g h i j", "something else entirely here now", "one more text that nobody else has"
+    def kept(*rows):
+        df = spark.createDataFrame(list(rows), "doc_id bigint, text string").repartition(3)
+        return sorted(map(tuple, N.keep_first(spark, df).collect()), key=repr)
+    # an unrelated text without an id stays, whatever another row without an id is
+    assert kept((3, near), (None, near.upper()), (None, other)) == sorted([(3, near), (None, other)], key=repr)
+    # near copies without any id: one is left
+    assert [d for d, _ in kept((None, near), (None, near.upper()), (None, near))] == [None]
+    # one id with two texts: only the near copy goes
+    assert kept((3, near), (5, other), (5, near.upper())) == [(3, near), (5, other)]
+    # an id that is first in two components stays in both; repeated rows are copies
+    assert kept((5, near), (5, near), (5, other), (6, near.upper()), (7, other.upper()), (8, third)) == sorted([(5, near), (5, other), (8, third)], key=repr)
