@@ -8,8 +8,11 @@ The entropy scan adds spans of kind ``entropy``: candidate strings are runs of t
 characters; for each character class a window slides over the class's runs, and the Shannon
 entropy of its characters is updated from one count that leaves and one that enters. A
 window at or above the class's threshold is a finding; touching findings join. The allow-list
-then removes findings that are known not to be secrets. Findings inside a base span are
-not repeated.
+removes what is known not to be a secret; a dummy word (``example``) in a candidate removes
+only the ``/``- or ``=``-separated segment that holds it, and the rest is scanned on both sides
+of it (of a documented dummy with ``/`` inside, other segments may be found). A finding needs
+letters and digits both: strings of letters alone are not told from prose, names and paths,
+so a key without any digit is not found. Findings inside a base span are not repeated.
 
 Offsets count code points, ends are exclusive. Defined results: a NULL or empty text has no
 spans; repeated rows and rows without ``doc_id`` each give a row; an empty table gives an
@@ -42,8 +45,9 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),            # UUIDs are names
     re.compile(r"[A-Z]?[a-z]+([-_/=+]+[A-Z]?[a-z]+)*|[A-Z]+([-_/=+]+[A-Z]+)*"),   # words, slugs, paths, constants
     re.compile(r"([A-Z]?[a-z]{2,})+"),                                            # joined words
-    re.compile(r".*(?:example|sample|placeholder|abcdefgh|01234567).*", re.I),    # documented dummies
 )
+_DUMMY = re.compile(r"example|sample|placeholder|abcdefgh|01234567", re.I)         # documented dummies
+_SEGMENT = re.compile(r"[^/=]+")
 
 
 def hot_windows(run: str, width: int, threshold: float) -> Iterator[tuple[int, int]]:
@@ -79,17 +83,29 @@ def mixed(text: str) -> bool:
     return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
 
 
+def stretches(cand: str) -> Iterator[tuple[int, str]]:
+    """``cand`` without its segments that hold a dummy word: each rest with its start."""
+    at = 0
+    if _DUMMY.search(cand):
+        for seg in _SEGMENT.finditer(cand):
+            if _DUMMY.search(seg[0]):
+                yield at, cand[at:seg.start()]
+                at = seg.end()
+    yield at, cand[at:]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found = set()
     for cand in _CANDIDATE.finditer(text):
-        if not mixed(cand[0]) or allowed(cand[0]):
-            continue
-        for _name, chars, width, threshold in CLASSES:
-            for run in chars.finditer(cand[0]):
-                for s, e in hot_windows(run[0], width, threshold):
-                    piece = run[0][s:e]
-                    if mixed(piece) and not allowed(piece):
-                        found.add((cand.start() + run.start() + s, cand.start() + run.start() + e))
+        for start, part in stretches(cand[0]):
+            if not mixed(part) or allowed(part):
+                continue
+            for _name, chars, width, threshold in CLASSES:
+                for run in chars.finditer(part):
+                    for s, e in hot_windows(run[0], width, threshold):
+                        piece = run[0][s:e]
+                        if mixed(piece) and not allowed(piece):
+                            found.add((cand.start() + start + run.start() + s, cand.start() + start + run.start() + e))
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
         if out and s <= out[-1][1]:

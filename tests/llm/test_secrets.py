@@ -54,6 +54,19 @@ def test_entropy_finds_keys_and_spares_plain_text():
         assert S.entropy_spans(plain) == [], plain
 
 
+def test_dummy_words_hide_their_segment_only():
+    for before, key, after in (("path=/opt/example/", "sk-q8Zr2LxTn5Yw9KbVd3HsJm7PcF4g", ""), ("io/v1/samples/key/", "q8Zr2LxTn5Yw9KbVd3HsJm7PcF4g", "/placeholder"),
+                               ("a/" * 3_000 + "EXAMPLE=", KEY, "=sample/" + "b/" * 3_000)):
+        text = before + key + after
+        spans = S.entropy_spans(text)
+        at = len(before)
+        assert any(s <= at + 5 and e >= at + len(key) for s, e in spans), text[:60]
+        assert not any("example" in text[s:e].lower() or "sample" in text[s:e].lower() or "placeholder" in text[s:e] for s, e in spans)
+    for dummy in (f"/opt/example-{KEY}/x", f"sample_{KEY}", f"key=abcdefgh{KEY}", "exampleKey12345abcdefGHIJKL"):
+        assert S.entropy_spans(dummy) == [], dummy
+    assert S.entropy_spans("qXzLwVbKdTnRjPfMyGhScAeU") == []  # letters alone: see the docstring
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcdeABC0123+", max_size=60), st.integers(3, 12), st.floats(0.5, 3.4))
 def test_incremental_windows_equal_recounting(run, width, threshold):
