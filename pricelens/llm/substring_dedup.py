@@ -27,8 +27,8 @@ UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]+(?:\n[^\
 SCHEMA = "doc_id bigint, row bigint, start bigint, end bigint, n_words int, h1 bigint, h2 bigint"
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every unit with its offsets and digest; ``row`` tells repeated rows apart."""
+def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, number: str | None = None) -> DataFrame:
+    """Every unit with its offsets and digest; ``row`` tells repeated rows apart (the column ``number``, if given)."""
     find = UNITS[unit].finditer
 
     def run(batches):
@@ -44,24 +44,41 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
             types = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "row", "start", "end", "n_words", "h1", "h2"])
     t = id_text(docs)
-    return t.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, SCHEMA)
+    row = F.monotonically_increasing_id().alias("row")
+    return t.select("doc_id", row, "text").mapInArrow(run, SCHEMA) if number is None else docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col(number).alias("row"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def removals(spark: SparkSession, docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, start, end, n_words, keep_doc_id, keep_start, copies`` for each removed unit."""
-    u = written(spark, units(docs, unit, min_words), "units")  # rows keep their number from here on
+    return _removals(spark, units(docs, unit, min_words)).drop("row")
+
+
+def _removals(spark: SparkSession, found: DataFrame) -> DataFrame:
+    u = written(spark, found, "units")  # rows keep their number from here on
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "row")
     groups = written(spark, u.groupBy("h1", "h2").agg(F.min(rank).alias("keep"), F.count("*").alias("copies")).where("copies > 1")
                      .select("h1", "h2", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"),
                              F.col("keep.row").alias("keep_row"), "copies"), "repeated-units")
     return (u.join(groups, ["h1", "h2"]).where("row <> keep_row OR start <> keep_start")
-            .select("doc_id", "start", "end", "n_words", "keep_doc_id", "keep_start", "copies"))
+            .select("doc_id", "row", "start", "end", "n_words", "keep_doc_id", "keep_start", "copies"))
+
+
+def cut_copies(spark: SparkSession, docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with every repeated unit but the first cut out. Each row loses its own units
+    only, whatever other rows have its ``doc_id`` or none."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = written(spark, docs.select(F.monotonically_increasing_id().alias("__row"), *cols), "numbered")
+    removed = _removals(spark, units(numbered, unit, min_words, "__row"))
+    return without(numbered, removed, "__row", "row").select(*cols)
 
 
-def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+def without(docs: DataFrame, removed: DataFrame, key: str = "doc_id", removed_key: str = "doc_id") -> DataFrame:
     """``docs`` with the removed units cut out of their texts (a unit takes one line end
-    with it). Rows that share a ``doc_id`` are one document here."""
-    spans = removed.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))  # bounded by the document
+    with it). The key must be unique in ``docs``: where ids are missing or shared, use
+    ``cut_copies``."""
+    spans = removed.groupBy(F.col(removed_key).alias("__key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))  # bounded by the document
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -77,6 +94,6 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
         return pa.array(out, pa.string())
     cols = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
-    joined = row.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    joined = row.join(spans, F.col(f"row.{key}").eqNullSafe(F.col("__key")), "left")
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(cut(F.col("row.text"), F.col("cuts")))
     return joined.select("row.*", text.alias("__text")).select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in cols])

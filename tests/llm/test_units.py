@@ -52,6 +52,17 @@ def test_cut_texts(spark):
     assert text[3] is None and text[4] == "" and len(text) == len(rs)
 
 
+def test_cut_copies_by_row(spark):
+    line, own = "A shared line of seven words here", "another text of its own, long enough to be cut wrongly"
+    rows = [(1, line), (None, line + "\nx"), (None, own), (7, own + " too"), (7, line + "\ny"), (8, line), (8, line)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = S.cut_copies(spark, docs)
+    assert out.columns == docs.columns
+    want = [(1, line), (None, "x"), (None, own), (7, own + " too"), (7, "y"), (8, ""), (8, "")]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert S.cut_copies(spark, data.frame(spark, [])).count() == 0
+
+
 def test_licenses(spark):
     mit = dict((i, t) for i, t in L.KNOWN if t.startswith("Permission is hereby"))["MIT"]
     wrapped = "The MIT Licence (MIT)\r\n\r\nCopyright (c) 2020, 2021 Some Body\r\nAll rights reserved.\r\n\r\n" + mit.replace(". ", ".\r\n").replace("sublicense", "sublicence").lower()
