@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import byte_bpe, decontaminate, exact_dedup, licenses, near_dedup, quality, secrets, substring_dedup, token_counts, toxicity
+from . import (byte_bpe, collocations, decontaminate, exact_dedup, hard_negatives, licenses, near_dedup, quality, secrets, substring_dedup, token_counts,
+               toxicity, warc)
 from .registry import query
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -40,7 +42,8 @@ def byte_bpe_round_trip(spark, sf_dir):
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i,
                   string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start, length(line) AS size,
-             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm FROM l),
+             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g'), ' ') AS norm FROM l),
 k AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM u WHERE norm <> ''),
 r AS (SELECT *, row_number() OVER w AS rn, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start,
              count(*) OVER (PARTITION BY norm) AS copies FROM k WHERE n_words >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
@@ -126,3 +129,66 @@ def exact(spark, sf_dir):
 def count_tokens(spark, sf_dir):
     """Number of tokens of every document, and whether it is over 1024."""
     return token_counts.token_counts(spark, load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_OP11_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM (
+          SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) ks WHERE len(w) >= k))
+      GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.a, j.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
+        FROM c JOIN (SELECT unnest([1, 2, 3]) AS cut) j ON j.cut < c.k
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j.cut], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j.cut + 1:], ' ')),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS rn FROM cut) WHERE rn = 1),
+part AS (SELECT lang, array_to_string(w[s:s + size - 1], ' ') AS phrase, max(a) AS longer FROM (
+           SELECT lang, w, a, size, unnest(range(1, k - size + 2)) AS s FROM c JOIN (SELECT unnest([2, 3]) AS size) z ON size < k) GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN part USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _OP11_SQL)
+def phrase_collocations(spark, sf_dir):
+    """The best phrases of 2 to 4 words of each language."""
+    return collocations.collocations(spark, load(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _OP12_SQL)
+def mine_hard_negatives(spark, sf_dir):
+    """Ten hard negatives for each of an anchor's five best positives; anchors are the rows whose id 100 divides."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark, load(spark, sf_dir, "embeddings"), label, "vec_id % 100 = 0")
+
+
+@query("op13_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+f AS (SELECT *, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+""")
+def warc_round_trip(spark, sf_dir):
+    """Every page written to WARC archives and read back with all checks."""
+    index = warc.write_archives(spark, load(spark, sf_dir, "pages"))
+    return warc.page_records(warc.read_archives(spark, index, with_payload=False))
