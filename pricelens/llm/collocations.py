@@ -2,22 +2,23 @@
 
 A text (A-Z lower-cased) is cut at ``. , ; : ! ?`` and line ends into pieces and those at
 blanks and tabs into words; phrases are runs of up to ``MAX_WORDS`` words inside a piece. All
-counts are per language. Two passes:
-
-1. **Local mining.** A shard is ``SHARD_BYTES`` of text at most, in the memory of one task. With
-   ``w`` the shard's share of all text bytes, a phrase that occurs ``support`` times in all occurs
-   ``ceil(support * w)`` times in one shard at least (the shares add up to 1). Each shard is mined
-   completely at that local support, level by level: a phrase of ``k`` words is looked at only
-   where both its parts of ``k - 1`` words are locally frequent. Locally frequent phrases are
-   added up by hash, with what the shards that left a phrase out may hold at most; only phrases
-   whose bound reaches the support are candidates.
-2. **Global count.** The candidates' hashes are a bit filter of bounded size; every occurrence that
-   passes it is counted under its own words, so a false positive costs a row and never a count.
-
-The support is an absolute number, so with more than ``support`` shards the local support is 1:
-then the bound of pass 1 is the count itself and all phrases of the corpus meet in its aggregation,
-once, as 64-bit hashes. Everything stays partitioned; the driver gets three numbers and the
-filter (16 MB at most).
+counts are per language. A shard is ``SHARD_BYTES`` of text at most, in the memory of one task.
+
+* **Local mining.** With ``w`` the shard's share of all text bytes, a phrase that occurs ``support``
+  times in all occurs ``ceil(support * w)`` times in one shard at least (the shares add up to 1).
+  Each shard is mined completely at that local support, level by level: a phrase of ``k`` words
+  is looked at only where both its parts of ``k - 1`` words are still in. Locally frequent phrases
+  are united by hash and their counts added up with what the shards that left a phrase out may
+  hold at most; only phrases whose bound reaches the support are candidates.
+* **Global count.** The candidates' hashes are a bit filter of bounded size; every occurrence that
+  passes it is counted under its own words, so a false positive costs a row and never a count.
+
+Four sweeps over the texts: words are counted; pairs of frequent words are mined; candidate
+pairs are counted while longer phrases of candidate pairs are mined; candidates among those
+are counted. What is known globally of a level thins out the next: the support is an absolute
+number, so with more than ``support`` shards the local support is 1 and every pair of frequent
+words meets in the aggregation (once a shard, as a 64-bit hash), but longer phrases only where
+all their pairs are frequent. The driver gets a few numbers and the filter (16 MB at most).
 
 A cut of a phrase after its first ``k`` words scores ``floor(2000000 a / (l + r))`` with ``a, l, r``
 the counts of phrase, first and second part; the lowest-scoring cut counts. A phrase goes if a
@@ -44,7 +45,7 @@ from .common import bit_filter, in_filter, written
 SUPPORT = 30
 MAX_WORDS = 4
 TOP = 2_000
-SHARD_BYTES = 64 << 20   # text of a shard; a task needs about five times that
+SHARD_BYTES = 48 << 20   # text of a shard; a task needs about eight times that
 SLICE_BYTES = 4 << 20    # longer texts are taken in slices that end at a piece's end
 BREAK = b"\xff"          # no byte of UTF-8
 _TABLE = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,15 +53,16 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Ids(dict):
-    """Word -> number within a shard; ``names`` (shared by the languages) has the words."""
+    """Word -> number within a shard; ``names`` and ``langs`` (shared by the languages) have the words back."""
 
-    def __init__(self, lang: str, names: list):
+    def __init__(self, lang: str, names: list, langs: list):
         super().__init__({BREAK: 0})
-        self.lang, self.names = lang, names
+        self.lang, self.names, self.langs = lang, names, langs
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.names)
-        self.names.append((self.lang, word))
+        self.names.append(word)
+        self.langs.append(self.lang)
         return n
 
 
@@ -79,13 +81,16 @@ class Shard:
     """Numbered words of many texts, 0 between pieces. Numbers differ between languages."""
 
     def __init__(self):
-        self.names: list = [("", BREAK)]
+        self.names: list[bytes] = [BREAK]
+        self.lang_of: list[str] = [""]
         self.langs: dict[str, _Ids] = {}
         self.parts: list[np.ndarray] = []
         self.bytes = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        ids = self.langs.get(lang) or self.langs.setdefault(lang, _Ids(lang, self.names))
+        ids = self.langs.get(lang)
+        if ids is None:
+            ids = self.langs[lang] = _Ids(lang, self.names, self.lang_of)
         for words in slices(text):
             words.append(BREAK)
             self.parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
@@ -107,24 +112,29 @@ class Shard:
         yield 1, words, counts
         now = code[now]  # number of the chosen phrase that begins here, 0 if none
         for k in range(2, longest + 1):
-            at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
+            at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0)).astype(np.int32)
             width = len(words) + 1
-            key = now[at].astype(np.int64) * width + now[at + 1]
+            key = now[at].astype(np.int64)
+            key *= width
+            key += now[at + 1]
             distinct, counts = np.unique(key, return_counts=True)
-            both = np.concatenate([words[distinct // width - 1], words[distinct % width - 1][:, -1:]], axis=1)
-            chosen = choose(k, both, counts)
-            distinct, words, counts = distinct[chosen], both[chosen], counts[chosen]
+            chosen = np.empty(len(distinct), bool)
+            both = lambda d: np.concatenate([words[d // width - 1], words[d % width - 1][:, -1:]], axis=1)  # noqa: B023, E731
+            for i in range(0, len(distinct), 1 << 20):
+                chosen[i:i + (1 << 20)] = choose(k, both(distinct[i:i + (1 << 20)]), counts[i:i + (1 << 20)])
+            distinct, counts = distinct[chosen], counts[chosen]
+            words = both(distinct)
             yield k, words, counts
             if k < longest:
-                slot = np.minimum(np.searchsorted(distinct, key), max(len(distinct) - 1, 0))
+                slot = np.minimum(np.searchsorted(distinct, key), max(len(distinct) - 1, 0)).astype(np.int32)
                 now = np.zeros(len(now) - 1, np.int32)
                 now[at] = np.where(distinct[slot] == key, slot + 1, 0) if len(distinct) else 0
 
     def hashes(self) -> Callable[[int, np.ndarray], np.ndarray]:
         """Hash of phrases given as rows of word numbers (the same in every shard)."""
         digest = xxhash.xxh64_intdigest
-        seeds = {lang: digest(lang.encode()) for lang in self.langs} | {"": 0}
-        own = np.fromiter((digest(w, seeds[lang]) for lang, w in self.names), np.uint64, len(self.names))
+        seeds = {lang: digest(lang.encode()) for lang in self.langs} | {"": digest(b"")}
+        own = np.fromiter((digest(w, seeds[lang]) for lang, w in zip(self.lang_of, self.names)), np.uint64, len(self.names))
 
         def of(k: int, words: np.ndarray) -> np.ndarray:
             h = np.full(len(words), k, np.uint64)
@@ -152,56 +162,92 @@ def local_support(support: int, own: int, total: int) -> int:
     return max(1, -(-support * own // total)) if total else 1
 
 
-def candidates(spark: SparkSession, texts: DataFrame, support: int, longest: int, shard_bytes: int) -> DataFrame:
-    """Hashes ``h`` of all phrases that may reach the support (pass 1)."""
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
-
-    def mine(batches):
-        for shard in _shards(batches, shard_bytes):
-            least = local_support(support, shard.bytes, total)
-            of = shard.hashes()
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([least - 1], pa.int64())], names=["h", "n"])
-            for k, words, counts in shard.levels(lambda k, words, counts: counts >= least, longest):
-                yield pa.RecordBatch.from_arrays([pa.array(of(k, words).view(np.int64)), pa.array(counts - (least - 1))], names=["h", "n"])
-    # Fewer, larger shards have a higher local support; coalescing moves no data.
-    local = written(spark, texts.coalesce(n).mapInArrow(mine, "h bigint, n bigint")
-                    .groupBy("h").agg(F.sum("n").alias("n")), "locally-frequent")
-    # A shard that left a phrase out has it at most (its local support - 1) times.
-    rest = local.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
-    return local.where((F.col("n") + rest >= support) & F.col("h").isNotNull()).select("h")
+SWEEP_SCHEMA = "lang string, k int, phrase string, h bigint, n bigint"
+ROWS = 1 << 16
+
+
+class Miner:
+    """The sweeps over ``texts(lang, text)``."""
+
+    def __init__(self, spark: SparkSession, texts: DataFrame, support: int, shard_bytes: int):
+        self.spark, self.texts, self.support, self.shard_bytes = spark, texts, support, shard_bytes
+        self.total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def sweep(self, count: range, mine: range, known: DataFrame | None = None) -> DataFrame:
+        """A written table of ``lang, k, phrase, h, n``. Phrases of the lengths in ``count`` that
+        pass the filter of ``known`` hashes (all, if there is none) are counted; ``k`` = 0 has the number of words. Of the lengths in
+        ``mine``, ``h`` alone tells the locally frequent, with the part of the count that lies above what a shard leaves
+        out; the row without ``h`` has the sum of what the shards leave out."""
+        passing = None
+        if known is not None:
+            passing = self.spark.sparkContext.broadcast(bit_filter(known, known.count()))
+        total, support, shard_bytes = self.total, self.support, self.shard_bytes
+        longest = max(*count, *mine, 1)
+
+        def run(batches):
+            for shard in _shards(batches, shard_bytes):
+                least = local_support(support, shard.bytes, total)
+                of = shard.hashes()
+                words_of = dict.fromkeys(shard.langs, 0)
+
+                def choose(k, words, counts):
+                    if k == 1 and 1 in count:
+                        for lang, c in zip(shard.lang_of[1:], counts[1:].tolist()):  # noqa: B023
+                            words_of[lang] += c  # noqa: B023
+                    if k in mine:
+                        return counts >= least  # noqa: B023
+                    return np.ones(len(words), bool) if passing is None else in_filter(passing.value, of(k, words))  # noqa: B023
+                for k, words, counts in shard.levels(choose, longest):
+                    for i in range(0, len(words) if k in count or k in mine else 0, ROWS):
+                        w, n = words[i:i + ROWS], counts[i:i + ROWS]
+                        h = pa.array(of(k, w).view(np.int64))
+                        if k in count:
+                            rows = w.tolist()
+                            text = pa.array([b" ".join([shard.names[x] for x in r]) for r in rows], pa.binary()).cast(pa.string())
+                            yield _rows(pa.array([shard.lang_of[r[0]] for r in rows], pa.string()), k, text, h, n)
+                        else:
+                            yield _rows(pa.nulls(len(w), pa.string()), k, pa.nulls(len(w), pa.string()), h, n - (least - 1))
+                if mine:
+                    yield _rows(pa.nulls(1, pa.string()), -1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), np.array([least - 1]))
+                if 1 in count:
+                    yield _rows(pa.array(list(words_of), pa.string()), 0, pa.array([""] * len(words_of)), pa.nulls(len(words_of), pa.int64()),
+                                np.array(list(words_of.values()), np.int64))
+        texts = self.texts
+        if mine:  # fewer, larger shards have a higher local support; coalescing moves no data
+            texts = texts.coalesce(max(1, -(-total // shard_bytes)))
+        swept = texts.mapInArrow(run, SWEEP_SCHEMA).groupBy("lang", "k", "phrase", "h").agg(F.sum("n").alias("n"))
+        return written(self.spark, swept.where((F.col("k") <= 0) | F.col("lang").isNull() | (F.col("n") >= support)), "sweep")
+
+    def candidates(self, swept: DataFrame) -> DataFrame:
+        """Hashes ``h`` of the mined phrases that may reach the support."""
+        # A shard that left a phrase out has it at most (its local support - 1) times.
+        rest = swept.where("k = -1").agg(F.sum("n")).first()[0] or 0
+        return swept.where("k > 0 AND lang IS NULL").where(F.col("n") + rest >= self.support).select("h")
+
+
+def _rows(lang: pa.Array, k: int, phrase: pa.Array, h: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(lang), k, np.int32)), phrase, h, pa.array(n, pa.int64())], names=["lang", "k", "phrase", "h", "n"])
 
 
 def phrase_counts(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, longest: int = MAX_WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang, k, phrase, n``: the exact count of every phrase of 1 to ``longest`` words that
     occurs ``support`` times or more; ``k`` = 0 has the number of words of the language."""
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = written(spark, candidates(spark, texts, support, longest, shard_bytes), "candidates")
-    passing = spark.sparkContext.broadcast(bit_filter(found, found.count()))
-
-    def count(batches):
-        for shard in _shards(batches, shard_bytes):
-            of, names = shard.hashes(), shard.names
-            totals = {lang: 0 for lang in shard.langs}
-
-            def choose(k, words, counts):
-                if k == 1:
-                    for (lang, _), c in zip(names[1:], counts[1:].tolist()):
-                        totals[lang] += c
-                return in_filter(passing.value, of(k, words))
-            for k, words, counts in shard.levels(choose, longest):
-                for i in range(0, len(words), 1 << 16):
-                    rows = words[i:i + (1 << 16)].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[r[0]][0] for r in rows], pa.string()), pa.array(np.full(len(rows), k, np.int32)),
-                         pa.array([b" ".join([names[x][1] for x in r]) for r in rows], pa.binary()).cast(pa.string()),
-                         pa.array(counts[i:i + (1 << 16)], pa.int64())], names=["lang", "k", "phrase", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals), pa.string()), pa.array(np.zeros(len(totals), np.int32)), pa.array([""] * len(totals), pa.string()),
-                 pa.array(list(totals.values()), pa.int64())], names=["lang", "k", "phrase", "n"])
-    counted = texts.mapInArrow(count, "lang string, k int, phrase string, n bigint")
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= support))
+    miner = Miner(spark, docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), support, shard_bytes)
+    none = range(0)
+    words = miner.sweep(range(1, 2), none)
+    known = words.where("k = 1").select("h")
+    out = [words]
+    if longest >= 2:
+        known = known.union(miner.candidates(miner.sweep(none, range(2, 3), known)))
+        pairs = miner.sweep(range(2, 3), range(3, longest + 1), known)
+        out.append(pairs)
+    if longest >= 3:
+        out.append(miner.sweep(range(3, longest + 1), none, known.union(miner.candidates(pairs))))
+    counts = out[0]
+    for more in out[1:]:
+        counts = counts.unionByName(more.where("lang IS NOT NULL"))
+    return counts.select("lang", "k", "phrase", "n")
 
 
 def _big(name: str):
@@ -211,7 +257,7 @@ def _big(name: str):
 def collocations(spark: SparkSession, docs: DataFrame, support: int = SUPPORT, longest: int = MAX_WORDS, top: int = TOP,
                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the best ``top`` phrases of each language."""
-    counts = written(spark, phrase_counts(spark, docs, support, longest, shard_bytes), "phrase-counts")
+    counts = phrase_counts(spark, docs, support, longest, shard_bytes)  # written tables
     phrases = counts.where("k >= 2").select("lang", "k", "phrase", F.col("n").alias("a"))
     # every cut, with the counts of its two parts (which occur at least as often as the phrase)
     cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).select(
