@@ -45,7 +45,9 @@ from .common import bit_filter, in_filter, written
 SUPPORT = 30
 MAX_WORDS = 4
 TOP = 2_000
-SHARD_BYTES = 48 << 20   # text of a shard; a task needs about eight times that
+SHARD_BYTES = 128 << 20  # text of a shard; a task needs about four times that
+PART = 1 << 22           # places whose phrases are sorted at once
+ROWS = 1 << 16
 SLICE_BYTES = 4 << 20    # longer texts are taken in slices that end at a piece's end
 BREAK = b"\xff"          # no byte of UTF-8
 _TABLE = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -113,22 +115,28 @@ class Shard:
         now = code[now]  # number of the chosen phrase that begins here, 0 if none
         for k in range(2, longest + 1):
             at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0)).astype(np.int32)
-            width = len(words) + 1
-            key = now[at].astype(np.int64)
-            key *= width
-            key += now[at + 1]
-            distinct, counts = np.unique(key, return_counts=True)
-            chosen = np.empty(len(distinct), bool)
-            both = lambda d: np.concatenate([words[d // width - 1], words[d % width - 1][:, -1:]], axis=1)  # noqa: B023, E731
-            for i in range(0, len(distinct), 1 << 20):
-                chosen[i:i + (1 << 20)] = choose(k, both(distinct[i:i + (1 << 20)]), counts[i:i + (1 << 20)])
-            distinct, counts = distinct[chosen], counts[chosen]
-            words = both(distinct)
+            width, above = len(words) + 1, np.zeros(len(now) - 1, np.int32)
+            parts = -(-len(at) // PART)  # phrases of a part begin with a part of the shorter phrases: less memory at once
+            part_of = (now[at] % max(parts, 1)).astype(np.int16)
+            found = [(np.empty((0, k), np.int32), np.empty(0, np.int64))]
+            for part in range(parts):
+                own = at[part_of == part]
+                key = now[own].astype(np.int64)
+                key *= width
+                key += now[own + 1]
+                distinct, counts = np.unique(key, return_counts=True)
+                both = lambda d: np.concatenate([words[d // width - 1], words[d % width - 1][:, -1:]], axis=1)  # noqa: B023, E731
+                chosen = np.zeros(len(distinct), bool)
+                for i in range(0, len(distinct), ROWS):
+                    chosen[i:i + ROWS] = choose(k, both(distinct[i:i + ROWS]), counts[i:i + ROWS])
+                distinct, counts = distinct[chosen], counts[chosen]
+                if k < longest and len(distinct):
+                    slot = np.minimum(np.searchsorted(distinct, key), len(distinct) - 1)
+                    above[own] = np.where(distinct[slot] == key, slot + 1 + sum(len(c) for _, c in found), 0)
+                found.append((both(distinct), counts))
+            words, counts = (np.concatenate(x) for x in zip(*found))
+            now = above
             yield k, words, counts
-            if k < longest:
-                slot = np.minimum(np.searchsorted(distinct, key), max(len(distinct) - 1, 0)).astype(np.int32)
-                now = np.zeros(len(now) - 1, np.int32)
-                now[at] = np.where(distinct[slot] == key, slot + 1, 0) if len(distinct) else 0
 
     def hashes(self) -> Callable[[int, np.ndarray], np.ndarray]:
         """Hash of phrases given as rows of word numbers (the same in every shard)."""
@@ -163,7 +171,6 @@ def local_support(support: int, own: int, total: int) -> int:
 
 
 SWEEP_SCHEMA = "lang string, k int, phrase string, h bigint, n bigint"
-ROWS = 1 << 16
 
 
 class Miner:

@@ -55,7 +55,8 @@ def frame(spark):
 
 
 @pytest.mark.parametrize("shard_bytes", [64 << 20, 40_000, 3_000])
-def test_equals_a_full_count(spark, frame, shard_bytes):
+def test_equals_a_full_count(spark, frame, shard_bytes, monkeypatch):
+    monkeypatch.setattr(C, "PART", 500)
     got = C.collocations(spark, frame, shard_bytes=shard_bytes)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and dict(got.dtypes)["rank"] == "bigint"
     assert sorted(map(tuple, got.collect())) == sorted(brute(texts()))
