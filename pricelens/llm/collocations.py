@@ -45,7 +45,7 @@ from .common import bit_filter, in_filter, written
 SUPPORT = 30
 MAX_WORDS = 4
 TOP = 2_000
-SHARD_BYTES = 128 << 20  # text of a shard; a task needs about four times that
+SHARD_BYTES = 96 << 20   # text of a shard; a task needs about four times that
 PART = 1 << 22           # places whose phrases are sorted at once
 ROWS = 1 << 16
 SLICE_BYTES = 4 << 20    # longer texts are taken in slices that end at a piece's end
@@ -54,14 +54,29 @@ _TABLE = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 els
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed(h: int) -> int:
+    """A word's place in the filter, as ``Shard.hashes`` has it for phrases of one word."""
+    h = (1 ^ h) * int(_SPREAD) & (1 << 64) - 1
+    return h ^ h >> 29
+
+
 class _Ids(dict):
-    """Word -> number within a shard; ``names`` and ``langs`` (shared by the languages) have the words back."""
+    """Word -> number within a shard, 0 for words that the filter leaves out; ``names`` and
+    ``langs`` (shared by the languages) have the words back."""
 
-    def __init__(self, lang: str, names: list, langs: list):
+    def __init__(self, lang: str, names: list, langs: list, passing: np.ndarray | None):
         super().__init__({BREAK: 0})
-        self.lang, self.names, self.langs = lang, names, langs
+        self.lang, self.names, self.langs, self.passing = lang, names, langs, passing
+        self.seed = xxhash.xxh64_intdigest(lang.encode())
+        if passing is not None:
+            self.shift = 64 - (int(len(passing)).bit_length() - 1 + 6)
 
     def __missing__(self, word: bytes) -> int:
+        if self.passing is not None:
+            slot = _mixed(xxhash.xxh64_intdigest(word, self.seed)) >> self.shift
+            if not int(self.passing[slot >> 6]) >> (slot & 63) & 1:
+                self[word] = 0
+                return 0
         n = self[word] = len(self.names)
         self.names.append(word)
         self.langs.append(self.lang)
@@ -80,9 +95,11 @@ def slices(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Shard:
-    """Numbered words of many texts, 0 between pieces. Numbers differ between languages."""
+    """Numbered words of many texts, 0 between pieces and for words that the filter leaves out.
+    Numbers differ between languages."""
 
-    def __init__(self):
+    def __init__(self, passing: np.ndarray | None = None):
+        self.passing = passing
         self.names: list[bytes] = [BREAK]
         self.lang_of: list[str] = [""]
         self.langs: dict[str, _Ids] = {}
@@ -92,7 +109,7 @@ class Shard:
     def add(self, lang: str, text: bytes) -> None:
         ids = self.langs.get(lang)
         if ids is None:
-            ids = self.langs[lang] = _Ids(lang, self.names, self.lang_of)
+            ids = self.langs[lang] = _Ids(lang, self.names, self.lang_of, self.passing)
         for words in slices(text):
             words.append(BREAK)
             self.parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
@@ -104,6 +121,8 @@ class Shard:
         parts were chosen."""
         now = np.concatenate(self.parts) if self.parts else np.zeros(1, np.int32)
         self.parts = []
+        for ids in self.langs.values():
+            ids.clear()  # only the names are needed from here on
         counts = np.bincount(now, minlength=len(self.names))
         counts[0] = 0
         words = np.arange(len(self.names), dtype=np.int32)[:, None]
@@ -115,7 +134,7 @@ class Shard:
         now = code[now]  # number of the chosen phrase that begins here, 0 if none
         for k in range(2, longest + 1):
             at = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0)).astype(np.int32)
-            width, above = len(words) + 1, np.zeros(len(now) - 1, np.int32)
+            width, above = len(words) + 1, np.zeros(max(len(now) - 1, 0), np.int32)
             parts = -(-len(at) // PART)  # phrases of a part begin with a part of the shorter phrases: less memory at once
             part_of = (now[at] % max(parts, 1)).astype(np.int16)
             found = [(np.empty((0, k), np.int32), np.empty(0, np.int64))]
@@ -153,13 +172,13 @@ class Shard:
         return of
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
-    shard = Shard()
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, passing: np.ndarray | None) -> Iterator[Shard]:
+    shard = Shard(passing)
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             if shard.bytes and shard.bytes + len(text) > shard_bytes:
                 yield shard
-                shard = Shard()
+                shard = Shard(passing)
             shard.add(lang, text)
     if shard.langs:
         yield shard
@@ -192,7 +211,7 @@ class Miner:
         longest = max(*count, *mine, 1)
 
         def run(batches):
-            for shard in _shards(batches, shard_bytes):
+            for shard in _shards(batches, shard_bytes, None if passing is None else passing.value):
                 least = local_support(support, shard.bytes, total)
                 of = shard.hashes()
                 words_of = dict.fromkeys(shard.langs, 0)
