@@ -45,8 +45,8 @@ from .common import bit_filter, in_filter, written
 SUPPORT = 30
 MAX_WORDS = 4
 TOP = 2_000
-SHARD_BYTES = 96 << 20   # text of a shard; a task needs about four times that
-PART = 1 << 22           # places whose phrases are sorted at once
+SHARD_BYTES = 64 << 20   # text of a shard; a task needs about five times that
+PART = 1 << 21           # places whose phrases are sorted at once
 ROWS = 1 << 16
 SLICE_BYTES = 4 << 20    # longer texts are taken in slices that end at a piece's end
 BREAK = b"\xff"          # no byte of UTF-8
