@@ -44,7 +44,7 @@ ALLOWED = (
     re.compile(r"[0-9]+"),                                                        # counters, dates, phone numbers
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),            # UUIDs are names
     re.compile(r"[A-Z]?[a-z]+([-_/=+]+[A-Z]?[a-z]+)*|[A-Z]+([-_/=+]+[A-Z]+)*"),   # words, slugs, paths, constants
-    re.compile(r"([A-Z]?[a-z]{2,})+"),                                            # joined words
+    re.compile(r"(?:[A-Z]?[a-z]{2,}+)++"),                                        # joined words; possessive: no way back into a run
 )
 _DUMMY = re.compile(r"example|sample|placeholder|abcdefgh|01234567", re.I)         # documented dummies
 _SEGMENT = re.compile(r"[^/=]+")

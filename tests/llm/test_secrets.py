@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -79,3 +80,35 @@ def test_incremental_windows_equal_recounting(run, width, threshold):
     spans = list(S.hot_windows(run, width, threshold))
     assert {p for s, e in spans for p in range(s, e)} == covered
     assert all(a[1] < b[0] + 1 for a, b in zip(spans, spans[1:]))
+
+
+def joined_words(text):
+    """``ALLOWED[3]`` read letter by letter: an optional capital, then two or more small letters, again and again."""
+    i = 0
+    while i < len(text):
+        i += "A" <= text[i] <= "Z"
+        n = 0
+        while i + n < len(text) and "a" <= text[i + n] <= "z":
+            n += 1
+        if n < 2:
+            return False
+        i += n
+    return bool(text)
+
+
+@given(st.text(alphabet="aabcXYZ1-/", max_size=24))
+def test_joined_words_as_read_by_hand(text):
+    assert bool(S.ALLOWED[3].fullmatch(text)) == joined_words(text)
+
+
+def test_no_pattern_runs_away():
+    """Long runs that every pattern nearly matches, with what breaks it at the start, in the middle and at the end."""
+    began = time.perf_counter()
+    for unit in ("a", "ab", "Ab", "aB", "abC", "A", "a-", "A_", "a/", "0", "f", "f0", "=", "-", "AKIA", "token", "token ", "token:", "password= ", "'\"", "12345678-"):
+        run = unit * (10_000 // len(unit))
+        half = len(run) // 2
+        for text in (run, "7" + run, run + "7", run[:half] + "7" + run[half:], run + "!", run + "/x7" + run, run + "7 y", "x " + run + "Z"):
+            S.scan(text)
+            for p in S.ALLOWED:
+                p.fullmatch(text)
+    assert time.perf_counter() - began < 60  # seconds for all; a pattern that backtracks would take days
