@@ -38,20 +38,26 @@ def byte_bpe_round_trip(spark, sf_dir):
                                public_tokenizers.PATTERN)
 
 
-@query("op5_substring_dedup", r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i,
-                  string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start, length(line) AS size,
-             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+', ' ', 'g'), ' ') AS norm FROM l),
-k AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words FROM u WHERE norm <> ''),
-r AS (SELECT *, row_number() OVER w AS rn, first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start,
-             count(*) OVER (PARTITION BY norm) AS copies FROM k WHERE n_words >= 5 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
-SELECT doc_id, start, start + size AS "end", n_words, keep_doc_id, keep_start, copies FROM r WHERE rn > 1
-""")
-def substring_dedup_lines(spark, sf_dir):
-    """Every line of 5 or more words that repeats an earlier one, with its offsets."""
-    return substring_dedup.removals(spark, load(spark, sf_dir, "documents"))
+_OP5_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n.!?,;:]+[\n.!?,;:]*') AS us FROM documents),
+p AS (SELECT doc_id, length(text) - list_sum(list_transform(us, lambda x: length(x))) AS skipped, unnest(us) AS u, unnest(range(len(us))) AS i FROM t WHERE len(us) > 0),
+n AS (SELECT *, trim(regexp_replace(translate(regexp_replace(u, '[\n.!?,;:]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm,
+             skipped + coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+k AS (SELECT doc_id, norm, start::BIGINT AS start, (start + length(u))::BIGINT AS stop, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words,
+             row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM n WHERE norm <> ''),
+g AS (SELECT norm, count(*) AS copies, min(struct_pack(d := doc_id, s := start)) AS keep FROM k GROUP BY norm HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT k.*, copies, keep, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM k JOIN g USING (norm)),
+w AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM r)
+SELECT doc_id, start, stop AS "end", n_words::INTEGER AS n_words, run_words::BIGINT AS run_words, keep.d AS keep_doc_id, keep.s AS keep_start, copies,
+       doc_id = keep.d AND start = keep.s AS kept FROM w WHERE run_words >= 30
+"""
+
+
+@query("op5_substring_dedup", _OP5_SQL)
+def substring_dedup_passages(spark, sf_dir):
+    """Every clause of a passage of 30 or more words that repeats across documents, with its offsets; all but the first occurrence go."""
+    return substring_dedup.repeats(spark, load(spark, sf_dir, "documents"), "clause", 1, substring_dedup.MIN_RUN_WORDS, across=True)
 
 
 @query("op6_simhash_near_dedup")

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from pricelens.llm import licenses as L, substring_dedup as S
 from . import data
 
@@ -41,6 +43,83 @@ def test_removals(spark):
     assert all(r.copies > 1 for r in long)
 
 
+MARKS = {"line": "\n", "sentence": "\n.!?", "clause": "\n.!?,;:"}
+
+
+def brute_runs(rs, unit, min_words, min_run_words, across):
+    """Units cut at the marks by hand, runs walked one by one."""
+    def cut(text):
+        at, out = 0, []
+        while at < len(text):
+            e = at
+            while e < len(text) and text[e] not in MARKS[unit]:
+                e += 1
+            stop = e
+            while unit != "line" and stop < len(text) and text[stop] in MARKS[unit]:
+                stop += 1
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text[at:e])
+            w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
+            if w:
+                out.append((at, stop, w))
+            at = max(stop, at + 1)
+        return out
+    rows = [(i, r[0], cut(r[1] or "")) for i, r in enumerate(rs)]
+    seen = defaultdict(list)
+    for i, d, us in rows:
+        for s, e, w in us:
+            if len(w) >= min_words:
+                seen[" ".join(w)].append((d is None, d or 0, s, i))
+    out = []
+    for i, d, us in rows:
+        run = []
+        for u in [*us, None]:
+            occ = seen[" ".join(u[2])] if u and len(u[2]) >= min_words else []
+            if len({o[3] for o in occ}) > 1 if across else len(occ) > 1:
+                run.append((u, occ))
+                continue
+            words = sum(len(x[2]) for x, _ in run)
+            if words >= min_run_words:
+                for (s, e, w), o in run:
+                    first = min(x[:3] for x in o)
+                    out.append((d, s, e, len(w), words, None if first[0] else first[1], first[2], len(o)))
+            run = []
+    return sorted(out, key=repr)
+
+
+PASSAGE = "this passage of words, Stands in several texts; it has marks! and lines\r\nof its own: so that it is cut. into clauses,, all of them repeated"
+
+
+def passages():
+    rows = [(300, "before it. " + PASSAGE + ". after it"), (301, PASSAGE.upper()), (302, "x " + PASSAGE + " y"), (None, PASSAGE), (303, PASSAGE + "\n" + PASSAGE),
+            (304, "and lines\nof its own, it has marks"), (305, "..., ;" + PASSAGE.replace(" ", "\t ")), (306, "all of them repeated"), (307, "solo solo. solo solo. solo solo. solo solo")]
+    return data.documents() + LINES_AS_ROWS + [(d, t, *[None] * 7) for d, t in rows]
+
+
+LINES_AS_ROWS = [(d, t, *[None] * 7) for d, t, _ in LINES] + [(308, "crlf line of more than five words\r\nend", *[None] * 7), (309, "crlf line of more than  five words\r\nother", *[None] * 7)]
+
+
+@pytest.mark.parametrize("unit, min_words, run, across", [("clause", 1, 12, True), ("clause", 1, 30, True), ("sentence", 2, 8, False), ("line", 5, 0, False), ("line", 1, 9, True)])
+def test_runs(spark, unit, min_words, run, across):
+    got = S.repeats(spark, data.frame(spark, passages()), unit, min_words, run, across)
+    assert got.columns == ["doc_id", "start", "end", "n_words", "run_words", "keep_doc_id", "keep_start", "copies", "kept"]
+    rows = got.collect()
+    want = brute_runs(passages(), unit, min_words, run, across)
+    assert want and sorted((tuple(r)[:-1] for r in rows), key=repr) == want
+    kept = [(r.keep_doc_id, r.keep_start, r.n_words, r.copies) for r in rows if r.kept]
+    assert len(kept) == len({(r.doc_id, r.start, r.end) for r in rows if r.kept}) or any(k[0] in (None, 1, 102) for k in kept)
+    assert S.repeats(spark, data.empty(spark), unit, min_words, run, across).count() == 0
+
+
+def test_cut_passages(spark):
+    rows = [(1, "head. " + PASSAGE + ". tail one"), (2, "other head. " + PASSAGE + ". tail two"), (3, "all of them repeated")]
+    docs = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id bigint, text string, row string, key string, of string").repartition(2)
+    out = S.cut_copies(spark, docs, "clause", 1, 20, True)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "other head. tail two", 3: rows[2][1]}
+    cut = S.without(docs, S.removals(spark, docs, "clause", 1, 20, True))
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in out.collect()}
+
+
 def test_cut_texts(spark):
     rs = [r for r in rows() if r[0] not in (None, 1, 102)]
     docs = data.frame(spark, rs)
