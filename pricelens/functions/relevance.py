@@ -158,7 +158,7 @@ def grams_sql(t: str) -> str:
 
 
 def score_sql(q: str, d: str) -> str:
-    """SQL relevance from two terms structs (column references)."""
+    """SQL relevance from two terms structs (column references): the general formula, term by term."""
     qg, dg = f"{q}.grams", f"{d}.grams"
 
     def cnt(arr, t):
@@ -171,15 +171,9 @@ def score_sql(q: str, d: str) -> str:
         return (f"list_reduce(list_transform(list_distinct({arr}), lambda _g: {body}), "
                 f"lambda _a, _b: _a + _b, 0.0::DOUBLE)")
 
-    g_dot = total(qg, f"({cnt(qg, '_g')} * {cnt(dg, '_g')})::DOUBLE")
-    g_nq = total(qg, f"{w(qg, dg, '_g')} * {w(qg, dg, '_g')}")
-    g_nd = total(dg, f"{w(dg, qg, '_g')} * {w(dg, qg, '_g')}")
-    nqu, ndu = f"len(list_distinct({qg}))", f"len(list_distinct({dg}))"
-    shared = f"len(list_intersect(list_distinct({qg}), list_distinct({dg})))"
-    fast = f"({nqu} = len({qg}) AND {ndu} = len({dg}))"
-    dot = f"(CASE WHEN {fast} THEN {shared}::DOUBLE ELSE {g_dot} END)"
-    nq = f"(CASE WHEN {fast} THEN ({nqu} - {shared})::DOUBLE * {IDF_ONE_SIDE_SQ!r} + {shared}::DOUBLE ELSE {g_nq} END)"
-    nd = f"(CASE WHEN {fast} THEN ({ndu} - {shared})::DOUBLE * {IDF_ONE_SIDE_SQ!r} + {shared}::DOUBLE ELSE {g_nd} END)"
+    dot = total(qg, f"({cnt(qg, '_g')} * {cnt(dg, '_g')})::DOUBLE")
+    nq = total(qg, f"{w(qg, dg, '_g')} * {w(qg, dg, '_g')}")
+    nd = total(dg, f"{w(dg, qg, '_g')} * {w(dg, qg, '_g')}")
     cos = f"CASE WHEN {nq} > 0 AND {nd} > 0 THEN {dot} / (sqrt({nq}) * sqrt({nd})) ELSE 0.0 END"
     nw = f"len({q}.words)"
     share = (f"CASE WHEN {nw} > 0 THEN len(list_filter({q}.words, lambda _w: contains({d}.low, _w)))::DOUBLE / {nw} "

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from .windows import skew_safe_row_number
 
 SOURCE_SCHEMA = T.StructType([
     T.StructField("source_id", T.LongType(), False),
@@ -70,15 +71,14 @@ def upsert_sources(current: DataFrame, batch_names: DataFrame, order: Sequence[s
     maximum, numbered in order of first appearance; logo = site key, url = ''.
 
     ``batch_names`` has ``name``, ``site_key`` and the ``order`` columns. New names
-    are numbered with the distributed global rank (no single-partition window).
+    are numbered slice by slice (no single task sorts them all).
     """
-    from .training import global_rank
     first = _first(batch_names, ["name"], F.struct(*[F.col(c) for c in order]),
                    ["site_key", *order])
     new = first.join(current.select("name"), "name", "left_anti")
     base = current.select(F.coalesce(F.max("source_id"), F.lit(0))).scalar()  # scalar subquery
-    numbered = (global_rank(new, list(order))
-                .select((base + F.col("row_rank") + 1).cast("long").alias("source_id"), "name",
+    numbered = (skew_safe_row_number(new.withColumn("_all", F.lit(0)), "_all", list(order), "_no")
+                .select((base + F.col("_no")).cast("long").alias("source_id"), "name",
                         F.lit("").alias("url"), F.col("site_key").alias("logo"), F.lit(True).alias("active")))
     return current.unionByName(numbered.select(*current.columns))
 
@@ -113,9 +113,8 @@ def price_comparison(products: DataFrame, entries: DataFrame, sources: DataFrame
     afterwards, sources first and products last so the product join reuses one
     product_id partitioning whatever strategy the (smaller) source join gets.
     """
-    from .windows import skew_safe_row_number
     ranked = skew_safe_row_number(entries.select("product_id", "source_id", "price", "last_updated"),
-                                  "product_id", ["price", "source_id"], "price_rank")
+                                  "product_id", ["price", "source_id"], "price_rank", lead=1)
     j = (ranked.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
          .join(products.select("product_id", F.col("name").alias("product_name")), "product_id"))
     return j.select(

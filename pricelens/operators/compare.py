@@ -111,7 +111,7 @@ def sort_offers(df: DataFrame, ascending: bool = True, key: str = "query_id",
     """Number each result list by price (missing = 0), stable on ``tie``; a list of any length
     is numbered by many tasks."""
     p = F.coalesce(F.col("price"), F.lit(0.0))
-    numbered = skew_safe_row_number(df.withColumn("_by", p if ascending else -p), key, ["_by", *tie], name)
+    numbered = skew_safe_row_number(df.withColumn("_by", p if ascending else -p), key, ["_by", *tie], name, lead=1)
     return numbered.drop("_by")
 
 

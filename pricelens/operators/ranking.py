@@ -1,9 +1,8 @@
 """Ranking, budgets and de-duplication of offers.
 
-The sequential rules ("walk in rank order", "earlier site fills first") are folds
-over one array per search: the budget's holds at most ``n`` offers of each site,
-the near-duplicate walk's the search's distinct titles. Ranks are numbered
-without a per-search window.
+"Earlier site fills first" is a fold over one array per search that holds at most ``n`` offers
+of each site. "Walk in rank order" (near-duplicates) is a similarity join and rounds over its
+pairs. Ranks are numbered without a per-search window.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.regex import pystrip
-from ..functions.relevance import ROUND, score, terms, with_relevance
-from .windows import skew_safe_row_number
+from ..functions.relevance import IDF_ONE_SIDE_SQ, ROUND, score, terms, with_relevance
+from .windows import skew_safe_row_number, stored
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
@@ -69,7 +68,58 @@ def rank_offers(offers: DataFrame, searches: DataFrame | None = None, key: str =
 def number_by_score(scored: DataFrame, tie: Sequence[str], key: str = "query_id") -> DataFrame:
     """R3 over already scored offers (``relevance_score``): descending, stable on ``tie``; a
     search of any size is numbered by many tasks."""
-    return skew_safe_row_number(scored.withColumn("_by", -F.col("relevance_score")), key, ["_by", *tie], "rank").drop("_by")
+    return skew_safe_row_number(scored.withColumn("_by", -F.col("relevance_score")), key, ["_by", *tie], "rank", lead=min(2, 1 + len(tie))).drop("_by")
+
+
+# A pair above the threshold with all its words found still has a cosine of more than
+# DUPLICATE_ABOVE - WORD_BOOST. Shared terms weigh 1, others IDF_ONE_SIDE, so the shared part of either
+# side's squared counts is more than this share of all its squared counts.
+_COS = rules.DUPLICATE_ABOVE - rules.WORD_BOOST
+SHARED_PART = _COS ** 2 * IDF_ONE_SIDE_SQ / (1 - _COS ** 2 + _COS ** 2 * IDF_ONE_SIDE_SQ)
+
+
+def _prefixes(titles: DataFrame, key: str, order: str) -> DataFrame:
+    """``titles`` with the array ``_p``: each title's rarest terms (by the titles of the search
+    that have them), as many as it takes for what is left to be too little of it."""
+    terms_of = titles.select(key, order, F.explode(F.arrays_zip(F.col("_t.uniq").alias("term"), F.col("_t.cnt").alias("cnt"))).alias("x")).select(key, order, "x.term", "x.cnt")
+    known = terms_of.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = terms_of.join(known, [key, "term"]).groupBy(key, order).agg(F.sort_array(F.collect_list(F.struct("df", "term", "cnt"))).alias("x"))  # a title's terms
+    square = lambda c: (c * c).cast("double")
+    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + square(x["cnt"]))
+    start = F.struct(total.alias("left"), (total * SHARED_PART * (1 - 1e-9)).alias("least"), F.array().cast("array<string>").alias("p"))
+    fold = F.aggregate("x", start, lambda acc, x: F.struct((acc["left"] - square(x["cnt"])).alias("left"), acc["least"].alias("least"),
+                       F.when(acc["left"] > acc["least"], F.array_append(acc["p"], x["term"])).otherwise(acc["p"]).alias("p")), lambda acc: acc["p"])
+    return titles.join(ranked.select(key, order, fold.alias("_p")), [key, order])
+
+
+def similar_titles(titles: DataFrame, key: str, order: str) -> DataFrame:
+    """``key, a, b``: pairs of a search's titles (``a`` before ``b``) where ``b`` is more than 0.8
+    relevant to ``a``; ``titles`` has ``_t``, the terms.
+
+    A prefix-filtered join: titles meet only at a term that is the first they share in the order
+    of rarity, and must be in both prefixes; candidates are verified by the score itself. (A cosine bounds no lengths: a
+    title of any length may be close to a short one that it repeats.) Titles without terms (stop words, single characters) score by
+    words found inside the other title: they meet at a word of the first that must be found and the parts of words of the second.
+    """
+    above = score(F.col("ta"), F.col("tb")) > rules.DUPLICATE_ABOVE
+    p = _prefixes(titles.where(F.size("_t.uniq") > 0), key, order)
+    side = lambda x: p.select(key, F.explode("_p").alias("_term"), F.col(order).alias(x), F.col("_p").alias("p" + x), F.col("_t").alias("t" + x))
+    # Titles that repeat no term (most): the cosine follows from three sizes, and few candidates go on to the score.
+    na, nb, both = F.size("ta.uniq"), F.size("tb.uniq"), F.size(F.array_intersect("ta.uniq", "tb.uniq"))
+    once = (na == F.size("ta.grams")) & (nb == F.size("tb.grams"))
+    close = both * both > (_COS - 1e-9) ** 2 * (both + (na - both) * IDF_ONE_SIDE_SQ) * (both + (nb - both) * IDF_ONE_SIDE_SQ)
+    with_terms = side("a").join(side("b"), [key, "_term"]).where(
+        (F.col("a") < F.col("b")) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("_term")) & (~once | close) & above)
+    bare = titles.where((F.size("_t.uniq") == 0) & (F.size("_t.words") > 0))
+    n = F.size("_t.words")
+    must = F.array_distinct(F.slice(F.transform(F.sort_array(F.transform("_t.words", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))), False), lambda x: x["w"]),
+                                    1, F.ceil((n - n * rules.DUPLICATE_ABOVE) - 1e-9).cast("int")))
+    inside = F.array_distinct(F.flatten(F.transform("_t.words", lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.length(w) - i + 1), lambda m: F.substring(w, i, m)))))))
+    without = (bare.select(key, F.explode(must).alias("_term"), F.col(order).alias("a"), F.col("_t").alias("ta"))
+               .join(bare.select(key, F.explode(inside).alias("_term"), F.col(order).alias("b"), F.col("_t").alias("tb")), [key, "_term"])
+               .where((F.col("a") < F.col("b")) & above))
+    return with_terms.select(key, "a", "b").unionByName(without.select(key, "a", "b").distinct())
 
 
 def dedupe_offers(ranked: DataFrame, key: str = "query_id", order: str = "rank",
@@ -78,23 +128,25 @@ def dedupe_offers(ranked: DataFrame, key: str = "query_id", order: str = "rank",
     more than 0.8 relevant to an already kept title (new title as text, kept
     title as query, both lower-cased).
 
-    Equal titles fall to the first of them by an aggregate with map-side combine, so a search's
-    list holds its distinct titles only; each is tokenized once, before packing. (A blank
+    Equal titles fall to the first of them by an aggregate with map-side combine. The similar pairs of what is left
+    are found by a join; the walk over them is settled in rounds: a title none of whose earlier similar titles is open is kept
+    and drops its later ones. Each round is a written table, and there are as many as the longest
+    chain of titles that wait for each other; no search's titles ever meet in one row. (A blank
     title is relevant to nothing, itself included: every one of them stays.)"""
     cols = [order, *[c for c in keep if c != order]]
     blank = F.when(pystrip(F.col("title")) == "", F.col(order)).alias("_blank")
     first = ranked.groupBy(key, "title", blank).agg(F.min(order).alias(order), *[
         F.min_by(c, order).alias(c) for c in keep if c not in (order, "title")])
-    items = first.select(key, *cols, terms(F.lower(F.col("title"))).alias("_t"))
-    packed = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols, "_t"))).alias("items"))
-    empty = F.array().cast(packed.schema["items"].dataType.simpleString())
-
-    def step(acc, x):
-        dup = F.exists(acc, lambda k: score(k["_t"], x["_t"]) > rules.DUPLICATE_ABOVE)
-        return F.when(dup, acc).otherwise(F.concat(acc, F.array(x)))
-
-    kept = packed.select(key, F.explode(F.aggregate("items", empty, step)).alias("x"))
-    return kept.select(key, *[F.col(f"x.{c}").alias(c) for c in cols])
+    titles = stored(first.select(key, *cols, terms(F.lower(F.col("title"))).alias("_t")), "titles")
+    links = stored(similar_titles(titles, key, order), "similar-titles")
+    dropped = None
+    while not links.isEmpty():
+        waiting = links.select(key, F.col("b").alias("a")).distinct()
+        gone = stored(links.join(waiting, [key, "a"], "left_anti").select(key, "b").distinct(), "dropped-titles")
+        links = stored(links.join(gone, [key, "b"], "left_anti").join(gone.select(key, F.col("b").alias("a")), [key, "a"], "left_anti"), "similar-titles")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+    kept = titles.select(key, *cols)
+    return kept if dropped is None else kept.join(dropped.select(key, F.col("b").alias(order)), [key, order], "left_anti")
 
 
 def dedupe_signature(df: DataFrame, key: Sequence[str], order: Sequence[str],

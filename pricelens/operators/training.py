@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.prices import number_text
 from ..functions.regex import let, pystrip
-from ..session import checkpoint_dir
 
 _TAG = r"(?Ud)\[(\w+)\](.*?)\[/\1\]"
 _SEP_SEG, _SEP_TYPE = "\u0001", "\u0002"
@@ -112,34 +111,23 @@ def aligned_parts(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ
 
 
 # ---------------------------------------------------------------- T5
-def global_rank(df: DataFrame, order: list[str], name: str = "row_rank") -> DataFrame:
-    """Exact 0-based rank by ``order`` without a single-partition window.
-
-    Rows are range-partitioned and sorted within partitions; the partition
-    index and the position inside it come from ``monotonically_increasing_id``;
-    per-partition counts (one row per partition, bounded by the partition count)
-    give each partition's offset. The sorted table is checkpointed first so both
-    uses read the same materialised rows.
+def split_examples(df: DataFrame, order: list[str], validation: float = 0.2, digits: int = 4) -> DataFrame:
+    """T5: exact split: the first ceil(0.2 n) rows in hash order are validation.
+
+    ``order[0]`` is a hash in hex, the other columns break ties. The last validation row is
+    selected, not sorted for: a histogram over the hash's first ``digits`` (16^digits rows at most) tells the bin that
+    holds it, and only that bin's rows (n / 16^digits) are numbered. The split is then a comparison
+    in the same pass that returns the rows; nothing but the histogram is shuffled.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
-    pid = F.shiftright(F.col("_mid"), 33)
-    counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = s.join(F.broadcast(offs.select("_pid", "_off")), pid == F.col("_pid"))
-    return j.withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))) \
-        .drop("_mid", "_pid", "_off")
-
-
-def split_examples(df: DataFrame, order: list[str], validation: float = 0.2) -> DataFrame:
-    """T5: exact split: the first ceil(0.2 n) rows in hash order are validation."""
-    r = global_rank(df, order)
-    n = r.select(F.count(F.lit(1))).scalar()  # counts the checkpointed rows, not a re-run of df
-    return r.withColumn("split", F.when(F.col("row_rank") < F.ceil(n * validation), F.lit("validation"))
-                        .otherwise(F.lit("train")))
+    bin_of = F.substring(order[0], 1, digits)
+    hist = df.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.select("bin", "n", F.sum("n").over(upto).alias("upto"), F.ceil(F.sum("n").over(Window.partitionBy()) * validation).alias("k"))
+    edge = hist.where("upto - n < k AND upto >= k")  # one row, none if there are no rows
+    at = Window.orderBy(*order)
+    in_bin = df.where(bin_of == edge.select("bin").scalar()).select(*order, F.row_number().over(at).alias("at"))
+    last = in_bin.where(F.col("at") == edge.select(F.col("k") - F.col("upto") + F.col("n")).scalar()).select(F.struct(*order)).scalar()
+    return df.withColumn("split", F.when(F.struct(*order) <= last, F.lit("validation")).otherwise(F.lit("train")))
 
 
 # ---------------------------------------------------------------- T6, T7

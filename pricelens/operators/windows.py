@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-_POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position in partition
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: read as often as needed, lineage ends here."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def skew_safe_row_number(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """``row_number() OVER (PARTITION BY key ORDER BY order)`` without sorting a hot
-    key in one task.
 
-    Rows are range-partitioned on (key, order...) and sorted inside partitions, so a
-    key holding a third of the data spreads over many partitions, each in order.
-    The sorted rows are checkpointed once (reliable checkpoint in the shared folder:
-    both uses below read the same rows, and the upstream plan is not run twice).
-    A row's number = rows of its key in earlier partitions (per-slice counts, a
-    window over at most #partitions rows per key) + its position inside its slice.
+def coarse(x: Column) -> Column:
+    """An order-preserving bucket number of a number: 256 buckets for each power of two, NULL
+    for NULL. (Where the logarithm rounds to a neighbouring power, the second term makes up for it.)"""
+    def up(v: Column) -> Column:
+        v = F.least(v, F.lit(1e300))  # infinity and NaN too
+        e = F.floor(F.log2(v))
+        return (e + 1100) * 256 + F.floor((v / F.pow(F.lit(2.0), e) - 1) * 256)
+    d = x.cast("double")
+    return F.when(d > 0, up(d)).when(d < 0, -up(-d)).when(d.isNotNull(), F.lit(0)).cast("long")
+
+
+def skew_safe_row_number(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no", lead: int = 0) -> DataFrame:
+    """``row_number() OVER (PARTITION BY key ORDER BY order)`` without sorting a hot key in one
+    task. The first order column (with ``lead``, also the one after the leading ones) is a number.
+
+    A key's rows are cut into slices that follow each other in the order: by ``coarse`` of the first
+    order column; with ``lead`` > 0 each of those by the exact values of the first ``lead`` columns and
+    ``coarse`` of the next one (for keys where one value of the first column has many rows). A row's
+    number is the count of rows in the slices before its own plus its number inside it: windows
+    hold one slice, or one row a slice. No job runs while the plan is built; ``df`` is evaluated
+    twice, for the counts with the order columns only.
     Same result as the plain window for unique order keys.
     """
-    checkpoint_dir(df.sparkSession)
-    s = (df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-         .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
-    pid = F.shiftright(F.col("_mid"), _POS_BITS)
-    pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    seg = s.groupBy(key, pid.alias("_pid")).agg(F.min(pos).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    j = s.withColumn("_pid", pid).join(offs, [key, "_pid"])
-    return (j.withColumn(name, (F.col("_off") + pos - F.col("_first") + 1).cast("long"))
-            .drop("_mid", "_pid", "_off", "_first"))
+    d = df.withColumn("_c", coarse(F.col(order[0])))
+    fine = list(order[:lead])
+    if 0 < lead < len(order):
+        d = d.withColumn("_f", coarse(F.col(order[lead])))
+        fine.append("_f")
+    before = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = d.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    buckets = buckets.select(F.col(key).alias("_k"), F.col("_c").alias("_b"), F.coalesce(F.sum("_n").over(before([key], ["_c"])), F.lit(0)).alias("_up"))
+    own = d.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_c", *fine).orderBy(*order)))
+    if fine:
+        g = d.groupBy(key, "_c", *fine).agg(F.count(F.lit(1)).alias("_n"))
+        g = g.select(F.col(key).alias("_gk"), F.col("_c").alias("_gc"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(fine)],
+                     F.coalesce(F.sum("_n").over(before([key, "_c"], fine)), F.lit(0)).alias("_in"))
+        same = F.col(key).eqNullSafe(F.col("_gk")) & F.col("_c").eqNullSafe(F.col("_gc"))
+        for i, c in enumerate(fine):
+            same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        own = own.join(g, same).drop("_gk", "_gc", *[f"_g{i}" for i in range(len(fine))])
+    else:
+        own = own.withColumn("_in", F.lit(0))
+    j = own.join(buckets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_b")))
+    return j.withColumn(name, (F.col("_up") + F.col("_in") + F.col("_at")).cast("long")).drop("_k", "_b", "_c", "_f", "_up", "_in", "_at")

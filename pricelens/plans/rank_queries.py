@@ -10,7 +10,7 @@ from ..functions.relevance import ROUND, STOP_CTE, score, score_sql, terms, term
 from ..operators import compare as C
 from ..operators import ranking as RK
 from ..sources import fixtures as fx
-from ..sources.tables import load
+from ..sources.tables import dealt, load
 from .registry import query
 
 N = rules.GENERIC_RESULT_CAP   # 15 results per search
@@ -25,16 +25,16 @@ def _description(title, source):
 def scored_offers(spark, sf_dir):
     """Every offer with its scores against its search. Scores depend on the part and the site
     only, so they are computed on the parts (times the five sites, a constant array) and joined
-    once to the offers."""
-    p = load(spark, sf_dir, "part").where("p_name IS NOT NULL").select(
-        "p_partkey", fx.hash_id(F.col("p_name")).alias("query_id"),
-        fx.offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"), terms(F.col("p_name")).alias("tq"))
-    p = p.withColumn("tt", terms(F.col("title")))
-    k = p.select("p_partkey", "query_id", "title", "tq", "tt", F.explode(C.sites_array()).alias("s"))
-    k = k.withColumn("td", terms(_description(F.col("title"), F.col("s.source"))))
-    k = k.select("p_partkey", "query_id", "title", "s.site_ord", "s.site_key", "s.source",
-                 score(F.col("tq"), F.col("tt")).alias("title_rel"), score(F.col("tq"), F.col("td")).alias("desc_rel"),
-                 score(F.col("tt"), F.col("tq")).alias("reverse_rel"))
+    once to the offers. The scores leave a generator, so a filter on them is tested after it and
+    does not evaluate them again."""
+    p = dealt(load(spark, sf_dir, "part").where("p_name IS NOT NULL").select("p_partkey", "p_name", "p_brand", "p_type"))
+    p = p.select("p_partkey", "p_name", fx.hash_id(F.col("p_name")).alias("query_id"), fx.offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"))
+    t = p.select("p_partkey", "query_id", "title", F.inline(F.array(F.struct(terms(F.col("p_name")).alias("tq"), terms(F.col("title")).alias("tt")))))
+    k = t.select("*", F.inline(C.sites_array())).drop("search_prefix")
+    k = k.select("*", F.inline(F.array(F.struct(terms(_description(F.col("title"), F.col("source"))).alias("td")))))
+    scores = F.struct(score(F.col("tq"), F.col("tt")).alias("title_rel"), score(F.col("tq"), F.col("td")).alias("desc_rel"),
+                      score(F.col("tt"), F.col("tq")).alias("reverse_rel"))
+    k = k.select("p_partkey", "query_id", "title", "site_ord", "site_key", "source", F.inline(F.array(scores)))
     li = load(spark, sf_dir, "lineitem").select(*fx.LINE_ORDER, (F.col("l_suppkey") % 5).cast("int").alias("_site"))
     return li.join(k, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("_site") == F.col("site_ord"))).drop("p_partkey", "_site")
 
@@ -65,14 +65,17 @@ def ranked_df(spark, sf_dir):
 
 
 _GEN_SQL = "CASE site_key " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(rules.GENERIC_SITE_ORDER)) + " END"
-_CAND_SRC = f"""SELECT *, 'Buy ' || title || ' from ' || source AS description, {_GEN_SQL} AS gen_ord FROM offers"""
-CAND_SQL = f"""SELECT *, ({score_sql('tq', 'td')} >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid,
-  round({score_sql('tq', 'tt')} * {rules.RANK_TITLE_WEIGHT} + {score_sql('tq', 'td')} * {rules.RANK_DESC_WEIGHT}, {ROUND}) AS relevance_score
-  FROM ({terms_select(_CAND_SRC, {'tq': 'query', 'tt': 'title', 'td': 'description'})}) t"""
+# Every distinct (search, title, source) scored by the general formula.
+_PAIRS = "SELECT DISTINCT query_id, query, title, source, 'Buy ' || title || ' from ' || source AS description FROM offers"
+SCORES_CTE = f"""scores AS MATERIALIZED (SELECT query_id, title, source, {score_sql('tq', 'tt')} AS title_rel, {score_sql('tq', 'td')} AS desc_rel,
+  {score_sql('tt', 'tq')} AS reverse_rel FROM ({terms_select(_PAIRS, {'tq': 'query', 'tt': 'title', 'td': 'description'})}) t)"""
+CAND_SQL = f"""SELECT *, {_GEN_SQL} AS gen_ord, (desc_rel >= {rules.RELEVANCE_MIN} AND length(title) > 5 AND price > 0) AS valid,
+  round(title_rel * {rules.RANK_TITLE_WEIGHT} + desc_rel * {rules.RANK_DESC_WEIGHT}, {ROUND}) AS relevance_score
+  FROM offers JOIN scores USING (query_id, title, source)"""
 
 
 def _ctes() -> str:
-    steps = [STOP_CTE, f"cand AS MATERIALIZED ({CAND_SQL})",
+    steps = [STOP_CTE, SCORES_CTE, f"cand AS MATERIALIZED ({CAND_SQL})",
              f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, site_ord ORDER BY {L}) - 1 AS pos
       FROM cand) f WHERE pos < {N})""", f"b0 AS (SELECT query_id, {N} AS b0 FROM searches)"]
     for k in range(len(rules.SITES)):
@@ -90,11 +93,9 @@ def _ctes() -> str:
 CTES = _ctes()
 
 
-@query("relevance", sql=f"""WITH {STOP_CTE}
-  SELECT query_id, site_key, l_orderkey, l_linenumber, l_partkey, l_suppkey,
-         {score_sql('tq', 'tt')} AS title_rel, {score_sql('tq', 'td')} AS desc_rel, {score_sql('tt', 'tq')} AS reverse_rel
-  FROM ({terms_select("SELECT o.*, s.query, 'Buy ' || o.title || ' from ' || o.source AS description FROM offers o JOIN searches s USING (query_id)",
-                      {'tq': 'query', 'tt': 'title', 'td': 'description'})}) x""", fixtures=FXR)
+@query("relevance", sql=f"""WITH {STOP_CTE}, {SCORES_CTE}
+  SELECT query_id, site_key, l_orderkey, l_linenumber, l_partkey, l_suppkey, title_rel, desc_rel, reverse_rel
+  FROM offers JOIN scores USING (query_id, title, source)""", fixtures=FXR)
 def relevance_q(spark, sf_dir):
     """Relevance of every offer's title and description to its search (and the reverse direction)."""
     return scored_offers(spark, sf_dir).select("query_id", "site_key", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
-from .tables import load
+from .tables import dealt, load
 
 # Stable order of lineitem rows (the 6-tuple is unique; FIXTURES.md).
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -119,7 +119,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A search's id is a function of its query, the part name: no join with the searches.
     p = load(spark, sf_dir, "part").where("p_name IS NOT NULL").select(
         "p_partkey", hash_id(F.col("p_name")).alias("query_id"), F.col("p_name").alias("query"), "p_brand", "p_type")
-    li = load(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_shipdate")
+    li = dealt(load(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_shipdate"))
     st = F.broadcast(sites(spark).select("site_ord", "site_key", "source"))  # 5 rows
     o = (li.join(p, F.col("l_partkey") == F.col("p_partkey"))
          .join(st, (F.col("l_suppkey") % 5).cast("int") == F.col("site_ord")))
@@ -157,7 +157,7 @@ def listing_text_expr(partkey: Column, name: Column, brand: Column, ptype: Colum
 
 def listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short listing text per part: optional prefix word, title, price in one of five styles."""
-    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    p = dealt(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"))
     return p.select(F.col("p_partkey").alias("id"),
                     listing_text_expr(F.col("p_partkey"), F.col("p_name"), F.col("p_brand"),
                                       F.col("p_type"), F.col("p_retailprice")).alias("text"))
@@ -296,7 +296,7 @@ GROUP BY page_id, site_key, search_prefix"""
 # ---------------------------------------------------------------- image analyses
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored image-analysis responses (JSON text), with malformed and edge rows."""
-    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = dealt(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     k = F.col("p_partkey")
     conf = (F.when(k % 17 == 0, F.lit("-1")).when(k % 19 == 0, F.lit("2"))
             .otherwise(((F.col("p_size") % 20) * 0.05).cast("decimal(6,2)").cast("string")))

@@ -18,6 +18,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan that has fewer pieces than the session has cores, dealt over the cores; a larger
+    one as it is. (A table in one row group is read by one task, which would also do all the
+    work up to the next shuffle.)"""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table as a parquet scan."""
     return spark.read.parquet(table_path(sf_dir, name))

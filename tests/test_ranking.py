@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pricelens.functions import rules
 from pricelens.functions.relevance import relevance
 from pricelens.operators import ranking as RK
 from tests import restate
@@ -66,3 +67,36 @@ def test_dedupe_empty_and_stopword_titles(spark):
         got.setdefault(r["query_id"], []).append(r["rank"] - 1)
     for g, ts in groups.items():
         assert sorted(got.get(g, [])) == restate.greedy_dedupe(ts)
+
+
+def test_dedupe_large_groups_and_titles_without_terms(spark):
+    rng = random.Random(5)
+    bare = ["a", "the", "of a", "a b c d e f", "a b c d e", "-- a --", "the the the the and", "and", "a-b", "-", "--", "---", "b c d e f g", "is it", "₵", "to be or not to be"]
+    groups = {1: [" ".join(rng.choice(VOC) + rng.choice(["", "", str(rng.randint(0, 3))]) for _ in range(rng.randint(1, 9))) for _ in range(500)],
+              2: [" ".join(rng.choice(bare) for _ in range(rng.randint(1, 4))) for _ in range(120)] + ["red " * 9, "red", "red red", "RED"],
+              3: [f"red widget {i}" for i in range(300)], 4: ["blue bolt " + "x y " * i for i in range(40)]}
+    rows = [(g, k + 1, t) for g, ts in groups.items() for k, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "query_id long, rank long, title string").repartition(3)
+    got = {}
+    for r in RK.dedupe_offers(df).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"] - 1)
+    for g, ts in groups.items():
+        assert sorted(got[g]) == restate.greedy_dedupe(ts), g
+    assert RK.dedupe_offers(df.limit(0)).count() == 0
+
+
+def test_shared_part_bounds_similar_pairs(spark):
+    """The prefix bound: what similar titles share is more than ``SHARED_PART`` of either."""
+    from collections import Counter
+    rng = random.Random(7)
+    seen = 0
+    for _ in range(4000):
+        a = [rng.choice(VOC) for _ in range(rng.randint(1, 6))]
+        b = " ".join(a[:rng.randint(1, 6)] + [rng.choice(VOC) for _ in range(rng.randint(0, 3))])
+        a = " ".join(a)
+        if restate.relevance(b, a) > rules.DUPLICATE_ABOVE and restate._grams(a) and restate._grams(b):
+            ca, cb = Counter(restate._grams(a)), Counter(restate._grams(b))
+            for c, o in ((ca, cb), (cb, ca)):
+                seen += 1
+                assert sum(v * v for t, v in c.items() if t in o) > RK.SHARED_PART * sum(v * v for v in c.values())
+    assert seen > 500

@@ -97,8 +97,11 @@ def test_exact_split_sizes(spark):
     s = TR.split_examples(df, ["h", "id"]).groupBy("split").count().collect()
     got = {r["split"]: r["count"] for r in s}
     assert got == {"validation": 201, "train": 802}
-    ranks = [r["row_rank"] for r in TR.global_rank(df, ["h", "id"]).select("row_rank").collect()]
-    assert sorted(ranks) == list(range(1003))
+    for n, digits, share in ((0, 4, 0.2), (1, 4, 0.2), (4, 1, 0.2), (1003, 1, 0.2), (1003, 2, 0.5), (50, 4, 0.0), (50, 1, 1.0)):
+        hashed = spark.range(0, n).withColumn("h", F.md5((F.col("id") % 7).cast("string")))  # ties in the hash
+        rows = sorted((r["h"], r["id"], r["split"]) for r in TR.split_examples(hashed, ["h", "id"], share, digits).collect())
+        k = -(-n * share // 1)
+        assert [s for *_, s in rows] == ["validation" if i < k else "train" for i in range(n)]
 
 
 def test_training_document_layouts(spark, tmp_path):
