@@ -17,6 +17,7 @@ from .registry import query
 
 L = fx.LINE_ORDER
 LD = ", ".join(f"{c} DESC" for c in L)
+ORDER_DAYS = 10_000  # how far apart the requests of one trigger may lie
 
 # Same rows as upsert_prices: the stream applies the post-split feed to the pre-split state.
 _STREAM_REFRESH_SQL = f"""SELECT product_id, source_id, price, url, last_updated FROM (
@@ -27,23 +28,21 @@ _STREAM_REFRESH_SQL = f"""SELECT product_id, source_id, price, url, last_updated
 @query("stream_refresh", sql=_STREAM_REFRESH_SQL, fixtures=["price_feed"])
 def stream_refresh(spark, sf_dir):
     """M1: price observations after the split time arrive as a file stream (a few
-    files per trigger) and are upserted into a bucket-partitioned catalogue; each
-    batch rewrites only the buckets it touches."""
+    files per trigger) and are upserted into a key-clustered catalogue; each
+    batch rewrites only the files that hold its keys."""
     feed = fx.price_feed(spark, sf_dir)
     split = F.lit(SPLIT).cast("timestamp")
     keys, cols = ["product_id", "source_id"], ["price", "url", "last_updated"]
     order = ["last_updated", *L]
     base = M1.staging_path(spark, "refresh")
-    root, src, ckpt = os.path.join(base, "catalog"), os.path.join(base, "feed"), os.path.join(base, "_checkpoint")
-    before = K._latest(feed.filter(F.col("last_updated") < split), keys, F.struct(*[F.col(c) for c in order]),
-                       cols + L)
-    M1.write_catalog(before, root, keys, buckets=16)
+    src, ckpt = os.path.join(base, "feed"), os.path.join(base, "_checkpoint")
+    catalogue = M1.Catalogue(spark, os.path.join(base, "catalog"), keys)
+    catalogue.load(K._latest(feed.filter(F.col("last_updated") < split), keys, F.struct(*[F.col(c) for c in order]), cols + L))
     after = feed.filter(F.col("last_updated") >= split).withColumn("ym", F.date_format("last_updated", "yyyyMM"))
     after.write.partitionBy("ym").parquet(src)
-    schema = spark.read.parquet(src).schema
-    M1.refresh_stream_bucketed(spark, src, schema, root, ckpt, keys=keys, cols=cols, order=order, buckets=16,
-                               max_files_per_trigger=8)
-    return spark.read.parquet(root).select(*keys, *cols)
+    stream = spark.readStream.schema(after.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    M1.refresh_stream(stream, catalogue, ckpt, cols=cols, order=order)
+    return catalogue.read(after.select(*keys, *cols).schema)
 
 
 def _requests(spark, sf_dir):
@@ -55,33 +54,27 @@ def _requests(spark, sf_dir):
 _REQ_SQL = ("SELECT lower(trim(event_type || '_' || CAST(user_id AS VARCHAR))) AS cache_key, event_id, ts FROM events")
 
 
-def _order_files_by_name(spark, path: str) -> None:
-    """Give the data files of ``path`` increasing modification times in name order
-    (the file source consumes files oldest first). Metadata only, via the Hadoop FS API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(st.getPath().toString() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-"))
-    base = 1_000_000_000_000
-    for i, n in enumerate(names):
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(n), base + i * 1000, -1)
-
-
 @query("stream_reuse", sql=f"WITH requests AS ({_REQ_SQL}) {M2.suppress_batch_sql()}")
 def stream_reuse(spark, sf_dir):
     """M2: each request flagged hit/miss by per-key event-time state (TTL 3600 s).
 
-    The requests are replayed as a time-ordered log: range-partitioned on time into
-    files covering disjoint, increasing time ranges, consumed two files per
-    trigger, so key state carries across micro-batches and no trigger holds more
-    than its files' rows."""
+    The requests are replayed from files that hold them in no order, a few a trigger, so
+    every trigger is behind the newest request by anything up to the whole log: the
+    watermark allows for that. A heartbeat, written last, moves it past the log's end, and
+    everything that waits is drained in time order."""
     base = M1.staging_path(spark, "reuse")
     src, out, ckpt = os.path.join(base, "requests"), os.path.join(base, "out"), os.path.join(base, "_checkpoint")
-    _requests(spark, sf_dir).repartitionByRange(8, "ts", "event_id").write.parquet(src)
-    _order_files_by_name(spark, src)
-    stream = (spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2)
-              .parquet(src))
-    q = (M2.suppress_stream(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    r = _requests(spark, sf_dir)
+    r.repartition(6, F.xxhash64("event_id")).write.parquet(src)
+    r.agg(F.lit("").alias("cache_key"), F.lit(-1).cast("long").alias("event_id"),
+          (F.max("ts") + F.expr(f"INTERVAL {2 * ORDER_DAYS} DAYS")).alias("ts")).write.mode("append").parquet(src)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", M2.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 3).parquet(src)
+        q = (M2.suppress_stream(stream, f"{ORDER_DAYS} days").where("event_id >= 0").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(M2.OUTPUT_SCHEMA).parquet(out)

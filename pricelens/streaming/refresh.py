@@ -1,67 +1,117 @@
 """M1: continuous price refresh -- a stream of captured prices upserted into the
 price catalogue, one micro-batch at a time.
 
-The catalogue is a parquet table partitioned by ``bucket = pmod(xxhash64(key), B)``.
-Each micro-batch reads only the buckets its keys fall in (their numbers are
-literals in the filter, at most B of them, so partitions are pruned), applies the
-set-based upsert, stages the result, and replaces just those buckets with a
-dynamic partition overwrite. Work per batch follows the buckets that it touches:
-a batch of few keys against many buckets is small, a batch of many scattered
-keys touches all. The staging folder holds the last batch only. "Latest wins" is decided by the observation order key carried in the
-table (time, then the feed's tie-break columns), so the result does not depend
-on file arrival order, and re-applying a batch after a failure gives the same
-table (the upsert is idempotent). The staged output is read back before the
-overwrite, so no job overwrites a path it is reading.
+The catalogue is plain parquet files, clustered by key: each generation (the first load, then one
+folder a batch) is range-partitioned and sorted on the key. A micro-batch reads the catalogue's key
+columns with ``_metadata.file_path`` to find the files that hold its keys, rewrites the rows of
+those files together with its own into a new generation, and removes the files it
+replaced; all other files stay as they are. Keys that no file holds are in the new
+generation too. Work per batch follows the files it touches and the
+key columns; "latest wins" is decided by the observation order carried in the table (time, then the feed's
+tie-break columns), so the result does not depend on the order in which files arrive.
+
+A batch is applied once, whatever fails: its generation is staged, the list of the
+files it replaces is written, then the folder is renamed into place (from here on
+readers leave the listed files out), then they are removed. A replayed batch whose generation is
+in place only finishes the removal; one whose generation is not starts anew, as nothing was removed
+yet. There is one writer, the stream.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import json
+from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
+from ..operators.windows import stored
+
+ROWS_PER_FILE = 100_000
+
+
+class Catalogue:
+    """Key-clustered parquet files under ``root``, a URI or path that driver and executors share."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], rows_per_file: int = ROWS_PER_FILE):
+        self.spark, self.root, self.keys, self.rows = spark, root.rstrip("/"), list(keys), rows_per_file
+        self.fs, self.path = pafs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
+
+    def _names(self, folder: str) -> list[str]:
+        """Files below a folder of the catalogue, relative to it."""
+        found = self.fs.get_file_info(pafs.FileSelector(f"{self.path}/{folder}".rstrip("/"), recursive=True, allow_not_found=True))
+        return [x.path[len(self.path) + 1:] for x in found if x.is_file]
+
+    def _replaced(self, generation: str) -> list[str] | None:
+        """The files that a generation replaces, as listed before it was put in place; None without a list."""
+        name = f"{self.path}/_replaced/{generation}"
+        if self.fs.get_file_info(name).type == pafs.FileType.NotFound:
+            return None
+        with self.fs.open_input_stream(name) as f:
+            return json.loads(f.read())
+
+    def files(self) -> list[str]:
+        """The data files that count, relative to the root."""
+        names = [n for n in self._names("") if n.startswith("gen-") and n.endswith(".parquet")]
+        there = {n.split("/")[0] for n in names}
+        gone = {x for n in self._names("_replaced") if n.split("/")[1] in there for x in self._replaced(n.split("/")[1])}
+        return [n for n in names if n not in gone]
+
+    def read(self, schema, names: Sequence[str] | None = None) -> DataFrame:
+        names = self.files() if names is None else list(names)
+        reader = self.spark.read.schema(schema)
+        return reader.parquet(*[f"{self.root}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, generation: str, n: int) -> None:
+        """Stage a generation of ``n`` rows and put it in place."""
+        staged = f"{self.path}/_staged/{generation}"
+        (rows.repartitionByRange(max(1, -(-n // self.rows)), *self.keys).sortWithinPartitions(*self.keys)
+         .write.mode("overwrite").parquet(f"{self.root}/_staged/{generation}"))
+        self.fs.move(staged, f"{self.path}/{generation}")
+
+    def load(self, rows: DataFrame) -> None:
+        """The first load of an empty catalogue."""
+        rows = stored(rows, "catalogue-load")
+        self._write(rows, "gen-load", rows.count())
+
+    def upsert(self, batch: DataFrame, batch_id: int, order: Sequence[str], cols: Sequence[str]) -> list[str]:
+        """Apply a batch (once for each ``batch_id``); returns the files that it replaced."""
+        generation = f"gen-{batch_id}"
+        if self.fs.get_file_info(f"{self.path}/{generation}").type == pafs.FileType.NotFound:
+            rank = F.struct(*[F.col(c) for c in order])
+            rest = list(dict.fromkeys([*cols, *order]))
+            new = stored(K._latest(batch, self.keys, rank, rest), "catalogue-batch")
+            live = self.files()
+            by_name = {n.rsplit("/", 1)[1]: n for n in live}  # Spark's file names are unique
+            held = self.read(new.schema, live).select(*self.keys, F.col("_metadata.file_name").alias("file")) if live else None
+            # one row for each touched file reaches the driver
+            touched = [by_name[r["file"]] for r in held.join(new.select(*self.keys), self.keys, "left_semi").select("file").distinct().collect()] if live else []
+            rows = stored(K._latest(self.read(new.schema, touched).unionByName(new), self.keys, rank, rest), "catalogue-rows")
+            self.fs.create_dir(f"{self.path}/_replaced", recursive=True)
+            with self.fs.open_output_stream(f"{self.path}/_replaced/{generation}") as f:
+                f.write(json.dumps(sorted(touched)).encode())
+            self._write(rows, generation, rows.count())
+        return self._finish(generation)
+
+    def _finish(self, generation: str) -> list[str]:
+        gone = self._replaced(generation) or []
+        for name in gone:
+            if self.fs.get_file_info(f"{self.path}/{name}").type != pafs.FileType.NotFound:
+                self.fs.delete_file(f"{self.path}/{name}")
+        return gone
+
 
-def bucket_of(keys, buckets: int):
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets))
-
-
-def write_catalog(df: DataFrame, root: str, keys, buckets: int) -> None:
-    """Initial load of a bucket-partitioned catalogue."""
-    df.withColumn("bucket", bucket_of(keys, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(root)
-
-
-def refresh_stream_bucketed(spark: SparkSession, source_dir: str, schema, root: str, checkpoint: str,
-                            keys=("product_id", "source_id"), cols=("price", "url", "last_updated"),
-                            order=("last_updated",), buckets: int = 64,
-                            max_files_per_trigger: int | None = None) -> None:
-    """Run the refresh stream over all files available now, touching only the buckets each batch needs."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    keep = list(keys) + list(cols) + [c for c in order if c not in cols]
-    staging_root = os.path.join(os.path.dirname(root.rstrip("/")), "_staging")
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select(*keep).withColumn("bucket", bucket_of(keys, buckets)).persist()  # read twice
-        touched = [r["bucket"] for r in b.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        cur = spark.read.parquet(root).where(F.col("bucket").isin(touched)).select(*keep, "bucket")
-        new = K._latest(cur.unionByName(b), ["bucket", *keys], F.struct(*[F.col(c) for c in order]),
-                        [c for c in keep if c not in keys])
-        stage = os.path.join(staging_root, "current")
-        new.write.mode("overwrite").partitionBy("bucket").parquet(stage)
-        (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(root))
-        b.unpersist()
-
-    q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+def refresh_stream(stream: DataFrame, catalogue: Catalogue, checkpoint: str, cols=("price", "url", "last_updated"), order=("last_updated",)) -> None:
+    """Upsert all that ``stream`` has now, batch by batch."""
+    q = (stream.writeStream.foreachBatch(lambda batch, batch_id: catalogue.upsert(batch, batch_id, order, cols) and None)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
+    import os
+    import uuid
     from ..session import checkpoint_dir
     return os.path.join(checkpoint_dir(spark), "streams", name, uuid.uuid4().hex)

@@ -1,14 +1,20 @@
-"""M2: recent-search suppression as a stateful stream.
+"""M2: recent-search suppression as a stateful stream, right for requests in any order.
 
 A request for a cache key is a *hit* if the key was last computed less than the
 TTL ago (event time); otherwise it is a *miss* and becomes the new computation
-time. State per key is one timestamp; it expires (event-time timeout) once the
-watermark passes computation time + TTL, because no later request could hit it.
+time. The rule is sequential in event time, so a request is decided once no
+earlier one can come: the watermark, ``order_within`` behind the newest request
+seen, says when.
 
-Requires each key's requests to arrive in event-time order across triggers
-(true for a time-ordered log partitioned by key); within a trigger the rows of
-a key are sorted. ``maxFilesPerTrigger`` bounds how many rows one key can bring
-to one task in one trigger.
+State per key: requests that wait, in buckets of event time (a map, each bucket
+with a timer at its end), and the last computation time. Timers fire in time
+order; each drains its bucket, so no frame holds more of a key than a bucket.
+A request that comes behind the watermark is kept: it is decided at once, a hit
+if it lies within the TTL of the last computation, else a miss that moves that
+time forward only. The last computation time leaves the state a TTL later.
+
+The watermark is declared on the request time, but the operator gets a copy of
+the column, because the engine drops rows by the declared one.
 """
 
 from __future__ import annotations
@@ -18,44 +24,95 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import rules
 
 OUTPUT_SCHEMA = "cache_key string, event_id long, ts timestamp, hit boolean"
-STATE_SCHEMA = "last_us long"
-
-
-def _suppress(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ttl_us = rules.CACHE_TTL_SECONDS * 1_000_000
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if pdf.empty:
-        return
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    ts = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-    hits = np.ones(len(ts), dtype=bool)
-    last = state.get[0] if state.exists else None
-    # a miss starts a new TTL window; jump straight to the first request at or after its end
-    i = 0 if last is None else int(np.searchsorted(ts, last + ttl_us, side="left"))
-    while i < len(ts):
+BUCKET_SECONDS = 60
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # the one that has timers and maps
+
+
+def decide(times: np.ndarray, last: int | None, ttl: int) -> tuple[np.ndarray, int | None]:
+    """Hits of ascending request times, and the last computation time after them. A miss starts a
+    new TTL window: the walk jumps straight to the first request at or after its end."""
+    hits = np.ones(len(times), dtype=bool)
+    i = 0 if last is None else int(np.searchsorted(times, last + ttl, side="left"))
+    while i < len(times):
         hits[i] = False
-        last = int(ts[i])
-        i = int(np.searchsorted(ts, last + ttl_us, side="left"))
-    state.update((int(last),))
-    state.setTimeoutTimestamp(int(last // 1000) + rules.CACHE_TTL_SECONDS * 1000)
-    yield pd.DataFrame({"cache_key": key[0], "event_id": pdf["event_id"].astype("int64").values,
-                        "ts": pdf["ts"].values, "hit": hits})
-
-
-def suppress_stream(requests: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """(cache_key, event_id, ts) stream -> the same rows with ``hit``."""
-    return (requests.withWatermark("ts", watermark)
-            .groupBy("cache_key")
-            .applyInPandasWithState(_suppress, OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+        last = int(times[i])
+        i = int(np.searchsorted(times, last + ttl, side="left"))
+    return hits, last
+
+
+class RecentSearches(StatefulProcessor):
+    def __init__(self, ttl_seconds: int, bucket_seconds: int):
+        self.ttl, self.bucket = ttl_seconds * 1_000_000, bucket_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "times array<long>, ids array<long>")
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            us = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            ids = frame["event_id"].astype("int64").to_numpy()
+            bucket = us // self.bucket
+            for b in np.unique(bucket).tolist():
+                own = bucket == b
+                if (b + 1) * self.bucket // 1000 <= watermark:
+                    yield self._late(key, us[own], ids[own])
+                    continue
+                times, numbers = us[own].tolist(), ids[own].tolist()
+                if self.waiting.containsKey((b,)):
+                    held = self.waiting.getValue((b,))
+                    times, numbers = list(held[0]) + times, list(held[1]) + numbers
+                else:
+                    self.handle.registerTimer((b + 1) * self.bucket // 1000)
+                self.waiting.updateValue((b,), (times, numbers))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        b = (end // self.bucket - 1,)
+        if self.waiting.containsKey(b):
+            times, ids = (np.array(x, np.int64) for x in self.waiting.getValue(b))
+            self.waiting.removeKey(b)
+            order = np.lexsort((ids, times))
+            yield self._decided(key, times[order], ids[order])
+        if self.last.exists() and self.last.get()[0] + self.ttl <= end:
+            self.last.clear()
+
+    def _decided(self, key, times: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        before = self.last.get()[0] if self.last.exists() else None
+        hits, last = decide(times, before, self.ttl)
+        if last != before:
+            self.last.update((last,))
+            self.handle.registerTimer(-(-(last + self.ttl) // self.bucket) * self.bucket // 1000)  # forget it then
+        return pd.DataFrame({"cache_key": key[0], "event_id": ids, "ts": times.astype("datetime64[us]"), "hit": hits})
+
+    def _late(self, key, times: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
+        last = self.last.get()[0] if self.last.exists() else None
+        before = times < (last if last is not None else -(1 << 62))  # earlier than what is known: misses that change nothing
+        out = pd.DataFrame({"cache_key": key[0], "event_id": ids[before], "ts": times[before].astype("datetime64[us]"), "hit": False})
+        return pd.concat([out, self._decided(key, times[~before], ids[~before])]) if (~before).any() else out
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_stream(requests: DataFrame, order_within: str = "1 hour", ttl_seconds: int = rules.CACHE_TTL_SECONDS, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """(cache_key, event_id, ts) stream -> the same rows with ``hit``, each once it is decided.
+    Requests may come in any order; the rule holds exactly for those at most ``order_within`` behind
+    the newest. Rows without a key or a time are left out. The session's state store must be ``STATE_STORE``."""
+    timed = (requests.where("cache_key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", order_within)
+             .select("cache_key", "event_id", F.timestamp_micros(F.unix_micros("ts")).alias("ts")))
+    return timed.groupBy("cache_key").transformWithStateInPandas(
+        statefulProcessor=RecentSearches(ttl_seconds, bucket_seconds), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def suppress_batch_sql() -> str:
