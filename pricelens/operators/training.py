@@ -8,6 +8,7 @@ distributed global rank) and the statistics (one grouping-sets aggregate).
 from __future__ import annotations
 
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.prices import number_text
 from ..functions.regex import let, pystrip
+from ..sources.json_arrays import RANGE_BYTES, exists, read_json_array
 
 _TAG = r"(?Ud)\[(\w+)\](.*?)\[/\1\]"
 _SEP_SEG, _SEP_TYPE = "\u0001", "\u0002"
@@ -211,6 +213,8 @@ def id_labels_to_names(labels: Column) -> Column:
 
 
 # ---------------------------------------------------------------- S3, S4
+DOCUMENT_BYTES = 32 << 20
+
 EXAMPLE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("query", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("timestamp", T.StringType()),
@@ -224,24 +228,35 @@ def write_training_set(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.withColumn("site", F.col("source")).write.mode("append").partitionBy("source").format(fmt).save(path)
 
 
-def read_training_set(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def write_training_documents(df: DataFrame, path: str, file_bytes: int = DOCUMENT_BYTES) -> None:
+    """S4, document layout: ``{"training_data": [...], "metadata": {"total_examples": n}}`` files of about
+    ``file_bytes`` each, whatever the number of examples; columns as in ``EXAMPLE_SCHEMA``."""
+    ex = df.select(F.to_json(F.struct("text", "query", F.col("source").alias("site"), "timestamp", "product_data")).alias("value"))
+    total = ex.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+
+    def documents(batches):
+        n, head = 0, '{"training_data": ['
+        for b in batches:
+            lines = [("," if n + i else head) + x for i, x in enumerate(b.column(0).to_pylist())]
+            n += len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([("" if n else head) + f'], "metadata": {{"total_examples": {n}}}}}'])], names=["value"])
+    ex.repartition(max(1, -(-total // file_bytes))).mapInArrow(documents, "value string").write.text(path)
+
+
+def read_training_set(spark: SparkSession, path: str, layout: str = "lines", fallback: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """S3: load examples; keep rows that have a text and a query (even empty ones); source is
-    the record's 'site', else 'unknown'; timestamp defaults to '', product data to {}.
+    the record's 'site', else 'unknown'; timestamp defaults to '', product data to {}. Where nothing
+    is at ``path``, ``fallback`` is read.
 
     ``layout='lines'``: JSON Lines (splittable; what ``write_training_set`` writes).
-    ``layout='document'``: one JSON document per file, either a bare array of
-    examples or ``{"metadata": ..., "training_data": [...]}`` -- read with
-    ``wholetext`` (one task per file: convert large sets to JSON Lines first).
+    ``layout='document'``: JSON documents, either a bare array of examples or ``{"metadata": ...,
+    "training_data": [...]}``, read by byte ranges (``sources.json_arrays``).
     """
-    if layout == "document":
-        raw = spark.read.text(path, wholetext=True)
-        doc = F.try_parse_json(F.col("value"))
-        arr = F.coalesce(F.try_variant_get(doc, "$.training_data", "array<variant>"),
-                         F.try_variant_get(doc, "$", "array<variant>"))
-        ex = raw.select(F.explode(arr).alias("ex"))
-    else:
-        raw = spark.read.text(path)
-        ex = raw.select(F.try_parse_json(F.col("value")).alias("ex")).filter(F.col("ex").isNotNull())
+    if fallback is not None and not exists(path):
+        path = fallback
+    raw = read_json_array(spark, path, "training_data", range_bytes) if layout == "document" else spark.read.text(path)
+    ex = raw.select(F.try_parse_json(F.col("value")).alias("ex")).filter(F.col("ex").isNotNull())
 
     def g(p, typ="string"):
         return F.try_variant_get(F.col("ex"), p, typ)

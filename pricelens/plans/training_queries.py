@@ -305,16 +305,9 @@ def training_roundtrip(spark, sf_dir):
 
 @query("training_load", sql=STORED_SQL, fixtures=FXT)
 def training_load(spark, sf_dir):
-    """S3 (document layout): examples stored as ``{"metadata", "training_data": [...]}``
-    documents of about 100 examples, one file for each, loaded back. Files are named by
-    Spark and lie in one folder."""
+    """S3 (document layout): examples stored as ``{"training_data": [...], "metadata": ...}``
+    documents, as many as their bytes ask for, loaded back by byte ranges; the first place looked
+    at has none, so the fallback is read."""
     path = os.path.join(checkpoint_dir(spark), "training-docs", uuid.uuid4().hex)
-    e = _stored(spark, sf_dir).withColumn("site", F.col("source"))
-    docs_n = F.greatest(F.lit(1), F.ceil(e.select(F.count(F.lit(1))).scalar() / 100))
-    e = e.withColumn("doc", F.pmod(F.xxhash64("text", "timestamp"), docs_n))
-    ex = F.struct("text", "query", "site", "timestamp", "product_data")
-    docs = e.groupBy("doc").agg(
-        F.to_json(F.struct(F.struct(F.count(F.lit(1)).alias("total_examples")).alias("metadata"),
-                           F.collect_list(ex).alias("training_data"))).alias("value"))
-    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return _loaded(TR.read_training_set(spark, path, layout="document"))
+    TR.write_training_documents(_stored(spark, sf_dir), path)
+    return _loaded(TR.read_training_set(spark, f"{path}-none", layout="document", fallback=path))
