@@ -41,6 +41,11 @@ def unescape(text: Column) -> Column:
 BOILERPLATE_TAGS = ["script", "style", "noscript", "nav", "header", "footer", "aside", "form"]
 
 
+LINK_LINE_CHARS = 25  # a line this long stays, however much of it is links (a product title often is one)
+_LINK_ON, _LINK_OFF = "\x01", "\x02"
+_BLANKS = r"[ \t\r\f\x0B]+"
+
+
 def main_text_lines(html: Column) -> Column:
     """Main-text extraction to an array of lines.
 
@@ -49,14 +54,34 @@ def main_text_lines(html: Column) -> Column:
     one alternation); block-level tags become line breaks; remaining tags go;
     entities are unescaped; each line is whitespace-collapsed and trimmed;
     empty lines go.
+
+    Lines of menus and breadcrumbs go by their link density: anchors are kept as two marks up to the
+    lines (an anchor around several lines is closed and opened again at each line break; one that never
+    ends is none), and a line is dropped if it has fewer than ``LINK_LINE_CHARS`` characters and more
+    than half of what is not blank stands inside anchors.
     """
-    h = F.regexp_replace(html, F.lit(r"(?is)<head[^>]*>.*?</head>|<!--.*?-->"), F.lit(""))
+    h = F.regexp_replace(F.translate(html, _LINK_ON + _LINK_OFF, ""), F.lit(r"(?is)<head[^>]*>.*?</head>|<!--.*?-->"), F.lit(""))
     for t in BOILERPLATE_TAGS:
         h = F.regexp_replace(h, F.lit(f"(?is)<{t}\\b[^>]*>.*?</{t}>"), F.lit(""))
+    h = F.regexp_replace(F.regexp_replace(h, F.lit(r"(?i)<a\b[^>]*>"), F.lit(_LINK_ON)), F.lit(r"(?i)</a\s*>"), F.lit(_LINK_OFF))
     h = F.regexp_replace(h, F.lit(f"(?i)</?(?:{_BLOCK_TAGS})\\b[^>]*>"), F.lit("\n"))
     h = unescape(F.regexp_replace(h, F.lit(r"<[^>]*>"), F.lit("")))
-    lines = F.transform(F.split(h, "\n"), lambda ln: pystrip(F.regexp_replace(ln, F.lit(r"[ \t\r\f\x0B]+"), F.lit(" "))))
-    return F.array_remove(lines, "")
+
+    def by_line(part: Column, i: Column) -> Column:
+        end = F.instr(part, _LINK_OFF)
+        inside = F.replace(F.substring(part, F.lit(1), end - 1), F.lit("\n"), F.lit(_LINK_OFF + "\n" + _LINK_ON))
+        return F.when((i > 0) & (end > 0), F.concat(inside, F.substring(part, end, F.length(part)))).otherwise(part)
+
+    def measured(ln: Column) -> Column:
+        blank = lambda x: F.regexp_replace(x, F.lit(_BLANKS), F.lit(""))
+        plain = F.translate(ln, _LINK_ON + _LINK_OFF, "")
+        links = F.array_join(F.regexp_extract_all(ln, F.lit(f"{_LINK_ON}([^{_LINK_ON}{_LINK_OFF}]*){_LINK_OFF}"), F.lit(1)), "")
+        return F.struct(pystrip(F.regexp_replace(plain, F.lit(_BLANKS), F.lit(" "))).alias("text"),
+                        F.length(blank(plain)).alias("all"), F.length(blank(links)).alias("linked"))
+    h = F.array_join(F.transform(F.split(h, _LINK_ON), by_line), _LINK_ON)
+    lines = F.filter(F.transform(F.split(h, "\n"), measured), lambda x: (x["text"] != "") & (
+        (F.length(x["text"]) >= LINK_LINE_CHARS) | (x["linked"] * 2 <= x["all"])))
+    return F.transform(lines, lambda x: x["text"])
 
 
 def page_text(html: Column, min_chars: int = 1) -> Column:

@@ -39,17 +39,18 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "track", "wbr"}
 
 CONTAINER_SCHEMA = ("page_id long, site_key string, url string, pos int, texts array<string>, "
-                    "hrefs array<string>, srcs array<string>")
+                    "hrefs array<string>, srcs array<string>, error string")
 
 _SEL = re.compile(r'^(?P<tag>[a-z0-9]+)?(?:\.(?P<cls>[\w-]+))?'
                   r'(?:\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<val>[^"]*)")?\])?$')
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "classes")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.classes = attrs["class"].split() if "class" in attrs else ()
 
 
 class _Tree(HTMLParser):
@@ -80,22 +81,39 @@ class _Tree(HTMLParser):
         self.cur.children.append(data)
 
 
-def _matches(node: _Node, sel: str) -> bool:
-    m = _SEL.match(sel)
-    if not m:
-        return False
-    if m["tag"] and node.tag != m["tag"]:
-        return False
-    if m["cls"] and m["cls"] not in node.attrs.get("class", "").split():
-        return False
-    if m["attr"]:
-        if m["attr"] not in node.attrs:
-            return False
-        if m["op"] == "*=" and m["val"] not in node.attrs[m["attr"]]:
-            return False
-        if m["op"] == "=" and node.attrs[m["attr"]] != m["val"]:
-            return False
-    return True
+class Cascade:
+    """A list of selectors compiled once into an index by tag: one walk over a tree's elements finds
+    those of the first selector that matches any."""
+
+    def __init__(self, selectors: list[str]):
+        self.size = len(selectors)
+        self.by_tag: dict[str | None, list[tuple]] = {}
+        for i, sel in enumerate(selectors):
+            m = _SEL.match(sel)
+            if m is None:
+                raise ValueError(f"not a selector of this kind: {sel}")
+            self.by_tag.setdefault(m["tag"], []).append((i, m["cls"], m["attr"], m["op"], m["val"]))
+        any_tag = self.by_tag.pop(None, [])
+        self.by_tag = {t: sorted(x + any_tag, key=lambda r: r[0]) for t, x in self.by_tag.items()}
+        self.any_tag = any_tag
+
+    def select(self, elements: list[_Node]) -> list[_Node]:
+        best, hits = self.size, []
+        for e in elements:
+            for i, cls, attr, op, val in self.by_tag.get(e.tag, self.any_tag):
+                if i > best:
+                    break
+                if cls and cls not in e.classes:
+                    continue
+                if attr:
+                    have = e.attrs.get(attr)
+                    if have is None or op == "*=" and val not in have or op == "=" and val != have:
+                        continue
+                if i < best:
+                    best, hits = i, []
+                hits.append(e)
+                break
+        return hits
 
 
 def _elements(root: _Node):
@@ -125,42 +143,55 @@ def _attr_values(n: _Node, tag: str, attr: str) -> list[str]:
     return [e.attrs[attr] for e in _elements(n) if e.tag == tag and e.attrs.get(attr)]
 
 
+_CASCADES = {site: Cascade(sels) for site, sels in SELECTORS.items()}
+_FALLBACKS = {site: Cascade([arg] if kind == "select" else ["div"]) for site, (kind, arg) in FALLBACK.items()}
+_DIVS = Cascade(["div"])
+
+
 def find_containers(html: str, site_key: str, n: int | None = None) -> list[_Node]:
     """The containers of a page (the first ``n``, if given) under the site's selector cascade."""
     p = _Tree()
-    try:
-        p.feed(html or "")
-        p.close()
-    except Exception:  # malformed markup: keep what was parsed
-        pass
+    p.feed(html or "")
+    p.close()
     els = list(_elements(p.root))
-    for sel in SELECTORS.get(site_key, []):
-        hit = [e for e in els if _matches(e, sel)]
-        if hit:
-            return hit[:n]
-    kind, arg = FALLBACK.get(site_key, ("divs", 0))
-    if kind == "select":
-        return [e for e in els if _matches(e, arg)][:n]
-    divs = [e for e in els if e.tag == "div"]
-    if arg:
-        divs = [d for d in divs if len("".join(_texts(d))) > arg]
-    return divs[:n]
-
-
-def containers(pages: DataFrame, n: int | None = None) -> DataFrame:
-    """(page_id, site_key, html) -> one row per container (the first ``n`` of a page, if given)."""
+    hit = _CASCADES[site_key].select(els) if site_key in _CASCADES else []
+    if not hit:
+        hit = _FALLBACKS.get(site_key, _DIVS).select(els)
+        kind, least = FALLBACK.get(site_key, ("divs", 0))
+        if kind == "divs" and least:
+            hit = [d for d in hit if len("".join(_texts(d))) > least]
+    return hit[:n]
+
+
+def parse_pages(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """(page_id, site_key, html) -> one row per container (the first ``n`` of a page, if given), and one
+    row with ``error`` (and nothing else of the page) for each page that the parser fails on."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for pid, site, url, html in zip(b["page_id"], b["site_key"], b["url"], b["html"]):
-                for i, c in enumerate(find_containers(html, site, n)):
-                    rows.append((pid, site, url, i, _texts(c), _attr_values(c, "a", "href"),
-                                 _attr_values(c, "img", "src")))
-            yield pd.DataFrame(rows, columns=["page_id", "site_key", "url", "pos", "texts", "hrefs", "srcs"])
+                try:
+                    rows += [(pid, site, url, i, _texts(c), _attr_values(c, "a", "href"), _attr_values(c, "img", "src"), None)
+                             for i, c in enumerate(find_containers(html, site, n))]
+                except Exception as e:  # noqa: BLE001  whatever one page raises is that page's error
+                    rows.append((pid, site, url, None, None, None, None, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=["page_id", "site_key", "url", "pos", "texts", "hrefs", "srcs", "error"])
+            out["pos"] = out["pos"].astype("Int32")
+            yield out
 
     return pages.select("page_id", "site_key", "url", "html").mapInPandas(split, CONTAINER_SCHEMA)
 
 
+def containers(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """The containers of the pages that parse."""
+    return parse_pages(pages, n).where("error IS NULL").drop("error")
+
+
+def page_errors(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """``page_id, site_key, error`` of the pages that do not."""
+    return parse_pages(pages, n).where("error IS NOT NULL").select("page_id", "site_key", "error")
+
+
 def container_text(texts, word_limit: int | None = None) -> "F.Column":
     """Texts joined by ' | ', whitespace collapsed; with ``word_limit``, words as long are dropped."""
     t = F.regexp_replace(F.array_join(texts, " | "), F.lit(r"(?U)\s+"), F.lit(" "))

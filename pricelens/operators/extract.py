@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.regex import let
+from ..session import checkpoint_dir
 
 
 def convert_currency(df: DataFrame, amount: str = "amount", currency: str = "currency",
@@ -151,21 +154,34 @@ def drop_blob_logs(logs: DataFrame, col: str = "msg") -> DataFrame:
     return logs.filter(~F.coalesce(blob, F.lit(False)))
 
 
+# Fixed value: markup that ends inside a tag, as a download leaves it that broke off.
+CUT_OFF = r"<[A-Za-z/!][^<>]*$"
+
+
 def page_status(pages: DataFrame) -> DataFrame:
-    """Per page, 'ok', or the reason it is set aside ('empty', 'no_text').
+    """Per page, 'ok', or the reason it is set aside ('empty', 'cut off inside a tag', 'no_text').
 
     Bad input never fails the job: every rule is a total expression (try_* casts,
     NULL-safe regexes), and split_errors() routes the set-aside rows to their own table.
     """
     t = TX.page_text(F.col("html"))
     status = (F.when(F.col("html").isNull() | (F.length("html") == 0), F.lit("empty"))
+              .when(F.col("html").rlike(r"<[A-Za-z/!][^<>]*\z"), F.lit("cut off inside a tag"))
               .when(t.isNull(), F.lit("no_text")).otherwise(F.lit("ok")))
     return pages.withColumn("status", status)
 
 
-def split_errors(df: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows)."""
-    return df.filter(F.col(status) == "ok"), df.filter(F.col(status) != "ok")
+def split_errors(df: DataFrame, status: str = "status", path: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(accepted rows, rejected rows, counts): one pass writes both kinds, each to its own folder of
+    ``path`` (in the shared folder by default), and counts them on the way. A row is rejected if its
+    ``status`` is anything but 'ok'."""
+    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/checked-{uuid.uuid4().hex}"
+    seen = Observation()
+    bad = F.col(status) != "ok"
+    (df.observe(seen, F.count(F.when(~bad, 1)).alias("accepted"), F.count(F.when(bad, 1)).alias("rejected"))
+     .withColumn("_kind", F.when(bad, F.lit("rejected")).otherwise(F.lit("accepted"))).write.partitionBy("_kind").parquet(path))
+    read = lambda kind: df.sparkSession.read.schema(df.schema).parquet(f"{path}/_kind={kind}") if seen.get[kind] else df.sparkSession.createDataFrame([], df.schema)
+    return read("accepted"), read("rejected"), dict(seen.get)
 
 
 def chunk_offers(pages: DataFrame, budget: int | None = None) -> DataFrame:

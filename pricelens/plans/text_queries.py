@@ -30,18 +30,26 @@ def clean_html_sql(x: str) -> str:
 
 
 def main_text_sql(x: str) -> str:
-    h = f"regexp_replace({x}, '(?is)<head[^>]*>.*?</head>|<!--.*?-->', '', 'g')"
+    """Main text; a line goes if it is short and more than half of its characters are inside links."""
+    h = f"regexp_replace(translate({x}, chr(1) || chr(2), ''), '(?is)<head[^>]*>.*?</head>|<!--.*?-->', '', 'g')"
     for t in TX.BOILERPLATE_TAGS:
         h = f"regexp_replace({h}, '(?is)<{t}\\b[^>]*>.*?</{t}>', '', 'g')"
+    h = f"regexp_replace(regexp_replace({h}, '(?i)<a\\b[^>]*>', chr(1), 'g'), '(?i)</a\\s*>', chr(2), 'g')"
     h = f"regexp_replace({h}, '(?i)</?(?:{TX._BLOCK_TAGS})\\b[^>]*>', {_NL}, 'g')"
     h = f"regexp_replace({h}, '<[^>]*>', '', 'g')"
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                     ("&nbsp;", " "), ("&amp;", "&")]:
         h = f"replace({h}, '{ent}', '{ch}')"
-    inner = _strip("regexp_replace(ln, '[ \\t\\r\\f\\x0B]+', ' ', 'g')")
-    lines = (f"list_filter(list_transform(string_split({h}, {_NL}), lambda ln: {inner}), "
-             f"lambda ln: length(ln) > 0)")
-    return f"array_to_string({lines}, {_NL})"
+    parts = (f"list_transform(string_split({h}, chr(1)), lambda p, i: CASE WHEN i > 1 AND contains(p, chr(2)) THEN "
+             f"replace(substr(p, 1, strpos(p, chr(2)) - 1), {_NL}, chr(2) || {_NL} || chr(1)) || substr(p, strpos(p, chr(2))) ELSE p END)")
+    blank = "regexp_replace({}, '[ \\t\\r\\f\\x0B]+', '', 'g')"
+    plain = "translate(ln, chr(1) || chr(2), '')"
+    linked = "array_to_string(regexp_extract_all(ln, '\\x01([^\\x01\\x02]*)\\x02', 1), '')"
+    text = _strip(f"regexp_replace({plain}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')")
+    lines = (f"list_filter(list_transform(string_split(array_to_string({parts}, chr(1)), {_NL}), lambda ln: struct_pack(t := {text}, "
+             f"n := length({blank.format(plain)}), k := length({blank.format(linked)}))), "
+             f"lambda s: s.t <> '' AND NOT (length(s.t) < {TX.LINK_LINE_CHARS} AND 2 * s.k > s.n))")
+    return f"array_to_string(list_transform({lines}, lambda s: s.t), {_NL})"
 
 
 def url_join_sql(base: str, ref: str) -> str:
@@ -168,10 +176,13 @@ def clean_html(spark, sf_dir):
 
 
 @query("page_text", sql=f"""SELECT page_id, t AS text, CAST(len(string_split(t, {_NL})) AS INTEGER) AS n_lines FROM
-  (SELECT page_id, {main_text_sql('html')} AS t FROM pages) x WHERE length(t) >= 1""")
+  (SELECT page_id, {main_text_sql('html')} AS t FROM (SELECT page_id, html FROM pages UNION ALL SELECT -page_id - 1, html FROM listing_pages) p) x
+  WHERE length(t) >= 1""", fixtures=["listing_pages"])
 def page_text(spark, sf_dir):
-    """Main text of each page as lines; pages without text are skipped."""
-    p = load(spark, sf_dir, "pages").select("page_id", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
+    """Main text of each raw page and of each listing page (with its menus) as lines; pages without text are skipped."""
+    p = load(spark, sf_dir, "pages").select("page_id", "html").unionByName(
+        fx.listing_pages(spark, sf_dir).select((-F.col("page_id") - 1).alias("page_id"), "html"))
+    p = p.select("page_id", F.explode(TX.if_present(TX.page_text(F.col("html")))).alias("text"))
     return p.select("page_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
 
 
@@ -306,12 +317,22 @@ def drop_blob_logs(spark, sf_dir):
     return X.drop_blob_logs(d, "text").select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("quarantine", sql=f"""SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty'
-    WHEN length({main_text_sql('html')}) < 1 THEN 'no_text' ELSE 'ok' END AS status FROM pages""")
+_CUT_OFF_SQL = f"regexp_matches(html, {_re(X.CUT_OFF)})"
+
+
+@query("quarantine", sql=f"""SELECT page_id, CASE WHEN html IS NULL OR length(html) = 0 THEN 'empty' WHEN {_CUT_OFF_SQL} THEN 'cut off inside a tag'
+    WHEN length({main_text_sql('html')}) < 1 THEN 'no_text' ELSE 'ok' END AS status FROM (
+    SELECT page_id, html FROM pages UNION ALL SELECT -page_id - 1, substr(html, 1, strpos(html, '<img src=') + 5) FROM listing_pages) p""",
+       fixtures=["listing_pages"])
 def quarantine(spark, sf_dir):
-    """Each page is either processed ('ok') or set aside with a reason; one bad page never stops the rest."""
-    p = load(spark, sf_dir, "pages").select("page_id", "html")
-    return X.page_status(p).select("page_id", "status")
+    """Each page is either processed ('ok') or set aside with a reason; one bad page never stops the
+    rest. Raw pages, and listing pages as a broken download leaves them: cut off inside a tag. Both kinds are
+    written in one pass and read back from where they went."""
+    cut = F.expr("substr(html, 1, instr(html, '<img src=') + 5)")
+    p = load(spark, sf_dir, "pages").select("page_id", "html").unionByName(
+        fx.listing_pages(spark, sf_dir).select((-F.col("page_id") - 1).alias("page_id"), cut.alias("html")))
+    good, bad, _counts = X.split_errors(X.page_status(p))
+    return good.unionByName(bad).select("page_id", "status")
 
 
 def _chunk_offers_sql() -> str:

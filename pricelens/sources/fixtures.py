@@ -242,7 +242,8 @@ def _fragment(site_key: Column, pid: Column, text: Column) -> Column:
 
 
 PAGE_HEAD = ("<html><head><style>.x{color:red}</style><script>var price = '$1';</script></head>"
-             "<body><nav><a href=\"/\">Home</a> <a href=\"/deals\">Deals</a></nav>\n<h1>Results</h1>\n")
+             "<body><nav><a href=\"/\">Home</a> <a href=\"/deals\">Deals</a></nav>\n<h1>Results</h1>\n"
+             "<div class=\"menu\"><a href=\"/c/phones\">Phones</a> | <a href=\"/c/rings\"><p>Rings</p><p>and bolts</p></a></div><p>See <a href=\"/c/new\">new</a>: 12</p>\n")
 PAGE_TAIL = "<footer>Contact us</footer></body></html>"
 
 

@@ -88,3 +88,20 @@ def test_chunks_keep_every_line(spark):
     few = TX.chunk_array(F.col("text"), cap=2)
     for r in df.select(c.alias("c"), few.alias("f")).collect():
         assert r["f"] == r["c"][:2]
+
+
+def test_lines_of_links(spark):
+    long = "a product title that is longer than the limit"
+    table = [
+        ('<div><a href="/">Home</a> | <a href="/d">Deals</a></div><p>text</p>', ["text"]),
+        (f'<div><a href="/1">{long}</a></div>', [long]),                                   # long: stays
+        ('<a href="/x"><div>Phones</div><div>and rings</div></a><p>₵ 50</p>', ["₵ 50"]),     # one anchor around lines
+        ('<p>See <a href="/x">it</a> now</p>', ["See it now"]),                              # half or less of it
+        ('<p><a href="/x">abc</a> de f</p>', ["abc de f"]), ('<p><a href="/x">abcd</a> de f</p>', []),
+        ('<p><a href="/x">never closed</p><p>more</p>', ["never closed", "more"]),           # no anchor
+        ('<p>x</a> y</p><a href="/">z</a>', ["x y"]), ("<p>\x01a\x02b</p>", ["ab"]), ("<abbr>short</abbr>", ["short"]), ("", []),
+        ("<A HREF=x>Menu</A >\n<p>12</p>", ["12"]), ('<a href="/">\n<p>one</p>\n<p>two</p>\n</a>three', ["three"]),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(table)], "i int, h string")
+    for r in df.select("i", TX.main_text_lines(F.col("h")).alias("l")).collect():
+        assert list(r["l"]) == table[r["i"]][1], table[r["i"]][0]
