@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .prices import parse_price
-from .regex import find_all, found, let, pystrip, search
+from .regex import find_all, found, jre, let, pystrip, search
 from .titles import generic_title
 
 
@@ -24,19 +24,36 @@ def price_entities(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def entities(text: Column) -> Column:
-    """ARRAY<STRUCT<entity_group, word, ordinal, score>>: titles then prices.
+_ON, _OFF = "\x01", "\x02"
+
+
+def spans(text: Column, pattern: str, flags: str) -> Column:
+    """ARRAY<STRUCT<start, end>> of the whole matches of a pattern (code points, end exclusive).
 
-    Character offsets are not kept (nothing downstream reads them); ``ordinal``
-    numbers the entities in emission order instead.
+    Each match is marked where it stands and the text is cut at the marks: a match starts after all that
+    the parts before it hold. (Searching for a match's text could find it earlier, where the pattern does not match.)
     """
-    t = F.transform(title_entities(text), lambda w: F.struct(
-        F.lit("TITLE").alias("entity_group"), w.alias("word"), F.lit(rules.ENTITY_TITLE_SCORE).alias("score")))
-    p = F.transform(price_entities(text), lambda w: F.struct(
-        F.lit("PRICE").alias("entity_group"), w.alias("word"), F.lit(rules.ENTITY_PRICE_SCORE).alias("score")))
-    return F.transform(F.concat(t, p), lambda e, i: F.struct(
-        e["entity_group"].alias("entity_group"), e["word"].alias("word"), i.alias("ordinal"),
-        e["score"].alias("score")))
+    marked = F.regexp_replace(F.translate(text, _ON + _OFF, "\x03\x03"), F.lit(jre(pattern, flags)), F.lit(f"{_ON}$0{_OFF}"))
+    parts = F.transform(F.split(marked, _ON), lambda p: F.struct(
+        F.length(F.translate(p, _OFF, "")).alias("all"), (F.instr(p, _OFF) - 1).alias("match")))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    fold = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, x: F.struct(
+        (acc["at"] + x["all"]).alias("at"),
+        F.when(x["match"] >= 0, F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + x["match"]).alias("end")))).otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"])
+    return fold
+
+
+def entities(text: Column) -> Column:
+    """ARRAY<STRUCT<entity_group, word, ordinal, score, start, end>>: titles then prices, pattern by
+    pattern in match order; ``start`` and ``end`` are those of the whole match."""
+    def group(name: str, score: float, patterns: list[str], flags: str, skip: int) -> list[Column]:
+        return [F.zip_with(find_all(text, p[skip:], 1, flags=flags), spans(text, p[skip:], flags), lambda w, s: F.struct(
+            F.lit(name).alias("entity_group"), pystrip(w).alias("word"), F.lit(score).alias("score"), s["start"].alias("start"), s["end"].alias("end"))) for p in patterns]
+    every = F.concat(*group("TITLE", rules.ENTITY_TITLE_SCORE, rules.ENTITY_TITLE_PATTERNS, "im", 5),
+                     *group("PRICE", rules.ENTITY_PRICE_SCORE, rules.ENTITY_PRICE_PATTERNS, "i", 4))
+    return F.transform(every, lambda e, i: F.struct(
+        e["entity_group"].alias("entity_group"), e["word"].alias("word"), i.alias("ordinal"), e["score"].alias("score"), e["start"].alias("start"), e["end"].alias("end")))
 
 
 def longest(words: Column) -> Column:

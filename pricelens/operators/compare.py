@@ -155,9 +155,10 @@ def search_urls(searches: DataFrame, key: str = "query_id") -> DataFrame:
                     F.concat(F.col("s.search_prefix"), quote_plus(F.col("query"))).alias("search_url"))
 
 
-def with_site_quota(searches: DataFrame, total: int = rules.RESULTS_PER_SEARCH,
+def with_site_quota(searches: DataFrame, sites: DataFrame, total: int = rules.RESULTS_PER_SEARCH,
                     key: str = "query_id") -> DataFrame:
-    """Per search: available sites and the per-site quota ``max(1, total // n_sites)``."""
-    n = F.size(sites_array())
+    """Per search: available sites and the per-site quota ``max(1, total // n_sites)``; the sites are
+    counted from their table (a scalar subquery)."""
+    n = sites.select(F.count(F.lit(1))).scalar()
     return searches.select(key, n.cast("long").alias("n_sites"),
                            F.greatest(F.lit(1), F.floor(F.lit(total) / n)).cast("long").alias("quota"))

@@ -12,17 +12,10 @@ from ..functions.regex import let
 from ..session import checkpoint_dir
 
 
-def convert_currency(df: DataFrame, amount: str = "amount", currency: str = "currency",
-                     rates: dict[str, float] | None = None) -> DataFrame:
-    """Amount in GHS: ``amount * rate`` for currencies with a rate (USD by default), else unchanged.
-
-    The rate table is a literal map (a handful of currencies), evaluated in the
-    projection -- no join, no shuffle.
-    """
-    rates = rates or {"USD": rules.USD_TO_GHS}
-    m = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(float(v)))])
-    r = F.try_element_at(m, F.col(currency))
-    return df.withColumn("amount_ghs", F.when(r.isNotNull(), F.col(amount) * r).otherwise(F.col(amount)))
+def convert_currency(df: DataFrame, rates: DataFrame, amount: str = "amount", currency: str = "currency", out: str = "amount_ghs") -> DataFrame:
+    """``amount * rate`` for currencies that ``rates(currency, rate)`` has (one row each), else the amount unchanged."""
+    r = rates.select(F.col("currency").alias("_currency"), F.col("rate").cast("double").alias("_rate"))
+    return df.join(r, F.col(currency) == F.col("_currency"), "left").withColumn(out, F.col(amount) * F.coalesce("_rate", F.lit(1.0))).drop("_currency", "_rate")
 
 
 def offer_id(site_key: Column, title: Column, pos: Column) -> Column:

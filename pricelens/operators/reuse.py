@@ -8,7 +8,7 @@ time passed in by the caller, so runs are reproducible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -58,6 +58,35 @@ def reuse_results(lookups: DataFrame, store: DataFrame, as_of: Column, key: str
     return j.withColumn("hit", F.coalesce(age < rules.CACHE_TTL_SECONDS, F.lit(False)))
 
 
+def reuse_asof(lookups: DataFrame, store: DataFrame, key: str = "cache_key", at: str = "at",
+               ts: str = "cached_at", tie: str | None = None, slice_seconds: int = 86_400) -> DataFrame:
+    """K2 with each look-up's own time: the newest entry of its key cached at or before ``at``; a
+    hit iff its age is strictly below the TTL. The columns of ``lookups`` and of ``store``, and ``hit``.
+
+    An as-of join: both sides are united, and the last entry is carried forward in time. A key's rows are cut into time slices,
+    so that no task sorts a hot key: inside a slice a window carries, and what a slice starts
+    with is the last entry of the slices before it (an aggregate, one row a slice). Look-ups without a key or a time find nothing.
+    """
+    cols, own = [c for c in store.columns if c != key], [c for c in lookups.columns if c != key]
+    order = [F.col(ts), *([F.col(tie)] if tie else [])]
+    s = store.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        key, F.col(ts).cast("timestamp").alias("_t"), F.lit(0).alias("_kind"), F.struct(*order).alias("_o"), F.struct(*cols).alias("_v"))
+    none = {c: F.lit(None).cast(s.schema[c].dataType) for c in ("_o", "_v")}
+    lk = lookups.select(key, F.col(at).cast("timestamp").alias("_t"), F.lit(1).alias("_kind"), none["_o"].alias("_o"), none["_v"].alias("_v"), F.struct(*own).alias("_l"))
+    cut = F.floor(F.unix_micros("_t") / F.lit(slice_seconds * 1_000_000)).alias("_s")
+    u = s.withColumn("_l", F.lit(None).cast(lk.schema["_l"].dataType)).unionByName(lk).select("*", cut)
+    inside = Window.partitionBy(key, "_s").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    found = u.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_kind = 1")
+    ends = u.groupBy(key, "_s").agg(F.max_by("_v", F.when(F.col("_kind") == 0, F.col("_o"))).alias("_e"))
+    earlier = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(F.col(key).alias("_k"), F.col("_s").alias("_b"), F.last("_e", ignorenulls=True).over(earlier).alias("_e"))
+    j = found.join(starts, F.col(key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_b")))
+    v = F.coalesce("_v", "_e")
+    age = _age_seconds(F.col("_t"), v[ts])
+    return j.select(key, *[F.col("_l")[c].alias(c) for c in own], *[v[c].alias(c) for c in cols if c not in own],
+                    F.coalesce(age < rules.CACHE_TTL_SECONDS, F.lit(False)).alias("hit"))
+
+
 def evict(store: DataFrame, as_of: Column, ts: str = "cached_at") -> DataFrame:
     """K4: drop entries older than the TTL (strictly), whatever the size of the store; an entry
     aged exactly the TTL is neither served nor evicted."""

@@ -64,14 +64,20 @@ def last_checked(spark, sf_dir):
 _SEED_SQL = fx._values_sql(rules.SEED_SOURCES, ["source_id", "name", "url", "logo", "active"])
 
 
-@query("seed_sources", sql=f"""SELECT source_id, name, url, CAST(NULL AS VARCHAR) AS logo, TRUE AS active
-  FROM catalog_sources
-  UNION ALL SELECT * FROM ({_SEED_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM catalog_sources)""", fixtures=FXC)
+_SOURCE_TABLES = {"all": "TRUE", "without offers": "source_id NOT IN (SELECT source_id FROM price_feed)"}
+
+
+@query("seed_sources", sql=" UNION ALL ".join(f"""
+  SELECT '{n}' AS catalogue, source_id, name, url, CAST(NULL AS VARCHAR) AS logo, TRUE AS active FROM catalog_sources WHERE {w}
+  UNION ALL SELECT '{n}', s.* FROM ({_SEED_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM catalog_sources WHERE {w})""" for n, w in _SOURCE_TABLES.items()), fixtures=FXC)
 def seed_sources(spark, sf_dir):
-    """The source table, seeded with the defaults only if it was empty."""
+    """A source table, seeded with the defaults only if it was empty: all sources, and those
+    that no offer names (none as long as every supplier delivers, so this table is seeded)."""
     cur = fx.catalog_sources(spark, sf_dir).select(
         "source_id", "name", "url", F.lit(None).cast("string").alias("logo"), F.lit(True).alias("active"))
-    return K.init_sources(cur, spark)
+    idle = cur.join(fx.price_feed(spark, sf_dir).select("source_id").distinct(), "source_id", "left_anti")
+    return K.init_sources(cur, spark).withColumn("catalogue", F.lit("all")).unionByName(
+        K.init_sources(idle, spark).withColumn("catalogue", F.lit("without offers")))
 
 
 def _batch_products(spark, sf_dir):
@@ -134,7 +140,7 @@ def upsert_prices(spark, sf_dir):
   cur AS ({_pe_sql(f"last_updated < TIMESTAMP '{SPLIT}'")}),
   b AS (SELECT f.product_id, s.source_id, f.price, f.url, f.last_updated, {', '.join('f.' + c for c in L)}
         FROM price_feed f JOIN supplier ON s_suppkey = f.source_id JOIN src s ON s.name = s_name
-        WHERE f.last_updated >= TIMESTAMP '{SPLIT}' AND CAST(f.product_id AS BIGINT) % 10 = 0)
+        WHERE f.last_updated >= TIMESTAMP '{SPLIT}' AND f.product_id IN (SELECT product_id FROM products))
   SELECT product_id, source_id, price, url, last_updated FROM (
     SELECT *, row_number() OVER (PARTITION BY product_id, source_id ORDER BY bb DESC, last_updated DESC, {LD}) AS rn
     FROM (SELECT product_id, source_id, price, url, last_updated, 0 AS bb,
@@ -149,7 +155,7 @@ def refresh_prices(spark, sf_dir):
     sup = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source"))
     offers = (fx.price_feed(spark, sf_dir).filter(F.col("last_updated") >= F.lit(SPLIT).cast("timestamp"))
               .join(sup, "source_id").drop("source_id"))
-    ids = fx.products(spark, sf_dir).select("product_id").filter(F.col("product_id").cast("long") % 10 == 0)
+    ids = fx.products(spark, sf_dir).select("product_id")
     return K.refresh_prices(cur, sources, offers, ids, ["last_updated", *L])
 
 

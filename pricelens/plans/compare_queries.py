@@ -135,8 +135,8 @@ def search_urls(spark, sf_dir):
     return C.search_urls(fx.searches(spark, sf_dir))
 
 
-@query("site_quota", sql=f"""SELECT query_id, CAST({len(rules.SITES)} AS BIGINT) AS n_sites,
-  CAST(greatest(1, {TOP} // {len(rules.SITES)}) AS BIGINT) AS quota FROM searches""", fixtures=["searches"])
+@query("site_quota", sql=f"""SELECT query_id, (SELECT count(*) FROM sites) AS n_sites,
+  CAST(greatest(1, {TOP} // (SELECT count(*) FROM sites)) AS BIGINT) AS quota FROM searches""", fixtures=["searches", "sites"])
 def site_quota(spark, sf_dir):
     """Sites searched and the per-site share of the result list."""
-    return C.with_site_quota(fx.searches(spark, sf_dir))
+    return C.with_site_quota(fx.searches(spark, sf_dir), fx.sites(spark))

@@ -67,14 +67,14 @@ def format_prices(spark, sf_dir):
         PR.format_price_number(PR.amount_of(t), PR.currency_of(t)).alias("number_display"))
 
 
-@query("convert_currency", sql=f"""SELECT id, {S.amount_of('text')} AS amount, {S.currency_of('text')} AS currency,
-  CASE WHEN {S.currency_of('text')} = 'USD' THEN {S.amount_of('text')} * {rules.USD_TO_GHS}
-       ELSE {S.amount_of('text')} END AS amount_ghs FROM listing_text""", fixtures=["listing_text"])
+@query("convert_currency", sql=f"""SELECT id, amount, currency, amount * coalesce(rate, 1.0::DOUBLE) AS amount_ghs FROM (
+  SELECT id, {S.amount_of('text')} AS amount, {S.currency_of('text')} AS currency FROM listing_text) t
+  LEFT JOIN rates USING (currency)""", fixtures=["listing_text", "rates"])
 def convert_currency(spark, sf_dir):
-    """P5: USD amounts converted to GHS at the fixed rate; others unchanged."""
+    """P5: amounts converted to GHS at the rate of their currency; those without a rate unchanged."""
     t = F.col("text")
     df = fx.listing_text(spark, sf_dir).select("id", PR.amount_of(t).alias("amount"), PR.currency_of(t).alias("currency"))
-    return X.convert_currency(df)
+    return X.convert_currency(df, fx.rates(spark)).select("id", "amount", "currency", "amount_ghs")
 
 
 @query("site_titles", sql=f"""SELECT id, site_key, {_per_site_sql(lambda k: S.site_title('text', k))} AS title
@@ -166,19 +166,27 @@ def valid_titles(spark, sf_dir):
         TI.valid_title(F.regexp_extract(t, r"^\S+", 0)).alias("valid_first_word"))
 
 
-_ENT_LIST = (f"list_concat(list_transform({S.title_entities('text')}, lambda w: {{'entity_group': 'TITLE', "
-             f"'word': w, 'score': {rules.ENTITY_TITLE_SCORE}::DOUBLE}}), list_transform({S.price_entities('text')}, "
-             f"lambda w: {{'entity_group': 'PRICE', 'word': w, 'score': {rules.ENTITY_PRICE_SCORE}::DOUBLE}}))")
+def _entity_sql(group: str, score: float, pattern: str, flags: str) -> str:
+    """Matches of a pattern with their spans: the text is cut at marks set around each match."""
+    parts = f"string_split(regexp_replace(text, {S.re_(pattern, flags)}, chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+    before = "CAST(coalesce(list_sum(list_transform(ps[1:k], lambda p: length(replace(p, chr(2), '')))), 0) AS INTEGER)"
+    return (f"(SELECT coalesce(list(struct_pack(entity_group := '{group}', word := {S.strip('ws[k]')}, score := {score}::DOUBLE, start := {before}, "
+            f"\"end\" := {before} + CAST(strpos(ps[k + 1], chr(2)) - 1 AS INTEGER)) ORDER BY k), []) FROM (SELECT unnest(range(1, len(ws) + 1)) AS k, ws, ps FROM ("
+            f"SELECT regexp_extract_all(text, {S.re_(pattern, flags)}, 1) AS ws, {parts} AS ps)))")
 
 
-@query("entities", sql=f"""SELECT id, e.entity_group, CAST(i - 1 AS INTEGER) AS ordinal, e.word, e.score FROM (
+_ENT_LIST = "list_concat(" + ", ".join([*(_entity_sql("TITLE", rules.ENTITY_TITLE_SCORE, p[5:], "im") for p in rules.ENTITY_TITLE_PATTERNS),
+                                        *(_entity_sql("PRICE", rules.ENTITY_PRICE_SCORE, p[4:], "i") for p in rules.ENTITY_PRICE_PATTERNS)]) + ")"
+
+
+@query("entities", sql=f"""SELECT id, e.entity_group, CAST(i - 1 AS INTEGER) AS ordinal, e.word, e.score, e.start, e.end FROM (
   SELECT id, unnest(L) AS e, generate_subscripts(L, 1) AS i FROM (SELECT id, {_ENT_LIST} AS L FROM listing_text) a) b""",
        fixtures=["listing_text"])
 def entities(spark, sf_dir):
-    """Rule-based TITLE / PRICE entities, one row per entity."""
+    """Rule-based TITLE / PRICE entities with their offsets, one row per entity."""
     lt = fx.listing_text(spark, sf_dir)
     return lt.select("id", F.explode(EN.entities(F.col("text"))).alias("e")).select(
-        "id", "e.entity_group", F.col("e.ordinal").alias("ordinal"), "e.word", "e.score")
+        "id", "e.entity_group", F.col("e.ordinal").alias("ordinal"), "e.word", "e.score", "e.start", "e.end")
 
 
 _EO = S.entity_offer("text")

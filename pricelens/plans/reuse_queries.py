@@ -50,6 +50,19 @@ def reuse_results(spark, sf_dir):
     return r.select("cache_key", "cached_at", "payload", "hit")
 
 
+@query("reuse_asof", sql=f"""WITH store AS (SELECT cache_key, cached_at, max(event_id) AS stored_id, arg_max(payload, event_id) AS payload FROM result_store GROUP BY ALL),
+  lookups AS (SELECT cache_key, event_id AS lookup_id, cached_at + to_seconds(900 * (event_id % 11) - 4000) AS looked_at FROM result_store)
+  SELECT l.cache_key, lookup_id, looked_at, s.cached_at, s.payload, coalesce(s.stored_id, -1) AS stored_id, coalesce((epoch_us(looked_at) - epoch_us(s.cached_at)) / 1000000.0 < {TTL}, FALSE) AS hit
+  FROM lookups l ASOF LEFT JOIN store s ON l.cache_key = s.cache_key AND l.looked_at >= s.cached_at""", fixtures=["result_store"])
+def reuse_asof(spark, sf_dir):
+    """K2: look-ups at times of their own (some before, some after the events they come from) against the whole result store."""
+    store = fx.result_store(spark, sf_dir)
+    at = F.timestamp_micros(F.unix_micros(F.col("cached_at").cast("timestamp")) + (900 * (F.col("event_id") % 11) - 4000) * 1_000_000)
+    lookups = store.select("cache_key", F.col("event_id").alias("lookup_id"), at.alias("looked_at"))
+    found = R.reuse_asof(lookups, store.withColumnRenamed("event_id", "stored_id"), at="looked_at", tie="stored_id")
+    return found.withColumn("stored_id", F.coalesce("stored_id", F.lit(-1).cast("long")))
+
+
 @query("latest_per_key", sql=f"SELECT cache_key, cached_at, payload FROM ({LATEST_SQL.format(where='')}) x",
        fixtures=["result_store"])
 def latest_per_key(spark, sf_dir):

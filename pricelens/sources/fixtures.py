@@ -77,6 +77,18 @@ def _values_sql(rows, names) -> str:
 SITES_SQL = _values_sql(rules.SITES, [f.name for f in SITE_SCHEMA.fields])
 
 
+RATE_SCHEMA = T.StructType([T.StructField("currency", T.StringType()), T.StructField("rate", T.DoubleType())])
+RATES = [("USD", rules.USD_TO_GHS), ("GHS", 1.0)]
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    """Exchange rates to GHS."""
+    return literal_rows(spark, RATES, RATE_SCHEMA)
+
+
+RATES_SQL = "SELECT currency, rate::DOUBLE AS rate FROM (" + _values_sql(RATES, ["currency", "rate"]) + ") r"
+
+
 # ---------------------------------------------------------------- searches
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search per distinct part name, with a mix of filter settings."""
@@ -345,6 +357,7 @@ SELECT lower(trim(event_type || '_' || CAST(user_id AS VARCHAR))) AS cache_key,
 
 FIXTURE_SQL = {
     "sites": SITES_SQL,
+    "rates": RATES_SQL,
     "searches": SEARCHES_SQL,
     "offers": OFFERS_SQL,
     "listing_text": LISTING_TEXT_SQL,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricelens.functions import prices as PR
+from pricelens.functions import rules
 from pricelens.functions import titles as TI
 from pricelens.operators import compare as C
 from pricelens.operators import reuse as R
@@ -64,3 +65,48 @@ def test_filters_apply_after_the_top_20(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Window")  # filter sits above the window limit
+
+
+def test_entity_offsets(spark):
+    import re
+    from pricelens.functions import entities as EN
+    texts = ["Red Widget Brand 3 SMALL $12.50 price: 9", "plain", "", "12$ and 12$ then $12\nBlue bolt, economy size\nnext", "₵5 ₵5₵5 price ₵5", "é🙂 Price: $1,234.00 x\n" * 3,
+             "\x01odd\x02 $5 \x01$6\x02 and 7₵", "2 price 2 $2", "Some long title text here\n$5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", EN.entities(F.col("t")).alias("e")).collect():
+        t, want = texts[r["i"]], []
+        for group, patterns in (("TITLE", rules.ENTITY_TITLE_PATTERNS), ("PRICE", rules.ENTITY_PRICE_PATTERNS)):
+            for p in patterns:
+                want += [(group, m[1].strip(), m.start(), m.end()) for m in re.finditer(p, t)]
+        assert [(e["entity_group"], e["word"], e["start"], e["end"]) for e in r["e"]] == want, t
+
+
+def test_conversion_with_a_table_of_rates(spark):
+    from pricelens.operators import extract as X
+    df = spark.createDataFrame([(1, 10.0, "USD"), (2, 3.0, "EUR"), (3, 5.0, ""), (4, None, "USD"), (5, 1.0, None)], "id int, amount double, currency string")
+    rates = spark.createDataFrame([("USD", 10.85), ("GHS", 1.0)], "currency string, rate double")
+    got = {r.id: r.amount_ghs for r in X.convert_currency(df, rates).collect()}
+    assert got == {1: 108.5, 2: 3.0, 3: 5.0, 4: None, 5: 1.0}
+
+
+def test_as_of_lookups(spark):
+    import random
+    from datetime import datetime, timedelta
+    from pricelens.operators import reuse as R
+    rng = random.Random(2)
+    base = datetime(2024, 1, 1)
+    moment = lambda: base + timedelta(seconds=rng.randint(0, 5 * 86_400), microseconds=rng.choice([0, 1]))
+    store = [(rng.choice(["hot", "hot", "a", "b"]), moment(), float(i), i) for i in range(300)]
+    store += [("hot", store[0][1], 1000.0, 1000), (None, base, 1.0, 1001), ("a", None, 1.0, 1002)]
+    looks = [(rng.choice(["hot", "a", "b", "none"]), rng.choice([moment(), store[rng.randint(0, 299)][1]]), i) for i in range(400)]
+    looks += [(None, base, 400), ("a", None, 401), ("hot", base - timedelta(days=9), 402), ("hot", base + timedelta(days=400), 403), ("hot", base + timedelta(days=400), 403)]
+    s = spark.createDataFrame(store, "cache_key string, cached_at timestamp, payload double, event_id long")
+    lk = spark.createDataFrame(looks, "cache_key string, at timestamp, id long")
+    for seconds in (86_400, 600, 10 ** 9):
+        got = sorted((r.id, r.payload, r.hit) for r in R.reuse_asof(lk, s, tie="event_id", slice_seconds=seconds).collect())
+        want = []
+        for k, at, i in looks:
+            own = [(t, e, p) for kk, t, p, e in store if kk == k and k is not None and t is not None and at is not None and t <= at]
+            best = max(own, default=None)
+            want.append((i, best and best[2], bool(best) and (at - best[0]).total_seconds() < rules.CACHE_TTL_SECONDS))
+        assert got == sorted(want, key=lambda x: (x[0], x[1] or 0)), seconds
