@@ -8,6 +8,8 @@ distributed global rank) and the statistics (one grouping-sets aggregate).
 from __future__ import annotations
 
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,11 +90,47 @@ def align_labels(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_
     return F.slice(F.concat(al, F.array_repeat(ign, max_len)), 1, max_len)
 
 
-def piece_words(tokens: Column, piece_chars: int = 6) -> Column:
-    """Word ids of a sub-word tokenization where each word splits into
-    ceil(len / piece_chars) pieces."""
-    return F.flatten(F.transform(tokens, lambda t, k: F.array_repeat(
-        k, F.greatest(F.lit(1), F.ceil(F.length(t) / piece_chars)).cast("int"))))
+VOCABULARY = 1_000   # pieces of two or more characters
+PIECE_CHARS = 8      # of the longest piece
+
+
+def _substrings(word: str, longest: int) -> Column:
+    """ARRAY<STRUCT<i, piece>>: every run of 2 to ``longest`` characters, with its start (from 1)."""
+    w = F.col(word)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.filter(F.transform(
+        F.sequence(F.lit(2), F.lit(longest)), lambda m: F.struct(i.alias("i"), F.substring(w, i, m).alias("piece"), m.alias("m"))),
+        lambda x: i + x["m"] <= F.length(w) + 1)))
+
+
+def vocabulary(words: DataFrame, size: int = VOCABULARY, longest: int = PIECE_CHARS) -> DataFrame:
+    """``piece``: the ``size`` runs of characters that save most (occurrences in ``words(word, n)`` times
+    characters beyond the first). Single characters are pieces without being listed."""
+    s = words.select("n", F.explode(_substrings("word", longest)).alias("x")).groupBy(F.col("x.piece").alias("piece")).agg(F.sum("n").alias("n"))
+    return s.orderBy((F.col("n") * (F.length("piece") - 1)).desc(), "piece").limit(size).select("piece")
+
+
+def word_pieces(words: DataFrame, vocab: DataFrame, longest: int = PIECE_CHARS) -> DataFrame:
+    """``word, pieces``: each distinct word cut longest match first. Runs of characters meet the vocabulary in a
+    join; the longest match at each place is an aggregate, and the cut a fold over the places."""
+    at = (words.select("word", F.explode(_substrings("word", longest)).alias("x")).select("word", "x.*").join(vocab, "piece")
+          .groupBy("word", "i").agg(F.max("m").alias("m")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("at")))
+    w = F.col("word")
+    size = lambda i: F.coalesce(F.try_element_at("at", i), F.lit(1))
+    fold = F.aggregate(F.sequence(F.lit(1), F.length(w)), F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out")), lambda acc, i: F.when(
+        i == acc["next"], F.struct((i + size(i)).alias("next"), F.array_append(acc["out"], F.substring(w, i, size(i))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    return words.join(at, "word", "left").select("word", F.when(w == "", F.array(F.lit(""))).otherwise(fold).alias("pieces"))
+
+
+def with_word_ids(examples: DataFrame, pieces: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``key``, ``word_ids`` (the word of each piece, in order) and ``labels`` of ``examples(key, tokens, labels)``;
+    rows that share a key stay rows of their own."""
+    examples = examples.withColumn("_row", F.monotonically_increasing_id())
+    n = pieces.select(F.col("word").alias("token"), F.size("pieces").alias("n"))
+    t = examples.select(*key, F.posexplode_outer(F.arrays_zip(F.col("tokens").alias("token"), F.col("labels").alias("label"))).alias("k", "x"), "_row")
+    t = t.select(*key, "_row", "k", "x.token", "x.label").join(n, "token", "left")
+    row = F.when(F.col("k").isNotNull(), F.struct("k", "n", "label"))
+    g = t.groupBy("_row", *key).agg(F.sort_array(F.collect_list(row)).alias("r"))  # one example's words
+    return g.select(*key, F.flatten(F.transform("r", lambda x: F.array_repeat(x["k"], x["n"]))).alias("word_ids"), F.transform("r", lambda x: x["label"]).alias("labels"))
 
 
 def aligned_parts(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_LEN) -> Column:

@@ -119,8 +119,18 @@ def bio_valid(spark, sf_dir):
                                                                         F.size("tokens").alias("n_tokens"))
 
 
-_PIECES = ("flatten(list_transform(range(len(tokens)), lambda k: list_transform(range(CAST(greatest(1, ceil(length(tokens[k + 1]) / 6)) "
-           "AS BIGINT)), lambda z: CAST(k AS INTEGER))))")
+# Words, their runs of characters, the vocabulary, and each word cut longest match first.
+_PIECE_CTES = f"""bio AS MATERIALIZED (SELECT *, row_number() OVER () AS row FROM ({BIO_SQL}) b0),
+  w AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM bio) t GROUP BY word),
+  places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+  subs AS (SELECT word, n, i, m, substr(word, i, m) AS piece FROM (SELECT word, n, i, unnest(range(2, {TR.PIECE_CHARS} + 1)) AS m FROM places) p WHERE i + m <= length(word) + 1),
+  voc AS (SELECT piece FROM (SELECT piece, sum(n) AS n FROM subs GROUP BY piece) s ORDER BY n * (length(piece) - 1) DESC, piece LIMIT {TR.VOCABULARY}),
+  best AS (SELECT word, i, max(m) AS m FROM subs JOIN voc USING (piece) GROUP BY word, i),
+  steps AS (SELECT word, list(coalesce(m, 1) ORDER BY i) AS step FROM places LEFT JOIN best USING (word, i) GROUP BY word),
+  pieces AS (SELECT word, list_reduce(range(1, length(word) + 1), lambda acc, i: CASE WHEN i = acc.nxt THEN struct_pack(nxt := acc.nxt + step[i],
+      out := list_append(acc.out, substr(word, i, step[i]))) ELSE acc END, struct_pack(nxt := 1::BIGINT, out := []::VARCHAR[])).out AS pieces FROM steps),
+  ids AS (SELECT row, query_id, site_key, l_orderkey, l_linenumber, labels, flatten(list(list_transform(range(len(pieces)), lambda z: CAST(k - 1 AS INTEGER)) ORDER BY k)) AS wid
+          FROM (SELECT *, unnest(tokens) AS word, unnest(range(1, len(tokens) + 1)) AS k FROM bio) t JOIN pieces USING (word) GROUP BY ALL)"""
 _ROOM = rules.MAX_SEQ_LEN - 2
 _ALIGNED = (f"list_transform(wid, lambda w, i: CASE WHEN i = 1 OR wid[i - 1] <> w THEN coalesce(labels[w + 1], 0) "
             f"ELSE {rules.IGNORE_LABEL} END)")
@@ -128,20 +138,34 @@ _PART = (f"list_concat([{rules.IGNORE_LABEL}], al[part * {_ROOM} + 1:(part + 1)
          f"list_transform(range({rules.MAX_SEQ_LEN}), lambda z: {rules.IGNORE_LABEL}))[1:{rules.MAX_SEQ_LEN}]")
 
 
-@query("align_labels", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(part AS INTEGER) AS part,
+_KEY = ["query_id", "site_key", "l_orderkey", "l_linenumber"]
+
+
+def _pieces(spark, sf_dir):
+    words = bio_df(spark, sf_dir).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return TR.word_pieces(words.select("word"), TR.vocabulary(words))
+
+
+@query("word_pieces", sql=f"WITH {_PIECE_CTES} SELECT word, array_to_string(pieces, ' ') AS pieces, CAST(len(pieces) AS INTEGER) AS n_pieces FROM pieces", fixtures=FXT)
+def word_pieces(spark, sf_dir):
+    """T4: every word of the training texts cut into pieces of a vocabulary counted from them, longest match first."""
+    return _pieces(spark, sf_dir).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").alias("n_pieces"))
+
+
+@query("align_labels", sql=f"""WITH {_PIECE_CTES}
+  SELECT query_id, site_key, l_orderkey, l_linenumber, CAST(part AS INTEGER) AS part,
   CAST(len(ap) AS INTEGER) AS n_positions,
   CAST(len(list_filter(ap, lambda x: x <> {rules.IGNORE_LABEL})) AS INTEGER) AS n_labelled,
   array_to_string(list_transform(ap, lambda x: CAST(x AS VARCHAR)), ',') AS aligned
   FROM (SELECT *, {_PART} AS ap FROM (
     SELECT *, unnest(range(CAST(greatest(1, ceil(len(al) / {_ROOM})) AS BIGINT))) AS part FROM (
-      SELECT *, {_ALIGNED} AS al FROM (SELECT *, {_PIECES} AS wid FROM ({BIO_SQL}) b) w) a) p) q""", fixtures=FXT)
+      SELECT *, {_ALIGNED} AS al FROM ids) a) p) q""", fixtures=FXT)
 def align_labels(spark, sf_dir):
     """T4: labels aligned to sub-word positions (first piece labelled, others -100), in
     sequences of 512."""
-    b = bio_df(spark, sf_dir)
-    parts = TR.aligned_parts(TR.piece_words(F.col("tokens")), F.col("labels"))
-    b = b.select("query_id", "site_key", "l_orderkey", "l_linenumber", F.posexplode(parts).alias("part", "al"))
-    return b.select("query_id", "site_key", "l_orderkey", "l_linenumber", "part", F.size("al").alias("n_positions"),
+    b = TR.with_word_ids(bio_df(spark, sf_dir).select(*_KEY, "tokens", "labels"), _pieces(spark, sf_dir), _KEY)
+    b = b.select(*_KEY, F.posexplode(TR.aligned_parts(F.col("word_ids"), F.col("labels"))).alias("part", "al"))
+    return b.select(*_KEY, "part", F.size("al").alias("n_positions"),
                     F.size(F.filter("al", lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
                     F.array_join(F.transform("al", lambda x: x.cast("string")), ",").alias("aligned"))
 

@@ -80,16 +80,50 @@ def test_align_labels(spark):
     assert list(al) == [-100, 1, -100, 2, 0, -100, -100, -100, -100, -100]
 
 
+def brute_pieces(words, vocab, longest=8):
+    out = {}
+    for w in words:
+        i, p = 0, []
+        while i < len(w):
+            m = next((m for m in range(longest, 1, -1) if i + m <= len(w) and w[i:i + m] in vocab), 1)
+            p.append(w[i:i + m])
+            i += m
+        out[w] = p or [""]
+    return out
+
+
+def test_word_pieces(spark):
+    from collections import Counter
+    rng = random.Random(3)
+    words = ["a", "ab", "", "é🙂é🙂é", "aaaaaaaaaaaa", "$12.50", "https://shop/item/1", "x" * 300] + ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    counts = Counter(words)
+    df = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    for size in (0, 5, 60):
+        total = Counter()
+        for w, n in counts.items():
+            total.update({(w[i:i + m]): 0 for m in range(2, 9) for i in range(len(w) - m + 1)})
+            for m in range(2, 9):
+                for i in range(len(w) - m + 1):
+                    total[w[i:i + m]] += n
+        vocab = [p for p, _ in sorted(total.items(), key=lambda x: (-x[1] * (len(x[0]) - 1), x[0].encode()))[:size]]
+        v = TR.vocabulary(df, size)
+        assert {r.piece for r in v.collect()} == set(vocab)
+        got = {r.word: list(r.pieces) for r in TR.word_pieces(df.select("word"), v).collect()}
+        assert got == brute_pieces(counts, set(vocab)) and all("".join(p) == w for w, p in got.items())
+
+
 def test_long_examples_take_several_sequences(spark):
-    # 1 to 4 pieces a word; 20 positions hold 18 pieces
+    # 20 positions hold 18 pieces
     words = ["x" * n for n in (3, 7, 13, 20, 6, 1)] * 9
     labels = [(7 * i) % 9 for i in range(len(words))]
-    df = spark.createDataFrame([(words, labels), ([], [])], "t array<string>, l array<int>")
-    rows = [r["p"] for r in df.select(TR.aligned_parts(TR.piece_words(F.col("t")), F.col("l"), 20).alias("p")).collect()]
-    flat = [x for w, lab in zip(words, labels) for x in [lab] + [-100] * ((len(w) - 1) // 6)]
-    assert len(rows[0]) == -(-len(flat) // 18) and rows[1] == [[-100] * 20]
-    assert all(len(p) == 20 and p[0] == p[-1] == -100 for p in rows[0])
-    assert [x for p in rows[0] for x in p[1:-1]][:len(flat)] == flat
+    df = spark.createDataFrame([(1, words, labels), (2, [], [])], "id int, tokens array<string>, labels array<int>")
+    pieces = TR.word_pieces(spark.createDataFrame([(w,) for w in set(words)], "word string"), spark.createDataFrame([("xxxxxx",)], "piece string"))
+    ids = TR.with_word_ids(df, pieces, ["id"])
+    rows = {r["id"]: r["p"] for r in ids.select("id", TR.aligned_parts(F.col("word_ids"), F.col("labels"), 20).alias("p")).collect()}
+    flat = [x for w, lab in zip(words, labels) for x in [lab] + [-100] * (len(w) // 6 + len(w) % 6 - 1)]
+    assert len(rows[1]) == -(-len(flat) // 18) and rows[2] == [[-100] * 20]
+    assert all(len(p) == 20 and p[0] == p[-1] == -100 for p in rows[1])
+    assert [x for p in rows[1] for x in p[1:-1]][:len(flat)] == flat
 
 
 def test_exact_split_sizes(spark):
