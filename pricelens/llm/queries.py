@@ -79,7 +79,7 @@ dw AS (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win
 hit AS (SELECT DISTINCT doc_id, s, dw.size, item_id FROM dw JOIN bw USING (size, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY 1),
 own AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
-        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY 1)
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)
