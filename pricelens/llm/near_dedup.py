@@ -10,7 +10,9 @@ distance inside a band obeys the triangle inequality and bounds the whole distan
 below, so each band has its own vantage-point tree:
 
 * the top levels come from a bounded sample and split at the median distance from a
-  vantage point; every fingerprint is a member of one leaf (shard) per band;
+  vantage point; below them, as many levels as the table asks for, vantage points follow from the node's
+  path by a rule (and split at half the band's width), so no tree grows with the table. Every fingerprint is a
+  member of one leaf (shard) per band;
 * as a query it visits each shard whose ball it may overlap: branches with
   ``|d - mu| > radius`` on the far side are pruned by the triangle inequality;
 * a task continues the same search inside its shard and verifies all 64 bits.
@@ -45,7 +47,7 @@ RADII = (1, 1, 0)              # 2 + 2 + 1 = 5 > 4 differing bits
 WIDTHS = (23, 23, 18)          # bits of each band, from the highest
 SAMPLE = 16_384                # fingerprints that the trees' top levels are fitted on
 SHARD = 2_048                  # members aimed at in a shard
-MAX_DEPTH = 12                 # 4096 shards a band at most; larger shards split inside tasks
+SAMPLE_DEPTH = 11              # levels fitted on the sample; deeper ones follow a rule
 MAX_QUERIES = 16_384           # queries of a shard that one task takes
 TILE = 1 << 20                 # comparisons made at once
 
@@ -135,6 +137,29 @@ def route(tree, values: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarr
         todo += [(inside, idx[d - radius <= mu]), (outside, idx[d + radius > mu])]
 
 
+def by_rule(leaf: int, path: int, level: int, mask: np.uint64) -> np.uint64:
+    """The vantage point of a node below the fitted levels, from its place in the tree alone."""
+    x = ((leaf << 40) ^ (path << 8) ^ level ^ int(mask)) & (1 << 64) - 1
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):  # mixed as a counter-based generator does
+        x = (x ^ x >> 30) * k & (1 << 64) - 1
+    return np.uint64(x ^ x >> 31) & mask
+
+
+def descend(leaf: int, values: np.ndarray, idx: np.ndarray, radius: int, mask: np.uint64, levels: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(shard, indices)`` below a fitted leaf, ``levels`` deeper; the same pruning as ``route``."""
+    mu = int(mask).bit_count() // 2 - (int(mask).bit_count() % 2 == 0)  # about half of all distances are that or less
+    todo = [(0, 0, idx)]
+    while todo:
+        level, path, idx = todo.pop()
+        if not len(idx):
+            continue
+        if level == levels:
+            yield leaf << levels | path, idx
+            continue
+        d = hamming(values[idx], by_rule(leaf, path, level, mask))
+        todo += [(level + 1, path << 1, idx[d - radius <= mu]), (level + 1, path << 1 | 1, idx[d + radius > mu])]
+
+
 def links_between(q: np.ndarray, m: np.ndarray, mask: np.uint64, radius: int, max_distance: int,
                   rng: np.random.Generator, depth: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Arrays of linked ``(query, member)`` values with query > member; the tree goes on
@@ -180,29 +205,25 @@ def links(spark: SparkSession, prints: DataFrame, max_distance: int = 4, radii=R
     if sum(r + 1 for r in radii) <= max_distance or sum(widths) != 64:
         raise ValueError("the bands' radii do not cover the distance")
     n = prints.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
+    depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
+    fitted = min(depth, SAMPLE_DEPTH)
     # The trees only need to balance: a bounded sample by hash order is enough.
     share = min(1.0, 2 * SAMPLE / max(n, 1))
     sample = (prints.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
               .orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64))
     masks = band_masks(widths)
-    trees = [build_tree(np.unique(sample & k), depth, i) for i, k in enumerate(masks)]
+    trees = [build_tree(np.unique(sample & k), fitted, i) for i, k in enumerate(masks)]
 
-    def routed(chunks: dict[int, int]):
+    def shards(v: np.ndarray, band: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        k, deeper = masks[band], min(depth - fitted, widths[band])
+        for leaf, idx in route(trees[band], v & k, radius):
+            yield from descend(leaf, v & k, idx, radius, k, deeper)
+
+    def routed(member: bool) -> DataFrame:
         def rows(v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for band, (tree, k, r) in enumerate(zip(trees, masks, radii)):
-                for member in (0, 1):
-                    for leaf, idx in route(tree, v & k, 0 if member else r):
-                        cell = band << 20 | leaf
-                        parts = chunks.get(cell, 1)
-                        if member:  # members go to each chunk of their shard's queries
-                            chunk, f = np.repeat(np.arange(parts), len(idx)), np.tile(v[idx], parts)
-                        else:
-                            chunk, f = (v[idx] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts, v[idx]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(f), cell, np.int32)), pa.array(chunk.astype(np.int32)),
-                             pa.array(np.full(len(f), member, np.int8)), pa.array(f.view(np.int64))],
-                            names=["cell", "chunk", "member", "fp"])
+            for band, r in enumerate(radii):
+                for shard, idx in shards(v, band, 0 if member else r):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), band << 56 | shard, np.int64)), pa.array(v[idx].view(np.int64))], names=["cell", "fp"])
 
         def run(batches):
             held, size = [], 0
@@ -214,22 +235,30 @@ def links(spark: SparkSession, prints: DataFrame, max_distance: int = 4, radii=R
                     held, size = [], 0
             if size:
                 yield from rows(np.concatenate(held))
-        return prints.select("fp").mapInArrow(run, "cell int, chunk int, member byte, fp bigint")
-
-    load = routed({}).where("member = 0").groupBy("cell").count().where(F.col("count") > MAX_QUERIES).collect()
-    chunks = {r["cell"]: math.ceil(r["count"] / MAX_QUERIES) for r in load}  # at most one entry a shard
+        return prints.select("fp").mapInArrow(run, "cell bigint, fp bigint")
+
+    # Shards with many queries are cut into chunks; members go to each chunk of their shard.
+    cut = written(spark, routed(False).groupBy("cell").count().where(F.col("count") > MAX_QUERIES)
+                  .select("cell", F.ceil(F.col("count") / MAX_QUERIES).cast("int").alias("parts")), "hot-shards")
+    hot = not cut.isEmpty()
+    queries, members = routed(False), routed(True)
+    if hot:
+        parts_of = F.coalesce("parts", F.lit(1))
+        queries = queries.join(cut, "cell", "left").select("cell", F.pmod(F.xxhash64("fp"), parts_of).cast("int").alias("chunk"), F.lit(0).cast("byte").alias("member"), "fp")
+        members = members.join(cut, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), parts_of - 1)).alias("chunk"), F.lit(1).cast("byte").alias("member"), "fp")
+    else:
+        queries, members = (x.select("cell", F.lit(0).alias("chunk"), F.lit(m).cast("byte").alias("member"), "fp") for x, m in ((queries, 0), (members, 1)))
 
     def search(batches):
         key, held = None, ([], [])
 
         def found():
             q, m = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in held)
-            a, b = forest(q, m, masks[key[0] >> 20], radii[key[0] >> 20], max_distance)
+            a, b = forest(q, m, masks[key[0] >> 56], radii[key[0] >> 56], max_distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
         for batch in batches:
             cell, chunk, member, fp = (c.to_numpy() for c in batch.columns)
-            code = (cell.astype(np.int64) << 32 | chunk.astype(np.int64) << 1) | member
-            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (chunk[1:] != chunk[:-1]) | (member[1:] != member[:-1])) + 1).tolist(), len(cell)]
             for s, e in zip(cuts, cuts[1:]):
                 if s == e:
                     continue
@@ -243,7 +272,7 @@ def links(spark: SparkSession, prints: DataFrame, max_distance: int = 4, radii=R
             yield found()
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = routed(chunks).repartition(parts, "cell", "chunk").sortWithinPartitions("cell", "chunk", "member")
+    dealt = queries.unionByName(members).repartition(parts, "cell", "chunk").sortWithinPartitions("cell", "chunk", "member")
     return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
 
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from pricelens.llm import near_dedup as N
@@ -72,7 +73,9 @@ def clusters(seed, n=1500):
     return np.unique(np.array(out, np.uint64))
 
 
-def test_links_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("fitted", [11, 2, 0])
+def test_links_equal_brute_force(spark, monkeypatch, fitted):
+    monkeypatch.setattr(N, "SAMPLE_DEPTH", fitted)  # the other levels follow the rule
     monkeypatch.setattr(N, "SHARD", 64)
     monkeypatch.setattr(N, "MAX_QUERIES", 100)
     monkeypatch.setattr(N, "TILE", 1 << 10)
@@ -91,6 +94,31 @@ def test_links_equal_brute_force(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_levels_by_rule_halve_the_shards():
+    """Whatever the depth: a member has one shard, a query of the radius meets all members within it, and shards
+    shrink with the levels, so that members and visits follow the table."""
+    rng = np.random.default_rng(3)
+    v = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    for mask, radius in zip(N.band_masks(), N.RADII):
+        largest = []
+        for levels in (0, 3, 6, 9):
+            home, visits = np.full(len(v), -1), [set() for _ in range(300)]
+            for shard, idx in N.descend(5, v & mask, np.arange(len(v)), 0, mask, levels):
+                assert (home[idx] == -1).all() and shard >> levels == 5
+                home[idx] = shard
+            assert (home >= 0).all()
+            near = v[:300].copy()
+            for i in range(radius):  # change a bit of the band
+                bits = np.flatnonzero(np.array([int(mask) >> b & 1 for b in range(64)]))
+                near ^= np.uint64(1) << rng.choice(bits, 300).astype(np.uint64)
+            for shard, idx in N.descend(5, near & mask, np.arange(300), radius, mask, levels):
+                for i in idx.tolist():
+                    visits[i].add(shard)
+            assert all(home[i] in visits[i] for i in range(300))
+            largest.append(int(np.bincount(home).max()))
+        assert largest[0] == len(v) and largest[-1] < len(v) / 30
+
+
 def test_keep_first(spark):
     rows = [(5, "a b c d e f g h i j"), (3, "A b c d e f g h i j"), (9, "something else entirely here now"), (None, "a b c d e f g h i j")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
