@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bit_filter, id_text, in_filter, map_texts, written
@@ -136,7 +136,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def decisions(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row."""
-    d = written(spark, digests(spark, docs), "digests")
+    d = written(spark, digests(spark, docs).withColumn("row", F.monotonically_increasing_id()), "digests")
     # Byte verification: the texts themselves are the grouping key.
     same = d.where("norm IS NOT NULL").groupBy("text_sha256", "norm").agg(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -147,11 +147,11 @@ def decisions(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.when(F.count("*") == 1, F.min("keep_id")).otherwise(
             F.raise_error(F.lit("different texts share a SHA-256 digest")).cast("bigint")).alias("keep_id"),
         F.min("group_size").alias("group_size")), "groups")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id"))
-    routed = d.where("norm IS NOT NULL").select("doc_id", "text_sha256", copy.alias("copy"))
-    routed = routed.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    # Rows may share an id and a text: the first in the written table stays.
+    rows = d.where("norm IS NOT NULL").select("doc_id", "text_sha256", "row")
+    first = rows.join(groups, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("row").alias("first"))
+    keepers = written(spark, groups.join(first, "text_sha256"), "keepers")
+    routed = rows.join(keepers, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("first")).alias("kept"), "text_sha256")
     unique = d.where("norm IS NULL").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")

@@ -190,16 +190,18 @@ def fit(spark: SparkSession, docs: DataFrame) -> np.ndarray | None:
 
     def featured(batches):
         for b in batches:
-            f = [shape_features(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            y = [label[bytes(v + 1 for v in votes(t))] for t in b.column(0).cast(pa.binary()).to_pylist()]
+            f = [shape_features(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            y = [label[bytes(v + 1 for v in votes(t))] for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.float64()), pa.array([list(x) for x in f], pa.list_(pa.int32())), pa.array([list(x.values()) for x in f], pa.list_(pa.float64()))],
-                names=["y", "slots", "shares"])
-    h = F.xxhash64("doc_id", "text")
+                [b.column(0), pa.array(y, pa.float64()), pa.array([list(x) for x in f], pa.list_(pa.int32())), pa.array([list(x.values()) for x in f], pa.list_(pa.float64()))],
+                names=["h", "y", "slots", "shares"])
     share = min(1.0, 2 * SAMPLE / total)
-    chosen = (id_text(docs).withColumn("h", h).where(F.shiftrightunsigned("h", 44) <= int(share * (1 << 20)))
-              .orderBy("h").limit(SAMPLE).select("text"))
-    got = chosen.mapInArrow(featured, "y double, slots array<int>, shares array<double>").toArrow()  # bounded by SAMPLE
+    low = id_text(docs).select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.shiftrightunsigned("h", 44) <= int(share * (1 << 20)))
+    # The sample is the rows of the SAMPLE smallest hashes (repeated rows count once): only hashes are
+    # sorted, and the features of what is chosen are computed where the rows are.
+    last = low.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    got = (low.where(F.col("h") <= last).mapInArrow(featured, "h bigint, y double, slots array<int>, shares array<double>")
+           .groupBy("h").agg(F.first("y").alias("y"), F.first("slots").alias("slots"), F.first("shares").alias("shares")).toArrow().sort_by("h"))  # bounded by SAMPLE
     rows = [dict(zip(s, v)) for s, v in zip(got["slots"].to_pylist(), got["shares"].to_pylist())]
     return train(rows, got["y"].to_numpy())
 
