@@ -6,14 +6,12 @@ and read again as the next stage's ``docs``. All but the last return the columns
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pricelens.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, quality
 from pricelens.llm.registry import query
-from pricelens.session import checkpoint_dir, prepare
+from pricelens.session import prepare, scratch_path
 from pricelens.sources.tables import load
 
 
@@ -59,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after another, each written to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{i}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"pipeline-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.regex import let
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 
 def convert_currency(df: DataFrame, rates: DataFrame, amount: str = "amount", currency: str = "currency", out: str = "amount_ghs") -> DataFrame:
@@ -168,7 +166,7 @@ def split_errors(df: DataFrame, status: str = "status", path: str | None = None)
     """(accepted rows, rejected rows, counts): one pass writes both kinds, each to its own folder of
     ``path`` (in the shared folder by default), and counts them on the way. A row is rejected if its
     ``status`` is anything but 'ok'."""
-    path = path or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/checked-{uuid.uuid4().hex}"
+    path = path or scratch_path(df.sparkSession, "checked")
     seen = Observation()
     bad = F.col(status) != "ok"
     (df.observe(seen, F.count(F.when(~bad, 1)).alias("accepted"), F.count(F.when(bad, 1)).alias("rejected"))

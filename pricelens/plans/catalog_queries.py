@@ -166,9 +166,7 @@ def refresh_prices(spark, sf_dir):
 def seed_products(spark, sf_dir):
     """Seed products written as JSON arrays (at most 100 products per array, one
     array per line) and scanned back with the explicit seed schema."""
-    import os
-    import uuid
-    from ..session import checkpoint_dir
+    from ..session import scratch_path
     from ..sources import readers
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     prod = F.struct(fx.offer_title(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("title"),
@@ -177,6 +175,6 @@ def seed_products(spark, sf_dir):
                              F.lit(".jpg")).alias("image_url"),
                     F.concat(F.lit("https://shop.example.com/item/"), F.col("p_partkey").cast("string")).alias("product_url"))
     arrays = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("grp")).agg(F.to_json(F.collect_list(prod)).alias("value"))
-    path = os.path.join(checkpoint_dir(spark), "seed-products", uuid.uuid4().hex)
+    path = scratch_path(spark, "seed-products")
     arrays.select("value").write.text(path)
     return readers.read_seed_products(spark, path, multiline=False)

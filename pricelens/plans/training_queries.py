@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -12,7 +9,7 @@ from ..functions import text as TX
 from ..functions.prices import number_text
 from ..operators import ranking as RK
 from ..operators import training as TR
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -322,7 +319,7 @@ def _loaded(df):
 def training_roundtrip(spark, sf_dir):
     """S4 + S3: examples with their product data written as JSON Lines (partitioned by source)
     into the shared checkpoint folder, then loaded back (objects come back in key order)."""
-    path = os.path.join(checkpoint_dir(spark), "training", uuid.uuid4().hex)
+    path = scratch_path(spark, "training")
     TR.write_training_set(_stored(spark, sf_dir), path)
     return _loaded(TR.read_training_set(spark, path))
 
@@ -332,6 +329,6 @@ def training_load(spark, sf_dir):
     """S3 (document layout): examples stored as ``{"training_data": [...], "metadata": ...}``
     documents, as many as their bytes ask for, loaded back by byte ranges; the first place looked
     at has none, so the fallback is read."""
-    path = os.path.join(checkpoint_dir(spark), "training-docs", uuid.uuid4().hex)
+    path = scratch_path(spark, "training-docs")
     TR.write_training_documents(_stored(spark, sf_dir), path)
     return _loaded(TR.read_training_set(spark, f"{path}-none", layout="document", fallback=path))

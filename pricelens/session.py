@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -104,3 +106,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="pricelens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder for a table that a job writes and reads again. It is
+    removed when the driver's Python ends, or by ``drop_scratch``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+@atexit.register
+def drop_scratch() -> None:
+    """Remove the scratch tables of this process; results not yet read from them are lost."""
+    from pyarrow import fs as pafs
+    while _SCRATCH:
+        path = _SCRATCH.pop()
+        try:
+            fs, name = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+            if fs.get_file_info(name).type == pafs.FileType.Directory:
+                fs.delete_dir(name)
+        except Exception:  # noqa: BLE001  a store that is gone with the session: its owner clears the folder
+            pass

@@ -111,7 +111,5 @@ def refresh_stream(stream: DataFrame, catalogue: Catalogue, checkpoint: str, col
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    import os
-    import uuid
-    from ..session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "streams", name, uuid.uuid4().hex)
+    from ..session import scratch_path
+    return scratch_path(spark, f"stream-{name}")
