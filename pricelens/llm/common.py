@@ -7,7 +7,6 @@ ignores every other column, whatever its name. A NULL text counts as empty.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 # Bits of the largest bit filter that is broadcast: 2**27 bits are 16 MB, whatever the input.
 MAX_FILTER_BITS = 27
@@ -29,8 +28,8 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: lineage ends here, and every
-    executor (a replacement of a lost one too) can read it."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    executor (a replacement of a lost one too) can read it. It goes when the driver's Python ends."""
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from .common import bit_filter, in_filter, written
 
 MIN_BYTES = 100               # smaller payloads are never revisits
@@ -317,7 +317,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, root: str | None = Non
     """Archives of ``pages`` under ``root`` (a folder of the shared checkpoint folder by
     default); returns the written index ``path, start, end, records``. The default date keeps archives of the
     same table alike; ``pages`` has no capture time."""
-    root = root or f"{checkpoint_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    root = root or scratch_path(spark, "archives")
 
     def run(batches):
         fs, folder = file_system(root)
