@@ -37,7 +37,7 @@ def skew_safe_row_number(df: DataFrame, key: str, order: Sequence[str], name: st
     ``coarse`` of the next one (for keys where one value of the first column has many rows). A row's
     number is the count of rows in the slices before its own plus its number inside it: windows
     hold one slice, or one row a slice. No job runs while the plan is built; ``df`` is evaluated
-    twice, for the counts with the order columns only.
+    twice, for the counts (whose shuffle is reused) with the order columns only.
     Same result as the plain window for unique order keys.
     """
     d = df.withColumn("_c", coarse(F.col(order[0])))
@@ -46,12 +46,12 @@ def skew_safe_row_number(df: DataFrame, key: str, order: Sequence[str], name: st
         d = d.withColumn("_f", coarse(F.col(order[lead])))
         fine.append("_f")
     before = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = d.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(key, "_c", *fine).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = counts.groupBy(key, "_c").agg(F.sum("_n").alias("_n")) if fine else counts
     buckets = buckets.select(F.col(key).alias("_k"), F.col("_c").alias("_b"), F.coalesce(F.sum("_n").over(before([key], ["_c"])), F.lit(0)).alias("_up"))
     own = d.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_c", *fine).orderBy(*order)))
     if fine:
-        g = d.groupBy(key, "_c", *fine).agg(F.count(F.lit(1)).alias("_n"))
-        g = g.select(F.col(key).alias("_gk"), F.col("_c").alias("_gc"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(fine)],
+        g = counts.select(F.col(key).alias("_gk"), F.col("_c").alias("_gc"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(fine)],
                      F.coalesce(F.sum("_n").over(before([key, "_c"], fine)), F.lit(0)).alias("_in"))
         same = F.col(key).eqNullSafe(F.col("_gk")) & F.col("_c").eqNullSafe(F.col("_gc"))
         for i, c in enumerate(fine):
