@@ -13,13 +13,13 @@ from .titles import generic_title
 
 def title_entities(text: Column) -> Column:
     """All title candidates, pattern by pattern, in match order (stripped)."""
-    parts = [F.transform(find_all(text, p[5:], 1, flags="im"), lambda w: pystrip(w))
+    parts = [F.transform(find_all(text, p, 1, flags="im"), lambda w: pystrip(w))
              for p in rules.ENTITY_TITLE_PATTERNS]
     return F.concat(*parts)
 
 
 def price_entities(text: Column) -> Column:
-    parts = [F.transform(find_all(text, p[4:], 1, flags="i"), lambda w: pystrip(w))
+    parts = [F.transform(find_all(text, p, 1, flags="i"), lambda w: pystrip(w))
              for p in rules.ENTITY_PRICE_PATTERNS]
     return F.concat(*parts)
 
@@ -47,11 +47,11 @@ def spans(text: Column, pattern: str, flags: str) -> Column:
 def entities(text: Column) -> Column:
     """ARRAY<STRUCT<entity_group, word, ordinal, score, start, end>>: titles then prices, pattern by
     pattern in match order; ``start`` and ``end`` are those of the whole match."""
-    def group(name: str, score: float, patterns: list[str], flags: str, skip: int) -> list[Column]:
-        return [F.zip_with(find_all(text, p[skip:], 1, flags=flags), spans(text, p[skip:], flags), lambda w, s: F.struct(
+    def group(name: str, score: float, patterns: list[str], flags: str) -> list[Column]:
+        return [F.zip_with(find_all(text, p, 1, flags=flags), spans(text, p, flags), lambda w, s: F.struct(
             F.lit(name).alias("entity_group"), pystrip(w).alias("word"), F.lit(score).alias("score"), s["start"].alias("start"), s["end"].alias("end"))) for p in patterns]
-    every = F.concat(*group("TITLE", rules.ENTITY_TITLE_SCORE, rules.ENTITY_TITLE_PATTERNS, "im", 5),
-                     *group("PRICE", rules.ENTITY_PRICE_SCORE, rules.ENTITY_PRICE_PATTERNS, "i", 4))
+    every = F.concat(*group("TITLE", rules.ENTITY_TITLE_SCORE, rules.ENTITY_TITLE_PATTERNS, "im"),
+                     *group("PRICE", rules.ENTITY_PRICE_SCORE, rules.ENTITY_PRICE_PATTERNS, "i"))
     return F.transform(every, lambda e, i: F.struct(
         e["entity_group"].alias("entity_group"), e["word"].alias("word"), i.alias("ordinal"), e["score"].alias("score"), e["start"].alias("start"), e["end"].alias("end")))
 
@@ -66,7 +66,7 @@ def title_fallback(text: Column) -> Column:
     """First line with 10 < length < 100 that does not look like a price or navigation."""
     lines = F.transform(F.split(text, "\n"), lambda ln: pystrip(ln))
     ok = F.filter(lines, lambda ln: (F.length(ln) > 10) & (F.length(ln) < 100)
-                  & ~found(ln, rules.TITLE_FALLBACK_REJECT[4:], flags="i"))
+                  & ~found(ln, rules.TITLE_FALLBACK_REJECT, flags="i"))
     return F.coalesce(generic_title(F.get(ok, 0)), F.lit(""))
 
 

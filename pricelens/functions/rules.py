@@ -100,15 +100,16 @@ AUTO_TRAIN_MIN_EXAMPLES = 20
 WINDOW_TOKENS = 512
 WINDOW_CHARS_PER_TOKEN = 3
 
-# Page-level link and image patterns of the generic extractor.
+# Page-level link and image patterns of the generic extractor (letters in either case; the flags
+# of this and the following rules are given where they are used).
 PAGE_LINK_PATTERNS = [
-    r"""(?i)href=["']([^"']*product[^"']*)["']""",
-    r"""(?i)href=["']([^"']*item[^"']*)["']""",
-    r"""(?i)href=["']([^"']*p/[^"']*)["']""",
+    r"""href=["']([^"']*product[^"']*)["']""",
+    r"""href=["']([^"']*item[^"']*)["']""",
+    r"""href=["']([^"']*p/[^"']*)["']""",
 ]
 PAGE_IMAGE_PATTERNS = [
-    r"""(?i)src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
-    r"""(?i)data-src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
+    r"""src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
+    r"""data-src=["']([^"']*\.(?:jpg|jpeg|png|gif|webp)[^"']*)["']""",
 ]
 
 # eBay page pools.
@@ -127,13 +128,13 @@ EBAY_CHUNK_MAX = 80
 
 # Entity patterns of the rule-based recogniser (score per kind).
 ENTITY_TITLE_PATTERNS = [
-    r"(?im)^([A-Za-z0-9\s\-,\.]{10,100})(?:\s*[\$₵€£]|\s*price|\s*buy)",
-    r"(?im)([A-Za-z0-9\s\-,\.]{15,80})\s*\n",
+    r"^([A-Za-z0-9\s\-,\.]{10,100})(?:\s*[\$₵€£]|\s*price|\s*buy)",
+    r"([A-Za-z0-9\s\-,\.]{15,80})\s*\n",
 ]
 ENTITY_PRICE_PATTERNS = [
-    r"(?i)([\$₵€£]\s*\d+(?:,\d{3})*(?:\.\d{2})?)",
-    r"(?i)(price\s*:?\s*[\$₵€£]?\s*\d+(?:,\d{3})*(?:\.\d{2})?)",
-    r"(?i)(\d+(?:,\d{3})*(?:\.\d{2})?\s*[\$₵€£])",
+    r"([\$₵€£]\s*\d+(?:,\d{3})*(?:\.\d{2})?)",
+    r"(price\s*:?\s*[\$₵€£]?\s*\d+(?:,\d{3})*(?:\.\d{2})?)",
+    r"(\d+(?:,\d{3})*(?:\.\d{2})?\s*[\$₵€£])",
 ]
 ENTITY_TITLE_SCORE = 0.8
 ENTITY_PRICE_SCORE = 0.9
@@ -141,7 +142,7 @@ PRICE_FALLBACK_PATTERNS = [
     r"([\$₵€£]\s*\d+(?:,\d{3})*(?:\.\d{2})?)",
     r"(\d+(?:,\d{3})*(?:\.\d{2})?\s*[\$₵€£])",
 ]
-TITLE_FALLBACK_REJECT = r"(?i)[\$₵€£]\d+|price|buy|cart|menu|home"
+TITLE_FALLBACK_REJECT = r"[\$₵€£]\d+|price|buy|cart|menu|home"
 AMOUNT_PATTERN = r"(\d+(?:,\d{3})*(?:\.\d{2})?)"
 
 # Relevance gate, near-duplicate threshold and rank weights.
@@ -178,7 +179,7 @@ JUMIA_TITLE_PATTERNS = [
     r"Popular[^₵]*?([A-Za-z][A-Za-z0-9\s]{10,})(?:\s*₵)",
     r"^([A-Za-z][^₵\n]{10,})(?:\s*₵)",
 ]
-JUMIA_TITLE_PREFIX = r"(?i)^(Quick\s+reply|ENTERPRISE|DIAMOND|Verified\s+ID)"
+JUMIA_TITLE_PREFIX = r"^(Quick\s+reply|ENTERPRISE|DIAMOND|Verified\s+ID)"
 
 GHS_PRICE_PATTERNS = {
     "jiji": [r"GH₵\s*(\d+(?:,\d{3})*(?:\.\d{2})?)", r"₵\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"],
@@ -262,7 +263,7 @@ ALIEXPRESS_TITLE_NOISE = [
 ]
 
 # Final title clean-up per site (applied after extraction).
-FINAL_TITLE_PREFIX = {"jiji": r"(?i)^(Popular|Quick\s+reply|ENTERPRISE|DIAMOND|Verified\s+ID)"}
+FINAL_TITLE_PREFIX = {"jiji": r"^(Popular|Quick\s+reply|ENTERPRISE|DIAMOND|Verified\s+ID)"}
 FINAL_TITLE_TRAILERS = {
     "jiji": [r"\s*₵.*$", r"\s*GH₵.*$"],
     "tonaton": [r"\s*₵.*$", r"\s*GH₵.*$"],
@@ -272,21 +273,21 @@ FINAL_TITLE_TRAILERS = {
 
 # eBay title and price rules.
 EBAY_TITLE_PATTERNS = [
-    r"(?i)(Apple iPhone \d+[^$\n]*?)(?:\s*\$|Opens|Pre-Owned|Very Good)",
-    r"(?i)(iPhone \d+[^$\n]*?)(?:\s*\$|Opens|Pre-Owned|Very Good)",
-    r"(?i)^([^$\n]+?)(?:\s*\$|Opens|Buy It Now)",
+    r"(Apple iPhone \d+[^$\n]*?)(?:\s*\$|Opens|Pre-Owned|Very Good)",
+    r"(iPhone \d+[^$\n]*?)(?:\s*\$|Opens|Pre-Owned|Very Good)",
+    r"^([^$\n]+?)(?:\s*\$|Opens|Buy It Now)",
 ]
 EBAY_PRICE_PATTERNS = [
-    r"(?i)\$\s*(\d+(?:,\d{3})*(?:\.\d{2})?)",
-    r"(?i)price[:\s]*\$?(\d+(?:,\d{3})*(?:\.\d{2})?)",
+    r"\$\s*(\d+(?:,\d{3})*(?:\.\d{2})?)",
+    r"price[:\s]*\$?(\d+(?:,\d{3})*(?:\.\d{2})?)",
 ]
-EBAY_CLEAN_MODEL = r"(?i)(Apple iPhone \d+[^$]*?)(?:\s*\$|\s*Opens|\s*Pre-Owned|\s*Very Good)"
-EBAY_CLEAN_IPHONE = r"(?i)iPhone[^$\n]*"
+EBAY_CLEAN_MODEL = r"(Apple iPhone \d+[^$]*?)(?:\s*\$|\s*Opens|\s*Pre-Owned|\s*Very Good)"
+EBAY_CLEAN_IPHONE = r"iPhone[^$\n]*"
 EBAY_CLEAN_DASH = r"[–—-]+.*$"
 
 # Generic title clean-up.
 GENERIC_TITLE_PRICE_CUT = r"[\$₵€£]\s*\d+.*$"
-GENERIC_TITLE_WORD_CUT = r"(?i)price.*$"
+GENERIC_TITLE_WORD_CUT = r"price.*$"
 
 # Image analysis defaults.
 ANALYSIS_DEFAULT_CONFIDENCE = 0.8

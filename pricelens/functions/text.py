@@ -154,14 +154,14 @@ def _first(items: Column, n: int | None) -> Column:
 def page_links(html: Column, base: Column, cap: int | None = None) -> Column:
     """Product-like links: three href patterns in order, resolved, first occurrence kept (the
     first ``cap``, if given)."""
-    found = F.concat(*[find_all(html, p[4:], 1, flags="i") for p in rules.PAGE_LINK_PATTERNS])
+    found = F.concat(*[find_all(html, p, 1, flags="i") for p in rules.PAGE_LINK_PATTERNS])
     return _first(F.array_distinct(F.transform(found, lambda u: url_join(base, u))), cap)
 
 
 def page_images(html: Column, cap: int | None = None) -> Column:
     """Images (src then data-src) whose URL mentions product/item; duplicates kept (the first
     ``cap``, if given)."""
-    found = F.concat(*[find_all(html, p[4:], 1, flags="i") for p in rules.PAGE_IMAGE_PATTERNS])
+    found = F.concat(*[find_all(html, p, 1, flags="i") for p in rules.PAGE_IMAGE_PATTERNS])
     keep = F.filter(found, lambda u: F.lower(u).contains("product") | F.lower(u).contains("item"))
     return _first(keep, cap)
 

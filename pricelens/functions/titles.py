@@ -37,7 +37,7 @@ def final_title(col: Column, site_key: str) -> Column:
     """The last clean-up before an offer is emitted (per site)."""
     t = col
     if site_key in rules.FINAL_TITLE_PREFIX:
-        t = F.regexp_replace(t, F.lit("(?Ud)" + rules.FINAL_TITLE_PREFIX[site_key]), F.lit(""))
+        t = F.regexp_replace(t, F.lit(jre(rules.FINAL_TITLE_PREFIX[site_key], "i")), F.lit(""))
     t = collapse_ws(t)
     for p in rules.FINAL_TITLE_TRAILERS[site_key]:
         t = sub(t, p)
@@ -47,14 +47,14 @@ def final_title(col: Column, site_key: str) -> Column:
 def generic_title(col: Column) -> Column:
     """Generic clean-up: cut at a price or the word 'price', collapse."""
     t = sub(col, rules.GENERIC_TITLE_PRICE_CUT)
-    t = F.regexp_replace(t, F.lit("(?Ud)" + rules.GENERIC_TITLE_WORD_CUT), F.lit(""))
+    t = F.regexp_replace(t, F.lit(jre(rules.GENERIC_TITLE_WORD_CUT, "i")), F.lit(""))
     return collapse_ws(t)
 
 
 def ebay_title(col: Column) -> Column:
     """eBay clean-up: model phrase, else from 'iPhone' on; drop after a dash."""
-    model = search(col, rules.EBAY_CLEAN_MODEL[4:], 1, flags="i")
-    iphone = F.when(col.contains("iPhone"), search(col, rules.EBAY_CLEAN_IPHONE[4:], 0, flags="i"))
+    model = search(col, rules.EBAY_CLEAN_MODEL, 1, flags="i")
+    iphone = F.when(col.contains("iPhone"), search(col, rules.EBAY_CLEAN_IPHONE, 0, flags="i"))
     t = F.coalesce(pystrip(model), pystrip(iphone), col)
     t = F.regexp_replace(t, F.lit(r"(?Ud)\s+"), F.lit(" "))
     t = F.regexp_replace(t, F.lit(rules.EBAY_CLEAN_DASH), F.lit(""))
@@ -86,7 +86,7 @@ def site_title(text: Column, site_key: str) -> Column:
     for p in rules.SITE_TITLE_PATTERNS[site_key]:
         cand = pystrip(F.regexp_extract(text, jre(p, _site_title_flags(site_key)), 1))
         if site_key == "jumia":
-            c = pystrip(F.regexp_replace(cand, F.lit("(?Ud)" + rules.JUMIA_TITLE_PREFIX), F.lit("")))
+            c = pystrip(F.regexp_replace(cand, F.lit(jre(rules.JUMIA_TITLE_PREFIX, "i")), F.lit("")))
             branches.append(let(c, lambda v: F.when(F.length(v) > 10, v)))
         else:
             branches.append(let(clean_extracted_title(cand, site_key), _keep_valid(site_key)))
@@ -119,13 +119,13 @@ def ebay_title_raw(text: Column) -> Column:
     """eBay: the first pattern whose match is longer than 5 characters."""
     out = []
     for p in rules.EBAY_TITLE_PATTERNS:
-        m = pystrip(F.regexp_extract(text, jre(p[4:], "i"), 1))
+        m = pystrip(F.regexp_extract(text, jre(p, "i"), 1))
         out.append(F.when(F.length(m) > 5, m))
     return F.coalesce(*out)
 
 
 def ebay_price_text(text: Column) -> Column:
-    return F.coalesce(*[search(text, p[4:], 1, flags="i") for p in rules.EBAY_PRICE_PATTERNS])
+    return F.coalesce(*[search(text, p, 1, flags="i") for p in rules.EBAY_PRICE_PATTERNS])
 
 
 def site_offer_parts(text: Column, site_key: str, mode: str = "pattern") -> Column:

@@ -175,8 +175,8 @@ def _entity_sql(group: str, score: float, pattern: str, flags: str) -> str:
             f"SELECT regexp_extract_all(text, {S.re_(pattern, flags)}, 1) AS ws, {parts} AS ps)))")
 
 
-_ENT_LIST = "list_concat(" + ", ".join([*(_entity_sql("TITLE", rules.ENTITY_TITLE_SCORE, p[5:], "im") for p in rules.ENTITY_TITLE_PATTERNS),
-                                        *(_entity_sql("PRICE", rules.ENTITY_PRICE_SCORE, p[4:], "i") for p in rules.ENTITY_PRICE_PATTERNS)]) + ")"
+_ENT_LIST = "list_concat(" + ", ".join([*(_entity_sql("TITLE", rules.ENTITY_TITLE_SCORE, p, "im") for p in rules.ENTITY_TITLE_PATTERNS),
+                                        *(_entity_sql("PRICE", rules.ENTITY_PRICE_SCORE, p, "i") for p in rules.ENTITY_PRICE_PATTERNS)]) + ")"
 
 
 @query("entities", sql=f"""SELECT id, e.entity_group, CAST(i - 1 AS INTEGER) AS ordinal, e.word, e.score, e.start, e.end FROM (

@@ -84,7 +84,7 @@ def clean_extracted_title(x: str, site: str) -> str:
 def final_title(x: str, site: str) -> str:
     t = x
     if site in rules.FINAL_TITLE_PREFIX:
-        t = sub(t, rules.FINAL_TITLE_PREFIX[site][4:], "i")
+        t = sub(t, rules.FINAL_TITLE_PREFIX[site], "i")
     t = collapse(t)
     for p in rules.FINAL_TITLE_TRAILERS[site]:
         t = sub(t, p)
@@ -93,13 +93,13 @@ def final_title(x: str, site: str) -> str:
 
 def generic_title(x: str) -> str:
     t = sub(x, rules.GENERIC_TITLE_PRICE_CUT)
-    t = sub(t, rules.GENERIC_TITLE_WORD_CUT[4:], "i")
+    t = sub(t, rules.GENERIC_TITLE_WORD_CUT, "i")
     return collapse(t)
 
 
 def ebay_title(x: str) -> str:
-    model = strip(search(x, rules.EBAY_CLEAN_MODEL[4:], 1, "i"))
-    iphone = f"CASE WHEN contains({x}, 'iPhone') THEN {strip(search(x, rules.EBAY_CLEAN_IPHONE[4:], 0, 'i'))} END"
+    model = strip(search(x, rules.EBAY_CLEAN_MODEL, 1, "i"))
+    iphone = f"CASE WHEN contains({x}, 'iPhone') THEN {strip(search(x, rules.EBAY_CLEAN_IPHONE, 0, 'i'))} END"
     t = f"coalesce({model}, {iphone}, {x})"
     t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
     t = f"regexp_replace({t}, {sql_str(rules.EBAY_CLEAN_DASH)}, '', 'g')"
@@ -119,7 +119,7 @@ def site_title(x: str, site: str) -> str:
     for p in rules.SITE_TITLE_PATTERNS[site]:
         cand = strip(f"regexp_extract({x}, {re_(p, flags)}, 1)")
         if site == "jumia":
-            c = strip(sub(cand, rules.JUMIA_TITLE_PREFIX[4:], "i"))
+            c = strip(sub(cand, rules.JUMIA_TITLE_PREFIX, "i"))
             branches.append(let(c, "_c", "CASE WHEN length(_c) > 10 THEN _c END"))
         else:
             c = clean_extracted_title(cand, site)
@@ -148,13 +148,13 @@ def fallback_price_text(x: str, site: str) -> str:
 def ebay_title_raw(x: str) -> str:
     out = []
     for p in rules.EBAY_TITLE_PATTERNS:
-        m = strip(f"regexp_extract({x}, {re_(p[4:], 'i')}, 1)")
+        m = strip(f"regexp_extract({x}, {re_(p, 'i')}, 1)")
         out.append(f"CASE WHEN length({m}) > 5 THEN {m} END")
     return "coalesce(" + ", ".join(out) + ")"
 
 
 def ebay_price_text(x: str) -> str:
-    return "coalesce(" + ", ".join(search(x, p[4:], 1, "i") for p in rules.EBAY_PRICE_PATTERNS) + ")"
+    return "coalesce(" + ", ".join(search(x, p, 1, "i") for p in rules.EBAY_PRICE_PATTERNS) + ")"
 
 
 def site_offer(x: str, site: str, mode: str = "pattern") -> tuple[str, str, str]:
@@ -181,13 +181,13 @@ def site_offer(x: str, site: str, mode: str = "pattern") -> tuple[str, str, str]
 
 # ------------------------------------------------------------------ entities
 def title_entities(x: str) -> str:
-    parts = [f"list_transform(regexp_extract_all({x}, {re_(p[5:], 'im')}, 1), lambda w: {strip('w')})"
+    parts = [f"list_transform(regexp_extract_all({x}, {re_(p, 'im')}, 1), lambda w: {strip('w')})"
              for p in rules.ENTITY_TITLE_PATTERNS]
     return "list_concat(" + ", ".join(parts) + ")"
 
 
 def price_entities(x: str) -> str:
-    parts = [f"list_transform(regexp_extract_all({x}, {re_(p[4:], 'i')}, 1), lambda w: {strip('w')})"
+    parts = [f"list_transform(regexp_extract_all({x}, {re_(p, 'i')}, 1), lambda w: {strip('w')})"
              for p in rules.ENTITY_PRICE_PATTERNS]
     return "list_concat(" + ", ".join(parts) + ")"
 
@@ -200,7 +200,7 @@ def longest(lst: str) -> str:
 def title_fallback(x: str) -> str:
     lines = f"list_transform(string_split({x}, chr(10)), lambda ln: {strip('ln')})"
     ok = (f"list_filter({lines}, lambda ln: length(ln) > 10 AND length(ln) < 100 AND "
-          f"NOT regexp_matches(ln, {re_(rules.TITLE_FALLBACK_REJECT[4:], 'i')}))")
+          f"NOT regexp_matches(ln, {re_(rules.TITLE_FALLBACK_REJECT, 'i')}))")
     return f"coalesce({generic_title(ok + '[1]')}, '')"
 
 

@@ -77,11 +77,11 @@ def _explode_sql(list_expr: str, key: str, name: str, table: str) -> str:
   SELECT {key}, unnest(L) AS v, generate_subscripts(L, 1) AS i FROM (SELECT {key}, {list_expr} AS L FROM {table}) a) b"""
 
 
-_LINKS_SQL = ("list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)" for p in rules.PAGE_LINK_PATTERNS)
+_LINKS_SQL = ("list_concat(" + ", ".join(f"regexp_extract_all(html, {_re('(?i)' + p)}, 1)" for p in rules.PAGE_LINK_PATTERNS)
               + ")")
 _LINKS_SQL = f"list_transform({_LINKS_SQL}, lambda u: {url_join_sql('url', 'u')})"
 _LINKS_SQL = f"list_filter({_LINKS_SQL}, lambda x, i: list_position({_LINKS_SQL}, x) = i)"
-_IMGS_SQL = ("list_filter(list_concat(" + ", ".join(f"regexp_extract_all(html, {_re(p)}, 1)"
+_IMGS_SQL = ("list_filter(list_concat(" + ", ".join(f"regexp_extract_all(html, {_re('(?i)' + p)}, 1)"
                                                    for p in rules.PAGE_IMAGE_PATTERNS)
              + "), lambda u: contains(lower(u), 'product') OR contains(lower(u), 'item'))")
 

@@ -48,7 +48,7 @@ def _title_py(text, site):
         if m:
             c = m.group(1).strip()
             if site == "jumia":
-                c = re.sub(rules.JUMIA_TITLE_PREFIX[4:], "", c, flags=re.I).strip()
+                c = re.sub(rules.JUMIA_TITLE_PREFIX, "", c, flags=re.I).strip()
                 if len(c) > 10:
                     return c
             else:
@@ -116,13 +116,13 @@ def _fallback_py(text, site):
 def _ebay_py(text):
     title = None
     for p in rules.EBAY_TITLE_PATTERNS:
-        m = re.search(p, text)
+        m = re.search(p, text, re.I)
         if m and len(m.group(1).strip()) > 5:
             title = m.group(1).strip()
             break
     price = None
     for p in rules.EBAY_PRICE_PATTERNS:
-        m = re.search(p, text)
+        m = re.search(p, text, re.I)
         if m:
             price = m.group(1)
             break
@@ -130,8 +130,8 @@ def _ebay_py(text):
 
 
 def _entities_py(text):
-    ts = [m.group(1).strip() for p in rules.ENTITY_TITLE_PATTERNS for m in re.finditer(p, text)]
-    ps = [m.group(1).strip() for p in rules.ENTITY_PRICE_PATTERNS for m in re.finditer(p, text)]
+    ts = [m.group(1).strip() for p in rules.ENTITY_TITLE_PATTERNS for m in re.finditer(p, text, re.I | re.M)]
+    ps = [m.group(1).strip() for p in rules.ENTITY_PRICE_PATTERNS for m in re.finditer(p, text, re.I)]
     return ts, ps
 
 

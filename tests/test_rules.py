@@ -77,7 +77,7 @@ def test_entity_offsets(spark):
         t, want = texts[r["i"]], []
         for group, patterns in (("TITLE", rules.ENTITY_TITLE_PATTERNS), ("PRICE", rules.ENTITY_PRICE_PATTERNS)):
             for p in patterns:
-                want += [(group, m[1].strip(), m.start(), m.end()) for m in re.finditer(p, t)]
+                want += [(group, m[1].strip(), m.start(), m.end()) for m in re.finditer(p, t, re.I | (re.M if group == "TITLE" else 0))]
         assert [(e["entity_group"], e["word"], e["start"], e["end"]) for e in r["e"]] == want, t
 
 
