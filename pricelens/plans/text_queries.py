@@ -253,9 +253,10 @@ def _containers(spark, sf_dir):
 
 
 # Oracles of the container jobs: a listing page is its fragments in id order, each fragment is one
-# container with one text, one link and one image; the scripts, menu and footer around are none.
+# container with a text, a link and an image (every third with more of each, nested deeper); the scripts, menu and
+# footer around are none.
 _FRAGMENTS_SQL = f"""SELECT CAST(id // {fx.PAGE_PARTS} AS BIGINT) AS page_id, t.site_key, t.link_root, t.source,
-  t.search_prefix || 'page' || CAST(id // {fx.PAGE_PARTS} AS VARCHAR) AS page_url, lt.id AS part, lt.text,
+  t.search_prefix || 'page' || CAST(id // {fx.PAGE_PARTS} AS VARCHAR) AS page_url, lt.id AS part, CASE WHEN lt.id % 3 = 0 THEN lt.text || ' | · offer | more' ELSE lt.text END AS text,
   CAST(row_number() OVER (PARTITION BY id // {fx.PAGE_PARTS} ORDER BY id) - 1 AS INTEGER) AS pos,
   t.link_root || '/item/' || CAST(id AS VARCHAR) || '.html' AS product_url,
   'https://img.example.com/product/' || CAST(id AS VARCHAR) || '.jpg' AS image_url
@@ -279,7 +280,8 @@ def _extract_offers_sql() -> str:
                                             WHERE site_key = 'ebay') p USING (page_id)) e WHERE ok"""
 
 
-@query("containers", sql=f"""SELECT page_id, site_key, pos, 1::INTEGER AS n_texts, 1::INTEGER AS n_links, 1::INTEGER AS n_images
+@query("containers", sql=f"""SELECT page_id, site_key, pos, (CASE WHEN part % 3 = 0 THEN 3 ELSE 1 END)::INTEGER AS n_texts,
+  (CASE WHEN part % 3 = 0 THEN 2 ELSE 1 END)::INTEGER AS n_links, (CASE WHEN part % 3 = 0 THEN 2 ELSE 1 END)::INTEGER AS n_images
   FROM ({_FRAGMENTS_SQL}) f""", fixtures=["listing_text", "sites"])
 def containers(spark, sf_dir):
     """The product containers of each listing page under its site's selector cascade."""

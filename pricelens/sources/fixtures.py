@@ -250,7 +250,8 @@ def _fragment(site_key: Column, pid: Column, text: Column) -> Column:
     img = F.when(site_key == "ebay", F.concat(F.lit("https://i.ebayimg.com/images/"), ids, F.lit(".jpg"))) \
         .otherwise(F.concat(F.lit("https://img.example.com/product/"), ids, F.lit(".jpg")))
     return F.concat(F.lit('<div class="'), cls, F.lit('"><div><a href="'), link, F.lit('">'), text,
-                    F.lit('</a></div><img src="'), img, F.lit('"></div>\n'))
+                    F.lit('</a></div>'), F.when(pid % 3 == 0, F.concat(F.lit('<span>\n· offer </span><p><a href="/more/'), ids, F.lit('">more</a></p>'))).otherwise(F.lit("")),
+                    F.lit('<img src="'), img, F.lit('">'), F.when(pid % 3 == 0, F.lit('<img src="/thumb.png">')).otherwise(F.lit("")), F.lit('</div>\n'))
 
 
 PAGE_HEAD = ("<html><head><style>.x{color:red}</style><script>var price = '$1';</script></head>"
@@ -290,10 +291,11 @@ def _fragment_sql() -> str:
     return (f"""'<div class="' || {cls} || '"><div><a href="' ||
        CASE WHEN t.site_key = 'ebay' THEN 'https://www.ebay.com/itm/' || CAST(id AS VARCHAR)
             ELSE '/item/' || CAST(id AS VARCHAR) || '.html' END || '">' || text ||
-       '</a></div><img src="' ||
+       '</a></div>' || CASE WHEN id % 3 = 0 THEN '<span>' || chr(10) || '· offer </span><p><a href="/more/' || CAST(id AS VARCHAR) || '">more</a></p>' ELSE '' END ||
+       '<img src="' ||
        CASE WHEN t.site_key = 'ebay' THEN 'https://i.ebayimg.com/images/' || CAST(id AS VARCHAR) || '.jpg'
             ELSE 'https://img.example.com/product/' || CAST(id AS VARCHAR) || '.jpg' END ||
-       '"></div>' || chr(10)""")
+       '">' || CASE WHEN id % 3 = 0 THEN '<img src="/thumb.png">' ELSE '' END || '</div>' || chr(10)""")
 
 
 LISTING_PAGES_SQL = f"""
