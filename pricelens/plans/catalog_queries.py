@@ -41,7 +41,11 @@ FXC = ["price_feed", "products", "catalog_sources"]
   FROM ({PE_SQL}) pe JOIN products p USING (product_id) JOIN catalog_sources s USING (source_id)""", fixtures=FXC)
 def price_comparison(spark, sf_dir):
     """Product x price entries x sources, by price, best flagged."""
-    return K.price_comparison(fx.products(spark, sf_dir), price_entries(spark, sf_dir),
+    # the latest price and time only: product, source and url are not carried along with each observation
+    own = [c for c in L if c not in ("l_partkey", "l_suppkey")]
+    latest = fx.price_feed(spark, sf_dir).groupBy("product_id", "source_id").agg(F.max(F.struct("last_updated", *own)).alias("r"))
+    entries = latest.select("product_id", "source_id", F.col("r.l_extendedprice").alias("price"), "r.last_updated")
+    return K.price_comparison(fx.products(spark, sf_dir), entries,
                               fx.catalog_sources(spark, sf_dir))
 
 
