@@ -51,26 +51,22 @@ def _ws_tokens(c: Column) -> Column:
 def bio_labels(text: Column) -> Column:
     """Annotated text -> struct(tokens, labels): whitespace tokens; an entity's first
     token gets B-<type>, the rest I-<type>; unknown types and plain text get O."""
-    b = F.create_map(*[x for t in ENTITY_TYPES for x in (F.lit(t), F.lit(rules.LABEL2ID["B-" + t]))])
-    i = F.create_map(*[x for t in ENTITY_TYPES for x in (F.lit(t), F.lit(rules.LABEL2ID["I-" + t]))])
     marked = F.regexp_replace(text, F.lit(_TAG), F.lit(_SEP_SEG + "$1" + _SEP_TYPE + "$2" + _SEP_SEG))
-    segs = F.split(marked, _SEP_SEG)
 
-    def seg_pairs(seg: Column) -> Column:
-        is_ent = seg.contains(_SEP_TYPE)
-        typ = F.regexp_extract(seg, f"(?s)^([^{_SEP_TYPE}]*){_SEP_TYPE}", 1)
-        body = F.regexp_extract(seg, f"(?s)^[^{_SEP_TYPE}]*{_SEP_TYPE}(.*)$", 1)
-        ent_toks = _ws_tokens(pystrip(body))
-        bl, il = F.try_element_at(b, typ), F.try_element_at(i, typ)
-        ent = F.transform(ent_toks, lambda t, k: F.struct(
-            t.alias("token"),
-            F.when(bl.isNull(), F.lit(0)).when(k == 0, bl).otherwise(il).alias("label")))
-        out = F.transform(_ws_tokens(seg), lambda t: F.struct(t.alias("token"), F.lit(0).alias("label")))
-        return F.when(is_ent, ent).otherwise(out)
+    def part(seg: Column) -> Column:  # a segment's type (NULL: plain text) and tokens, each worked out once
+        at = F.instr(seg, _SEP_TYPE)
+        return F.struct(F.when(at > 0, F.substring(seg, F.lit(1), at - 1)).alias("type"),
+                        _ws_tokens(F.when(at > 0, F.substring(seg, at + 1, F.length(seg))).otherwise(seg)).alias("tokens"))
 
-    pairs = F.flatten(F.transform(segs, seg_pairs))
-    return let(pairs, lambda p: F.struct(F.transform(p, lambda x: x["token"]).alias("tokens"),
-                                         F.transform(p, lambda x: x["label"]).alias("labels")))
+    def labels(x: Column) -> Column:
+        n = F.size(x["tokens"])
+        out = F.array_repeat(F.lit(0), n)
+        for t in ENTITY_TYPES:
+            own = F.concat(F.array(F.lit(rules.LABEL2ID["B-" + t])), F.array_repeat(F.lit(rules.LABEL2ID["I-" + t]), n - 1))
+            out = F.when((x["type"] == t) & (n > 0), own).otherwise(out)
+        return out
+    return let(F.transform(F.split(marked, _SEP_SEG), part), lambda segs: F.struct(
+        F.flatten(F.transform(segs, lambda x: x["tokens"])).alias("tokens"), F.flatten(F.transform(segs, labels)).alias("labels")))
 
 
 def bio_valid(tokens: Column, labels: Column) -> Column:
@@ -95,30 +91,45 @@ PIECE_CHARS = 8      # of the longest piece
 
 
 def _substrings(word: str, longest: int) -> Column:
-    """ARRAY<STRUCT<i, piece>>: every run of 2 to ``longest`` characters, with its start (from 1)."""
+    """ARRAY<STRING>: every run of 2 to ``longest`` characters."""
     w = F.col(word)
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.filter(F.transform(
-        F.sequence(F.lit(2), F.lit(longest)), lambda m: F.struct(i.alias("i"), F.substring(w, i, m).alias("piece"), m.alias("m"))),
-        lambda x: i + x["m"] <= F.length(w) + 1)))
+    return F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda m: F.when(m <= F.length(w), F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(w) - m + 1, F.lit(1))), lambda i: F.substring(w, i, m))).otherwise(F.array().cast("array<string>"))))
 
 
 def vocabulary(words: DataFrame, size: int = VOCABULARY, longest: int = PIECE_CHARS) -> DataFrame:
     """``piece``: the ``size`` runs of characters that save most (occurrences in ``words(word, n)`` times
     characters beyond the first). Single characters are pieces without being listed."""
-    s = words.select("n", F.explode(_substrings("word", longest)).alias("x")).groupBy(F.col("x.piece").alias("piece")).agg(F.sum("n").alias("n"))
+    s = words.select("n", F.explode(_substrings("word", longest)).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
     return s.orderBy((F.col("n") * (F.length("piece") - 1)).desc(), "piece").limit(size).select("piece")
 
 
+def piece_pattern(vocab: DataFrame, longest: int = PIECE_CHARS) -> str:
+    """One regex whose successive matches cut a word longest match first. The vocabulary (at most ``VOCABULARY``
+    rows reach the driver) becomes a tree of characters: what is longer is tried first, at each place at most one branch fits."""
+    tree: dict = {}
+    for (piece,) in vocab.where(F.length("piece").between(2, longest)).select("piece").collect():
+        at = tree
+        for c in piece:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def below(node: dict) -> str:
+        rest = "|".join(f"\\x{{{ord(c):x}}}" + below(node[c]) for c in sorted(node) if c)
+        return (f"(?:{rest})" + ("?" if "" in node else "")) if rest else ""
+    return f"(?s){below(tree)}|." if tree else "(?s)."
+
+
 def word_pieces(words: DataFrame, vocab: DataFrame, longest: int = PIECE_CHARS) -> DataFrame:
-    """``word, pieces``: each distinct word cut longest match first. Runs of characters meet the vocabulary in a
-    join; the longest match at each place is an aggregate, and the cut a fold over the places."""
-    at = (words.select("word", F.explode(_substrings("word", longest)).alias("x")).select("word", "x.*").join(vocab, "piece")
-          .groupBy("word", "i").agg(F.max("m").alias("m")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("at")))
+    """``word, pieces``: each distinct word cut longest match first, in its own row (``piece_pattern``)."""
     w = F.col("word")
-    size = lambda i: F.coalesce(F.try_element_at("at", i), F.lit(1))
-    fold = F.aggregate(F.sequence(F.lit(1), F.length(w)), F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out")), lambda acc, i: F.when(
-        i == acc["next"], F.struct((i + size(i)).alias("next"), F.array_append(acc["out"], F.substring(w, i, size(i))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
-    return words.join(at, "word", "left").select("word", F.when(w == "", F.array(F.lit(""))).otherwise(fold).alias("pieces"))
+    return words.select("word", F.when(w == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(w, F.lit(piece_pattern(vocab, longest)), F.lit(0))).alias("pieces"))
+
+
+def word_ids(tokens: Column, pattern: str) -> Column:
+    """The word (from 0) of each piece of an example's tokens, in order, by the ``piece_pattern``: as
+    ``with_word_ids`` has it for a table of pieces, without leaving the row."""
+    return F.flatten(F.transform(tokens, lambda t, k: F.array_repeat(k, F.when(t == "", 1).otherwise(F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))))))
 
 
 def with_word_ids(examples: DataFrame, pieces: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -252,6 +263,7 @@ def id_labels_to_names(labels: Column) -> Column:
 
 # ---------------------------------------------------------------- S3, S4
 DOCUMENT_BYTES = 32 << 20
+FILE_EXAMPLES = 500_000
 
 EXAMPLE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("query", T.StringType()),
@@ -262,8 +274,10 @@ EXAMPLE_SCHEMA = T.StructType([
 
 def write_training_set(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Append examples (UTF-8 JSON Lines, or parquet), partitioned by source; a record
-    carries its source as ``site`` and its product data as an object."""
-    df.withColumn("site", F.col("source")).write.mode("append").partitionBy("source").format(fmt).save(path)
+    carries its source as ``site`` and its product data as an object. JSON Lines are compressed (most of
+    an example repeats others), in files of at most ``FILE_EXAMPLES``, as such a file is read by one task."""
+    w = df.withColumn("site", F.col("source")).write.mode("append").partitionBy("source").format(fmt)
+    (w.option("compression", "gzip").option("maxRecordsPerFile", FILE_EXAMPLES) if fmt == "json" else w).save(path)
 
 
 def write_training_documents(df: DataFrame, path: str, file_bytes: int = DOCUMENT_BYTES) -> None:
@@ -279,7 +293,8 @@ def write_training_documents(df: DataFrame, path: str, file_bytes: int = DOCUMEN
             n += len(lines)
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array([("" if n else head) + f'], "metadata": {{"total_examples": {n}}}}}'])], names=["value"])
-    ex.repartition(max(1, -(-total // file_bytes))).mapInArrow(documents, "value string").write.text(path)
+    # dealt by hash: dealing in turn would sort each task's examples, all of them in its memory
+    ex.repartition(max(1, -(-total // file_bytes)), F.xxhash64("value", F.spark_partition_id())).mapInArrow(documents, "value string").write.text(path)
 
 
 def read_training_set(spark: SparkSession, path: str, layout: str = "lines", fallback: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -287,7 +302,7 @@ def read_training_set(spark: SparkSession, path: str, layout: str = "lines", fal
     the record's 'site', else 'unknown'; timestamp defaults to '', product data to {}. Where nothing
     is at ``path``, ``fallback`` is read.
 
-    ``layout='lines'``: JSON Lines (splittable; what ``write_training_set`` writes).
+    ``layout='lines'``: JSON Lines (what ``write_training_set`` writes), compressed or not.
     ``layout='document'``: JSON documents, either a bare array of examples or ``{"metadata": ...,
     "training_data": [...]}``, read by byte ranges (``sources.json_arrays``).
     """

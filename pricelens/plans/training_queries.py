@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..functions.prices import number_text
 from ..operators import ranking as RK
 from ..operators import training as TR
+from ..operators.windows import stored
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from .registry import query
@@ -138,15 +139,17 @@ _PART = (f"list_concat([{rules.IGNORE_LABEL}], al[part * {_ROOM} + 1:(part + 1)
 _KEY = ["query_id", "site_key", "l_orderkey", "l_linenumber"]
 
 
-def _pieces(spark, sf_dir):
+def _words(spark, sf_dir):
+    """``word, n``: the distinct words of the training texts, counted once for the vocabulary and what follows."""
     words = bio_df(spark, sf_dir).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return TR.word_pieces(words.select("word"), TR.vocabulary(words))
+    return stored(words, "words")
 
 
 @query("word_pieces", sql=f"WITH {_PIECE_CTES} SELECT word, array_to_string(pieces, ' ') AS pieces, CAST(len(pieces) AS INTEGER) AS n_pieces FROM pieces", fixtures=FXT)
 def word_pieces(spark, sf_dir):
     """T4: every word of the training texts cut into pieces of a vocabulary counted from them, longest match first."""
-    return _pieces(spark, sf_dir).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").alias("n_pieces"))
+    words = _words(spark, sf_dir)
+    return TR.word_pieces(words.select("word"), TR.vocabulary(words)).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").alias("n_pieces"))
 
 
 @query("align_labels", sql=f"""WITH {_PIECE_CTES}
@@ -160,8 +163,9 @@ def word_pieces(spark, sf_dir):
 def align_labels(spark, sf_dir):
     """T4: labels aligned to sub-word positions (first piece labelled, others -100), in
     sequences of 512."""
-    b = TR.with_word_ids(bio_df(spark, sf_dir).select(*_KEY, "tokens", "labels"), _pieces(spark, sf_dir), _KEY)
-    b = b.select(*_KEY, F.posexplode(TR.aligned_parts(F.col("word_ids"), F.col("labels"))).alias("part", "al"))
+    ids = TR.word_ids(F.col("tokens"), TR.piece_pattern(TR.vocabulary(_words(spark, sf_dir))))
+    b = bio_df(spark, sf_dir).select(*_KEY, F.explode(F.array(F.struct(ids.alias("word_ids"), "labels"))).alias("x"))  # bound once
+    b = b.select(*_KEY, F.posexplode(TR.aligned_parts(F.col("x.word_ids"), F.col("x.labels"))).alias("part", "al"))
     return b.select(*_KEY, "part", F.size("al").alias("n_positions"),
                     F.size(F.filter("al", lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
                     F.array_join(F.transform("al", lambda x: x.cast("string")), ",").alias("aligned"))
