@@ -21,3 +21,21 @@ def test_equal_texts_are_scored_once(spark):
     parts = spark.range(0, 400).select(F.concat(F.lit("ring "), F.col("id") % 2).alias("p_name"), F.concat(F.lit("ring "), F.col("id") % 2, F.lit(" LARGE")).alias("title"))
     rows = scored_texts(parts).collect()
     assert len(rows) == 2 and all(len(r.desc_rel) == 5 and None not in (r.title_rel, r.reverse_rel, *r.desc_rel) for r in rows)
+
+
+def test_words_are_cut_without_a_shuffle(spark):
+    from pricelens.operators import training as TR
+    words = spark.range(3).select(F.concat(F.lit("ab"), F.col("id")).alias("word"))
+    assert "Exchange" not in plan(TR.word_pieces(words, spark.createDataFrame([("ab",)], "piece string")))
+
+
+def test_json_lines_are_compressed(spark, tmp_path):
+    from pricelens.operators import training as TR
+    df = spark.range(9).selectExpr("concat('t', id) AS text", "'q' AS query", "'s' AS source", "'' AS timestamp", "map('k', 'v') AS product_data")
+    TR.write_training_set(df, str(tmp_path / "x"))
+    assert list((tmp_path / "x").rglob("*.json.gz")) and not list((tmp_path / "x").rglob("*.json"))
+    assert sorted(r.text for r in TR.read_training_set(spark, str(tmp_path / "x")).collect()) == [f"t{i}" for i in range(9)]
+
+
+def test_price_comparison_carries_no_urls(spark):
+    assert "https://shop" not in plan(E.queries()["price_comparison"](spark, SMALL))
