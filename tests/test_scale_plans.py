@@ -39,3 +39,9 @@ def test_json_lines_are_compressed(spark, tmp_path):
 
 def test_price_comparison_carries_no_urls(spark):
     assert "https://shop" not in plan(E.queries()["price_comparison"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["relevance", "rank_offers"])
+def test_offers_are_not_sorted_for_their_scores(spark, name):
+    p = plan(E.queries()[name](spark, SMALL))
+    assert "ShuffledHashJoin [l_partkey" in p and "SortMergeJoin [l_partkey" not in p
