@@ -45,3 +45,13 @@ def test_price_comparison_carries_no_urls(spark):
 def test_offers_are_not_sorted_for_their_scores(spark, name):
     p = plan(E.queries()[name](spark, SMALL))
     assert "ShuffledHashJoin [l_partkey" in p and "SortMergeJoin [l_partkey" not in p
+
+
+def test_titles_are_not_broadcast(spark):
+    from pricelens.functions.relevance import terms
+    from pricelens.operators import ranking as RK
+    from pricelens.operators.windows import stored
+    titles = spark.range(50).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("rank"), F.concat(F.lit("red ring "), F.col("id")).alias("title"))
+    p = plan(RK.similar_titles(stored(titles.withColumn("_t", terms(F.col("title"))), "titles-in-a-test"), "query_id", "rank"))
+    assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p
+    assert "BroadcastHashJoin" not in plan(RK.dedupe_offers(titles))
