@@ -7,7 +7,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog as K
 from ..sources import fixtures as fx
 from ..sources.tables import load
 from ..streaming import refresh as M1
@@ -29,15 +28,18 @@ _STREAM_REFRESH_SQL = f"""SELECT product_id, source_id, price, url, last_updated
 def stream_refresh(spark, sf_dir):
     """M1: price observations after the split time arrive as a file stream (a few
     files per trigger) and are upserted into a key-clustered catalogue; each
-    batch rewrites only the files that hold its keys."""
+    batch rewrites only the files that hold its keys, or is put beside them if those are most of
+    the files. Of the feed's tie-break columns only those are carried that are neither key nor price."""
     feed = fx.price_feed(spark, sf_dir)
     split = F.lit(SPLIT).cast("timestamp")
     keys, cols = ["product_id", "source_id"], ["price", "url", "last_updated"]
-    order = ["last_updated", *L]
+    order = ["last_updated", *[{"l_extendedprice": "price"}.get(c, c) for c in L if c not in ("l_partkey", "l_suppkey")]]
+    feed = feed.select(*keys, *dict.fromkeys([*cols, *order]))
     base = M1.staging_path(spark, "refresh")
     src, ckpt = os.path.join(base, "feed"), os.path.join(base, "_checkpoint")
     catalogue = M1.Catalogue(spark, os.path.join(base, "catalog"), keys)
-    catalogue.load(K._latest(feed.filter(F.col("last_updated") < split), keys, F.struct(*[F.col(c) for c in order]), cols + L))
+    before = feed.filter(F.col("last_updated") < split)
+    catalogue.load(M1.newest(before, keys, order, cols), before.count())
     after = feed.filter(F.col("last_updated") >= split).withColumn("ym", F.date_format("last_updated", "yyyyMM"))
     after.write.partitionBy("ym").parquet(src)
     stream = spark.readStream.schema(after.schema).option("maxFilesPerTrigger", 8).parquet(src)

@@ -127,3 +127,38 @@ def test_a_batch_is_applied_once_whatever_fails(spark, catalogue, monkeypatch):
     assert read() == want and len(snapshot(catalogue.root)) < files
     catalogue.upsert(rows(spark, [(3, "stale", 0)]), 8, ["o"], ["v"])  # an older observation changes nothing
     assert read() == want
+
+
+def test_a_batch_all_over_the_catalogue_rewrites_nothing(spark, catalogue):
+    before = snapshot(catalogue.root)
+    spread = spark.range(0, 2000, 4).select(F.col("id").alias("k"), F.lit("new").alias("v"), F.lit(2).alias("o"))
+    assert catalogue.upsert(spread.union(spread), 0, ["o"], ["v"]) == []
+    after = snapshot(catalogue.root)
+    assert all(after[p] == t for p, t in before.items())
+    read = lambda: {r.k: r.v for r in catalogue.read("k long, v string, o int").collect()}
+    want = {k: "new" if k % 4 == 0 else "old" for k in range(2000)}
+    assert read() == want and catalogue.read("k long, v string, o int").count() == 2000
+    assert catalogue.upsert(spread, 0, ["o"], ["v"]) == [] and snapshot(catalogue.root) == after  # replayed
+    assert catalogue.upsert(rows(spark, [(4, "stale", 1), (5, "newer", 3), (9999, "added", 0)]), 1, ["o"], ["v"]) == []
+    want |= {5: "newer", 9999: "added"}
+    assert read() == want
+
+
+def test_as_many_rows_beside_as_clustered_are_settled_once(spark, catalogue, monkeypatch):
+    read = lambda: {r.k: r.v for r in catalogue.read("k long, v string, o int").collect()}
+    batch = lambda i: spark.range(i % 2, 2000, 2).select(F.col("id").alias("k"), F.lit(f"v{i}").alias("v"), F.lit(i).alias("o"))
+    assert catalogue.upsert(batch(1), 1, ["o"], ["v"]) == []
+    finish = type(catalogue)._finish
+    monkeypatch.setattr(type(catalogue), "_finish", lambda self, g: (_ for _ in ()).throw(OSError("lost")) if g.endswith("settled") else finish(self, g))
+    with pytest.raises(OSError):  # settled, what it replaces not yet removed
+        catalogue.upsert(batch(2), 2, ["o"], ["v"])
+    want = {k: "v1" if k % 2 else "v2" for k in range(2000)}
+    assert read() == want and catalogue.read("k long, v string, o int").count() == 2000
+    monkeypatch.undo()
+    assert catalogue.upsert(batch(2), 2, ["o"], ["v"])  # replayed
+    assert read() == want and not catalogue.beside(catalogue.files())
+    assert {p.split("gen-")[1].split(os.sep)[0] for p in snapshot(catalogue.root)} == {"2-settled"}
+    kept = snapshot(catalogue.root)
+    gone = catalogue.upsert(rows(spark, [(3, "last", 9)]), 3, ["o"], ["v"])  # few keys: a rewrite again
+    assert len(gone) == 1 and sum(p in snapshot(catalogue.root) for p in kept) == len(kept) - 1
+    assert read() == want | {3: "last"}
