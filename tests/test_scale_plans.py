@@ -55,3 +55,26 @@ def test_titles_are_not_broadcast(spark):
     p = plan(RK.similar_titles(stored(titles.withColumn("_t", terms(F.col("title"))), "titles-in-a-test"), "query_id", "rank"))
     assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p
     assert "BroadcastHashJoin" not in plan(RK.dedupe_offers(titles))
+
+
+def test_numbered_rows_are_joined_to_nothing(spark):
+    from pricelens.operators.windows import skew_safe_row_number
+    rows = spark.range(50).selectExpr("id % 3 AS k", "id / 7 AS v", "id", "concat('wide', id) AS text")
+    for lead in (0, 1):
+        assert not [x for x in plan(skew_safe_row_number(rows, "k", ["v", "id"], lead=lead)).splitlines() if "Join" in x and "text" in x]
+    p = plan(skew_safe_row_number(rows, "k", ["v", "id"]))
+    assert "Join" not in p
+    assert plan(skew_safe_row_number(rows, "k", ["v", "id"], lead=1)).count("Join") == 1  # of counts, a row a slice each
+
+
+def test_numbers_of_rows_with_nulls_and_ties_of_the_leading_columns(spark):
+    from pyspark.sql import Window
+    from pricelens.operators.windows import skew_safe_row_number
+    df = spark.range(900).selectExpr("nullif(id % 4, 3) AS k", "CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN double('NaN') WHEN id % 2 = 0 THEN -0.0D ELSE id % 11 - 4.5 END AS v",
+                                     "nullif(id % 3, 2) AS site", "id * 37 % 911 AS id")
+    order = ["v", "site", "id"]
+    for lead in (0, 1, 2):
+        got = skew_safe_row_number(df.repartition(5), "k", order, "rn", lead=lead)
+        assert got.columns == ["k", "v", "site", "id", "rn"]
+        want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order))).collect()}
+        assert {r.id: r.rn for r in got.collect()} == want and len(want) == got.count() == 900
