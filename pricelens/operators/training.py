@@ -7,13 +7,16 @@ distributed global rank) and the statistics (one grouping-sets aggregate).
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
 
-from collections.abc import Sequence
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import rules
 from ..functions.prices import number_text
@@ -25,6 +28,14 @@ _SEP_SEG, _SEP_TYPE = "\u0001", "\u0002"
 ENTITY_TYPES = ["TITLE", "PRICE", "URL", "IMG"]
 
 
+def _lists(offsets: np.ndarray, values: np.ndarray | pa.Array, null: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(null) if null.any() else None)
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
 # ---------------------------------------------------------------- T1
 def annotate(query: Column, title: Column, price: Column, currency: Column, url: Column,
              image_url: Column, description: Column) -> Column:
@@ -44,29 +55,41 @@ def annotate(query: Column, title: Column, price: Column, currency: Column, url:
 
 
 # ---------------------------------------------------------------- T2, T3
-def _ws_tokens(c: Column) -> Column:
-    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+def _parts(a: pa.Array, sign: str, limit: int | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, split at ``sign``, and how many each text has (a null one none)."""
+    lists = pc.split_pattern(a, sign, max_splits=limit)
+    return lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def bio_labels(text: Column) -> Column:
     """Annotated text -> struct(tokens, labels): whitespace tokens; an entity's first
-    token gets B-<type>, the rest I-<type>; unknown types and plain text get O."""
-    marked = F.regexp_replace(text, F.lit(_TAG), F.lit(_SEP_SEG + "$1" + _SEP_TYPE + "$2" + _SEP_SEG))
+    token gets B-<type>, the rest I-<type>; unknown types and plain text get O.
 
-    def part(seg: Column) -> Column:  # a segment's type (NULL: plain text) and tokens, each worked out once
-        at = F.instr(seg, _SEP_TYPE)
-        return F.struct(F.when(at > 0, F.substring(seg, F.lit(1), at - 1)).alias("type"),
-                        _ws_tokens(F.when(at > 0, F.substring(seg, at + 1, F.length(seg))).otherwise(seg)).alias("tokens"))
-
-    def labels(x: Column) -> Column:
-        n = F.size(x["tokens"])
-        out = F.array_repeat(F.lit(0), n)
+    Tags and white space are found by Java's regexes; the segments between the marks are split and labelled for a
+    batch of rows together."""
+    marked = F.regexp_replace(text, F.lit(_TAG), F.lit(_SEP_SEG + "$1" + _SEP_TYPE + "$2" + _SEP_SEG))
+    spaced = F.regexp_replace(marked, F.lit(r"(?U)\s+"), F.lit(" "))
+
+    def batch(texts: pa.Array) -> pa.Array:
+        segs, n_segs = _parts(texts.cast(pa.string()), _SEP_SEG)
+        halves, n_halves = _parts(segs, _SEP_TYPE, 1)
+        end = np.cumsum(n_halves)
+        typed = n_halves == 2
+        kinds = halves.take(pa.array((end - n_halves)[typed]))
+        begins, goes_on = np.zeros((2, len(segs)), np.int32)
         for t in ENTITY_TYPES:
-            own = F.concat(F.array(F.lit(rules.LABEL2ID["B-" + t])), F.array_repeat(F.lit(rules.LABEL2ID["I-" + t]), n - 1))
-            out = F.when((x["type"] == t) & (n > 0), own).otherwise(out)
-        return out
-    return let(F.transform(F.split(marked, _SEP_SEG), part), lambda segs: F.struct(
-        F.flatten(F.transform(segs, lambda x: x["tokens"])).alias("tokens"), F.flatten(F.transform(segs, labels)).alias("labels")))
+            own = np.flatnonzero(typed)[pc.equal(kinds, t).to_numpy(zero_copy_only=False)]
+            begins[own], goes_on[own] = rules.LABEL2ID["B-" + t], rules.LABEL2ID["I-" + t]
+        words, n_words = _parts(halves.take(pa.array(end - 1)), " ")
+        kept = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        seg = np.repeat(np.arange(len(segs)), n_words)[kept]
+        first = np.ones(len(seg), bool)
+        first[1:] = seg[1:] != seg[:-1]
+        row = np.repeat(np.arange(len(texts)), n_segs)[seg]
+        offsets, null = _offsets(np.bincount(row, minlength=len(texts))), texts.is_null().to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([_lists(offsets, words.filter(pa.array(kept)), null),
+                                           _lists(offsets, np.where(first, begins[seg], goes_on[seg]), null)], names=["tokens", "labels"])
+    return arrow_udf(batch, "tokens array<string>, labels array<int>")(spaced)
 
 
 def bio_valid(tokens: Column, labels: Column) -> Column:
@@ -88,19 +111,38 @@ def align_labels(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_
 
 VOCABULARY = 1_000   # pieces of two or more characters
 PIECE_CHARS = 8      # of the longest piece
+COUNTED_TOKENS = 200_000  # of a task's texts, before their counts are sent on
+KNOWN_WORDS = 100_000     # whose number of pieces a task remembers
+
 
+def word_counts(examples: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """``word, n``: the distinct words of ``examples``, counted. A task adds up some ``COUNTED_TOKENS`` words before they
+    are grouped, as most of a text's words come again in the next ones."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def _substrings(word: str, longest: int) -> Column:
-    """ARRAY<STRING>: every run of 2 to ``longest`` characters."""
-    w = F.col(word)
-    return F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda m: F.when(m <= F.length(w), F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(w) - m + 1, F.lit(1))), lambda i: F.substring(w, i, m))).otherwise(F.array().cast("array<string>"))))
+        def added() -> pa.RecordBatch:
+            c = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([c.field("values"), c.field("counts")], names=["word", "n"])
+        for b in batches:
+            held.append(b.column(0).flatten().cast(pa.string()))
+            n += len(held[-1])
+            if n >= COUNTED_TOKENS:
+                yield added()
+                held, n = [], 0
+        if n:
+            yield added()
+    return examples.select(tokens).mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(words: DataFrame, size: int = VOCABULARY, longest: int = PIECE_CHARS) -> DataFrame:
     """``piece``: the ``size`` runs of characters that save most (occurrences in ``words(word, n)`` times
-    characters beyond the first). Single characters are pieces without being listed."""
-    s = words.select("n", F.explode(_substrings("word", longest)).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+    characters beyond the first). Single characters are pieces without being listed. Runs of ``longest`` characters
+    (shorter at a word's end) are counted first; each is then cut into the runs that it begins with."""
+    at = words.where(F.length("word") > 1).select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"))
+    runs = at.select(F.substring("word", F.col("i"), F.lit(longest)).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
+    s = runs.select("run", "n", F.explode(F.sequence(F.lit(2), F.length("run"))).alias("m"))
+    s = s.select(F.substring("run", F.lit(1), F.col("m")).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
     return s.orderBy((F.col("n") * (F.length("piece") - 1)).desc(), "piece").limit(size).select("piece")
 
 
@@ -126,10 +168,37 @@ def word_pieces(words: DataFrame, vocab: DataFrame, longest: int = PIECE_CHARS)
     return words.select("word", F.when(w == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(w, F.lit(piece_pattern(vocab, longest)), F.lit(0))).alias("pieces"))
 
 
+def _int_list(a: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths (0 for null), null rows, values, null values of lists of numbers."""
+    v = a.flatten()
+    return (pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False), a.is_null().to_numpy(zero_copy_only=False),
+            v.fill_null(0).to_numpy(zero_copy_only=False), v.is_null().to_numpy(zero_copy_only=False))
+
+
 def word_ids(tokens: Column, pattern: str) -> Column:
     """The word (from 0) of each piece of an example's tokens, in order, by the ``piece_pattern``: as
-    ``with_word_ids`` has it for a table of pieces, without leaving the row."""
-    return F.flatten(F.transform(tokens, lambda t, k: F.array_repeat(k, F.when(t == "", 1).otherwise(F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))))))
+    ``with_word_ids`` has it for a table of pieces, without leaving the row. Of a batch of rows each distinct token is
+    cut once, and not at all if its number of pieces is still known."""
+    python = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern)
+
+    def batches(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cut, known = re.compile(python).findall, {"": 1}
+        for a in arrays:
+            flat = a.flatten().dictionary_encode()
+            if len(known) > KNOWN_WORDS:
+                known = {"": 1}
+            words = flat.dictionary.to_pylist()
+            for w in words:
+                if w not in known:
+                    known[w] = len(cut(w))
+            n = np.array([known[w] for w in words] + [0], np.int64)[flat.indices.fill_null(len(words)).to_numpy(zero_copy_only=False)]
+            lengths = pc.list_value_length(a).fill_null(0).to_numpy(zero_copy_only=False)
+            null, start = a.is_null().to_numpy(zero_copy_only=False), _offsets(lengths)
+            if flat.null_count:  # an example with a token that is null has no ids
+                null = null | (np.diff(_offsets(flat.is_null().to_numpy(zero_copy_only=False))[start]) > 0)
+            k = np.arange(len(n)) - np.repeat(start[:-1], lengths)
+            yield _lists(_offsets(n)[start], np.repeat(k, n).astype(np.int32), null)
+    return arrow_udf(batches, "array<int>")(tokens)
 
 
 def with_word_ids(examples: DataFrame, pieces: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -147,18 +216,34 @@ def with_word_ids(examples: DataFrame, pieces: DataFrame, key: Sequence[str]) ->
 def aligned_parts(word_ids: Column, labels: Column, max_len: int = rules.MAX_SEQ_LEN) -> Column:
     """The aligned labels of an example of any length as sequences of ``max_len`` positions, each
     framed by two special positions and padded; a word that goes on in the next sequence is
-    not labelled again."""
-    ign, room = F.lit(rules.IGNORE_LABEL), max_len - 2
-
-    def part(al: Column, p: Column) -> Column:
-        body = F.slice(al, p * room + 1, F.lit(room))
-        return F.slice(F.concat(F.array(ign), body, F.array(ign), F.array_repeat(ign, max_len)), 1, max_len)
-
-    def build(w: Column) -> Column:
-        al = F.transform(w, lambda x, k: F.when((k == 0) | (F.get(w, k - 1) != x), F.coalesce(F.get(labels, x), F.lit(0))).otherwise(ign))
-        return let(al, lambda v: F.transform(
-            F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.size(v) / room)).cast("int") - 1), lambda p: part(v, p)))
-    return let(word_ids, build)
+    not labelled again. The sequences of a batch of rows are filled together."""
+    ign, room = rules.IGNORE_LABEL, max_len - 2
+
+    def batch(ids: pa.Array, names: pa.Array) -> pa.Array:
+        n, null, w, w_null = _int_list(ids)
+        n_labels, _, lab, _ = _int_list(names)  # a label that is null counts as 0
+        n, w = n.astype(np.int64), w.astype(np.int64)
+        start, row = _offsets(n), np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(w)) - start[row]
+        first = k == 0
+        first[1:] |= (w[1:] != w[:-1]) & ~w_null[1:] & ~w_null[:-1]
+        has = ~w_null & (w >= 0) & (w < n_labels[row])
+        own = np.zeros(len(w), np.int32)
+        own[has] = lab[(_offsets(n_labels)[row] + w)[has]]
+        parts = _offsets(np.maximum(1, -(-n // room)))
+        out = np.full((parts[-1], max_len), ign, np.int32)
+        out[parts[row] + k // room, 1 + k % room] = np.where(first, own, ign)
+        no_ids = np.repeat(null, np.diff(parts))
+        inner = _lists(np.arange(parts[-1] + 1) * max_len, out.reshape(-1), no_ids)
+        return _lists(parts, inner, np.zeros(len(n), bool))
+    return arrow_udf(batch, "array<array<int>>")(word_ids, labels)
+
+
+def labels_text(labels: Column, used: Column) -> Column:
+    """An aligned sequence as text, by commas: the first ``used`` positions one by one, the padding after them at once."""
+    used = F.least(F.greatest(F.lit(1), used), F.size(labels))
+    return F.concat(F.array_join(F.slice(labels, F.lit(1), used).cast("array<string>"), ","),
+                    F.repeat(F.lit(f",{rules.IGNORE_LABEL}"), F.size(labels) - used))
 
 
 # ---------------------------------------------------------------- T5

@@ -141,8 +141,7 @@ _KEY = ["query_id", "site_key", "l_orderkey", "l_linenumber"]
 
 def _words(spark, sf_dir):
     """``word, n``: the distinct words of the training texts, counted once for the vocabulary and what follows."""
-    words = bio_df(spark, sf_dir).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return stored(words, "words")
+    return stored(TR.word_counts(bio_df(spark, sf_dir)), "words")
 
 
 @query("word_pieces", sql=f"WITH {_PIECE_CTES} SELECT word, array_to_string(pieces, ' ') AS pieces, CAST(len(pieces) AS INTEGER) AS n_pieces FROM pieces", fixtures=FXT)
@@ -165,10 +164,11 @@ def align_labels(spark, sf_dir):
     sequences of 512."""
     ids = TR.word_ids(F.col("tokens"), TR.piece_pattern(TR.vocabulary(_words(spark, sf_dir))))
     b = bio_df(spark, sf_dir).select(*_KEY, F.explode(F.array(F.struct(ids.alias("word_ids"), "labels"))).alias("x"))  # bound once
-    b = b.select(*_KEY, F.posexplode(TR.aligned_parts(F.col("x.word_ids"), F.col("x.labels"))).alias("part", "al"))
+    b = b.select(*_KEY, F.size("x.word_ids").alias("n"), F.posexplode(TR.aligned_parts(F.col("x.word_ids"), F.col("x.labels"))).alias("part", "al"))
+    used = 1 + F.least(F.lit(_ROOM), F.greatest(F.lit(0), F.col("n") - F.col("part") * _ROOM))  # the special position before, and the pieces
     return b.select(*_KEY, "part", F.size("al").alias("n_positions"),
-                    F.size(F.filter("al", lambda x: x != rules.IGNORE_LABEL)).alias("n_labelled"),
-                    F.array_join(F.transform("al", lambda x: x.cast("string")), ",").alias("aligned"))
+                    F.size(F.array_remove("al", rules.IGNORE_LABEL)).alias("n_labelled"),
+                    TR.labels_text(F.col("al"), used).alias("aligned"))
 
 
 @query("split_examples", sql=f"""SELECT query_id, site_key, l_orderkey, l_linenumber,
