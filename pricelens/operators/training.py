@@ -20,7 +20,8 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions import rules
 from ..functions.prices import number_text
-from ..functions.regex import let, pystrip
+from ..functions.regex import pystrip
+from ..session import shuffles_removed
 from ..sources.json_arrays import RANGE_BYTES, exists, read_json_array
 
 _TAG = r"(?Ud)\[(\w+)\](.*?)\[/\1\]"
@@ -365,21 +366,33 @@ def write_training_set(df: DataFrame, path: str, fmt: str = "json") -> None:
     (w.option("compression", "gzip").option("maxRecordsPerFile", FILE_EXAMPLES) if fmt == "json" else w).save(path)
 
 
-def write_training_documents(df: DataFrame, path: str, file_bytes: int = DOCUMENT_BYTES) -> None:
-    """S4, document layout: ``{"training_data": [...], "metadata": {"total_examples": n}}`` files of about
-    ``file_bytes`` each, whatever the number of examples; columns as in ``EXAMPLE_SCHEMA``."""
+def write_training_documents(df: DataFrame, path: str, file_bytes: int = DOCUMENT_BYTES, compression: str = "none") -> None:
+    """S4, document layout: ``{"training_data": [...], "metadata": {"total_examples": n}}`` files of at most about
+    ``file_bytes`` each (before ``compression``), whatever the number of examples; columns as in ``EXAMPLE_SCHEMA``.
+
+    A document is one row and a file one row, so a task writes as many files as its examples fill and no example is
+    shuffled; tasks that have fewer are put together, as many as the bytes of all examples ask for."""
     ex = df.select(F.to_json(F.struct("text", "query", F.col("source").alias("site"), "timestamp", "product_data")).alias("value"))
-    total = ex.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    with shuffles_removed(df.sparkSession):
+        total = ex.agg(F.sum(F.octet_length("value"))).collect()[0][0] or 0
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    def documents(batches):
-        n, head = 0, '{"training_data": ['
+        def document() -> pa.RecordBatch:
+            text = '{"training_data": [' + "\n,".join(held) + f'], "metadata": {{"total_examples": {len(held)}}}}}'
+            return pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["value"])
         for b in batches:
-            lines = [("," if n + i else head) + x for i, x in enumerate(b.column(0).to_pylist())]
-            n += len(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-        yield pa.RecordBatch.from_arrays([pa.array([("" if n else head) + f'], "metadata": {{"total_examples": {n}}}}}'])], names=["value"])
-    # dealt by hash: dealing in turn would sort each task's examples, all of them in its memory
-    ex.repartition(max(1, -(-total // file_bytes)), F.xxhash64("value", F.spark_partition_id())).mapInArrow(documents, "value string").write.text(path)
+            for x, n in zip(b.column(0).to_pylist(), pc.binary_length(b.column(0)).to_pylist()):
+                if held and size + n > file_bytes:
+                    yield document()
+                    held, size = [], 0
+                held.append(x)
+                size += n
+        if held or not total:
+            yield document()
+    docs = ex.coalesce(max(1, -(-total // file_bytes))).mapInArrow(documents, "value string")
+    docs.write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
 def read_training_set(spark: SparkSession, path: str, layout: str = "lines", fallback: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -389,7 +402,7 @@ def read_training_set(spark: SparkSession, path: str, layout: str = "lines", fal
 
     ``layout='lines'``: JSON Lines (what ``write_training_set`` writes), compressed or not.
     ``layout='document'``: JSON documents, either a bare array of examples or ``{"metadata": ...,
-    "training_data": [...]}``, read by byte ranges (``sources.json_arrays``).
+    "training_data": [...]}``, compressed or not, read by byte ranges (``sources.json_arrays``).
     """
     if fallback is not None and not exists(path):
         path = fallback

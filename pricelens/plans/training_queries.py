@@ -331,8 +331,8 @@ def training_roundtrip(spark, sf_dir):
 @query("training_load", sql=STORED_SQL, fixtures=FXT)
 def training_load(spark, sf_dir):
     """S3 (document layout): examples stored as ``{"training_data": [...], "metadata": ...}``
-    documents, as many as their bytes ask for, loaded back by byte ranges; the first place looked
-    at has none, so the fallback is read."""
+    documents, as many as their bytes ask for and compressed (most of an example repeats others), loaded
+    back by ranges, a document each; the first place looked at has none, so the fallback is read."""
     path = scratch_path(spark, "training-docs")
-    TR.write_training_documents(_stored(spark, sf_dir), path)
+    TR.write_training_documents(_stored(spark, sf_dir), path, compression="gzip")
     return _loaded(TR.read_training_set(spark, f"{path}-none", layout="document", fallback=path))

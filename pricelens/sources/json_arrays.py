@@ -10,6 +10,8 @@ array. Two passes over the same ranges settle that:
    brackets. A task then emits every object of the wanted array that *begins* in its range, reading
    past the range's end for the last one.
 
+A gzip file (``.gz``) is one range: it can be read from its start only, by one task, in steps.
+
 Both passes are scans of the data source ``json_array``, whose partitions are the ranges. What reaches the
 driver is the row of a range (files and ranges are listed there anyway). Backslashes count
 only inside strings, where JSON has them. Of a file with unbalanced brackets, what balances is read.
@@ -17,9 +19,11 @@ only inside strings, where JSON has them. Of a file with unbalanced brackets, wh
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -27,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 32 << 20
+STEP_BYTES = 4 << 20  # of a range that are looked at together
+_END = 1 << 62  # of a file whose length is not known before it is read
 _LOOK_BACK = 1 << 16
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 _SIGNS = np.zeros(256, np.int8)
@@ -37,6 +43,18 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _compressed(path: str) -> bool:
+    return path.endswith(".gz")
+
+
+@contextmanager
+def _reading(path: str):
+    """A data file's bytes, without their compression."""
+    fs, name = _open(path)
+    with fs.open_input_file(name) as f:
+        yield gzip.GzipFile(fileobj=f) if _compressed(path) else f
+
+
 def exists(path: str) -> bool:
     fs, name = _open(path)
     return fs.get_file_info(name).type != pafs.FileType.NotFound
@@ -135,17 +153,18 @@ class _Objects(DataSourceReader):
     def read(self, part: Range | None) -> Iterator[tuple]:
         if part is None:  # no ranges
             return
-        fs, name = _open(part.path)
-        with fs.open_input_file(name) as f:
-            size = f.size()
+        with _reading(part.path) as f:
+            size = _END if _compressed(part.path) else f.size()
             before = _backslashes(f, part.start)
             start, stack, inside, begun = part.start, [tuple(x) for x in part.stack], part.inside, None
             wanted: dict[int, bool] = {}
             held, held_at = b"", part.start  # bytes from the open object's start on
             while start < size and (start < part.end or begun is not None):
                 f.seek(start)
-                stop = part.end if start < part.end else min(size, start + (1 << 20))
+                stop = min(part.end, start + STEP_BYTES) if start < part.end else min(size, start + (1 << 20))
                 data = f.read(stop - start)
+                if not data:
+                    return
                 at, in_string = _tokens(data, before)
                 side = in_string != inside
                 for p in at[:-1][~side[:-1]].tolist():
@@ -166,7 +185,7 @@ class _Objects(DataSourceReader):
                 before = (len(data) - len(data.rstrip(b"\\"))) if data.rstrip(b"\\") else before + len(data)
                 if begun is not None:
                     held, held_at = (held + data, held_at) if begun < start else (data[begun - start:], begun)
-                start = stop
+                start += len(data)
 
     def _is_element(self, f, stack: list, wanted: dict[int, bool]) -> bool:
         """Whether an object here is an element: of the outer array, or of the outer object's array ``key``."""
@@ -203,8 +222,11 @@ class JsonArraySource(DataSource):
             return _Objects([Range(*x) for x in json.loads(self.options["starts"])], self.options.get("key", ""))
         step = int(self.options.get("rangebytes", RANGE_BYTES))
         whole = self.options.get("scan") != "true"  # without known starts a file is one range
-        ranges = [Range(path, s, size if whole else min(s + step, size)) for path, size in files_of(self.options["path"])
-                  for s in (range(0, 1) if whole else range(0, size, step))]
+        files = files_of(self.options["path"])
+        if whole:
+            ranges = [Range(path, 0, _END if _compressed(path) else size) for path, size in files]
+        else:
+            ranges = [Range(path, s, min(s + step, size)) for path, size in files if not _compressed(path) for s in range(0, size, step)]
         return _Objects(ranges, self.options.get("key", "")) if whole else _Scan(ranges)
 
 
@@ -213,10 +235,11 @@ def read_json_array(spark: SparkSession, path: str, key: str = "training_data",
     with the array under ``key``. Files of any size are read by many tasks."""
     spark.dataSource.register(JsonArraySource)
     reader = spark.read.format("json_array").option("key", key).option("rangeBytes", range_bytes)
-    sizes = dict(files_of(path))
+    files = files_of(path)
+    sizes = {p: n for p, n in files if not _compressed(p)}
     if max(sizes.values(), default=0) <= range_bytes:
         return reader.load(path)  # a range a file: every start is known
-    starts, at = [], None
+    starts = [(p, 0, _END, False, []) for p, _ in files if _compressed(p)]
     rows = sorted(reader.option("scan", "true").load(path).collect(), key=lambda r: (r["path"], r["start"]))  # a row for each range
     for r in rows:
         if r["start"] == 0:
